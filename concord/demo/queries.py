@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.demo import targets
-from concord.functions.columns import col
+from concord.functions.columns import col, struct_of, text
 from concord.operators import columns as column_ops
 from concord.operators import content, lines, multiset, objects, ranges, reassign, summary
-from concord.operators.cells import flat_rows, row_key
+from concord.operators.cells import flat_rows
 from concord.operators.examples import capped_examples
 from concord.operators.keyed import CHANGED, MATCHED, ONLY_IN_SOURCE, ONLY_IN_TARGET, REASSIGNED, differing, one_sided
 from concord.operators.run import RunComparison, TableComparison, compare_sides, compare_tables
@@ -98,7 +97,7 @@ def _flat(comparison: TableComparison, rows: DataFrame) -> DataFrame:
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    return summary.part_counts(rows.withColumn("part", F.lit(1)), "part").drop("part")
+    return summary.part_counts(rows)
 
 
 @query
@@ -337,14 +336,9 @@ def changed_column_profile(spark, folder):
 def accepted_summary(spark, folder):
     """Every changed row whose only change is the priority, and every moved row, is accepted."""
     comparison = orders(spark, folder)
-    only_priority = F.concat_ws(",", "changed_columns") == "o_orderpriority"
-    found = comparison.differences.select(
-        F.lit(comparison.table_name).alias("table_name"),
-        "category",
-        row_key(comparison.plan).alias("row_key"),
-        ((F.col("category") == REASSIGNED) | only_priority).alias("accept"),
-    )
-    return summary.accepted_summary(found, found.filter("accept"), comparison.summary)
+    only_priority = "concat_ws(',', changed_columns) = 'o_orderpriority'"
+    accepted = comparison.difference_keys(f"category = '{REASSIGNED}' OR {only_priority}")
+    return summary.accepted_summary(comparison.difference_keys(), accepted, comparison.summary)
 
 
 @query
@@ -393,10 +387,6 @@ def diff_by_range(spark, folder):
 # Metadata and schema ------------------------------------------------------------------------------------------------
 
 
-def _schema_sides(spark: SparkSession, folder: str) -> tuple[Side, Side]:
-    return sides(spark, folder)
-
-
 @query
 def row_count_per_table(spark, folder):
     return row_counts(*sides(spark, folder))
@@ -426,10 +416,10 @@ def common_columns_filled(spark, folder):
     def filled(df: DataFrame, names: list[str], alias: str) -> DataFrame:
         totals = df.agg(*[F.count(col(name)).alias(f"n{i}") for i, name in enumerate(names)])
         entries = [
-            F.struct(F.lit(i).alias("column_no"), F.lit(pair.name).alias("column_name"), F.col(f"n{i}").alias(alias))
+            struct_of([("column_no", str(i)), ("column_name", text(pair.name)), (alias, f"n{i}")])
             for i, pair in enumerate(pairs)
         ]
-        return totals.select(F.inline(F.array(*entries)))
+        return totals.selectExpr(f"inline(array({', '.join(entries)}))")
 
     left = filled(source.df, [pair.name for pair in pairs], "source_filled")
     right = filled(target.df, [pair.target_name for pair in pairs], "target_filled")

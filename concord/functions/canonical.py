@@ -1,4 +1,4 @@
-"""Canonical text of values and content hashes of rows.
+"""Canonical text of values and content hashes of rows, as SQL text.
 
 A content hash identifies the values of a row across columns of different types and across sides. The text form of each
 column is injective, NULL has a marker of its own, and the separator is escaped inside text, so two rows share a hash
@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from concord.functions.columns import text
+
 # Field separator (ASCII unit separator), its escaped form, and the marker of a NULL field.
 SEPARATOR = "\x1f"
 ESCAPED_SEPARATOR = "\\s"
@@ -20,57 +20,54 @@ NULL_MARKER = "\\N"
 NULL_DISPLAY = "NULL"
 
 _NESTED = (T.ArrayType, T.StructType, T.MapType)
+_KEEP_NULLS = "map('ignoreNullFields', 'false')"
 
 
-def _escaped(text: Column) -> Column:
-    backslash = F.lit("\\")
-    return F.replace(F.replace(text, backslash, F.lit("\\\\")), F.lit(SEPARATOR), F.lit(ESCAPED_SEPARATOR))
+def sorted_entries(column: str) -> str:
+    """A map as a sorted array of its entries, which can be compared, joined and grouped."""
+    return f"sort_array(map_entries({column}))"
 
 
-def plain_text(column: Column, data_type: T.DataType) -> Column:
+def plain_text(column: str, data_type: T.DataType) -> str:
     """Text of a value in a fixed, locale-free format; NULL stays NULL."""
+    as_string = f"CAST({column} AS STRING)"
     if isinstance(data_type, T.BinaryType):
-        return F.hex(column)
+        return f"hex({column})"
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        return F.when(column == 0, F.lit("0.0")).otherwise(column.cast("string"))
+        return f"CASE WHEN {column} = 0 THEN '0.0' ELSE {as_string} END"
     if isinstance(data_type, T.TimestampNTZType):
-        # Cast to text knows no time zone; the fraction is filled up to six digits.
-        text = column.cast("string")
-        fraction = F.when(F.contains(text, F.lit(".")), F.substring_index(text, ".", -1)).otherwise(F.lit(""))
-        return F.concat(F.substring_index(text, ".", 1), F.lit("."), F.rpad(fraction, 6, "0"))
+        # The cast knows no time zone; the fraction is filled up to six digits.
+        with_point = f"concat({as_string}, IF(contains({as_string}, '.'), '', '.'))"
+        return f"rpad({with_point}, greatest(26, length({as_string})), '0')"
     if isinstance(data_type, T.TimestampType):
         # The offset keeps the two passes through a repeated hour apart.
-        return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+        return f"date_format({column}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX\")"
     if isinstance(data_type, T.MapType):
-        return F.to_json(sorted_entries(column), {"ignoreNullFields": "false"})
+        return f"to_json({sorted_entries(column)}, {_KEEP_NULLS})"
     if isinstance(data_type, _NESTED):
-        return F.to_json(column, {"ignoreNullFields": "false"})
-    return column.cast("string")
+        return f"to_json({column}, {_KEEP_NULLS})"
+    return as_string
 
 
-def canonical_text(column: Column, data_type: T.DataType) -> Column:
+def canonical_text(column: str, data_type: T.DataType) -> str:
     """Text of a value for hashing: never NULL, and free of the separator."""
-    text = plain_text(column, data_type)
+    value = plain_text(column, data_type)
     if isinstance(data_type, (T.StringType, T.CharType, T.VarcharType, *_NESTED)):
-        text = _escaped(text)
-    return F.coalesce(text, F.lit(NULL_MARKER))
+        doubled = f"replace({value}, {text(chr(92))}, {text(chr(92) * 2)})"
+        value = f"replace({doubled}, chr({ord(SEPARATOR)}), {text(ESCAPED_SEPARATOR)})"
+    return f"coalesce({value}, {text(NULL_MARKER)})"
 
 
-def content_hash(columns: Iterable[tuple[Column, T.DataType]]) -> Column:
+def content_hash(columns: Iterable[tuple[str, T.DataType]]) -> str:
     """Upper-case hex SHA-256 over the canonical text of the columns, in the given order."""
     texts = [canonical_text(column, data_type) for column, data_type in columns]
-    return F.upper(F.sha2(F.concat_ws(SEPARATOR, *texts), 256))
+    return f"upper(sha2(concat_ws({', '.join([f'chr({ord(SEPARATOR)})', *texts])}), 256))"
 
 
-def display_text(column: Column, data_type: T.DataType) -> Column:
+def display_text(column: str, data_type: T.DataType) -> str:
     """What a person reads: hex for bytes, the word NULL for NULL, otherwise the value as text."""
-    if isinstance(data_type, T.MapType):
-        text = plain_text(column, data_type)
+    if isinstance(data_type, (T.MapType, T.BinaryType)):
+        value = plain_text(column, data_type)
     else:
-        text = F.hex(column) if isinstance(data_type, T.BinaryType) else column.cast("string")
-    return F.coalesce(text, F.lit(NULL_DISPLAY))
-
-
-def sorted_entries(column: Column) -> Column:
-    """A map as a sorted array of its entries, which can be compared, joined and grouped."""
-    return F.sort_array(F.map_entries(column))
+        value = f"CAST({column} AS STRING)"
+    return f"coalesce({value}, {text(NULL_DISPLAY)})"

@@ -1,10 +1,7 @@
-"""Content type guessed from the leading bytes of a value."""
+"""Content type guessed from the leading bytes of a value, as SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Leading bytes in hex and the file extension they stand for.
 PDF_SIGNATURE = "25504446"
 ZIP_SIGNATURE = "504B0304"
@@ -13,22 +10,21 @@ SPREADSHEET_EXTENSION = ".xlsx"
 UNKNOWN_EXTENSION = ".bin"
 
 
-def leading_bytes(content: Column) -> Column:
+def leading_bytes(content: str) -> str:
     """The first four bytes in hex; text counts as its UTF-8 bytes."""
-    return F.hex(F.substring(content.cast("binary"), 1, 4))
+    return f"hex(substring(CAST({content} AS BINARY), 1, 4))"
 
 
-def looks_like_pdf(content: Column) -> Column:
+def looks_like_pdf(content: str) -> str:
     """NULL for NULL content."""
-    return leading_bytes(content) == PDF_SIGNATURE
+    return f"{leading_bytes(content)} = '{PDF_SIGNATURE}'"
 
 
-def guess_extension(content: Column) -> Column:
+def guess_extension(content: str) -> str:
     """NULL for NULL content."""
-    head = leading_bytes(content)
     return (
-        F.when(content.isNull(), F.lit(None).cast("string"))
-        .when(head == PDF_SIGNATURE, F.lit(PDF_EXTENSION))
-        .when(head == ZIP_SIGNATURE, F.lit(SPREADSHEET_EXTENSION))
-        .otherwise(F.lit(UNKNOWN_EXTENSION))
+        f"CASE WHEN {content} IS NULL THEN NULL "
+        f"WHEN {leading_bytes(content)} = '{PDF_SIGNATURE}' THEN '{PDF_EXTENSION}' "
+        f"WHEN {leading_bytes(content)} = '{ZIP_SIGNATURE}' THEN '{SPREADSHEET_EXTENSION}' "
+        f"ELSE '{UNKNOWN_EXTENSION}' END"
     )

@@ -1,36 +1,31 @@
-"""Equality of keys and of values across the two sides."""
+"""Equality of values across the two sides, as SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
 from pyspark.sql import types as T
 
 from concord.plans.compare_plan import COERCE, ColumnPair
 
-_NUMBERS = (T.NumericType,)
-_TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
+_FAMILIES = (T.NumericType, (T.TimestampType, T.TimestampNTZType, T.DateType))
 
 
 def shared_domain(pair: ColumnPair) -> bool:
     """Whether Spark can compare the two types as they are, without parsing text."""
-    if pair.same_type:
-        return True
-    for family in (_NUMBERS, _TIMES):
-        if isinstance(pair.source_type, family) and isinstance(pair.target_type, family):
-            return True
-    return False
+    return pair.same_type or any(
+        isinstance(pair.source_type, family) and isinstance(pair.target_type, family) for family in _FAMILIES
+    )
 
 
-def values_equal(source: Column, target: Column, pair: ColumnPair, type_policy: str) -> Column:
+def values_equal(source: str, target: str, pair: ColumnPair, type_policy: str) -> str:
     """NULL equals NULL, NULL never equals a value.
 
     Under the strict policy values of different types are unequal unless both are NULL. Under the coerce policy they
     are compared by value where the types allow it and as text otherwise.
     """
     if pair.large or pair.same_type:
-        return source.eqNullSafe(target)
+        return f"{source} <=> {target}"
     if type_policy == COERCE:
         if shared_domain(pair):
-            return source.eqNullSafe(target)
-        return source.cast("string").eqNullSafe(target.cast("string"))
-    return source.isNull() & target.isNull()
+            return f"{source} <=> {target}"
+        return f"CAST({source} AS STRING) <=> CAST({target} AS STRING)"
+    return f"{source} IS NULL AND {target} IS NULL"

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame
 
 from concord.functions.canonical import canonical_text, display_text
-from concord.functions.columns import col
-from concord.operators.keyed import CHANGED, MATCHED, REASSIGNED, SOURCE, TARGET, field_type
+from concord.functions.columns import quote, struct_of, text
+from concord.operators.keyed import (
+    CHANGED,
+    REASSIGNED,
+    SOURCE,
+    TARGET,
+    aligned_key,
+    differing,
+    key_type,
+    value_type,
+)
 from concord.plans.compare_plan import ColumnPair, ComparePlan
 
 # Kinds of a cell and the texts shown instead of a large column.
@@ -20,72 +27,60 @@ LARGE_MATCHES = "(large column — content matches)"
 LARGE_ONE_SIDED = "(large column)"
 
 
-def row_key(plan: ComparePlan) -> Column:
+def row_key(plan: ComparePlan) -> str:
     """Text that identifies a difference inside its table and category: ``name=value`` pairs of the aligned key."""
 
-    def side_text(struct: str, side: str) -> Column:
-        parts = []
-        for pair in plan.keys:
-            data_type = _key_type(pair, side)
-            parts.append(F.concat(F.lit(f"{pair.name}="), canonical_text(col(pair.name, struct), data_type)))
-        return F.concat_ws(", ", *parts)
-
-    return F.when(F.col("source_key").isNotNull(), side_text("source_key", SOURCE)).otherwise(
-        side_text("target_key", TARGET)
+    def side_text(struct: str, side: str) -> str:
+        parts = [
+            f"concat({text(pair.name + '=')}, {canonical_text(quote(pair.name, struct), key_type(pair, side))})"
+            for pair in plan.keys
+        ]
+        return f"concat_ws(', ', {', '.join(parts)})"
+
+    source, target = side_text("source_key", SOURCE), side_text("target_key", TARGET)
+    return f"CASE WHEN source_key IS NOT NULL THEN {source} ELSE {target} END"
+
+
+def _cell(plan: ComparePlan, position: int, pair: ColumnPair) -> str:
+    is_key = position < len(plan.keys)
+    differs = f"array_contains(changed_columns, {text(pair.name)})"
+    if is_key:
+        kind = f"CASE category WHEN '{REASSIGNED}' THEN '{CELL_EXPECTED}' WHEN '{CHANGED}' THEN '{CELL_MATCHED}' ELSE '{CELL_REAL}' END"
+        source = display_text(quote(pair.name, "source_key"), key_type(pair, SOURCE))
+        target = display_text(quote(pair.name, "target_key"), key_type(pair, TARGET))
+    else:
+        kind = (
+            f"CASE WHEN category = '{REASSIGNED}' OR (category = '{CHANGED}' AND NOT {differs}) "
+            f"THEN '{CELL_MATCHED}' ELSE '{CELL_REAL}' END"
+        )
+        source = display_text(quote(pair.name, "source"), value_type(pair, SOURCE))
+        target = display_text(quote(pair.name, "target"), value_type(pair, TARGET))
+        if pair.large:
+            source = target = (
+                f"CASE WHEN category NOT IN ('{CHANGED}', '{REASSIGNED}') THEN {text(LARGE_ONE_SIDED)} "
+                f"WHEN {differs} THEN {text(LARGE_DIFFERS)} ELSE {text(LARGE_MATCHES)} END"
+            )
+    return struct_of(
+        [
+            ("column_no", str(position)),
+            ("column_name", text(pair.name)),
+            ("source_value", f"CASE WHEN source_key IS NULL THEN '' ELSE {source} END"),
+            ("target_value", f"CASE WHEN target_key IS NULL THEN '' ELSE {target} END"),
+            ("cell_kind", kind),
+        ]
     )
 
 
-def _key_type(pair: ColumnPair, side: str) -> T.DataType:
-    if not pair.same_type:
-        return T.StringType()
-    return pair.source_type if side == SOURCE else pair.target_type
-
-
-def _display(pair: ColumnPair, struct: str, side: str, is_key: bool) -> Column:
-    data_type = _key_type(pair, side) if is_key else field_type(pair, side)
-    return display_text(col(pair.name, struct), data_type)
-
-
 def cell_diff(differences: DataFrame, plan: ComparePlan) -> DataFrame:
     """One record per column of each differing row: ``category row_key column_name source_value target_value cell_kind``.
 
     A changed value is a real difference, unchanged values and the key match, the key of a moved row is an expected
     difference, and every column of a one-sided row is a real difference with the other side blank.
     """
-    category = F.col("category")
-    changed, moved = category == CHANGED, category == REASSIGNED
-    in_source, in_target = F.col("source_key").isNotNull(), F.col("target_key").isNotNull()
-    blank = F.lit("")
-
-    cells = []
-    for position, pair in enumerate((*plan.keys, *plan.values)):
-        is_key = position < len(plan.keys)
-        source_struct, target_struct = ("source_key", "target_key") if is_key else ("source", "target")
-        source = _display(pair, source_struct, SOURCE, is_key)
-        target = _display(pair, target_struct, TARGET, is_key)
-        differs = F.array_contains("changed_columns", pair.name)
-        if not is_key and pair.large:
-            both = F.when(differs, F.lit(LARGE_DIFFERS)).otherwise(F.lit(LARGE_MATCHES))
-            text = F.when(changed | moved, both).otherwise(F.lit(LARGE_ONE_SIDED))
-            source = target = text
-        if is_key:
-            kind = F.when(moved, F.lit(CELL_EXPECTED)).when(changed, F.lit(CELL_MATCHED)).otherwise(F.lit(CELL_REAL))
-        else:
-            kind = (
-                F.when(moved, F.lit(CELL_MATCHED))
-                .when(changed & ~differs, F.lit(CELL_MATCHED))
-                .otherwise(F.lit(CELL_REAL))
-            )
-        cells.append(
-            F.struct(
-                F.lit(position).alias("column_no"),
-                F.lit(pair.name).alias("column_name"),
-                F.when(in_source, source).otherwise(blank).alias("source_value"),
-                F.when(in_target, target).otherwise(blank).alias("target_value"),
-                kind.alias("cell_kind"),
-            )
-        )
-    return differences.filter(category != MATCHED).select("category", row_key(plan).alias("row_key"), F.inline(F.array(*cells)))
+    cells = [_cell(plan, position, pair) for position, pair in enumerate((*plan.keys, *plan.values))]
+    return differing(differences).selectExpr(
+        "category", f"{row_key(plan)} AS row_key", f"inline(array({', '.join(cells)}))"
+    )
 
 
 def flat_rows(rows: DataFrame, plan: ComparePlan) -> DataFrame:
@@ -93,20 +88,17 @@ def flat_rows(rows: DataFrame, plan: ComparePlan) -> DataFrame:
 
     Keys come from Source, or from Target for a row only there; ``target_<key>`` holds the new key of a moved row.
     """
-    key_columns = [
-        F.coalesce(col(pair.name, "source_key"), col(pair.name, "target_key")).alias(pair.name) for pair in plan.keys
-    ]
-    new_keys = [
-        F.when(F.col("category") == REASSIGNED, col(pair.name, "target_key")).alias(f"target_{pair.name}")
-        for pair in plan.keys
-    ]
-    values = [
-        col(pair.name, struct).alias(f"{struct}_{pair.name}") for struct in ("source", "target") for pair in plan.values
-    ]
-    return rows.select(
-        *key_columns,
+    return rows.selectExpr(
+        *[f"{key} AS {quote(pair.name)}" for key, pair in zip(aligned_key(plan), plan.keys)],
         "category",
-        F.concat_ws(",", F.sort_array("changed_columns")).alias("changed_columns"),
-        *new_keys,
-        *values,
+        "concat_ws(',', sort_array(changed_columns)) AS changed_columns",
+        *[
+            f"CASE WHEN category = '{REASSIGNED}' THEN {quote(pair.name, 'target_key')} END AS {quote('target_' + pair.name)}"
+            for pair in plan.keys
+        ],
+        *[
+            f"{quote(pair.name, struct)} AS {quote(struct + '_' + pair.name)}"
+            for struct in ("source", "target")
+            for pair in plan.values
+        ],
     )

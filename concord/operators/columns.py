@@ -6,7 +6,7 @@ is_identity is_primary_key primary_key_ordinal``, one row per column; see :mod:`
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.operators.objects import VIEW
@@ -14,64 +14,62 @@ from concord.operators.objects import VIEW
 COMPARED = ("data_type", "max_length", "precision", "scale", "is_nullable", "is_identity", "is_primary_key")
 ONLY_IN_SOURCE, ONLY_IN_TARGET, CHANGED = "Only in Source", "Only in Target", "Changed"
 
+FULL_NAME = "concat_ws('.', schema_name, table_name)"
 
-def _side(columns: DataFrame, prefix: str) -> DataFrame:
-    match = F.lower(F.concat_ws(".", "schema_name", "table_name"))
-    return columns.select(
-        match.alias(f"{prefix}_table"),
-        F.lower("column_name").alias(f"{prefix}_match"),
-        F.struct(*columns.columns, column_line().alias("line")).alias(prefix),
-    )
-
-
-def _tables_of(columns: DataFrame, prefix: str) -> DataFrame:
-    match = F.lower(F.concat_ws(".", "schema_name", "table_name"))
-    return columns.select(match.alias(f"{prefix}_table"), "schema_name", "table_name", "kind").distinct()
+# Fixed formats of a declared type: text lengths in characters, MAX for unbounded, precision and scale for decimals.
+TYPE_TEXT = """concat('[', data_type, ']', CASE
+  WHEN lower(data_type) IN ('nvarchar', 'nchar')
+    THEN concat('(', IF(max_length = -1, 'MAX', CAST(max_length div 2 AS STRING)), ')')
+  WHEN lower(data_type) IN ('varchar', 'char', 'binary', 'varbinary')
+    THEN concat('(', IF(max_length = -1, 'MAX', CAST(max_length AS STRING)), ')')
+  WHEN lower(data_type) IN ('decimal', 'numeric') THEN concat('(', precision, ', ', scale, ')')
+  ELSE '' END)"""
+COLUMN_LINE = f"concat('[', column_name, '] ', {TYPE_TEXT}, IF(is_nullable, ' NULL', ' NOT NULL'))"
 
 
 def _joined(source: DataFrame, target: DataFrame) -> DataFrame:
-    s, t = _side(source, "source"), _side(target, "target")
-    return s.join(
-        t,
-        (F.col("source_table") == F.col("target_table")) & (F.col("source_match") == F.col("target_match")),
+    def side(columns: DataFrame, name: str) -> DataFrame:
+        return columns.selectExpr(
+            f"lower({FULL_NAME}) AS {name}_table",
+            f"lower(column_name) AS {name}_match",
+            f"struct({FULL_NAME} AS full_name, *, {COLUMN_LINE} AS line) AS {name}",
+        )
+
+    return side(source, "source").join(
+        side(target, "target"),
+        F.expr("source_table = target_table AND source_match = target_match"),
         "full_outer",
-    )
+    ).selectExpr("coalesce(source_table, target_table) AS table_key", "source", "target")
 
 
 def column_changes(source: DataFrame, target: DataFrame) -> DataFrame:
     """Columns of tables found on both sides that exist on one side only or differ in type, length, precision, scale,
     nullability, identity or key membership. Column order and key order are not differences."""
-    both = _tables_of(source, "source").join(
-        _tables_of(target, "target"), F.col("source_table") == F.col("target_table"), "left_semi"
-    )
-    joined = _joined(source, target)
-    table = F.coalesce("source_table", "target_table")
-    changed = []
-    for name in COMPARED:
-        left, right = F.col(f"source.{name}"), F.col(f"target.{name}")
+
+    def differs(name: str) -> str:
+        left, right = f"source.{name}", f"target.{name}"
         if name == "data_type":
-            left, right = F.lower(left), F.lower(right)
-        changed.append(F.when(~left.eqNullSafe(right), F.lit(name)))
-    facets = F.array_compact(F.array(*changed))
-    change = (
-        F.when(F.col("target").isNull(), F.lit(ONLY_IN_SOURCE))
-        .when(F.col("source").isNull(), F.lit(ONLY_IN_TARGET))
-        .when(F.size(facets) > 0, F.lit(CHANGED))
-    )
+            left, right = f"lower({left})", f"lower({right})"
+        return f"CASE WHEN NOT ({left} <=> {right}) THEN '{name}' END"
+
+    facets = f"concat_ws(',', {', '.join(differs(name) for name in COMPARED)})"
+    both = "source IS NOT NULL AND target IS NOT NULL"
+    # Windows over the columns of one table only.
+    on_both_sides = " AND ".join(f"max({side} IS NOT NULL) OVER (PARTITION BY table_key)" for side in ("source", "target"))
     return (
-        joined.withColumn("table_key", table)
-        .join(both.select(F.col("source_table").alias("table_key")), "table_key", "left_semi")
-        .select(
-            F.when(F.col("source").isNotNull(), F.concat_ws(".", "source.schema_name", "source.table_name"))
-            .otherwise(F.concat_ws(".", "target.schema_name", "target.table_name"))
-            .alias("full_name"),
-            F.coalesce("source.column_name", "target.column_name").alias("column_name"),
-            change.alias("change"),
-            F.when(change == CHANGED, F.concat_ws(",", facets)).otherwise(F.lit("")).alias("changed_facets"),
-            F.col("source.data_type").alias("source_type"),
-            F.col("target.data_type").alias("target_type"),
+        _joined(source, target)
+        .selectExpr(
+            f"{on_both_sides} AS compared",
+            "coalesce(source.full_name, target.full_name) AS full_name",
+            "coalesce(source.column_name, target.column_name) AS column_name",
+            f"CASE WHEN target IS NULL THEN '{ONLY_IN_SOURCE}' WHEN source IS NULL THEN '{ONLY_IN_TARGET}' "
+            f"WHEN {facets} <> '' THEN '{CHANGED}' END AS change",
+            f"IF({both}, {facets}, '') AS changed_facets",
+            "source.data_type AS source_type",
+            "target.data_type AS target_type",
         )
-        .filter(F.col("change").isNotNull())
+        .filter("compared AND change IS NOT NULL")
+        .drop("compared")
     )
 
 
@@ -80,113 +78,50 @@ def changed_tables(source: DataFrame, target: DataFrame) -> DataFrame:
     return column_changes(source, target).select("full_name").distinct()
 
 
-def type_text(type_name: Column, max_length: Column, precision: Column, scale: Column) -> Column:
-    """A declared type: text lengths in characters, MAX for unbounded, precision and scale for decimals."""
-    kind = F.lower(type_name)
-    quoted = F.concat(F.lit("["), type_name, F.lit("]"))
-
-    def length(divisor: int) -> Column:
-        number = F.floor(max_length / divisor).cast("string")
-        return F.concat(quoted, F.lit("("), F.when(max_length == -1, F.lit("MAX")).otherwise(number), F.lit(")"))
-
-    numbers = F.concat(quoted, F.lit("("), precision.cast("string"), F.lit(", "), scale.cast("string"), F.lit(")"))
-    return (
-        F.when(kind.isin("nvarchar", "nchar"), length(2))
-        .when(kind.isin("varchar", "char", "binary", "varbinary"), length(1))
-        .when(kind.isin("decimal", "numeric"), numbers)
-        .otherwise(quoted)
-    )
-
-
-def column_line() -> Column:
-    """``[name] [type] NULL`` or ``NOT NULL``."""
-    return F.concat(
-        F.lit("["),
-        F.col("column_name"),
-        F.lit("] "),
-        type_text(F.col("data_type"), F.col("max_length"), F.col("precision"), F.col("scale")),
-        F.when(F.col("is_nullable"), F.lit(" NULL")).otherwise(F.lit(" NOT NULL")),
-    )
-
-
 def ddl_lines(columns: DataFrame) -> DataFrame:
     """The column lines of each table in column order."""
-    return columns.select(
-        F.concat_ws(".", "schema_name", "table_name").alias("full_name"), "ordinal", column_line().alias("ddl_line")
-    )
-
-
-def _header(side: str) -> Column:
-    keyword = F.when(F.col(f"{side}.kind") == VIEW, F.lit("VIEW")).otherwise(F.lit("TABLE"))
-    return F.concat(
-        F.lit("CREATE "),
-        keyword,
-        F.lit(" ["),
-        F.col(f"{side}.schema_name"),
-        F.lit("].["),
-        F.col(f"{side}.table_name"),
-        F.lit("]"),
-    )
+    return columns.selectExpr(f"{FULL_NAME} AS full_name", "ordinal", f"{COLUMN_LINE} AS ddl_line")
 
 
 def ddl_diff(source: DataFrame, target: DataFrame) -> DataFrame:
     """The DDL of both sides line by line, aligned by column name.
 
     A column of one side has an absent (NULL) partner. A line is highlighted when the two texts differ; when the whole
-    table is missing on one side, all its lines are.
+    table is missing on one side, all its lines are. Source columns come first, then those only in Target.
     """
-    joined = _joined(source, target).withColumn("table_key", F.coalesce("source_table", "target_table"))
-    # Windows over the columns of one table only.
-    table = Window.partitionBy("table_key")
-    in_order = table.orderBy(
-        F.col("source").isNull(), F.coalesce("source.ordinal", "target.ordinal")
-    )
-    numbered = joined.withColumns(
-        {
-            "n": F.row_number().over(in_order),
-            "columns": F.count(F.lit(1)).over(table),
-            "has_source": F.max(F.col("source").isNotNull()).over(table),
-            "has_target": F.max(F.col("target").isNotNull()).over(table),
-        }
-    )
-    comma = F.when(F.col("n") == F.col("columns"), F.lit("")).otherwise(F.lit(","))
-    differs = ~F.col("source.line").eqNullSafe(F.col("target.line"))
-
-    def text(side: str) -> Column:
-        return F.when(F.col(side).isNotNull(), F.concat(F.lit("    "), F.col(f"{side}.line"), comma))
-
-    body = numbered.select(
-        "table_key",
-        (F.col("n") + 2).alias("line_no"),
-        text("source").alias("source_text"),
-        text("target").alias("target_text"),
-        differs.alias("highlight"),
-    )
-    one_sided = ~(F.col("has_source") & F.col("has_target"))
-    frames = numbered.groupBy("table_key").agg(
-        F.max(_header("source")).alias("source_header"),
-        F.max(_header("target")).alias("target_header"),
-        F.max("columns").alias("columns"),
-        F.max(one_sided).alias("one_sided"),
+    # Windows over the columns of one table only; the header and bracket lines hang on its first column.
+    table = "PARTITION BY table_key"
+
+    def header(side: str) -> str:
+        create = f"concat('CREATE ', IF({side}.kind = '{VIEW}', 'VIEW', 'TABLE'), ' [', {side}.schema_name, '].[', {side}.table_name, ']')"
+        return f"max({create}) OVER ({table}) AS {side}_header"
+
+    numbered = _joined(source, target).selectExpr(
+        "*",
+        f"row_number() OVER ({table} ORDER BY source IS NULL, coalesce(source.ordinal, target.ordinal)) AS n",
+        f"count(*) OVER ({table}) AS columns",
+        header("source"),
+        header("target"),
     )
 
-    def framed(line_no: Column, source_text: Column, target_text: Column) -> Column:
-        return F.struct(line_no.cast("int").alias("line_no"), source_text.alias("source_text"), target_text.alias("target_text"))
-
-    def bracket(text: str, side: str) -> Column:
-        return F.when(F.col(f"{side}_header").isNotNull(), F.lit(text))
-
-    frame_lines = frames.select(
-        "table_key",
-        F.col("one_sided").alias("highlight"),
-        F.inline(
-            F.array(
-                framed(F.lit(1), F.col("source_header"), F.col("target_header")),
-                framed(F.lit(2), bracket("(", "source"), bracket("(", "target")),
-                framed(F.col("columns") + 3, bracket(")", "source"), bracket(")", "target")),
-            )
-        ),
-    )
-    return body.unionByName(frame_lines.select("table_key", "line_no", "source_text", "target_text", "highlight")).withColumnRenamed(
-        "table_key", "full_name"
-    )
+    def line(line_no: str, source_text: str, target_text: str, highlight: str) -> str:
+        return (
+            f"named_struct('line_no', CAST({line_no} AS INT), 'source_text', {source_text}, "
+            f"'target_text', {target_text}, 'highlight', {highlight})"
+        )
+
+    def column_text(side: str) -> str:
+        return f"IF({side} IS NULL, NULL, concat('    ', {side}.line, IF(n = columns, '', ',')))"
+
+    def bracket(character: str) -> list[str]:
+        return [f"IF({side}_header IS NULL, NULL, '{character}')" for side in ("source", "target")]
+
+    one_sided = "source_header IS NULL OR target_header IS NULL"
+    own = line("n + 2", column_text("source"), column_text("target"), "NOT (source.line <=> target.line)")
+    frame = [
+        line("1", "source_header", "target_header", one_sided),
+        line("2", *bracket("("), one_sided),
+        line("columns + 3", *bracket(")"), one_sided),
+    ]
+    lines = f"IF(n = 1, array({', '.join([*frame, own])}), array({own}))"
+    return numbered.selectExpr("table_key AS full_name", f"inline({lines})")

@@ -7,24 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.functions.columns import all_of, col
+from concord.functions.columns import all_of, quote, text
 from concord.functions.content_type import guess_extension, looks_like_pdf
-from concord.operators.keyed import CHANGED, ONLY_IN_SOURCE, ONLY_IN_TARGET
+from concord.operators.keyed import CHANGED, IS_ORPHAN, SOURCE, TARGET, aligned_key, side_frame, side_name
 from concord.plans.compare_plan import ComparePlan
 
 
-def content_types(df: DataFrame, content: str) -> DataFrame:
-    """``df`` with the guessed type of its content; only the leading bytes go on from here."""
-    return df.withColumn("content_type", guess_extension(col(content)))
-
-
 def content_type_audit(source: DataFrame, target: DataFrame, content: str) -> DataFrame:
-    """Rows per guessed type on each side, NULL content counted under NULL."""
+    """Rows per guessed type on each side, NULL content counted under NULL; only leading bytes are shuffled."""
     sides = [
-        content_types(df.select(col(content)), content).select(F.lit(name).alias("side"), "content_type")
+        df.selectExpr(f"'{name}' AS side", f"{guess_extension(quote(content))} AS content_type")
         for name, df in (("source", source), ("target", target))
     ]
-    return sides[0].unionByName(sides[1]).groupBy("side", "content_type").agg(F.count(F.lit(1)).alias("row_count"))
+    return sides[0].unionByName(sides[1]).groupBy("side", "content_type").agg(F.expr("count(*)").alias("row_count"))
 
 
 def content_label_conflicts(
@@ -35,22 +30,24 @@ def content_label_conflicts(
     NULL content is no conflict. Content is reduced to a verdict before the join.
     """
 
-    def side(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(
-            *[col(name).alias(f"{prefix}{i}") for i, name in enumerate(keys)],
-            col(flag).alias(f"{prefix}_flag"),
-            guess_extension(col(content)).alias(f"{prefix}_type"),
-            (~looks_like_pdf(col(content))).alias(f"{prefix}_wrong"),
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.selectExpr(
+            *[f"{quote(key)} AS {name}{i}" for i, key in enumerate(keys)],
+            f"{quote(flag)} AS {name}_flag",
+            f"{guess_extension(quote(content))} AS {name}_type",
+            f"NOT ({looks_like_pdf(quote(content))}) AS {name}_wrong",
         )
 
-    same_key = all_of(F.col(f"s{i}").eqNullSafe(F.col(f"t{i}")) for i in range(len(keys)))
-    joined = side(source, "s").join(side(target, "t"), same_key, "full_outer")
-    flagged = F.coalesce("s_flag", "t_flag")
-    wrong = F.coalesce("s_wrong", F.lit(False)) | F.coalesce("t_wrong", F.lit(False))
-    return joined.filter(flagged & wrong).select(
-        *[F.coalesce(f"s{i}", f"t{i}").alias(name) for i, name in enumerate(keys)],
-        F.col("s_type").alias("source_type"),
-        F.col("t_type").alias("target_type"),
+    same_key = F.expr(all_of(f"source{i} <=> target{i}" for i in range(len(keys))))
+    return (
+        side(source, "source")
+        .join(side(target, "target"), same_key, "full_outer")
+        .filter("coalesce(source_flag, target_flag) AND (coalesce(source_wrong, false) OR coalesce(target_wrong, false))")
+        .selectExpr(
+            *[f"coalesce(source{i}, target{i}) AS {quote(key)}" for i, key in enumerate(keys)],
+            "source_type",
+            "target_type",
+        )
     )
 
 
@@ -61,22 +58,15 @@ def large_content_pairs(plan: ComparePlan, differences: DataFrame, column: str)
     a NULL both show as NULL. Keys have to be unique.
     """
     pair = next(pair for pair in plan.values if pair.name.lower() == column.lower())
-    category = F.col("category")
-    one_sided = category.isin(ONLY_IN_SOURCE, ONLY_IN_TARGET)
-    names = [key.name for key in plan.keys]
-    wanted = differences.filter(
-        one_sided | ((category == CHANGED) & F.array_contains("changed_columns", pair.name))
-    ).select(
-        "category",
-        *[F.coalesce(col(name, "source_key"), col(name, "target_key")).alias(name) for name in names],
-    )
-    result = wanted
-    for prefix, table, is_source in (("source", plan.source, True), ("target", plan.target, False)):
-        own = [key.name if is_source else key.target_name for key in plan.keys]
-        content = table.df.select(
-            *[col(name).alias(f"{prefix}_k{i}") for i, name in enumerate(own)],
-            col(pair.name if is_source else pair.target_name).alias(f"{prefix}_content"),
+    names = [quote(key.name) for key in plan.keys]
+    result = differences.filter(
+        f"{IS_ORPHAN} OR (category = '{CHANGED}' AND array_contains(changed_columns, {text(pair.name)}))"
+    ).selectExpr("category", *[f"{key} AS {name}" for key, name in zip(aligned_key(plan), names)])
+    for side, prefix in ((SOURCE, "source"), (TARGET, "target")):
+        content = side_frame(plan, side).selectExpr(
+            *[f"{quote(side_name(key, side))} AS {prefix}{i}" for i, key in enumerate(plan.keys)],
+            f"{quote(side_name(pair, side))} AS {prefix}_content",
         )
-        same_key = all_of(col(name).eqNullSafe(F.col(f"{prefix}_k{i}")) for i, name in enumerate(names))
+        same_key = F.expr(all_of(f"{name} <=> {prefix}{i}" for i, name in enumerate(names)))
         result = result.join(content, same_key, "left")
-    return result.select(*[col(name) for name in names], "category", "source_content", "target_content")
+    return result.selectExpr(*names, "category", "source_content", "target_content")

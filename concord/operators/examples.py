@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.functions.columns import col
+from concord.operators.ordinals import listing, ordering
 
 EXAMPLES_PER_CATEGORY = 10
 STRANDS = 64
@@ -21,18 +22,17 @@ def capped_examples(
     The first rows are picked in two steps, per strand of a group and then per group: a group with most of the rows is
     cut over many tasks and the last step sees at most ``limit`` rows of each strand.
     """
-    groups = [col(name) for name in group]
-    ordering = [col(name).asc_nulls_first() for name in order]
-    strand = F.pmod(F.xxhash64(*[col(name) for name in order]), F.lit(STRANDS))
-    in_strand = Window.partitionBy(*groups, "__strand").orderBy(*ordering)
-    in_group = Window.partitionBy(*groups).orderBy(*ordering)
+
+    def ranked(groups: Sequence[str]) -> str:
+        return f"row_number() OVER (PARTITION BY {listing(groups)} ORDER BY {ordering(order)}) AS example_no"
+
     first = (
-        differences.withColumn("__strand", strand)
-        .withColumn("example_no", F.row_number().over(in_strand))
-        .filter(F.col("example_no") <= limit)
-        .withColumn("example_no", F.row_number().over(in_group))
-        .filter(F.col("example_no") <= limit)
-        .drop("__strand")
+        differences.selectExpr("*", f"pmod(xxhash64({listing(order)}), {STRANDS}) AS __strand")
+        .selectExpr("*", ranked([*group, "__strand"]))
+        .filter(f"example_no <= {limit}")
+        .drop("example_no", "__strand")
+        .selectExpr("*", ranked(group))
+        .filter(f"example_no <= {limit}")
     )
-    totals = differences.groupBy(*groups).agg(F.count(F.lit(1)).alias("total"))
-    return first.join(totals, list(group)).withColumn("not_shown", F.greatest(F.col("total") - limit, F.lit(0)))
+    totals = differences.groupBy(*[col(name) for name in group]).agg(F.expr("count(*)").alias("total"))
+    return first.join(totals, list(group)).selectExpr("*", f"greatest(total - {limit}, 0L) AS not_shown")

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from concord.functions.columns import col
+from concord.functions.columns import col, quote
 
 CHUNK_ROWS = 100_000
 
@@ -16,15 +15,14 @@ def repeat_rows(df: DataFrame, times: str, copy: str, chunk_rows: int = CHUNK_RO
     A count above ``chunk_rows`` is first cut into chunks that are spread over the tasks, so that one heavily repeated
     row does not write all of its copies from one task.
     """
-    count = col(times).cast("long")
-    one = F.lit(1).cast("long")
-    small = df.filter((count > 0) & (count <= chunk_rows)).withColumn(copy, F.explode(F.sequence(one, count)))
-    first = F.col("__chunk") * chunk_rows + 1
+    count = f"CAST({quote(times)} AS BIGINT)"
+    small = df.filter(f"{count} BETWEEN 1 AND {chunk_rows}").selectExpr("*", f"explode(sequence(1L, {count})) AS {quote(copy)}")
+    first = f"__chunk * {chunk_rows}L + 1L"
     large = (
-        df.filter(count > chunk_rows)
-        .withColumn("__chunk", F.explode(F.sequence(one - 1, F.floor((count - 1) / chunk_rows))))
-        .repartition(*[col(name) for name in df.columns], F.col("__chunk"))
-        .withColumn(copy, F.explode(F.sequence(first, F.least(count, first + chunk_rows - 1))))
+        df.filter(f"{count} > {chunk_rows}")
+        .selectExpr("*", f"explode(sequence(0L, ({count} - 1L) div {chunk_rows}L)) AS __chunk")
+        .repartition(*[col(name) for name in [*df.columns, "__chunk"]])
+        .selectExpr("*", f"explode(sequence({first}, least({count}, {first} + {chunk_rows - 1}L))) AS {quote(copy)}")
         .drop("__chunk")
     )
     return small.unionByName(large)

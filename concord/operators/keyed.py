@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concord.functions.canonical import content_hash, plain_text, sorted_entries
-from concord.functions.columns import all_of, col
+from concord.functions.columns import all_of, col, quote, struct_of, text
 from concord.functions.equality import values_equal
 from concord.operators.ordinals import HOT_GROUP_ROWS, HotGroups, find_hot_groups, with_positions
 from concord.plans.compare_plan import ColumnPair, ComparePlan, KeyRange
@@ -30,6 +30,7 @@ ONLY_IN_SOURCE = "only_in_source"
 ONLY_IN_TARGET = "only_in_target"
 REASSIGNED = "reassigned"
 ORPHANS = (ONLY_IN_SOURCE, ONLY_IN_TARGET)
+IS_ORPHAN = f"category IN ('{ONLY_IN_SOURCE}', '{ONLY_IN_TARGET}')"
 
 SOURCE = "s"
 TARGET = "t"
@@ -46,40 +47,60 @@ def in_range(key: Column, key_range: KeyRange | None) -> Column | None:
     return above if key_range.upper is None else above & (key <= F.lit(key_range.upper))
 
 
-def _side_name(pair: ColumnPair, side: str) -> str:
+def side_name(pair: ColumnPair, side: str) -> str:
     return pair.name if side == SOURCE else pair.target_name
 
 
-def _side_type(pair: ColumnPair, side: str) -> T.DataType:
+def side_type(pair: ColumnPair, side: str) -> T.DataType:
     return pair.source_type if side == SOURCE else pair.target_type
 
 
-def _key_expression(pair: ColumnPair, side: str) -> Column:
-    column = col(_side_name(pair, side))
+def key_type(pair: ColumnPair, side: str) -> T.DataType:
+    """Type of a key column inside the key struct."""
+    return side_type(pair, side) if pair.same_type else T.StringType()
+
+
+def value_type(pair: ColumnPair, side: str) -> T.DataType:
+    """Type of a value column inside the source/target struct."""
+    data_type = side_type(pair, side)
+    if pair.large:
+        return T.StringType()
+    if isinstance(data_type, T.MapType):
+        entry = T.StructType([T.StructField("key", data_type.keyType), T.StructField("value", data_type.valueType)])
+        return T.ArrayType(entry)
+    return data_type
+
+
+def _key_expression(pair: ColumnPair, side: str) -> str:
+    column = quote(side_name(pair, side))
     # Keys of different types are matched as text.
-    return column if pair.same_type else plain_text(column, _side_type(pair, side))
+    return column if pair.same_type else plain_text(column, side_type(pair, side))
 
 
-def _value_expression(pair: ColumnPair, side: str) -> Column:
-    column = col(_side_name(pair, side))
+def value_expression(pair: ColumnPair, side: str) -> str:
+    column = quote(side_name(pair, side))
     if pair.large:
-        return F.sha2(column.cast("binary"), 256)
-    if isinstance(_side_type(pair, side), T.MapType):
+        return f"sha2(CAST({column} AS BINARY), 256)"
+    if isinstance(side_type(pair, side), T.MapType):
         return sorted_entries(column)
     return column
 
 
+def side_frame(plan: ComparePlan, side: str) -> DataFrame:
+    return plan.source.df if side == SOURCE else plan.target.df
+
+
 def scan(plan: ComparePlan, side: str) -> DataFrame:
     """Key and value columns of one side as ``{side}k0.. {side}v0..`` and a presence flag."""
-    df = plan.source.df if side == SOURCE else plan.target.df
+    df = side_frame(plan, side)
     if plan.keys:
-        condition = in_range(col(_side_name(plan.keys[0], side)), plan.options.key_range)
+        condition = in_range(col(side_name(plan.keys[0], side)), plan.options.key_range)
         if condition is not None:
             df = df.filter(condition)
-    return df.select(
-        *[_key_expression(pair, side).alias(f"{side}k{i}") for i, pair in enumerate(plan.keys)],
-        *[_value_expression(pair, side).alias(f"{side}v{i}") for i, pair in enumerate(plan.values)],
-        F.lit(True).alias(f"{side}_present"),
+    return df.selectExpr(
+        *[f"{_key_expression(pair, side)} AS {side}k{i}" for i, pair in enumerate(plan.keys)],
+        *[f"{value_expression(pair, side)} AS {side}v{i}" for i, pair in enumerate(plan.values)],
+        f"true AS {side}_present",
     )
 
 
@@ -94,16 +115,14 @@ def _value_names(plan: ComparePlan, side: str) -> list[str]:
 def rows_per_key(plan: ComparePlan) -> DataFrame:
     """The larger row count of the two sides for each key: one scan of the key columns of each side."""
     names = [f"k{i}" for i in range(len(plan.keys))]
-    flagged = []
-    for side, in_source in ((SOURCE, 1), (TARGET, 0)):
-        keys = scan(plan, side).select(*[F.col(f"{side}{name}").alias(name) for name in names])
-        flagged.append(keys.withColumn("in_source", F.lit(in_source).cast("long")))
+    source, target = (
+        scan(plan, side).selectExpr(*[f"{side}{name} AS {name}" for name in names], f"{flag}L AS in_source")
+        for side, flag in ((SOURCE, 1), (TARGET, 0))
+    )
     return (
-        flagged[0]
-        .unionByName(flagged[1])
+        source.unionByName(target)
         .groupBy(*names)
-        .agg(F.sum("in_source").alias("s"), F.sum(1 - F.col("in_source")).alias("t"))
-        .select(*names, F.greatest("s", "t").alias("rows"))
+        .agg(F.expr("greatest(sum(in_source), sum(1L - in_source))").alias("rows"))
     )
 
 
@@ -120,11 +139,14 @@ def _pair_repeats(plan: ComparePlan, hot_rows: int) -> tuple[bool, HotGroups | N
 
 
 def _with_side_positions(plan: ComparePlan, side: str, hot: HotGroups | None) -> DataFrame:
-    keys = _key_names(plan, side)
     if hot is not None:
-        renamed = hot.groups.select(*[F.col(name).alias(f"{side}{name}") for name in hot.groups.columns])
-        hot = HotGroups(renamed, hot.few)
-    return with_positions(scan(plan, side), keys, _value_names(plan, side), f"{side}{POSITION}", hot)
+        hot = HotGroups(hot.groups.selectExpr(*[f"{name} AS {side}{name}" for name in hot.groups.columns]), hot.few)
+    return with_positions(scan(plan, side), _key_names(plan, side), _value_names(plan, side), f"{side}{POSITION}", hot)
+
+
+def same_key(plan: ComparePlan) -> str:
+    operator = "=" if plan.options.key_not_null else "<=>"
+    return all_of(f"{SOURCE}k{i} {operator} {TARGET}k{i}" for i in range(len(plan.keys)))
 
 
 def align(plan: ComparePlan, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
@@ -135,53 +157,46 @@ def align(plan: ComparePlan, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     if not plan.keys:
         raise ValueError(f"{plan.table_name} has no usable key; compare it as a multiset")
     repeats, hot = _pair_repeats(plan, hot_rows)
+    condition = same_key(plan)
     if repeats:
         source, target = (_with_side_positions(plan, side, hot) for side in (SOURCE, TARGET))
+        condition += f" AND {SOURCE}{POSITION} = {TARGET}{POSITION}"
     else:
         source, target = scan(plan, SOURCE), scan(plan, TARGET)
-    conditions = []
-    for source_key, target_key in zip(_key_names(plan, SOURCE), _key_names(plan, TARGET)):
-        left, right = F.col(source_key), F.col(target_key)
-        conditions.append(left == right if plan.options.key_not_null else left.eqNullSafe(right))
-    if repeats:
-        conditions.append(F.col(f"{SOURCE}{POSITION}") == F.col(f"{TARGET}{POSITION}"))
-    return source.join(target, all_of(conditions), "full_outer")
+    return source.join(target, F.expr(condition), "full_outer")
 
 
-def _struct(names: list[str], pairs: tuple[ColumnPair, ...], present: Column) -> Column:
-    if not pairs:
-        return F.when(present, F.struct(F.lit(True).alias("present")))
-    return F.when(present, F.struct(*[F.col(name).alias(pair.name) for name, pair in zip(names, pairs)]))
+def _struct(names: list[str], pairs: tuple[ColumnPair, ...], present: str) -> str:
+    fields = [(pair.name, name) for name, pair in zip(names, pairs)] or [("present", "true")]
+    return f"CASE WHEN {present} IS NOT NULL THEN {struct_of(fields)} END"
 
 
 def keyed_rows(plan: ComparePlan, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """Every aligned row with its category."""
-    in_source = F.col(f"{SOURCE}_present").isNotNull()
-    in_target = F.col(f"{TARGET}_present").isNotNull()
     equal = [
-        values_equal(F.col(f"{SOURCE}v{i}"), F.col(f"{TARGET}v{i}"), pair, plan.options.type_policy)
+        values_equal(f"{SOURCE}v{i}", f"{TARGET}v{i}", pair, plan.options.type_policy)
         for i, pair in enumerate(plan.values)
     ]
     category = (
-        F.when(~in_source, F.lit(ONLY_IN_TARGET))
-        .when(~in_target, F.lit(ONLY_IN_SOURCE))
-        .when(all_of(equal), F.lit(MATCHED))
-        .otherwise(F.lit(CHANGED))
+        f"CASE WHEN {SOURCE}_present IS NULL THEN '{ONLY_IN_TARGET}' WHEN {TARGET}_present IS NULL THEN '{ONLY_IN_SOURCE}' "
+        f"WHEN {all_of(equal)} THEN '{MATCHED}' ELSE '{CHANGED}' END"
     )
-    names = [F.when(~same, F.lit(pair.name)) for same, pair in zip(equal, plan.values)]
-    changed = F.array_compact(F.array(*names)) if names else F.array().cast("array<string>")
-    return align(plan, hot_rows).select(
-        category.alias("category"),
-        _struct(_key_names(plan, SOURCE), plan.keys, in_source).alias("source_key"),
-        _struct(_key_names(plan, TARGET), plan.keys, in_target).alias("target_key"),
-        F.when(in_source & in_target, changed).otherwise(F.array().cast("array<string>")).alias("changed_columns"),
-        _struct(_value_names(plan, SOURCE), plan.values, in_source).alias("source"),
-        _struct(_value_names(plan, TARGET), plan.values, in_target).alias("target"),
+    names = ", ".join(f"CASE WHEN NOT ({same}) THEN {text(pair.name)} END" for same, pair in zip(equal, plan.values))
+    nothing = "CAST(array() AS ARRAY<STRING>)"
+    changed = f"array_compact(array({names}))" if names else nothing
+    both = f"{SOURCE}_present IS NOT NULL AND {TARGET}_present IS NOT NULL"
+    return align(plan, hot_rows).selectExpr(
+        f"{category} AS category",
+        f"{_struct(_key_names(plan, SOURCE), plan.keys, SOURCE + '_present')} AS source_key",
+        f"{_struct(_key_names(plan, TARGET), plan.keys, TARGET + '_present')} AS target_key",
+        f"CASE WHEN {both} THEN {changed} ELSE {nothing} END AS changed_columns",
+        f"{_struct(_value_names(plan, SOURCE), plan.values, SOURCE + '_present')} AS source",
+        f"{_struct(_value_names(plan, TARGET), plan.values, TARGET + '_present')} AS target",
     )
 
 
 def differing(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col("category") != MATCHED)
+    return rows.filter(f"category <> '{MATCHED}'")
 
 
 def one_sided(plan: ComparePlan, category: str) -> DataFrame:
@@ -190,35 +205,32 @@ def one_sided(plan: ComparePlan, category: str) -> DataFrame:
     For unique keys; with repeated keys the surplus comes from :func:`keyed_rows`.
     """
     side, other = (SOURCE, TARGET) if category == ONLY_IN_SOURCE else (TARGET, SOURCE)
-    keep = scan(plan, side)
     against = scan(plan, other).select(*_key_names(plan, other))
-    condition = all_of(
-        F.col(a) == F.col(b) if plan.options.key_not_null else F.col(a).eqNullSafe(F.col(b))
-        for a, b in zip(_key_names(plan, side), _key_names(plan, other))
-    )
-    return keep.join(against, condition, "left_anti").select(
-        *[F.col(f"{side}k{i}").alias(pair.name) for i, pair in enumerate(plan.keys)],
-        *[F.col(f"{side}v{i}").alias(pair.name) for i, pair in enumerate(plan.values)],
+    return (
+        scan(plan, side)
+        .join(against, F.expr(same_key(plan)), "left_anti")
+        .selectExpr(
+            *[f"{side}k{i} AS {quote(pair.name)}" for i, pair in enumerate(plan.keys)],
+            *[f"{side}v{i} AS {quote(pair.name)}" for i, pair in enumerate(plan.values)],
+        )
     )
 
 
-def field_type(pair: ColumnPair, side: str) -> T.DataType:
-    """Type of a value column inside the source/target struct."""
-    if pair.large:
-        return T.StringType()
-    data_type = _side_type(pair, side)
-    if isinstance(data_type, T.MapType):
-        entry = T.StructType([T.StructField("key", data_type.keyType), T.StructField("value", data_type.valueType)])
-        return T.ArrayType(entry)
-    return data_type
+def orphan_content(plan: ComparePlan) -> str:
+    """Content hash over the values of the side on which an orphan exists; NULL for other rows."""
 
+    def side_hash(struct: str, side: str) -> str:
+        return content_hash((quote(pair.name, struct), value_type(pair, side)) for pair in plan.values)
 
-def orphan_content(plan: ComparePlan) -> Column:
-    """Content hash over the values of the side on which an orphan exists."""
+    return (
+        f"CASE category WHEN '{ONLY_IN_SOURCE}' THEN {side_hash('source', SOURCE)} "
+        f"WHEN '{ONLY_IN_TARGET}' THEN {side_hash('target', TARGET)} END"
+    )
 
-    def side_hash(struct: str, side: str) -> Column:
-        return content_hash((col(pair.name, struct), field_type(pair, side)) for pair in plan.values)
 
-    return F.when(F.col("category") == ONLY_IN_SOURCE, side_hash("source", SOURCE)).when(
-        F.col("category") == ONLY_IN_TARGET, side_hash("target", TARGET)
-    )
+def aligned_key(plan: ComparePlan) -> list[str]:
+    """The key columns of a row: of Source, or of Target for a row only there."""
+    return [
+        f"coalesce({quote(pair.name, 'source_key')}, {quote(pair.name, 'target_key')})"
+        for pair in plan.keys
+    ]

@@ -4,31 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.functions.columns import all_of, col
+from concord.functions.columns import all_of, col, quote
+from concord.operators.ordinals import listing
 
 SAME, ONLY_SOURCE, ONLY_TARGET = "same", "only_source", "only_target"
 
 
-def split_lines(text: Column) -> Column:
+def split_lines(text: str) -> str:
     """Lines of a text; CRLF counts as LF and an empty text has one empty line."""
-    return F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n", -1)
+    return f"split(replace({text}, '\\r\\n', '\\n'), '\\n', -1)"
 
 
 def _text_pairs(
     source: DataFrame, target: DataFrame, keys: Sequence[str], text: str, changed_only: bool, one_sided: bool
 ) -> DataFrame:
     """``keys``, ``source_text``, ``target_text`` for the rows whose texts are to be compared."""
-    left = source.select(*[col(name).alias(f"s{i}") for i, name in enumerate(keys)], col(text).alias("source_text"))
-    right = target.select(*[col(name).alias(f"t{i}") for i, name in enumerate(keys)], col(text).alias("target_text"))
-    same_key = all_of(F.col(f"s{i}").eqNullSafe(F.col(f"t{i}")) for i in range(len(keys)))
-    joined = left.join(right, same_key, "full_outer" if one_sided else "inner")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.selectExpr(
+            *[f"{quote(key)} AS {name}{i}" for i, key in enumerate(keys)], f"{quote(text)} AS {name}_text"
+        )
+
+    same_key = F.expr(all_of(f"source{i} <=> target{i}" for i in range(len(keys))))
+    joined = side(source, "source").join(side(target, "target"), same_key, "full_outer" if one_sided else "inner")
     if changed_only:
-        joined = joined.filter(~F.col("source_text").eqNullSafe(F.col("target_text")))
-    return joined.select(
-        *[F.coalesce(f"s{i}", f"t{i}").alias(name) for i, name in enumerate(keys)], "source_text", "target_text"
+        joined = joined.filter("NOT (source_text <=> target_text)")
+    return joined.selectExpr(
+        *[f"coalesce(source{i}, target{i}) AS {quote(key)}" for i, key in enumerate(keys)], "source_text", "target_text"
     )
 
 
@@ -47,34 +52,34 @@ def line_diff(
     missing texts have no lines. ``keys`` identify a row on each side.
     """
     pairs = _text_pairs(source, target, keys, text, changed_only, one_sided)
-    sides = F.inline(
-        F.array(
-            F.struct(F.lit(True).alias("in_source"), split_lines(F.col("source_text")).alias("lines")),
-            F.struct(F.lit(False).alias("in_source"), split_lines(F.col("target_text")).alias("lines")),
-        )
+    key_list = listing(keys)
+    sides = ", ".join(
+        f"named_struct('in_source', {flag}, 'lines', {split_lines(side)})"
+        for flag, side in (("true", "source_text"), ("false", "target_text"))
     )
-    key_columns = [col(name) for name in keys]
     lines = (
-        pairs.select(*key_columns, sides)
-        .select(*key_columns, "in_source", F.posexplode("lines").alias("line_no", "line"))
+        pairs.selectExpr(*[quote(key) for key in keys], f"inline(array({sides}))")
+        .selectExpr(*[quote(key) for key in keys], "in_source", "posexplode(lines) AS (line_no, line)")
         # One shuffle serves the numbering and the pairing below.
-        .repartition(*key_columns, "line")
+        .repartition(*[col(key) for key in keys], "line")
     )
-    occurrence = Window.partitionBy(*key_columns, "line", "in_source").orderBy("line_no")
+    occurrence = f"row_number() OVER (PARTITION BY {key_list}, line, in_source ORDER BY line_no) AS occurrence"
     paired = (
-        lines.withColumn("occurrence", F.row_number().over(occurrence))
-        .groupBy(*key_columns, "line", "occurrence")
+        lines.selectExpr("*", occurrence)
+        .groupBy(*[col(key) for key in keys], "line", "occurrence")
         .agg(
-            F.max(F.when(F.col("in_source"), F.col("line_no") + 1)).alias("source_line_no"),
-            F.max(F.when(~F.col("in_source"), F.col("line_no") + 1)).alias("target_line_no"),
+            F.expr("max(IF(in_source, line_no + 1, NULL))").alias("source_line_no"),
+            F.expr("max(IF(in_source, NULL, line_no + 1))").alias("target_line_no"),
         )
     )
-    status = (
-        F.when(F.col("target_line_no").isNull(), F.lit(ONLY_SOURCE))
-        .when(F.col("source_line_no").isNull(), F.lit(ONLY_TARGET))
-        .otherwise(F.lit(SAME))
+    return paired.selectExpr(
+        *[quote(key) for key in keys],
+        "source_line_no",
+        "target_line_no",
+        "line",
+        f"CASE WHEN target_line_no IS NULL THEN '{ONLY_SOURCE}' WHEN source_line_no IS NULL THEN '{ONLY_TARGET}' "
+        f"ELSE '{SAME}' END AS status",
     )
-    return paired.select(*key_columns, "source_line_no", "target_line_no", "line", status.alias("status"))
 
 
 def positional_line_diff(
@@ -87,19 +92,19 @@ def positional_line_diff(
 ) -> DataFrame:
     """Line n of Source against line n of Target; the lines of a row are zipped in place, without a shuffle of lines."""
     pairs = _text_pairs(source, target, keys, text, changed_only, one_sided)
-    nothing = F.array().cast("array<string>")
-    zipped = F.arrays_zip(
-        F.coalesce(split_lines(F.col("source_text")), nothing).alias("source_line"),
-        F.coalesce(split_lines(F.col("target_text")), nothing).alias("target_line"),
-    )
-    exploded = pairs.select(
-        *[col(name) for name in keys],
-        F.posexplode(zipped).alias("line_no", "pair"),
-    )
-    return exploded.select(
-        *[col(name) for name in keys],
-        (F.col("line_no") + 1).alias("line_no"),
-        F.col("pair.source_line").alias("source_line"),
-        F.col("pair.target_line").alias("target_line"),
-        (~F.col("pair.source_line").eqNullSafe(F.col("pair.target_line"))).alias("changed"),
+    names = [quote(key) for key in keys]
+    arrays = [
+        f"coalesce({split_lines(side + '_text')}, CAST(array() AS ARRAY<STRING>)) AS {side}_line"
+        for side in ("source", "target")
+    ]
+    return (
+        pairs.selectExpr(*names, *arrays)
+        .selectExpr(*names, "posexplode(arrays_zip(source_line, target_line)) AS (position, pair)")
+        .selectExpr(
+            *names,
+            "position + 1 AS line_no",
+            "pair.source_line",
+            "pair.target_line",
+            "NOT (pair.source_line <=> pair.target_line) AS changed",
+        )
     )

@@ -7,153 +7,141 @@ merge two contents. A content hash is computed only as an identifier of what dif
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.functions.canonical import content_hash, plain_text, sorted_entries
-from concord.functions.columns import all_of, col
+from concord.functions.canonical import content_hash, plain_text
+from concord.functions.columns import col, quote, struct_of
 from concord.operators.expand import CHUNK_ROWS, repeat_rows
-from concord.operators.keyed import SOURCE, TARGET
+from concord.operators.keyed import SOURCE, TARGET, side_frame, side_name, side_type, value_expression, value_type
+from concord.operators.ordinals import ordering
 from concord.plans.compare_plan import ColumnPair, ComparePlan
 
 SAMPLES_PER_CONTENT = 3
+MISSING_FROM_TARGET = "greatest(source_count - target_count, 0L)"
+MISSING_FROM_SOURCE = "greatest(target_count - source_count, 0L)"
 
 
-def _expression(pair: ColumnPair, side: str) -> Column:
-    name, data_type = (pair.name, pair.source_type) if side == SOURCE else (pair.target_name, pair.target_type)
-    if pair.large:
-        return F.sha2(col(name).cast("binary"), 256)
-    if not pair.same_type:
-        return plain_text(col(name), data_type)
-    return sorted_entries(col(name)) if isinstance(data_type, T.MapType) else col(name)
+def _expression(pair: ColumnPair, side: str) -> str:
+    # Contents of different types are matched as text.
+    if pair.large or pair.same_type:
+        return value_expression(pair, side)
+    return plain_text(quote(side_name(pair, side)), side_type(pair, side))
 
 
 def _content_type(pair: ColumnPair) -> T.DataType:
-    return pair.source_type if pair.same_type and not pair.large else T.StringType()
+    return value_type(pair, SOURCE) if pair.same_type else T.StringType()
 
 
-def _side_content(plan: ComparePlan, side: str) -> DataFrame:
-    df = plan.source.df if side == SOURCE else plan.target.df
-    return df.select(*[_expression(pair, side).alias(f"v{i}") for i, pair in enumerate(plan.values)])
-
-
-def _content_columns(plan: ComparePlan) -> list[str]:
-    return [f"v{i}" for i in range(len(plan.values))]
+def _side_content(plan: ComparePlan, side: str, source: int) -> DataFrame:
+    return side_frame(plan, side).selectExpr(
+        *[f"{_expression(pair, side)} AS v{i}" for i, pair in enumerate(plan.values)], f"{source}L AS in_source"
+    )
 
 
 def content_counts(plan: ComparePlan) -> DataFrame:
     """Occurrences of each content on each side: ``content`` struct, ``source_count``, ``target_count``."""
-    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    source = _side_content(plan, SOURCE).select("*", one.alias("in_source"), zero.alias("in_target"))
-    target = _side_content(plan, TARGET).select("*", zero.alias("in_source"), one.alias("in_target"))
-    names = _content_columns(plan)
+    names = [f"v{i}" for i in range(len(plan.values))]
     counted = (
-        source.unionByName(target)
+        _side_content(plan, SOURCE, 1)
+        .unionByName(_side_content(plan, TARGET, 0))
         .groupBy(*names)
-        .agg(F.sum("in_source").alias("source_count"), F.sum("in_target").alias("target_count"))
+        .agg(F.sum("in_source").alias("source_count"), F.expr("sum(1L - in_source)").alias("target_count"))
     )
-    content = F.struct(*[F.col(name).alias(pair.name) for name, pair in zip(names, plan.values)]) if names else None
-    return counted.select((content if names else F.lit(None)).alias("content"), "source_count", "target_count")
-
-
-def _hash_of(plan: ComparePlan) -> Column:
-    return content_hash((col(pair.name, "content"), _content_type(pair)) for pair in plan.values)
+    content = struct_of((pair.name, name) for name, pair in zip(names, plan.values)) if names else "NULL"
+    return counted.selectExpr(f"{content} AS content", "source_count", "target_count")
 
 
 def discrepancies(plan: ComparePlan) -> DataFrame:
     """Contents whose counts differ, with the surplus of each side and the identifying hash."""
-    source, target = F.col("source_count"), F.col("target_count")
+    digest = content_hash((quote(pair.name, "content"), _content_type(pair)) for pair in plan.values)
     return (
         content_counts(plan)
-        .filter(source != target)
-        .select(
-            _hash_of(plan).alias("content_hash"),
+        .filter("source_count <> target_count")
+        .selectExpr(
+            f"{digest} AS content_hash",
             "content",
             "source_count",
             "target_count",
-            F.greatest(source - target, F.lit(0)).alias("missing_from_target"),
-            F.greatest(target - source, F.lit(0)).alias("missing_from_source"),
+            f"{MISSING_FROM_TARGET} AS missing_from_target",
+            f"{MISSING_FROM_SOURCE} AS missing_from_source",
         )
     )
 
 
 def multiset_totals(plan: ComparePlan) -> DataFrame:
     """One row: rows per side, matched rows, surplus per side, number of differing contents."""
-    source, target = F.col("source_count"), F.col("target_count")
-
-    def total(column: Column) -> Column:
-        return F.coalesce(F.sum(column), F.lit(0))
-
+    totals = {
+        "source_rows": "source_count",
+        "target_rows": "target_count",
+        "matched": "least(source_count, target_count)",
+        "missing_from_target": MISSING_FROM_TARGET,
+        "missing_from_source": MISSING_FROM_SOURCE,
+    }
     return content_counts(plan).agg(
-        total(source).alias("source_rows"),
-        total(target).alias("target_rows"),
-        total(F.least(source, target)).alias("matched"),
-        total(F.greatest(source - target, F.lit(0))).alias("missing_from_target"),
-        total(F.greatest(target - source, F.lit(0))).alias("missing_from_source"),
-        F.count(F.when(source != target, F.lit(1))).alias("differing_contents"),
+        *[F.expr(f"coalesce(sum({value}), 0L)").alias(name) for name, value in totals.items()],
+        F.expr("count_if(source_count <> target_count)").alias("differing_contents"),
     )
 
 
 def top_discrepancies(plan: ComparePlan, limit: int) -> DataFrame:
     """The ``limit`` differing contents with the largest count difference; ties by hash."""
-    delta = F.abs(F.col("source_count") - F.col("target_count"))
-    return discrepancies(plan).withColumn("delta", delta).orderBy(F.col("delta").desc(), "content_hash").limit(limit)
+    return (
+        discrepancies(plan)
+        .selectExpr("*", "abs(source_count - target_count) AS delta")
+        .orderBy(F.col("delta").desc(), "content_hash")
+        .limit(limit)
+    )
 
 
 def surplus_rows(plan: ComparePlan, of_source: bool, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Rows that one side has more often than the other, each as often as it is in surplus."""
-    source, target = F.col("source_count"), F.col("target_count")
-    surplus = source - target if of_source else target - source
-    return _repeated(plan, surplus, chunk_rows)
+    return _repeated(plan, MISSING_FROM_TARGET if of_source else MISSING_FROM_SOURCE, chunk_rows)
 
 
 def common_rows(plan: ComparePlan, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Rows found on both sides, each as often as on the side that has fewer."""
-    return _repeated(plan, F.least("source_count", "target_count"), chunk_rows)
+    return _repeated(plan, "least(source_count, target_count)", chunk_rows)
 
 
-def _repeated(plan: ComparePlan, times: Column, chunk_rows: int) -> DataFrame:
-    counted = content_counts(plan).select("content", times.alias("times"))
+def _repeated(plan: ComparePlan, times: str, chunk_rows: int) -> DataFrame:
+    counted = content_counts(plan).selectExpr("content", f"{times} AS times")
     return repeat_rows(counted, "times", "copy", chunk_rows).select("content.*")
 
 
 def row_hashes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``df`` with the content hash of each row over the given columns (all by default)."""
-    names = columns or df.columns
     fields = {field.name: field.dataType for field in df.schema}
-    return df.withColumn("row_hash", content_hash((col(name), fields[name]) for name in names))
+    digest = content_hash((quote(name), fields[name]) for name in columns or df.columns)
+    return df.selectExpr("*", f"{digest} AS row_hash")
 
 
 def hash_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Occurrences of each row hash on one side."""
-    return row_hashes(df, columns).groupBy("row_hash").agg(F.count(F.lit(1)).alias("occurrences"))
+    return row_hashes(df, columns).groupBy("row_hash").agg(F.expr("count(*)").alias("occurrences"))
 
 
 def sample_rows(plan: ComparePlan, found: DataFrame, samples: int = SAMPLES_PER_CONTENT) -> DataFrame:
     """Up to ``samples`` whole rows for each discrepancy of ``found``, from the side in surplus.
 
-    All columns of the side are shown, also those left out of the comparison, in a fixed order of rows. The row limit
-    is applied before the shuffle as well, so a content with very many rows stays cheap.
+    All common columns are shown, also those left out of the comparison, in a fixed order of rows. The row limit is
+    applied before the shuffle as well, so a content with very many rows stays cheap.
     """
-    wanted = found.select(
-        "content_hash", "source_count", "target_count", (F.col("missing_from_target") > 0).alias("from_source")
-    )
     parts = []
-    for side, table, of_source in ((SOURCE, plan.source, True), (TARGET, plan.target, False)):
-        pairs = [(_expression(pair, side), _content_type(pair)) for pair in plan.values]
-        own = {pair.name if side == SOURCE else pair.target_name for pair in plan.common}
-        row = F.struct(*[col(name) for name in table.df.columns if name in own])
-        order = [col(name).asc_nulls_first() for name in table.df.columns]
-        hashed = table.df.withColumn("__hash", content_hash(pairs))
-        needed = wanted.filter(F.col("from_source") == F.lit(of_source))
-        ranked = hashed.join(needed, all_of([F.col("__hash") == F.col("content_hash")])).withColumn(
-            "sample_no", F.row_number().over(Window.partitionBy("content_hash").orderBy(*order))
-        )
-        side_name = F.lit("source" if of_source else "target").alias("sampled_side")
+    for side, surplus, other in ((SOURCE, "missing_from_target", "source"), (TARGET, "missing_from_source", "target")):
+        df = side_frame(plan, side)
+        digest = content_hash((_expression(pair, side), _content_type(pair)) for pair in plan.values)
+        row = struct_of((pair.name, quote(side_name(pair, side))) for pair in plan.common)
+        rank = f"row_number() OVER (PARTITION BY content_hash ORDER BY {ordering(df.columns)}) AS sample_no"
+        needed = found.filter(f"{surplus} > 0").select("content_hash", "source_count", "target_count")
         parts.append(
-            ranked.filter(F.col("sample_no") <= samples).select(
-                "content_hash", "source_count", "target_count", side_name, "sample_no", row.alias("row")
+            df.selectExpr("*", f"{digest} AS content_hash")
+            .join(needed, "content_hash")
+            .selectExpr("*", rank)
+            .filter(f"sample_no <= {samples}")
+            .selectExpr(
+                "content_hash", "source_count", "target_count", f"'{other}' AS sampled_side", "sample_no", f"{row} AS row"
             )
         )
     return parts[0].unionByName(parts[1])

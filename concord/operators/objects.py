@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.functions.columns import count_where
+from concord.functions.columns import struct_of, text
 
 TABLE, VIEW, FUNCTION, PROCEDURE = "Table", "View", "Function", "Stored procedure"
 KINDS = (TABLE, VIEW, FUNCTION, PROCEDURE)
@@ -26,18 +26,17 @@ def of_kinds(objects: DataFrame, kinds: Iterable[str] = (TABLE,)) -> DataFrame:
     return objects.filter(F.col("kind").isin(list(kinds)))
 
 
-def _prepared(objects: DataFrame, prefix: str) -> DataFrame:
-    full_name = F.concat_ws(".", "schema_name", "name")
-    family = F.when(F.col("kind").isin(TABLE, VIEW), F.lit("table")).otherwise(F.lit("routine"))
-    return objects.select(
-        family.alias(f"{prefix}_family"),
-        F.lower(full_name).alias(f"{prefix}_match"),
-        full_name.alias(f"{prefix}_full_name"),
-        F.col("schema_name").alias(f"{prefix}_schema"),
-        F.col("name").alias(f"{prefix}_name"),
-        F.col("kind").alias(f"{prefix}_kind"),
-        F.col("modified_at").alias(f"{prefix}_modified_at"),
-        F.sha2("definition", 256).alias(f"{prefix}_digest"),
+def _prepared(objects: DataFrame, side: str) -> DataFrame:
+    full_name = "concat_ws('.', schema_name, name)"
+    return objects.selectExpr(
+        f"IF(kind IN ('{TABLE}', '{VIEW}'), 'table', 'routine') AS {side}_family",
+        f"lower({full_name}) AS {side}_match",
+        f"{full_name} AS {side}_full_name",
+        f"schema_name AS {side}_schema",
+        f"name AS {side}_name",
+        f"kind AS {side}_kind",
+        f"modified_at AS {side}_modified_at",
+        f"sha2(definition, 256) AS {side}_digest",
     )
 
 
@@ -47,130 +46,102 @@ def object_classes(source: DataFrame, target: DataFrame, changed_tables: DataFra
     A routine or view differs when its definition does. ``changed_tables`` (column ``full_name``) adds the tables and
     views whose columns differ, see :func:`concord.operators.columns.changed_tables`.
     """
-    s, t = _prepared(source, "source"), _prepared(target, "target")
-    joined = s.join(
-        t,
-        (F.col("source_family") == F.col("target_family")) & (F.col("source_match") == F.col("target_match")),
+    joined = _prepared(source, "source").join(
+        _prepared(target, "target"),
+        F.expr("source_family = target_family AND source_match = target_match"),
         "full_outer",
     )
-    differs = ~F.col("source_digest").eqNullSafe(F.col("target_digest"))
+    marked = "false"
     if changed_tables is not None:
-        marks = changed_tables.select(F.lower("full_name").alias("marked")).distinct()
-        joined = joined.join(marks, (F.col("source_family") == "table") & (F.col("source_match") == F.col("marked")), "left")
-        differs = differs | F.col("marked").isNotNull()
-    object_class = (
-        F.when(F.col("target_match").isNull(), F.lit(ONLY_IN_SOURCE))
-        .when(F.col("source_match").isNull(), F.lit(ONLY_IN_TARGET))
-        .when(differs, F.lit(DIFFERENT))
-        .otherwise(F.lit(IDENTICAL))
-    )
-    return joined.select(
-        F.coalesce("source_full_name", "target_full_name").alias("full_name"),
-        F.coalesce("source_kind", "target_kind").alias("kind"),
-        object_class.alias("object_class"),
-        "source_schema",
-        "source_name",
-        "source_kind",
-        "source_modified_at",
-        "target_schema",
-        "target_name",
-        "target_kind",
-        "target_modified_at",
+        marks = changed_tables.selectExpr("lower(full_name) AS marked").distinct()
+        joined = joined.join(marks, F.expr("source_family = 'table' AND source_match = marked"), "left")
+        marked = "marked IS NOT NULL"
+    return joined.selectExpr(
+        "coalesce(source_full_name, target_full_name) AS full_name",
+        "coalesce(source_kind, target_kind) AS kind",
+        f"CASE WHEN target_match IS NULL THEN '{ONLY_IN_SOURCE}' WHEN source_match IS NULL THEN '{ONLY_IN_TARGET}' "
+        f"WHEN NOT (source_digest <=> target_digest) OR {marked} THEN '{DIFFERENT}' ELSE '{IDENTICAL}' END AS object_class",
+        *[f"{side}_{name}" for side in ("source", "target") for name in ("schema", "name", "kind", "modified_at")],
     )
 
 
 def object_presence(source: DataFrame, target: DataFrame) -> DataFrame:
     """Names on one side only or on both, without looking at definitions."""
-    blank = F.lit(None).cast("string")
-    classes = object_classes(source.withColumn("definition", blank), target.withColumn("definition", blank))
-    presence = F.when(F.col("object_class") == IDENTICAL, F.lit("Both")).otherwise(F.col("object_class"))
-    return classes.select("full_name", "kind", presence.alias("presence"))
+    names = [frame.withColumn("definition", F.lit(None).cast("string")) for frame in (source, target)]
+    return object_classes(*names).selectExpr(
+        "full_name", "kind", f"IF(object_class = '{IDENTICAL}', 'Both', object_class) AS presence"
+    )
 
 
 def report_order(classes: DataFrame) -> DataFrame:
     """Objects by section (one-sided first, identical last), then by name."""
-    section = F.array_position(F.array(*[F.lit(name) for name in SECTION_ORDER]), F.col("object_class"))
-    return classes.orderBy(section, F.lower("full_name"))
+    sections = ", ".join(text(name) for name in SECTION_ORDER)
+    return classes.orderBy(F.expr(f"array_position(array({sections}), object_class)"), F.expr("lower(full_name)"))
 
 
 def kind_summary(classes: DataFrame, compared_kinds: Iterable[str] = KINDS) -> DataFrame:
     """Counts per kind. Kinds without any object are left out; kinds that were not read are stated, never shown as 0."""
     compared = tuple(compared_kinds)
-    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-
-    def flag(condition: Column) -> Column:
-        return F.when(condition, one).otherwise(zero)
-
-    def side(kind: str, **counts: Column) -> Column:
-        names = ("source", "target", "only_source", "only_target", "different")
-        return F.struct(F.col(kind).alias("kind"), *[counts.get(name, zero).alias(name) for name in names])
-
-    object_class = F.col("object_class")
     # A view that became a table counts once on each side, under its own kind there.
-    sides = classes.select(
-        object_class,
-        F.inline(
-            F.array(
-                side(
-                    "source_kind",
-                    source=one,
-                    only_source=flag(object_class == ONLY_IN_SOURCE),
-                    different=flag(object_class == DIFFERENT),
-                ),
-                side("target_kind", target=one, only_target=flag(object_class == ONLY_IN_TARGET)),
-            )
-        ),
-    ).filter(F.col("kind").isin(list(compared)))
-    counts = sides.groupBy("kind").agg(
-        F.sum("source").alias("source_count"),
-        F.sum("target").alias("target_count"),
-        F.sum("only_source").alias("only_in_source"),
-        F.sum("only_target").alias("only_in_target"),
-        F.sum("different").alias("different"),
+    source_side = struct_of(
+        [
+            ("kind", "source_kind"),
+            ("s", "1L"),
+            ("t", "0L"),
+            ("only_s", f"IF(object_class = '{ONLY_IN_SOURCE}', 1L, 0L)"),
+            ("only_t", "0L"),
+            ("differs", f"IF(object_class = '{DIFFERENT}', 1L, 0L)"),
+        ]
+    )
+    target_side = struct_of(
+        [
+            ("kind", "target_kind"),
+            ("s", "0L"),
+            ("t", "1L"),
+            ("only_s", "0L"),
+            ("only_t", f"IF(object_class = '{ONLY_IN_TARGET}', 1L, 0L)"),
+            ("differs", "0L"),
+        ]
     )
-    union = F.col("source_count") + F.col("only_in_target")
-    differing = F.col("only_in_source") + F.col("only_in_target") + F.col("different")
-    percent = F.when(union == 0, F.lit(0.0)).otherwise(differing * F.lit(100.0) / union)
-    result = counts.select(
-        _label(F.col("kind")).alias("kind"),
-        F.lit("compared").alias("status"),
+    labels = " ".join(f"WHEN {text(kind)} THEN {text(label)}" for kind, label in KIND_LABELS.items())
+    counts = (
+        classes.selectExpr(f"inline(array({source_side}, {target_side}))")
+        .filter(F.col("kind").isin(list(compared)))
+        .groupBy("kind")
+        .agg(
+            F.sum("s").alias("source_count"),
+            F.sum("t").alias("target_count"),
+            F.sum("only_s").alias("only_in_source"),
+            F.sum("only_t").alias("only_in_target"),
+            F.sum("differs").alias("different"),
+        )
+    )
+    result = counts.selectExpr(
+        f"CASE kind {labels} END AS kind",
+        "'compared' AS status",
         "source_count",
         "target_count",
         "only_in_source",
         "only_in_target",
         "different",
-        percent.alias("difference_percent"),
+        "(only_in_source + only_in_target + different) * 100.0D / (source_count + only_in_target) AS difference_percent",
     )
-    skipped = [kind for kind in KINDS if kind not in compared]
+    skipped = [(KIND_LABELS[kind], "not compared") for kind in KINDS if kind not in compared]
     if not skipped:
         return result
-    spark = classes.sparkSession
-    missing = spark.createDataFrame([(KIND_LABELS[kind], "not compared") for kind in skipped], "kind string, status string")
+    missing = classes.sparkSession.createDataFrame(skipped, "kind string, status string")
     return result.unionByName(missing, allowMissingColumns=True)
 
 
-def _label(kind: Column) -> Column:
-    label = F.lit(None).cast("string")
-    for name, text in KIND_LABELS.items():
-        label = F.when(kind == name, F.lit(text)).otherwise(label)
-    return label
-
-
 def difference_percentages(classes: DataFrame) -> DataFrame:
     """Objects on one side only as a share of all objects, and differing objects as a share of the common ones."""
-    object_class = F.col("object_class")
     counts = classes.agg(
-        count_where(object_class.isin(ONLY_IN_SOURCE, ONLY_IN_TARGET)).alias("one_sided"),
-        count_where(object_class == DIFFERENT).alias("different"),
-        F.count(F.lit(1)).alias("objects"),
+        F.expr(f"count_if(object_class IN ('{ONLY_IN_SOURCE}', '{ONLY_IN_TARGET}'))").alias("one_sided"),
+        F.expr(f"count_if(object_class = '{DIFFERENT}')").alias("different"),
+        F.expr("count(*)").alias("objects"),
     )
-    common = F.col("objects") - F.col("one_sided")
-
-    def share(part: Column, whole: Column) -> Column:
-        return F.when(whole == 0, F.lit(0.0)).otherwise(part * F.lit(100.0) / whole)
-
-    return counts.select(
-        share(F.col("one_sided"), F.col("objects")).alias("object_difference_percent"),
-        share(F.col("different"), common).alias("definition_difference_percent"),
-        ((F.col("one_sided") == 0) & (F.col("different") == 0)).alias("is_identical"),
+    return counts.selectExpr(
+        "IF(objects = 0, 0.0D, one_sided * 100.0D / objects) AS object_difference_percent",
+        "IF(objects = one_sided, 0.0D, different * 100.0D / (objects - one_sided)) AS definition_difference_percent",
+        "one_sided = 0 AND different = 0 AS is_identical",
     )

@@ -12,21 +12,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.functions.columns import all_of, col
+from concord.functions.columns import all_of, col, quote
 from concord.operators.expand import repeat_rows
 from concord.session import materialize
 
 HOT_GROUP_ROWS = 1_000_000
 BROADCAST_GROUPS = 10_000
 
-_PLACE = "__place"
 ROWS = "__rows"
 START = "__start"
-_LOCAL = "__local"
-_BEFORE = "__before"
+_PLACE = "__place"
 
 
 @dataclass(frozen=True)
@@ -41,11 +39,19 @@ def find_hot_groups(
     counts: DataFrame, group: Sequence[str], rows: str, limit: int = HOT_GROUP_ROWS
 ) -> HotGroups | None:
     """The groups of ``counts`` (one row per group) above the limit: at most total rows / limit of them."""
-    hot = materialize(counts.filter(col(rows) > limit).select(*[col(name) for name in group]))
+    hot = materialize(counts.filter(f"{quote(rows)} > {limit}").select(*[col(name) for name in group]))
     number = hot.count()
     return HotGroups(hot, number <= BROADCAST_GROUPS) if number else None
 
 
+def ordering(names: Sequence[str]) -> str:
+    return ", ".join(f"{quote(name)} ASC NULLS FIRST" for name in names)
+
+
+def listing(names: Sequence[str]) -> str:
+    return ", ".join(quote(name) for name in names)
+
+
 def with_positions(
     df: DataFrame,
     group: Sequence[str],
@@ -56,24 +62,23 @@ def with_positions(
 ) -> DataFrame:
     """Adds the 1-based position of each row inside its group, by ``order`` (ascending, NULL first).
 
-    The columns of ``hot`` are some or all of the ``group`` columns.
+    The columns of ``hot`` are some or all of the ``group`` columns. Without order columns all rows of a group are
+    alike and any numbering does.
     """
-    window = Window.partitionBy(*[col(name) for name in group]).orderBy(*[col(name).asc_nulls_first() for name in order])
-    row_number = F.row_number().over(window).cast("long")
+    by = ordering(order) or "1"
+    row_number = f"CAST(row_number() OVER (PARTITION BY {listing(group)} ORDER BY {by}) AS BIGINT) AS {quote(position)}"
     if hot is None:
-        return df.withColumn(position, row_number)
-
+        return df.selectExpr("*", row_number)
     cold, heavy = split_hot(df, hot)
-    spread = spread_positions(heavy, group, order, position, places)
-    return cold.withColumn(position, row_number).unionByName(spread)
+    return cold.selectExpr("*", row_number).unionByName(spread_positions(heavy, group, order, position, places))
 
 
 def split_hot(df: DataFrame, hot: HotGroups) -> tuple[DataFrame, DataFrame]:
     """Rows outside and inside the hot groups."""
     names = hot.groups.columns
-    marks = hot.groups.select(*[col(name).alias(f"__hot_{i}") for i, name in enumerate(names)])
+    marks = hot.groups.selectExpr(*[f"{quote(name)} AS __hot_{i}" for i, name in enumerate(names)])
     marks = F.broadcast(marks) if hot.few else marks
-    is_hot = all_of(col(name).eqNullSafe(col(f"__hot_{i}")) for i, name in enumerate(names))
+    is_hot = F.expr(all_of(f"{quote(name)} <=> __hot_{i}" for i, name in enumerate(names)))
     return df.join(marks, is_hot, "left_anti"), df.join(marks, is_hot, "left_semi")
 
 
@@ -81,9 +86,8 @@ def spread_positions(
     df: DataFrame, group: Sequence[str], order: Sequence[str], position: str, places: int | None = None
 ) -> DataFrame:
     """Positions as by :func:`with_positions`, with every group cut over many tasks."""
-    return repeat_rows(counted_starts(df, group, order, places), ROWS, "__copy").select(
-        *[col(name) for name in df.columns], (F.col(START) + F.col("__copy")).alias(position)
-    )
+    repeated = repeat_rows(counted_starts(df, group, order, places), ROWS, "__copy")
+    return repeated.selectExpr(*[quote(name) for name in df.columns], f"{START} + __copy AS {quote(position)}")
 
 
 def counted_starts(
@@ -91,36 +95,29 @@ def counted_starts(
 ) -> DataFrame:
     """The distinct rows of ``df`` with their count in ``ROWS`` and the number of earlier rows of the group in ``START``."""
     columns = df.columns
-    rest = [name for name in columns if name not in group and name not in order]
-    inner_order = [col(name).asc_nulls_first() for name in (*order, *rest)]
-    group_columns = [col(name) for name in group]
+    inner = [*order, *[name for name in columns if name not in group and name not in order]]
     places = places or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    counted = df.groupBy(*[col(name) for name in columns]).agg(F.count(F.lit(1)).alias(ROWS))
+    counted = df.groupBy(*[col(name) for name in columns]).agg(F.expr("count(*)").alias(ROWS))
+    by_range = [col(name).asc_nulls_first() for name in [*group, *inner]]
     # Both readers below need the same placement, so it is written once.
-    placed = materialize(
-        counted.repartitionByRange(places, *[c.asc_nulls_first() for c in group_columns], *inner_order).withColumn(
-            _PLACE, F.spark_partition_id()
-        )
-    )
+    placed = materialize(counted.repartitionByRange(places, *by_range).withColumn(_PLACE, F.spark_partition_id()))
 
-    earlier_rows = (
-        Window.partitionBy(*group_columns, _PLACE).orderBy(*inner_order).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    earlier = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    local = f"coalesce(sum({ROWS}) OVER (PARTITION BY {listing([*group, _PLACE])} ORDER BY {ordering(inner) or '1'} {earlier}), 0L)"
     # One row per group and place, so this window holds at most `places` rows of a group.
-    earlier_places = Window.partitionBy(*group_columns).orderBy(_PLACE).rowsBetween(Window.unboundedPreceding, -1)
     before = (
-        placed.groupBy(*group_columns, _PLACE)
+        placed.groupBy(*[col(name) for name in group], _PLACE)
         .agg(F.sum(ROWS).alias(ROWS))
-        .withColumn(_BEFORE, F.coalesce(F.sum(ROWS).over(earlier_places), F.lit(0)))
-        .select(*[col(name).alias(f"__g{i}") for i, name in enumerate(group)], F.col(_PLACE).alias("__gp"), _BEFORE)
-    )
-    same_place = all_of(
-        [col(name).eqNullSafe(col(f"__g{i}")) for i, name in enumerate(group)] + [F.col(_PLACE) == F.col("__gp")]
+        .selectExpr(
+            *[f"{quote(name)} AS __g{i}" for i, name in enumerate(group)],
+            f"{_PLACE} AS __gp",
+            f"coalesce(sum({ROWS}) OVER (PARTITION BY {listing(group)} ORDER BY {_PLACE} {earlier}), 0L) AS __before",
+        )
     )
-    local = F.coalesce(F.sum(ROWS).over(earlier_rows), F.lit(0))
+    same_place = all_of([*[f"{quote(name)} <=> __g{i}" for i, name in enumerate(group)], f"{_PLACE} = __gp"])
     return (
-        placed.withColumn(_LOCAL, local)
-        .join(before, same_place)
-        .select(*[col(name) for name in columns], ROWS, (F.col(_BEFORE) + F.col(_LOCAL)).alias(START))
+        placed.selectExpr("*", f"{local} AS __local")
+        .join(before, F.expr(same_place))
+        .selectExpr(*[quote(name) for name in columns], ROWS, f"__before + __local AS {START}")
     )

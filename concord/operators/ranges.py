@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.functions.columns import col, count_where
-from concord.operators.keyed import orphan_content
+from concord.functions.columns import col
+from concord.operators.keyed import IS_ORPHAN, ORPHANS, aligned_key, orphan_content
 from concord.operators.ordinals import ROWS, START, counted_starts
 from concord.operators.summary import part_counts
 from concord.plans.compare_plan import ComparePlan, KeyRange
@@ -78,29 +78,31 @@ def _narrow(keys: DataFrame, chunks: int) -> list[int]:
 
 def _bucket_counts(keys: DataFrame, intervals: list[tuple[int, int]], widths: dict) -> dict:
     """Rows per bucket of each interval. Intervals are disjoint, so a row falls into one bucket at most."""
-    x = F.col("x")
-    wide = any(high - low >= 2**63 for low, high in intervals)
-    x_wide = x.cast("decimal(20,0)") if wide else x
-    place = None
+    branches = []
     for number, (low, high) in enumerate(intervals):
-        inside = (x >= low) & (x <= high)
-        bucket = F.floor((x_wide - F.lit(low).cast("decimal(20,0)" if wide else "long")) / widths[(low, high)])
-        bucket = bucket.cast("long") if wide else F.expr(f"(x - {low}L) div {widths[(low, high)]}L")
-        entry = F.struct(F.lit(number).alias("interval"), bucket.alias("bucket"))
-        place = F.when(inside, entry) if place is None else place.when(inside, entry)
+        # The distance from the lower end may not fit a long when the keys span most of the long range.
+        distance = f"x - {_long(low)}" if high - low < 2**63 else f"CAST(x AS DECIMAL(20, 0)) - {low}BD"
+        bucket = f"CAST(({distance}) div {widths[(low, high)]} AS BIGINT)"
+        branches.append(
+            f"WHEN x BETWEEN {_long(low)} AND {_long(high)} THEN named_struct('interval', {number}, 'bucket', {bucket})"
+        )
     found = (
-        keys.select(place.alias("place"))
-        .filter(F.col("place").isNotNull())
+        keys.selectExpr(f"CASE {' '.join(branches)} END AS place")
+        .filter("place IS NOT NULL")
         .groupBy("place.interval", "place.bucket")
-        .agg(F.count(F.lit(1)).alias("rows"))
+        .agg(F.expr("count(*)").alias("rows"))
         .collect()
     )
     counts: dict = {interval: {} for interval in intervals}
     for row in found:
-        counts[intervals[row["interval"]]][int(row["bucket"])] = row["rows"]
+        counts[intervals[row["interval"]]][row["bucket"]] = row["rows"]
     return counts
 
 
+def _long(value: int) -> str:
+    return f"CAST({value}BD AS BIGINT)" if value == -(2**63) else f"{value}L"
+
+
 def _step(target: _Target, counts: dict[int, int], width: int) -> None:
     before = target.before
     for bucket in sorted(counts):
@@ -181,9 +183,7 @@ def bucket_of(key: Column, boundaries: list) -> Column:
 
 def with_bucket(rows: DataFrame, plan: ComparePlan, boundaries: list) -> DataFrame:
     """Aligned rows with the number of the range of their leading key."""
-    name = plan.keys[0].name
-    key = F.coalesce(col(name, "source_key"), col(name, "target_key"))
-    return rows.withColumn("bucket", bucket_of(key, boundaries))
+    return rows.withColumn("bucket", bucket_of(F.expr(aligned_key(plan)[0]), boundaries))
 
 
 def diff_by_range(rows: DataFrame, plan: ComparePlan, boundaries: list) -> DataFrame:
@@ -193,14 +193,10 @@ def diff_by_range(rows: DataFrame, plan: ComparePlan, boundaries: list) -> DataF
 
 def tallies_by_range(rows: DataFrame, plan: ComparePlan, boundaries: list) -> DataFrame:
     """Orphan content tallies per key range, to be stored next to the counts and combined later."""
-    category = F.col("category")
     return (
         with_bucket(rows, plan, boundaries)
-        .filter(category.isin("only_in_source", "only_in_target"))
-        .select("bucket", "category", orphan_content(plan).alias("content_hash"))
+        .filter(IS_ORPHAN)
+        .selectExpr("bucket", "category", f"{orphan_content(plan)} AS content_hash")
         .groupBy("bucket", "content_hash")
-        .agg(
-            count_where(category == "only_in_source").alias("only_in_source"),
-            count_where(category == "only_in_target").alias("only_in_target"),
-        )
+        .agg(*[F.expr(f"count_if(category = '{name}')").alias(name) for name in ORPHANS])
     )

@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.functions.columns import count_where
-from concord.operators.keyed import ONLY_IN_SOURCE, ONLY_IN_TARGET, ORPHANS, REASSIGNED, orphan_content
+from concord.operators.keyed import IS_ORPHAN, ONLY_IN_SOURCE, ONLY_IN_TARGET, REASSIGNED, orphan_content
 from concord.operators.ordinals import (
     BROADCAST_GROUPS,
     HOT_GROUP_ROWS,
@@ -25,22 +24,17 @@ from concord.session import materialize
 
 def orphan_tallies(rows: DataFrame, plan: ComparePlan) -> DataFrame:
     """Orphans counted by content: ``content_hash``, ``only_in_source``, ``only_in_target``."""
-    category = F.col("category")
     return (
-        rows.filter(category.isin(*ORPHANS))
-        .select("category", orphan_content(plan).alias("content_hash"))
+        rows.filter(IS_ORPHAN)
+        .selectExpr("category", f"{orphan_content(plan)} AS content_hash")
         .groupBy("content_hash")
-        .agg(
-            count_where(category == ONLY_IN_SOURCE).alias(ONLY_IN_SOURCE),
-            count_where(category == ONLY_IN_TARGET).alias(ONLY_IN_TARGET),
-        )
+        .agg(*[F.expr(f"count_if(category = '{name}')").alias(name) for name in (ONLY_IN_SOURCE, ONLY_IN_TARGET)])
     )
 
 
 def reassigned_total(tallies: DataFrame) -> DataFrame:
     """One row with the exact number of moved rows."""
-    pairs = F.least(ONLY_IN_SOURCE, ONLY_IN_TARGET)
-    return tallies.agg(F.coalesce(F.sum(pairs), F.lit(0)).alias(REASSIGNED))
+    return tallies.agg(F.expr(f"coalesce(sum(least({ONLY_IN_SOURCE}, {ONLY_IN_TARGET})), 0L)").alias(REASSIGNED))
 
 
 def reconcile(differences: DataFrame, plan: ComparePlan, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
@@ -48,14 +42,12 @@ def reconcile(differences: DataFrame, plan: ComparePlan, hot_rows: int = HOT_GRO
 
     ``differences`` is read several times; pass it materialized.
     """
-    category = F.col("category")
-    others = differences.filter(~category.isin(*ORPHANS))
-    orphans = differences.filter(category.isin(*ORPHANS)).withColumn("content_hash", orphan_content(plan))
+    others = differences.filter(f"NOT {IS_ORPHAN}")
+    orphans = differences.filter(IS_ORPHAN).selectExpr("*", f"{orphan_content(plan)} AS content_hash")
     tallies = materialize(
         orphan_tallies(differences, plan)
-        .select("content_hash", ONLY_IN_SOURCE, ONLY_IN_TARGET)
-        .filter((F.col(ONLY_IN_SOURCE) > 0) & (F.col(ONLY_IN_TARGET) > 0))
-        .select("content_hash", F.greatest(ONLY_IN_SOURCE, ONLY_IN_TARGET).alias("rows"))
+        .filter(f"{ONLY_IN_SOURCE} > 0 AND {ONLY_IN_TARGET} > 0")
+        .selectExpr("content_hash", f"greatest({ONLY_IN_SOURCE}, {ONLY_IN_TARGET}) AS rows")
     )
     contents, most = tallies.agg(F.count("rows"), F.max("rows")).first()
     if not contents:
@@ -65,36 +57,34 @@ def reconcile(differences: DataFrame, plan: ComparePlan, hot_rows: int = HOT_GRO
     # Only contents seen on both sides can pair; the rest of the orphans keep their category. Hot contents are shared
     # ones and leave before the join, so that it has no heavy key.
     cold, heavy = split_hot(orphans, hot) if hot else (orphans, None)
-    shared = tallies.select(F.col("content_hash").alias("shared_hash"))
+    shared = tallies.selectExpr("content_hash AS shared_hash")
     shared = F.broadcast(shared) if contents <= BROADCAST_GROUPS else shared
-    is_shared = F.col("content_hash") == F.col("shared_hash")
+    is_shared = F.expr("content_hash = shared_hash")
     unshared = cold.join(shared, is_shared, "left_anti").drop("content_hash")
     candidates = cold.join(shared, is_shared, "left_semi")
     if heavy is not None:
         candidates = candidates.unionByName(heavy)
 
-    def positioned(side: str, struct: str, key: str) -> DataFrame:
-        rows = candidates.filter(category == side).select("content_hash", key, struct)
-        return with_positions(rows, ["content_hash"], [key], "position", hot)
+    def positioned(category: str, side: str) -> DataFrame:
+        rows = candidates.filter(f"category = '{category}'").select("content_hash", f"{side}_key", side)
+        numbered = with_positions(rows, ["content_hash"], [f"{side}_key"], "position", hot)
+        return numbered.selectExpr(f"content_hash AS {side}_hash", f"position AS {side}_position", f"{side}_key", side)
 
-    source = positioned(ONLY_IN_SOURCE, "source", "source_key").select(
-        F.col("content_hash").alias("s_hash"), F.col("position").alias("s_position"), "source_key", "source"
-    )
-    target = positioned(ONLY_IN_TARGET, "target", "target_key").select(
-        F.col("content_hash").alias("t_hash"), F.col("position").alias("t_position"), "target_key", "target"
-    )
-    joined = source.join(
-        target, (F.col("s_hash") == F.col("t_hash")) & (F.col("s_position") == F.col("t_position")), "full_outer"
-    )
-    paired = joined.select(
-        F.when(F.col("t_hash").isNull(), F.lit(ONLY_IN_SOURCE))
-        .when(F.col("s_hash").isNull(), F.lit(ONLY_IN_TARGET))
-        .otherwise(F.lit(REASSIGNED))
-        .alias("category"),
-        "source_key",
-        "target_key",
-        F.array().cast("array<string>").alias("changed_columns"),
-        "source",
-        "target",
+    paired = (
+        positioned(ONLY_IN_SOURCE, "source")
+        .join(
+            positioned(ONLY_IN_TARGET, "target"),
+            F.expr("source_hash = target_hash AND source_position = target_position"),
+            "full_outer",
+        )
+        .selectExpr(
+            f"CASE WHEN target_hash IS NULL THEN '{ONLY_IN_SOURCE}' WHEN source_hash IS NULL THEN '{ONLY_IN_TARGET}' "
+            f"ELSE '{REASSIGNED}' END AS category",
+            "source_key",
+            "target_key",
+            "CAST(array() AS ARRAY<STRING>) AS changed_columns",
+            "source",
+            "target",
+        )
     )
     return others.unionByName(unshared).unionByName(paired)

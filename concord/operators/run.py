@@ -6,8 +6,8 @@ from collections.abc import Iterable, Mapping
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from concord.functions.columns import text
 from concord.operators.cells import cell_diff, row_key
 from concord.operators.keyed import differing, keyed_rows
 from concord.operators.multiset import discrepancies
@@ -55,9 +55,11 @@ class TableComparison:
     def cells(self) -> DataFrame:
         return cell_diff(self.differences, self.plan)
 
-    def difference_keys(self) -> DataFrame:
-        """``table_name category row_key`` of each difference, the form in which differences are accepted."""
-        return self.differences.select(F.lit(self.table_name).alias("table_name"), "category", row_key(self.plan).alias("row_key"))
+    def difference_keys(self, condition: str = "true") -> DataFrame:
+        """``table_name category row_key`` of the differences, the form in which differences are accepted."""
+        return self.differences.filter(condition).selectExpr(
+            f"{text(self.table_name)} AS table_name", "category", f"{row_key(self.plan)} AS row_key"
+        )
 
 
 class RunComparison:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.functions.columns import any_of, count_where
+from concord.functions.columns import any_of, struct_of, text, truth
 from concord.operators.keyed import (
     CHANGED,
+    IS_ORPHAN,
     MATCHED,
     ONLY_IN_SOURCE,
     ONLY_IN_TARGET,
-    ORPHANS,
     REASSIGNED,
     orphan_content,
 )
@@ -22,16 +22,16 @@ KEYED = "keyed"
 MULTISET = "multiset"
 NOT_COMPARED = "no common columns"
 
-COUNT_COLUMNS = (
-    "source_rows",
-    "target_rows",
-    "matched",
-    "changed",
-    "missing_from_target",
-    "missing_from_source",
-    "reassigned",
-)
-DIFFERENCE_COLUMNS = ("changed", "missing_from_target", "missing_from_source", "reassigned")
+# The four kinds of difference and the summary column that counts each.
+DIFFERENCES = {
+    CHANGED: "changed",
+    ONLY_IN_SOURCE: "missing_from_target",
+    ONLY_IN_TARGET: "missing_from_source",
+    REASSIGNED: "reassigned",
+}
+COUNT_COLUMNS = ("source_rows", "target_rows", "matched", *DIFFERENCES.values())
+PART_COLUMNS = ("source_rows", "target_rows", "matched", "changed", "only_in_source", "only_in_target")
+DIFFERING = " + ".join(DIFFERENCES.values())
 
 
 def _with_verdict(counts: DataFrame) -> DataFrame:
@@ -39,17 +39,19 @@ def _with_verdict(counts: DataFrame) -> DataFrame:
 
     The share can exceed 100 and is 0 for an empty Source, so ``has_differences`` is the verdict.
     """
-    differing = sum((F.col(name) for name in DIFFERENCE_COLUMNS[1:]), F.col(DIFFERENCE_COLUMNS[0]))
-    percent = F.when(F.col("source_rows") == 0, F.lit(0.0)).otherwise(differing * F.lit(100.0) / F.col("source_rows"))
-    return counts.withColumns({"has_differences": differing > 0, "percent_differs": percent})
+    return counts.selectExpr(
+        "*",
+        f"{DIFFERING} > 0 AS has_differences",
+        f"CASE WHEN source_rows = 0 THEN 0.0D ELSE ({DIFFERING}) * 100.0D / source_rows END AS percent_differs",
+    )
 
 
-def _finish(counts: DataFrame, table_name: str, comparison: str, keys_only: bool) -> DataFrame:
-    named = counts.select(
-        F.lit(table_name).alias("table_name"),
-        F.lit(comparison).alias("comparison"),
-        F.lit(keys_only).alias("keys_only"),
-        *[F.col(name).cast("long").alias(name) for name in COUNT_COLUMNS],
+def _finish(counts: DataFrame, plan: ComparePlan, comparison: str) -> DataFrame:
+    named = counts.selectExpr(
+        f"{text(plan.table_name)} AS table_name",
+        f"'{comparison}' AS comparison",
+        f"{truth(plan.keys_only)} AS keys_only",
+        *COUNT_COLUMNS,
     )
     return _with_verdict(named)
 
@@ -60,87 +62,63 @@ def keyed_summary(rows: DataFrame, plan: ComparePlan) -> DataFrame:
     The rows are counted by orphan content first (one group holds everything else and collapses before the shuffle);
     the number of moved rows follows from those tallies without pairing rows.
     """
-    category = F.col("category")
-    content = F.when(category.isin(*ORPHANS), orphan_content(plan))
-    tallies = (
-        rows.select("category", content.alias("content_hash"))
+    letters = {"m": MATCHED, "c": CHANGED, "s": ONLY_IN_SOURCE, "t": ONLY_IN_TARGET}
+    totals = (
+        rows.selectExpr("category", f"{orphan_content(plan)} AS content_hash")
         .groupBy("content_hash")
+        .agg(*[F.expr(f"count_if(category = '{category}')").alias(letter) for letter, category in letters.items()])
         .agg(
-            count_where(category == MATCHED).alias("m"),
-            count_where(category == CHANGED).alias("c"),
-            count_where(category == ONLY_IN_SOURCE).alias("s"),
-            count_where(category == ONLY_IN_TARGET).alias("t"),
+            *[F.expr(f"coalesce(sum({letter}), 0L)").alias(letter) for letter in letters],
+            F.expr("coalesce(sum(least(s, t)), 0L)").alias("r"),
         )
     )
-
-    def total(column: Column | str) -> Column:
-        return F.coalesce(F.sum(column), F.lit(0))
-
-    totals = tallies.agg(
-        total("m").alias("m"),
-        total("c").alias("c"),
-        total("s").alias("s"),
-        total("t").alias("t"),
-        total(F.least("s", "t")).alias("r"),
+    counts = totals.selectExpr(
+        "m + c + s AS source_rows",
+        "m + c + t AS target_rows",
+        "m AS matched",
+        "c AS changed",
+        "s - r AS missing_from_target",
+        "t - r AS missing_from_source",
+        "r AS reassigned",
     )
-    counts = totals.select(
-        (F.col("m") + F.col("c") + F.col("s")).alias("source_rows"),
-        (F.col("m") + F.col("c") + F.col("t")).alias("target_rows"),
-        F.col("m").alias("matched"),
-        F.col("c").alias("changed"),
-        (F.col("s") - F.col("r")).alias("missing_from_target"),
-        (F.col("t") - F.col("r")).alias("missing_from_source"),
-        F.col("r").alias("reassigned"),
-    )
-    return _finish(counts, plan.table_name, KEYED, plan.keys_only)
+    return _finish(counts, plan, KEYED)
 
 
-def summary_from_differences(
-    differences: DataFrame, source_rows: Column, target_rows: Column, plan: ComparePlan
-) -> DataFrame:
+def summary_from_differences(differences: DataFrame, source_rows: int, target_rows: int, plan: ComparePlan) -> DataFrame:
     """The same row of counts from reconciled differences only, with the row counts of the sides read separately."""
-    category = F.col("category")
     counts = differences.agg(
-        count_where(category == CHANGED).alias("changed"),
-        count_where(category == ONLY_IN_SOURCE).alias("missing_from_target"),
-        count_where(category == ONLY_IN_TARGET).alias("missing_from_source"),
-        count_where(category == REASSIGNED).alias("reassigned"),
-    ).withColumns({"source_rows": source_rows, "target_rows": target_rows})
-    unmatched = F.col("changed") + F.col("missing_from_target") + F.col("reassigned")
-    return _finish(
-        counts.withColumn("matched", F.col("source_rows") - unmatched), plan.table_name, KEYED, plan.keys_only
+        *[F.expr(f"count_if(category = '{category}')").alias(name) for category, name in DIFFERENCES.items()]
+    ).selectExpr(
+        "*",
+        f"{source_rows}L AS source_rows",
+        f"{target_rows}L AS target_rows",
+        f"{source_rows}L - changed - missing_from_target - reassigned AS matched",
     )
+    return _finish(counts, plan, KEYED)
 
 
 def multiset_summary(plan: ComparePlan) -> DataFrame:
     """One row of counts for a table without a usable key: everything that differs is missing on one side."""
-    zero = F.lit(0).cast("long")
-    counts = multiset_totals(plan).select("*", zero.alias("changed"), zero.alias("reassigned"))
-    return _finish(counts, plan.table_name, MULTISET, False)
+    return _finish(multiset_totals(plan).selectExpr("*", "0L AS changed", "0L AS reassigned"), plan, MULTISET)
 
 
 def empty_summary(plan: ComparePlan) -> DataFrame:
     """A row of zeros for a pair of tables without common columns."""
-    zeros = plan.source.df.sparkSession.range(1).select(*[F.lit(0).cast("long").alias(name) for name in COUNT_COLUMNS])
-    return _finish(zeros, plan.table_name, NOT_COMPARED, False)
+    zeros = plan.source.df.sparkSession.range(1).selectExpr(*[f"0L AS {name}" for name in COUNT_COLUMNS])
+    return _finish(zeros, plan, NOT_COMPARED)
 
 
-def part_counts(rows: DataFrame, part: str) -> DataFrame:
+def part_counts(rows: DataFrame, *parts: str) -> DataFrame:
     """Counts per part of a table, before moved rows are reconciled: a row may move to another part."""
-    category = F.col("category")
-    matched, changed = count_where(category == MATCHED), count_where(category == CHANGED)
-    source, target = count_where(category == ONLY_IN_SOURCE), count_where(category == ONLY_IN_TARGET)
-    return rows.groupBy(part).agg(
-        (matched + changed + source).alias("source_rows"),
-        (matched + changed + target).alias("target_rows"),
-        matched.alias("matched"),
-        changed.alias("changed"),
-        source.alias("only_in_source"),
-        target.alias("only_in_target"),
-    )
-
-
-PART_COLUMNS = ("source_rows", "target_rows", "matched", "changed", "only_in_source", "only_in_target")
+    counts = {
+        "source_rows": f"category <> '{ONLY_IN_TARGET}'",
+        "target_rows": f"category <> '{ONLY_IN_SOURCE}'",
+        "matched": f"category = '{MATCHED}'",
+        "changed": f"category = '{CHANGED}'",
+        "only_in_source": f"category = '{ONLY_IN_SOURCE}'",
+        "only_in_target": f"category = '{ONLY_IN_TARGET}'",
+    }
+    return rows.groupBy(*parts).agg(*[F.expr(f"count_if({test})").alias(name) for name, test in counts.items()])
 
 
 def combine_parts(parts: DataFrame, tallies: DataFrame) -> DataFrame:
@@ -152,20 +130,19 @@ def combine_parts(parts: DataFrame, tallies: DataFrame) -> DataFrame:
     sums = parts.groupBy("table_name").agg(*[F.sum(name).alias(name) for name in PART_COLUMNS])
     moved = (
         tallies.groupBy("table_name", "content_hash")
-        .agg(F.sum(ONLY_IN_SOURCE).alias(ONLY_IN_SOURCE), F.sum(ONLY_IN_TARGET).alias(ONLY_IN_TARGET))
+        .agg(F.expr(f"least(sum({ONLY_IN_SOURCE}), sum({ONLY_IN_TARGET}))").alias("pairs"))
         .groupBy("table_name")
-        .agg(F.sum(F.least(ONLY_IN_SOURCE, ONLY_IN_TARGET)).alias("moved"))
+        .agg(F.sum("pairs").alias("moved"))
     )
-    moved_rows = F.coalesce(F.col("moved"), F.lit(0))
-    counts = sums.join(moved, "table_name", "left").select(
+    counts = sums.join(moved, "table_name", "left").selectExpr(
         "table_name",
         "source_rows",
         "target_rows",
         "matched",
         "changed",
-        (F.col("only_in_source") - moved_rows).alias("missing_from_target"),
-        (F.col("only_in_target") - moved_rows).alias("missing_from_source"),
-        moved_rows.alias("reassigned"),
+        "only_in_source - coalesce(moved, 0L) AS missing_from_target",
+        "only_in_target - coalesce(moved, 0L) AS missing_from_source",
+        "coalesce(moved, 0L) AS reassigned",
     )
     return _with_verdict(counts)
 
@@ -173,15 +150,15 @@ def combine_parts(parts: DataFrame, tallies: DataFrame) -> DataFrame:
 def run_rollup(summary: DataFrame) -> DataFrame:
     """One row for the whole run."""
     return summary.agg(
-        F.count(F.lit(1)).alias("tables_compared"),
-        count_where(F.col("has_differences")).alias("tables_differing"),
-        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in COUNT_COLUMNS],
+        F.expr("count(*)").alias("tables_compared"),
+        F.expr("count_if(has_differences)").alias("tables_differing"),
+        *[F.expr(f"coalesce(sum({name}), 0L)").alias(name) for name in COUNT_COLUMNS],
     )
 
 
 def report_order(summary: DataFrame) -> DataFrame:
     """Differing tables first, then by name."""
-    return summary.orderBy(F.col("has_differences").desc(), F.lower("table_name"))
+    return summary.orderBy(F.expr("has_differences").desc(), F.expr("lower(table_name)"))
 
 
 def replace_tables(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -195,18 +172,19 @@ def changed_column_profile(rows: DataFrame, plan: ComparePlan) -> DataFrame:
     One pass with one conditional count per column; columns that change in nearly every row are candidates for
     exclusion.
     """
-    changed = F.col("category") == CHANGED
-    totals = rows.agg(
-        count_where(changed).alias("changed_rows"),
+    changed = rows.filter(f"category = '{CHANGED}'")
+    totals = changed.agg(
+        F.expr("count(*)").alias("changed_rows"),
         *[
-            count_where(changed & F.array_contains("changed_columns", pair.name)).alias(f"n{i}")
+            F.expr(f"count_if(array_contains(changed_columns, {text(pair.name)}))").alias(f"n{i}")
             for i, pair in enumerate(plan.values)
         ],
     )
-    entries = [F.struct(F.lit(pair.name).alias("column_name"), F.col(f"n{i}").alias("n")) for i, pair in enumerate(plan.values)]
-    share = F.when(F.col("changed_rows") == 0, F.lit(0.0)).otherwise(F.col("n") / F.col("changed_rows"))
-    return totals.select("changed_rows", F.inline(F.array(*entries))).select(
-        "column_name", F.col("n").alias("changed_count"), "changed_rows", share.alias("share")
+    entries = [
+        struct_of([("column_name", text(pair.name)), ("changed_count", f"n{i}")]) for i, pair in enumerate(plan.values)
+    ]
+    return totals.selectExpr("changed_rows", f"inline(array({', '.join(entries)}))").selectExpr(
+        "*", "CASE WHEN changed_rows = 0 THEN 0.0D ELSE changed_count / changed_rows END AS share"
     )
 
 
@@ -219,30 +197,27 @@ def accepted_summary(
     their category and are counted as accepted. Tables in ``accept_tables`` are accepted as a whole. A table with
     nothing left counts as identical. Acceptance is an argument of the run and is stored nowhere.
     """
-    accepted_keys = accepted.select("table_name", "category", "row_key").distinct()
-    counted_columns = {
-        CHANGED: "changed",
-        ONLY_IN_SOURCE: "missing_from_target",
-        ONLY_IN_TARGET: "missing_from_source",
-        REASSIGNED: "reassigned",
-    }
+    identity = ["table_name", "category", "row_key"]
     hits = (
-        differences.join(accepted_keys, ["table_name", "category", "row_key"], "left_semi")
+        differences.select(*identity)
+        .join(accepted.select(*identity), identity, "left_semi")
         .groupBy("table_name")
-        .agg(*[count_where(F.col("category") == name).alias(f"a_{column}") for name, column in counted_columns.items()])
+        .agg(*[F.expr(f"count_if(category = '{kind}')").alias(f"a_{name}") for kind, name in DIFFERENCES.items()])
     )
-    whole = F.lower("table_name").isin([name.lower() for name in accept_tables]) if accept_tables else F.lit(False)
+    whole = any_of(f"lower(table_name) = {text(name.lower())}" for name in accept_tables)
     taken = {
-        column: F.when(whole, F.col(column)).otherwise(F.least(F.col(column), F.coalesce(F.col(f"a_{column}"), F.lit(0))))
-        for column in DIFFERENCE_COLUMNS
+        name: f"CASE WHEN {whole} THEN {name} ELSE least({name}, coalesce(a_{name}, 0L)) END"
+        for name in DIFFERENCES.values()
     }
-    joined = summary.join(hits, "table_name", "left")
-    left = joined.select(
-        "table_name",
-        "source_rows",
-        "target_rows",
-        "matched",
-        *[(F.col(column) - taken[column]).alias(column) for column in DIFFERENCE_COLUMNS],
-        sum((taken[column] for column in DIFFERENCE_COLUMNS[1:]), taken[DIFFERENCE_COLUMNS[0]]).alias("accepted"),
+    return (
+        summary.join(hits, "table_name", "left")
+        .selectExpr(
+            "table_name",
+            "source_rows",
+            "target_rows",
+            "matched",
+            *[f"{name} - {value} AS {name}" for name, value in taken.items()],
+            f"{' + '.join(taken.values())} AS accepted",
+        )
+        .selectExpr("*", f"{DIFFERING} > 0 AS has_differences")
     )
-    return left.withColumn("has_differences", any_of(F.col(column) > 0 for column in DIFFERENCE_COLUMNS))

@@ -19,6 +19,7 @@ def build_session(app_name: str = "concord", master: str | None = None, **conf:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update({name.replace("__", "."): value for name, value in conf.items()})
     builder = SparkSession.builder.appName(app_name)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.functions.columns import col, count_where
+from concord.functions.columns import quote, struct_of, text, truth
 from concord.plans.table import Side, TableRef
 
 COLUMN_SCHEMA = (
@@ -64,25 +64,24 @@ def observed_columns(tables: Iterable[TableRef]) -> DataFrame:
 
 
 def _observed(table: TableRef) -> DataFrame:
-    fields = list(table.df.schema)
-    measures = []
-    for i, field in enumerate(fields):
-        column = col(field.name)
-        measures.append(count_where(column.isNull()).alias(f"nulls{i}"))
-        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            measures.append(F.coalesce(F.max(F.octet_length(column)), F.lit(0)).alias(f"length{i}"))
-    entries = []
-    for i, field in enumerate(fields):
+    measures, entries = [], []
+    for i, field in enumerate(table.df.schema):
         declared = _declared(table, field, i + 1)
-        measured = isinstance(field.dataType, (T.StringType, T.BinaryType))
-        if measured:
-            declared["data_type"] = "varchar" if isinstance(field.dataType, T.StringType) else "varbinary"
-        literal = {name: F.lit(value) for name, value in declared.items()}
-        literal["is_nullable"] = F.col(f"nulls{i}") > 0
-        if measured:
-            literal["max_length"] = F.col(f"length{i}").cast("int")
-        entries.append(F.struct(*[value.alias(name) for name, value in literal.items()]))
-    return table.df.agg(*measures).select(F.inline(F.array(*entries)))
+        facts = {name: _literal(value) for name, value in declared.items()}
+        measures.append(F.expr(f"count_if({quote(field.name)} IS NULL)").alias(f"nulls{i}"))
+        facts["is_nullable"] = f"nulls{i} > 0"
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            measures.append(F.expr(f"CAST(coalesce(max(octet_length({quote(field.name)})), 0) AS INT)").alias(f"length{i}"))
+            facts["max_length"] = f"length{i}"
+            facts["data_type"] = "'varchar'" if isinstance(field.dataType, T.StringType) else "'varbinary'"
+        entries.append(struct_of(facts.items()))
+    return table.df.agg(*measures).selectExpr(f"inline(array({', '.join(entries)}))")
+
+
+def _literal(value: object) -> str:
+    if isinstance(value, bool):
+        return truth(value)
+    return text(value) if isinstance(value, str) else str(value)
 
 
 def side_objects(spark: SparkSession, side: Side) -> DataFrame:

@@ -6,9 +6,10 @@ from functools import reduce
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from concord.functions.columns import text
 from concord.operators.cells import row_key
+from concord.operators.keyed import ONLY_IN_SOURCE, ONLY_IN_TARGET
 from concord.operators.run import RunComparison, TableComparison
 from concord.operators.summary import summary_from_differences
 from concord.sources.readers import FILE_FORMATS
@@ -17,35 +18,38 @@ from concord.sources.readers import FILE_FORMATS
 def discrepancy_rows(comparison: TableComparison) -> DataFrame:
     """All differences of a table in one shape for all tables: values as JSON text per side.
 
-    ``table_name category row_key changed_columns source_key target_key source target``
+    ``table_name category row_key changed_columns source_key target_key source target row_count``; for a table without
+    a key one row stands for ``row_count`` equal rows.
     """
     plan = comparison.plan
-    name = F.lit(plan.table_name).alias("table_name")
+    name = f"{text(plan.table_name)} AS table_name"
     if not plan.usable_key:
-        content = F.to_json("content", {"ignoreNullFields": "false"})
-        surplus_in_source = F.col("missing_from_target") > 0
-        return comparison.differences.select(
+        in_source = "missing_from_target > 0"
+        return comparison.differences.selectExpr(
             name,
-            F.when(surplus_in_source, F.lit("only_in_source")).otherwise(F.lit("only_in_target")).alias("category"),
-            F.col("content_hash").alias("row_key"),
-            F.lit("").alias("changed_columns"),
-            F.lit(None).cast("string").alias("source_key"),
-            F.lit(None).cast("string").alias("target_key"),
-            F.when(surplus_in_source, content).alias("source"),
-            F.when(~surplus_in_source, content).alias("target"),
-            F.abs(F.col("source_count") - F.col("target_count")).alias("row_count"),
+            f"CASE WHEN {in_source} THEN '{ONLY_IN_SOURCE}' ELSE '{ONLY_IN_TARGET}' END AS category",
+            "content_hash AS row_key",
+            "'' AS changed_columns",
+            "CAST(NULL AS STRING) AS source_key",
+            "CAST(NULL AS STRING) AS target_key",
+            f"CASE WHEN {in_source} THEN {_json('content')} END AS source",
+            f"CASE WHEN NOT {in_source} THEN {_json('content')} END AS target",
+            "abs(source_count - target_count) AS row_count",
         )
-    keep_nulls = {"ignoreNullFields": "false"}
-    return comparison.differences.select(
+    return comparison.differences.selectExpr(
         name,
         "category",
-        row_key(plan).alias("row_key"),
-        F.concat_ws(",", "changed_columns").alias("changed_columns"),
-        *[F.to_json(struct, keep_nulls).alias(struct) for struct in ("source_key", "target_key", "source", "target")],
-        F.lit(1).cast("long").alias("row_count"),
+        f"{row_key(plan)} AS row_key",
+        "concat_ws(',', changed_columns) AS changed_columns",
+        *[f"{_json(struct)} AS {struct}" for struct in ("source_key", "target_key", "source", "target")],
+        "1L AS row_count",
     )
 
 
+def _json(struct: str) -> str:
+    return f"to_json({struct}, map('ignoreNullFields', 'false'))"
+
+
 def write_table(comparison: TableComparison, path: str, file_format: str = "parquet") -> DataFrame:
     """Writes the differences of one table to its own folder under ``path`` and returns its summary.
 
@@ -59,7 +63,7 @@ def write_table(comparison: TableComparison, path: str, file_format: str = "parq
     rows.write.mode("overwrite").format(file_format).partitionBy("category").save(folder)
     if not plan.usable_key or plan.options.key_range is not None:
         return comparison.summary
-    source_rows, target_rows = (F.lit(table.df.count()) for table in (plan.source, plan.target))
+    source_rows, target_rows = (table.df.count() for table in (plan.source, plan.target))
     return summary_from_differences(comparison.differences, source_rows, target_rows, plan)
 
 
