@@ -14,12 +14,14 @@ carries their content. A key range is applied to each side before the join, wher
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concord.functions.canonical import content_hash, plain_text, sorted_entries
-from concord.functions.columns import all_of, col, quote, struct_of, text
+from concord.functions.columns import all_of, any_of, col, quote, struct_of, text
 from concord.functions.equality import values_equal
 from concord.operators.ordinals import HOT_GROUP_ROWS, HotGroups, find_hot_groups, with_positions
 from concord.plans.compare_plan import ColumnPair, ComparePlan, KeyRange
@@ -126,16 +128,29 @@ def rows_per_key(plan: ComparePlan) -> DataFrame:
     )
 
 
-def _pair_repeats(plan: ComparePlan, hot_rows: int) -> tuple[bool, HotGroups | None]:
-    """Whether keys repeat, and which of them repeat too often for one task."""
+@dataclass(frozen=True)
+class KeyProfile:
+    """What is known about the keys of both sides: whether they repeat, which repeat too often for one task, and whether
+    none of them is NULL."""
+
+    repeats: bool
+    hot: HotGroups | None
+    not_null: bool
+
+
+def profile_keys(plan: ComparePlan, hot_rows: int) -> KeyProfile:
+    """Trusts a key declared unique; otherwise looks at the keys of both sides first."""
     if plan.options.key_unique:
-        return False, None
+        return KeyProfile(False, None, plan.options.key_not_null)
+    names = [f"k{i}" for i in range(len(plan.keys))]
     counts = rows_per_key(plan)
-    most = counts.agg(F.max("rows")).first()[0] or 0
+    has_null = any_of(f"{name} IS NULL" for name in names)
+    most, nulls = counts.agg(F.expr("coalesce(max(rows), 0L)"), F.expr(f"count_if({has_null})")).first()
+    not_null = plan.options.key_not_null or nulls == 0
     if most <= 1 and plan.options.key_unique is None:
-        return False, None
-    names = [f"k{i}" for i in range(len(plan.keys))]
-    return True, find_hot_groups(counts, names, "rows", hot_rows) if most > hot_rows else None
+        return KeyProfile(False, None, not_null)
+    hot = find_hot_groups(counts, names, "rows", hot_rows) if most > hot_rows else None
+    return KeyProfile(True, hot, not_null)
 
 
 def _with_side_positions(plan: ComparePlan, side: str, hot: HotGroups | None) -> DataFrame:
@@ -144,8 +159,9 @@ def _with_side_positions(plan: ComparePlan, side: str, hot: HotGroups | None) ->
     return with_positions(scan(plan, side), _key_names(plan, side), _value_names(plan, side), f"{side}{POSITION}", hot)
 
 
-def same_key(plan: ComparePlan) -> str:
-    operator = "=" if plan.options.key_not_null else "<=>"
+def same_key(plan: ComparePlan, not_null: bool) -> str:
+    """Keys without NULL join by plain equality, which can use the partitioning and bucketing of the raw columns."""
+    operator = "=" if not_null else "<=>"
     return all_of(f"{SOURCE}k{i} {operator} {TARGET}k{i}" for i in range(len(plan.keys)))
 
 
@@ -156,10 +172,10 @@ def align(plan: ComparePlan, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """
     if not plan.keys:
         raise ValueError(f"{plan.table_name} has no usable key; compare it as a multiset")
-    repeats, hot = _pair_repeats(plan, hot_rows)
-    condition = same_key(plan)
-    if repeats:
-        source, target = (_with_side_positions(plan, side, hot) for side in (SOURCE, TARGET))
+    profile = profile_keys(plan, hot_rows)
+    condition = same_key(plan, profile.not_null)
+    if profile.repeats:
+        source, target = (_with_side_positions(plan, side, profile.hot) for side in (SOURCE, TARGET))
         condition += f" AND {SOURCE}{POSITION} = {TARGET}{POSITION}"
     else:
         source, target = scan(plan, SOURCE), scan(plan, TARGET)
@@ -208,7 +224,7 @@ def one_sided(plan: ComparePlan, category: str) -> DataFrame:
     against = scan(plan, other).select(*_key_names(plan, other))
     return (
         scan(plan, side)
-        .join(against, F.expr(same_key(plan)), "left_anti")
+        .join(against, F.expr(same_key(plan, plan.options.key_not_null)), "left_anti")
         .selectExpr(
             *[f"{side}k{i} AS {quote(pair.name)}" for i, pair in enumerate(plan.keys)],
             *[f"{side}v{i} AS {quote(pair.name)}" for i, pair in enumerate(plan.values)],

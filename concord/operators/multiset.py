@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concord.functions.canonical import content_hash, plain_text
-from concord.functions.columns import col, quote, struct_of
+from concord.functions.columns import all_of, quote, struct_of
 from concord.operators.expand import CHUNK_ROWS, repeat_rows
 from concord.operators.keyed import SOURCE, TARGET, side_frame, side_name, side_type, value_expression, value_type
 from concord.operators.ordinals import ordering
@@ -125,19 +125,26 @@ def hash_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def sample_rows(plan: ComparePlan, found: DataFrame, samples: int = SAMPLES_PER_CONTENT) -> DataFrame:
     """Up to ``samples`` whole rows for each discrepancy of ``found``, from the side in surplus.
 
-    All common columns are shown, also those left out of the comparison, in a fixed order of rows. The row limit is
-    applied before the shuffle as well, so a content with very many rows stays cheap.
+    All common columns are shown, also those left out of the comparison, in a fixed order of rows. Rows meet their
+    discrepancy by the content columns, so no row is hashed again, and the row limit is applied before the shuffle by
+    content as well, so a content with very many rows stays cheap.
     """
     parts = []
     for side, surplus, other in ((SOURCE, "missing_from_target", "source"), (TARGET, "missing_from_source", "target")):
         df = side_frame(plan, side)
-        digest = content_hash((_expression(pair, side), _content_type(pair)) for pair in plan.values)
+        names = [f"__c{i}" for i in range(len(plan.values))]
+        needed = found.filter(f"{surplus} > 0").selectExpr(
+            "content_hash",
+            "source_count",
+            "target_count",
+            *[f"{quote(pair.name, 'content')} AS __d{i}" for i, pair in enumerate(plan.values)],
+        )
         row = struct_of((pair.name, quote(side_name(pair, side))) for pair in plan.common)
         rank = f"row_number() OVER (PARTITION BY content_hash ORDER BY {ordering(df.columns)}) AS sample_no"
-        needed = found.filter(f"{surplus} > 0").select("content_hash", "source_count", "target_count")
+        same_content = all_of(f"{name} <=> __d{i}" for i, name in enumerate(names))
         parts.append(
-            df.selectExpr("*", f"{digest} AS content_hash")
-            .join(needed, "content_hash")
+            df.selectExpr("*", *[f"{_expression(pair, side)} AS {name}" for name, pair in zip(names, plan.values)])
+            .join(needed, F.expr(same_content))
             .selectExpr("*", rank)
             .filter(f"sample_no <= {samples}")
             .selectExpr(

@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 def build_session(app_name: str = "concord", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators were tuned for.
 
-    Adaptive execution merges small shuffle partitions and splits skewed join partitions; UTC keeps timestamp text the
-    same on every machine. Values in ``conf`` (dots written as ``__``) win over these.
+    Adaptive execution merges small shuffle partitions and splits skewed join partitions. Rows numbered inside their key
+    may join on (key, number) where they are, without a second shuffle. UTC keeps timestamp text the same on every
+    machine. Values in ``conf`` (dots written as ``__``) win over these.
     """
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.python.sql.dataFrameDebugging.enabled": "false",
