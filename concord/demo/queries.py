@@ -490,14 +490,12 @@ def schema_percentages(spark, folder):
 
 @query
 def text_line_diff(spark, folder):
-    source, target = _pair(spark, folder, "documents")
-    return lines.line_diff(source.df, target.df, ["doc_id"], "text")
+    return lines.line_diff(documents(spark, folder).plan, "text")
 
 
 @query
 def text_positional_diff(spark, folder):
-    source, target = _pair(spark, folder, "documents")
-    return lines.positional_line_diff(source.df, target.df, ["doc_id"], "text")
+    return lines.positional_line_diff(documents(spark, folder).plan, "text")
 
 
 def _page_sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -3,14 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.functions.columns import all_of, quote, text
+from concord.functions.columns import all_of, col, quote, text
 from concord.functions.content_type import guess_extension, looks_like_pdf
-from concord.operators.keyed import CHANGED, IS_ORPHAN, SOURCE, TARGET, aligned_key, side_frame, side_name
-from concord.plans.compare_plan import ComparePlan
+from concord.operators.keyed import (
+    CHANGED,
+    IS_ORPHAN,
+    SOURCE,
+    TARGET,
+    aligned_key,
+    key_expression,
+    keyed_rows,
+    side_name,
+)
+from concord.operators.ordinals import HOT_GROUP_ROWS
+from concord.plans.compare_plan import ColumnPair, ComparePlan
+from concord.plans.table import TableRef
+
+CONTENT = "__content"
 
 
 def content_type_audit(source: DataFrame, target: DataFrame, content: str) -> DataFrame:
@@ -25,48 +39,68 @@ def content_type_audit(source: DataFrame, target: DataFrame, content: str) -> Da
 def content_label_conflicts(
     source: DataFrame, target: DataFrame, keys: Sequence[str], flag: str, content: str
 ) -> DataFrame:
-    """Rows flagged as PDF whose content on either side does not look like one, also when both sides agree.
+    """Keys flagged as PDF whose content on either side does not look like one, also when both sides agree.
 
-    NULL content is no conflict. Content is reduced to a verdict before the join.
+    NULL content is no conflict. Content is reduced to a verdict first, and both sides meet in one aggregation by key,
+    so a key with very many rows collapses before the shuffle.
     """
 
     def side(df: DataFrame, name: str) -> DataFrame:
+        other = "target" if name == "source" else "source"
         return df.selectExpr(
-            *[f"{quote(key)} AS {name}{i}" for i, key in enumerate(keys)],
+            *[quote(key) for key in keys],
             f"{quote(flag)} AS {name}_flag",
+            f"CAST(NULL AS BOOLEAN) AS {other}_flag",
             f"{guess_extension(quote(content))} AS {name}_type",
-            f"NOT ({looks_like_pdf(quote(content))}) AS {name}_wrong",
+            f"CAST(NULL AS STRING) AS {other}_type",
+            f"NOT ({looks_like_pdf(quote(content))}) AS wrong",
         )
 
-    same_key = F.expr(all_of(f"source{i} <=> target{i}" for i in range(len(keys))))
     return (
         side(source, "source")
-        .join(side(target, "target"), same_key, "full_outer")
-        .filter("coalesce(source_flag, target_flag) AND (coalesce(source_wrong, false) OR coalesce(target_wrong, false))")
-        .selectExpr(
-            *[f"coalesce(source{i}, target{i}) AS {quote(key)}" for i, key in enumerate(keys)],
-            "source_type",
-            "target_type",
+        .unionByName(side(target, "target"))
+        .groupBy(*[col(key) for key in keys])
+        .agg(
+            F.expr("coalesce(bool_or(source_flag), bool_or(target_flag))").alias("flagged"),
+            F.expr("bool_or(wrong)").alias("wrong"),
+            F.max("source_type").alias("source_type"),
+            F.max("target_type").alias("target_type"),
         )
+        .filter("flagged AND wrong")
+        .drop("flagged", "wrong")
     )
 
 
-def large_content_pairs(plan: ComparePlan, differences: DataFrame, column: str) -> DataFrame:
+def large_content_pairs(
+    plan: ComparePlan, differences: DataFrame, column: str, hot_rows: int = HOT_GROUP_ROWS
+) -> DataFrame:
     """The real content of one large column on both sides, for rows where it differs or that exist on one side only.
 
-    The comparison itself carries only hashes; here the content is read for the differing keys alone. A missing row and
-    a NULL both show as NULL. Keys have to be unique.
+    The comparison itself carries only hashes; here both sides are first cut to the differing keys and aligned again
+    with the content beside its hash. A missing row and a NULL both show as NULL.
     """
     pair = next(pair for pair in plan.values if pair.name.lower() == column.lower())
-    names = [quote(key.name) for key in plan.keys]
-    result = differences.filter(
-        f"{IS_ORPHAN} OR (category = '{CHANGED}' AND array_contains(changed_columns, {text(pair.name)}))"
-    ).selectExpr("category", *[f"{key} AS {name}" for key, name in zip(aligned_key(plan), names)])
-    for side, prefix in ((SOURCE, "source"), (TARGET, "target")):
-        content = side_frame(plan, side).selectExpr(
-            *[f"{quote(side_name(key, side))} AS {prefix}{i}" for i, key in enumerate(plan.keys)],
-            f"{quote(side_name(pair, side))} AS {prefix}_content",
+    differs = f"array_contains(changed_columns, {text(pair.name)})"
+    wanted = f"{IS_ORPHAN} OR (category = '{CHANGED}' AND {differs})"
+    keys = differences.filter(wanted).selectExpr(
+        *[f"{key} AS __k{i}" for i, key in enumerate(aligned_key(plan))]
+    )
+
+    def cut(side: str) -> TableRef:
+        table = plan.source if side == SOURCE else plan.target
+        same_key = all_of(f"{key_expression(key, side)} <=> __k{i}" for i, key in enumerate(plan.keys))
+        rows = table.df.join(keys, F.expr(same_key), "left_semi")
+        return replace(table, df=rows.withColumn(CONTENT, col(side_name(pair, side))))
+
+    content = ColumnPair(CONTENT, CONTENT, pair.source_type, pair.target_type)
+    narrowed = replace(plan, source=cut(SOURCE), target=cut(TARGET), values=(*plan.values, content))
+    return (
+        keyed_rows(narrowed, hot_rows)
+        .filter(wanted)
+        .selectExpr(
+            *[f"{key} AS {quote(pair.name)}" for key, pair in zip(aligned_key(plan), plan.keys)],
+            "category",
+            f"source.{CONTENT} AS source_content",
+            f"target.{CONTENT} AS target_content",
         )
-        same_key = F.expr(all_of(f"{name} <=> {prefix}{i}" for i, name in enumerate(names)))
-        result = result.join(content, same_key, "left")
-    return result.selectExpr(*names, "category", "source_content", "target_content")
+    )

@@ -73,7 +73,7 @@ def value_type(pair: ColumnPair, side: str) -> T.DataType:
     return data_type
 
 
-def _key_expression(pair: ColumnPair, side: str) -> str:
+def key_expression(pair: ColumnPair, side: str) -> str:
     column = quote(side_name(pair, side))
     # Keys of different types are matched as text.
     return column if pair.same_type else plain_text(column, side_type(pair, side))
@@ -100,7 +100,7 @@ def scan(plan: ComparePlan, side: str) -> DataFrame:
         if condition is not None:
             df = df.filter(condition)
     return df.selectExpr(
-        *[f"{_key_expression(pair, side)} AS {side}k{i}" for i, pair in enumerate(plan.keys)],
+        *[f"{key_expression(pair, side)} AS {side}k{i}" for i, pair in enumerate(plan.keys)],
         *[f"{value_expression(pair, side)} AS {side}v{i}" for i, pair in enumerate(plan.values)],
         f"true AS {side}_present",
     )

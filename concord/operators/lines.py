@@ -1,16 +1,22 @@
-"""Line differences of a text column between the two sides of a keyed table (definitions, documents)."""
+"""Line differences of a text column between the two sides of a keyed table (definitions, documents).
+
+Rows are aligned as in the keyed comparison, so repeated keys pair by position and never multiply.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.functions.columns import all_of, col, quote
-from concord.operators.ordinals import listing
+from concord.functions.columns import col, quote
+from concord.operators.keyed import POSITION, SOURCE, TARGET, align
+from concord.operators.ordinals import HOT_GROUP_ROWS, listing
+from concord.plans.compare_plan import ComparePlan
 
 SAME, ONLY_SOURCE, ONLY_TARGET = "same", "only_source", "only_target"
+ROW_NO = "row_no"
 
 
 def split_lines(text: str) -> str:
@@ -19,39 +25,40 @@ def split_lines(text: str) -> str:
 
 
 def _text_pairs(
-    source: DataFrame, target: DataFrame, keys: Sequence[str], text: str, changed_only: bool, one_sided: bool
-) -> DataFrame:
-    """``keys``, ``source_text``, ``target_text`` for the rows whose texts are to be compared."""
-
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.selectExpr(
-            *[f"{quote(key)} AS {name}{i}" for i, key in enumerate(keys)], f"{quote(text)} AS {name}_text"
-        )
+    plan: ComparePlan, text: str, changed_only: bool, one_sided: bool, hot_rows: int
+) -> tuple[DataFrame, list[str]]:
+    """The texts to be compared as ``source_text`` and ``target_text``, and the columns that identify a row.
 
-    same_key = F.expr(all_of(f"source{i} <=> target{i}" for i in range(len(keys))))
-    joined = side(source, "source").join(side(target, "target"), same_key, "full_outer" if one_sided else "inner")
+    When keys repeat, the position inside the key is one of these columns.
+    """
+    pair = next(pair for pair in plan.common if pair.name.lower() == text.lower())
+    aligned = align(replace(plan, values=(replace(pair, large=False),)), hot_rows)
+    keys = [key.name for key in plan.keys]
+    identity = [f"coalesce({SOURCE}k{i}, {TARGET}k{i}) AS {quote(key)}" for i, key in enumerate(keys)]
+    if f"{SOURCE}{POSITION}" in aligned.columns:
+        identity.append(f"coalesce({SOURCE}{POSITION}, {TARGET}{POSITION}) AS {ROW_NO}")
+        keys.append(ROW_NO)
+    if not one_sided:
+        aligned = aligned.filter(f"{SOURCE}_present AND {TARGET}_present")
     if changed_only:
-        joined = joined.filter("NOT (source_text <=> target_text)")
-    return joined.selectExpr(
-        *[f"coalesce(source{i}, target{i}) AS {quote(key)}" for i, key in enumerate(keys)], "source_text", "target_text"
-    )
+        aligned = aligned.filter(f"NOT ({SOURCE}v0 <=> {TARGET}v0)")
+    return aligned.selectExpr(*identity, f"{SOURCE}v0 AS source_text", f"{TARGET}v0 AS target_text"), keys
 
 
 def line_diff(
-    source: DataFrame,
-    target: DataFrame,
-    keys: Sequence[str],
+    plan: ComparePlan,
     text: str,
     changed_only: bool = True,
     one_sided: bool = False,
+    hot_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """Lines of both texts with ``same``, ``only_source`` or ``only_target``.
 
     The first occurrence of a line in Source pairs with the first in Target, the second with the second, and so on, so
     an inserted or deleted line does not mark the lines after it. A missing text marks all lines of the other one; two
-    missing texts have no lines. ``keys`` identify a row on each side.
+    missing texts have no lines. ``one_sided`` also takes rows that exist on one side only.
     """
-    pairs = _text_pairs(source, target, keys, text, changed_only, one_sided)
+    pairs, keys = _text_pairs(plan, text, changed_only, one_sided, hot_rows)
     key_list = listing(keys)
     sides = ", ".join(
         f"named_struct('in_source', {flag}, 'lines', {split_lines(side)})"
@@ -83,15 +90,14 @@ def line_diff(
 
 
 def positional_line_diff(
-    source: DataFrame,
-    target: DataFrame,
-    keys: Sequence[str],
+    plan: ComparePlan,
     text: str,
     changed_only: bool = True,
     one_sided: bool = False,
+    hot_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """Line n of Source against line n of Target; the lines of a row are zipped in place, without a shuffle of lines."""
-    pairs = _text_pairs(source, target, keys, text, changed_only, one_sided)
+    pairs, keys = _text_pairs(plan, text, changed_only, one_sided, hot_rows)
     names = [quote(key) for key in keys]
     arrays = [
         f"coalesce({split_lines(side + '_text')}, CAST(array() AS ARRAY<STRING>)) AS {side}_line"
