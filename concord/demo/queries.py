@@ -338,7 +338,7 @@ def accepted_summary(spark, folder):
     comparison = orders(spark, folder)
     only_priority = "concat_ws(',', changed_columns) = 'o_orderpriority'"
     accepted = comparison.difference_keys(f"category = '{REASSIGNED}' OR {only_priority}")
-    return summary.accepted_summary(comparison.difference_keys(), accepted, comparison.summary)
+    return summary.accepted_summary(comparison.difference_keys(), accepted, comparison.summary_of_differences)
 
 
 @query

@@ -14,7 +14,7 @@ carries their content. A key range is applied to each side before the join, wher
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,7 +155,8 @@ def profile_keys(plan: ComparePlan, hot_rows: int) -> KeyProfile:
 
 def _with_side_positions(plan: ComparePlan, side: str, hot: HotGroups | None) -> DataFrame:
     if hot is not None:
-        hot = HotGroups(hot.groups.selectExpr(*[f"{name} AS {side}{name}" for name in hot.groups.columns]), hot.few)
+        groups = hot.groups.selectExpr(*[f"{name} AS {side}{name}" for name in hot.groups.columns])
+        hot = replace(hot, groups=groups)
     return with_positions(scan(plan, side), _key_names(plan, side), _value_names(plan, side), f"{side}{POSITION}", hot)
 
 

@@ -124,7 +124,8 @@ def kind_summary(classes: DataFrame, compared_kinds: Iterable[str] = KINDS) -> D
         "only_in_source",
         "only_in_target",
         "different",
-        "(only_in_source + only_in_target + different) * 100.0D / (source_count + only_in_target) AS difference_percent",
+        "IF(source_count + only_in_target = 0, 0.0D, (only_in_source + only_in_target + different) * 100.0D "
+        "/ (source_count + only_in_target)) AS difference_percent",
     )
     skipped = [(KIND_LABELS[kind], "not compared") for kind in KINDS if kind not in compared]
     if not skipped:

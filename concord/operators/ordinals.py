@@ -21,6 +21,8 @@ from concord.session import materialize
 
 HOT_GROUP_ROWS = 1_000_000
 BROADCAST_GROUPS = 10_000
+ROWS_PER_PLACE = 1_000_000
+MOST_PLACES = 100_000
 
 ROWS = "__rows"
 START = "__start"
@@ -29,19 +31,27 @@ _PLACE = "__place"
 
 @dataclass(frozen=True)
 class HotGroups:
-    """Groups above the row limit; ``few`` tells that their number was checked and is small enough to broadcast."""
+    """Groups above the row limit and the rows they hold together; ``few`` tells that their number was checked and is
+    small enough to broadcast."""
 
     groups: DataFrame
     few: bool
+    rows: int
 
 
 def find_hot_groups(
     counts: DataFrame, group: Sequence[str], rows: str, limit: int = HOT_GROUP_ROWS
 ) -> HotGroups | None:
     """The groups of ``counts`` (one row per group) above the limit: at most total rows / limit of them."""
-    hot = materialize(counts.filter(f"{quote(rows)} > {limit}").select(*[col(name) for name in group]))
-    number = hot.count()
-    return HotGroups(hot, number <= BROADCAST_GROUPS) if number else None
+    hot = materialize(counts.filter(f"{quote(rows)} > {limit}"))
+    number, total = hot.agg(F.expr("count(*)"), F.sum(rows)).first()
+    return HotGroups(hot.select(*[col(name) for name in group]), number <= BROADCAST_GROUPS, total) if number else None
+
+
+def places_for(df: DataFrame, rows: int) -> int:
+    """How many tasks ``rows`` rows are cut over: at least as many as the session shuffles into."""
+    usual = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return min(max(usual, -(-rows // ROWS_PER_PLACE)), MOST_PLACES)
 
 
 def ordering(names: Sequence[str]) -> str:
@@ -58,7 +68,6 @@ def with_positions(
     order: Sequence[str],
     position: str,
     hot: HotGroups | None = None,
-    places: int | None = None,
 ) -> DataFrame:
     """Adds the 1-based position of each row inside its group, by ``order`` (ascending, NULL first).
 
@@ -70,7 +79,8 @@ def with_positions(
     if hot is None:
         return df.selectExpr("*", row_number)
     cold, heavy = split_hot(df, hot)
-    return cold.selectExpr("*", row_number).unionByName(spread_positions(heavy, group, order, position, places))
+    spread = spread_positions(heavy, group, order, position, places_for(df, hot.rows))
+    return cold.selectExpr("*", row_number).unionByName(spread)
 
 
 def split_hot(df: DataFrame, hot: HotGroups) -> tuple[DataFrame, DataFrame]:
@@ -83,21 +93,17 @@ def split_hot(df: DataFrame, hot: HotGroups) -> tuple[DataFrame, DataFrame]:
 
 
 def spread_positions(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], position: str, places: int | None = None
+    df: DataFrame, group: Sequence[str], order: Sequence[str], position: str, places: int
 ) -> DataFrame:
     """Positions as by :func:`with_positions`, with every group cut over many tasks."""
     repeated = repeat_rows(counted_starts(df, group, order, places), ROWS, "__copy")
     return repeated.selectExpr(*[quote(name) for name in df.columns], f"{START} + __copy AS {quote(position)}")
 
 
-def counted_starts(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], places: int | None = None
-) -> DataFrame:
+def counted_starts(df: DataFrame, group: Sequence[str], order: Sequence[str], places: int) -> DataFrame:
     """The distinct rows of ``df`` with their count in ``ROWS`` and the number of earlier rows of the group in ``START``."""
     columns = df.columns
     inner = [*order, *[name for name in columns if name not in group and name not in order]]
-    places = places or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
     counted = df.groupBy(*[col(name) for name in columns]).agg(F.expr("count(*)").alias(ROWS))
     by_range = [col(name).asc_nulls_first() for name in [*group, *inner]]
     # Both readers below need the same placement, so it is written once.

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from concord.functions.columns import col
 from concord.operators.keyed import IS_ORPHAN, ORPHANS, aligned_key, orphan_content
-from concord.operators.ordinals import ROWS, START, counted_starts
+from concord.operators.ordinals import ROWS, START, counted_starts, places_for
 from concord.operators.summary import part_counts
 from concord.plans.compare_plan import ComparePlan, KeyRange
 
@@ -115,10 +115,11 @@ def _step(target: _Target, counts: dict[int, int], width: int) -> None:
 
 
 def _by_placement(keys: DataFrame, chunks: int) -> list:
-    offsets = boundary_offsets(keys.count(), chunks)
+    rows = keys.count()
+    offsets = boundary_offsets(rows, chunks)
     if not offsets:
         return []
-    starts = counted_starts(keys.withColumn("all_rows", F.lit(1)), ["all_rows"], ["key"])
+    starts = counted_starts(keys.withColumn("all_rows", F.lit(1)), ["all_rows"], ["key"], places_for(keys, rows))
     first, last = F.col(START), F.col(START) + F.col(ROWS) - 1
     wanted = F.filter(F.array(*[F.lit(offset) for offset in offsets]), lambda offset: offset.between(first, last))
     found = starts.select("key", F.explode(wanted).alias("offset")).orderBy("offset").collect()

@@ -9,11 +9,18 @@ from pyspark.sql import DataFrame
 
 from concord.functions.columns import text
 from concord.operators.cells import cell_diff, row_key
-from concord.operators.keyed import differing, keyed_rows
+from concord.operators.keyed import SOURCE, TARGET, differing, keyed_rows, scan
 from concord.operators.multiset import discrepancies
 from concord.operators.ordinals import HOT_GROUP_ROWS
 from concord.operators.reassign import reconcile
-from concord.operators.summary import empty_summary, keyed_summary, multiset_summary, report_order, run_rollup
+from concord.operators.summary import (
+    empty_summary,
+    keyed_summary,
+    multiset_summary,
+    report_order,
+    run_rollup,
+    summary_from_differences,
+)
 from concord.plans.compare_plan import CompareOptions, ComparePlan, resolve_plan
 from concord.plans.table import Side, TableRef, pair_tables
 from concord.session import materialize
@@ -51,6 +58,14 @@ class TableComparison:
             return empty_summary(self.plan)
         return keyed_summary(self.rows, self.plan) if self.plan.usable_key else multiset_summary(self.plan)
 
+    @cached_property
+    def summary_of_differences(self) -> DataFrame:
+        """The summary counted from ``differences`` and the sizes of the two sides, without aligning the rows again."""
+        if not self.plan.usable_key:
+            return self.summary
+        source_rows, target_rows = (scan(self.plan, side).count() for side in (SOURCE, TARGET))
+        return summary_from_differences(self.differences, source_rows, target_rows, self.plan)
+
     @property
     def cells(self) -> DataFrame:
         return cell_diff(self.differences, self.plan)

@@ -127,22 +127,26 @@ def combine_parts(parts: DataFrame, tallies: DataFrame) -> DataFrame:
     ``parts`` has ``table_name`` and the columns of :func:`part_counts`; ``tallies`` has ``table_name``,
     ``content_hash`` and the orphan counts of each part.
     """
-    sums = parts.groupBy("table_name").agg(*[F.sum(name).alias(name) for name in PART_COLUMNS])
     moved = (
         tallies.groupBy("table_name", "content_hash")
-        .agg(F.expr(f"least(sum({ONLY_IN_SOURCE}), sum({ONLY_IN_TARGET}))").alias("pairs"))
+        .agg(F.expr(f"least(sum({ONLY_IN_SOURCE}), sum({ONLY_IN_TARGET}))").alias("moved"))
+        .selectExpr("table_name", *[f"0L AS {name}" for name in PART_COLUMNS], "moved")
+    )
+    sums = (
+        parts.selectExpr("table_name", *PART_COLUMNS, "0L AS moved")
+        .unionByName(moved)
         .groupBy("table_name")
-        .agg(F.sum("pairs").alias("moved"))
+        .agg(*[F.sum(name).alias(name) for name in (*PART_COLUMNS, "moved")])
     )
-    counts = sums.join(moved, "table_name", "left").selectExpr(
+    counts = sums.selectExpr(
         "table_name",
         "source_rows",
         "target_rows",
         "matched",
         "changed",
-        "only_in_source - coalesce(moved, 0L) AS missing_from_target",
-        "only_in_target - coalesce(moved, 0L) AS missing_from_source",
-        "coalesce(moved, 0L) AS reassigned",
+        "only_in_source - moved AS missing_from_target",
+        "only_in_target - moved AS missing_from_source",
+        "moved AS reassigned",
     )
     return _with_verdict(counts)
 
@@ -163,7 +167,11 @@ def report_order(summary: DataFrame) -> DataFrame:
 
 def replace_tables(old: DataFrame, new: DataFrame) -> DataFrame:
     """The summary of an earlier run with the rows of recompared tables replaced."""
-    return old.join(new, "table_name", "left_anti").unionByName(new)
+    columns = ", ".join(old.columns)
+    runs = old.selectExpr(f"struct({columns}) AS row", "0 AS run").unionByName(
+        new.selectExpr(f"struct({columns}) AS row", "1 AS run")
+    )
+    return runs.groupBy("row.table_name").agg(F.max_by("row", "run").alias("row")).select("row.*")
 
 
 def changed_column_profile(rows: DataFrame, plan: ComparePlan) -> DataFrame:
@@ -198,24 +206,24 @@ def accepted_summary(
     nothing left counts as identical. Acceptance is an argument of the run and is stored nowhere.
     """
     identity = ["table_name", "category", "row_key"]
-    hits = (
-        differences.select(*identity)
-        .join(accepted.select(*identity), identity, "left_semi")
-        .groupBy("table_name")
-        .agg(*[F.expr(f"count_if(category = '{kind}')").alias(f"a_{name}") for kind, name in DIFFERENCES.items()])
+    sides = ["source_rows", "target_rows", "matched"]
+    names = list(DIFFERENCES.values())
+    hits = differences.select(*identity).join(accepted.select(*identity), identity, "left_semi")
+    stacked = summary.selectExpr("table_name", *sides, *names, *[f"0L AS a_{name}" for name in names]).unionByName(
+        hits.selectExpr(
+            "table_name",
+            *[f"0L AS {name}" for name in (*sides, *names)],
+            *[f"IF(category = '{category}', 1L, 0L) AS a_{name}" for category, name in DIFFERENCES.items()],
+        )
     )
     whole = any_of(f"lower(table_name) = {text(name.lower())}" for name in accept_tables)
-    taken = {
-        name: f"CASE WHEN {whole} THEN {name} ELSE least({name}, coalesce(a_{name}, 0L)) END"
-        for name in DIFFERENCES.values()
-    }
+    taken = {name: f"IF({whole}, {name}, least({name}, a_{name}))" for name in names}
     return (
-        summary.join(hits, "table_name", "left")
+        stacked.groupBy("table_name")
+        .agg(*[F.sum(name).alias(name) for name in stacked.columns[1:]])
         .selectExpr(
             "table_name",
-            "source_rows",
-            "target_rows",
-            "matched",
+            *sides,
             *[f"{name} - {value} AS {name}" for name, value in taken.items()],
             f"{' + '.join(taken.values())} AS accepted",
         )

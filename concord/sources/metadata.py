@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concord.functions.columns import quote, struct_of, text, truth
-from concord.plans.table import Side, TableRef
+from concord.plans.table import TABLE, VIEW, Side, TableRef
 
 COLUMN_SCHEMA = (
     "schema_name string, table_name string, kind string, column_name string, ordinal int, data_type string, "
@@ -90,6 +90,78 @@ def side_objects(spark: SparkSession, side: Side) -> DataFrame:
     return spark.createDataFrame(rows, OBJECT_SCHEMA)
 
 
+def information_schema_columns(
+    columns: DataFrame, tables: DataFrame, constraints: DataFrame, key_usage: DataFrame
+) -> DataFrame:
+    """The column list from the standard catalog views ``INFORMATION_SCHEMA.COLUMNS``, ``TABLES``, ``TABLE_CONSTRAINTS``
+    and ``KEY_COLUMN_USAGE`` of a database, read over JDBC or from a dump.
+
+    Lengths are in bytes, -1 for unbounded. The views do not tell identity columns; it is false.
+    """
+    primary = constraints.filter("constraint_type = 'PRIMARY KEY'").select("constraint_schema", "constraint_name")
+    key = key_usage.join(primary, ["constraint_schema", "constraint_name"], "left_semi").selectExpr(
+        "table_schema", "table_name", "column_name", "ordinal_position AS key_ordinal"
+    )
+    kind = tables.selectExpr(
+        "table_schema", "table_name", f"IF(table_type = 'VIEW', '{VIEW}', '{TABLE}') AS kind"
+    )
+    return (
+        columns.join(kind, ["table_schema", "table_name"])
+        .join(key, ["table_schema", "table_name", "column_name"], "left")
+        .selectExpr(
+            "table_schema AS schema_name",
+            "table_name",
+            "kind",
+            "column_name",
+            "CAST(ordinal_position AS INT) AS ordinal",
+            "data_type",
+            "CAST(coalesce(character_octet_length, 0) AS INT) AS max_length",
+            "CAST(coalesce(numeric_precision, 0) AS INT) AS precision",
+            "CAST(coalesce(numeric_scale, 0) AS INT) AS scale",
+            "is_nullable = 'YES' AS is_nullable",
+            "false AS is_identity",
+            "key_ordinal IS NOT NULL AS is_primary_key",
+            "CAST(coalesce(key_ordinal, 0) AS INT) AS primary_key_ordinal",
+        )
+    )
+
+
+def information_schema_objects(tables: DataFrame, views: DataFrame, routines: DataFrame) -> DataFrame:
+    """The object list from ``INFORMATION_SCHEMA.TABLES``, ``VIEWS`` and ``ROUTINES``; modification dates are known for
+    routines only."""
+    table_likes = tables.join(
+        views.select("table_schema", "table_name", "view_definition"), ["table_schema", "table_name"], "left"
+    ).selectExpr(
+        "table_schema AS schema_name",
+        "table_name AS name",
+        f"IF(table_type = 'VIEW', '{VIEW}', '{TABLE}') AS kind",
+        "CAST(NULL AS TIMESTAMP) AS modified_at",
+        "view_definition AS definition",
+    )
+    return table_likes.unionByName(
+        routines.selectExpr(
+            "routine_schema AS schema_name",
+            "routine_name AS name",
+            "IF(routine_type = 'FUNCTION', 'Function', 'Stored procedure') AS kind",
+            "last_altered AS modified_at",
+            "routine_definition AS definition",
+        )
+    )
+
+
+def catalog_functions(spark: SparkSession, database: str) -> DataFrame:
+    """The functions stored in a catalog database as an object list; the definition is what the catalog describes."""
+    rows = []
+    for function in spark.catalog.listFunctions(database):
+        if function.isTemporary or not function.namespace or function.namespace[-1] != database:
+            continue
+        described = spark.sql(f"DESCRIBE FUNCTION EXTENDED `{database}`.`{function.name}`").collect()
+        # Creation time and owner tell nothing about the definition.
+        lines = [row[0] for row in described if not row[0].startswith(("Create Time:", "Owner:"))]
+        rows.append((database, function.name, "Function", None, "\n".join(lines)))
+    return spark.createDataFrame(rows, OBJECT_SCHEMA)
+
+
 def row_counts(source: Side, target: Side) -> DataFrame:
     """Exact row counts of every table of either side, side by side; NULL where a side lacks the table.
 

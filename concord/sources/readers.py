@@ -22,12 +22,23 @@ def read_files(spark: SparkSession, path: str, file_format: str = "parquet", sch
     return (reader.schema(schema) if schema else reader).load(path)
 
 
-def parquet_side(
-    spark: SparkSession, folder: str, keys: Mapping[str, Sequence[str]], schema_name: str = "dbo"
+def files_side(
+    spark: SparkSession,
+    folder: str,
+    keys: Mapping[str, Sequence[str]],
+    file_format: str = "parquet",
+    schemas: Mapping[str, str] | None = None,
+    schema_name: str = "dbo",
+    **options,
 ) -> Side:
-    """A side of Parquet tables ``folder/<name>.parquet`` with their keys (an empty list for a table without one)."""
+    """A side of tables stored as ``folder/<name>.<format>``, with their keys (an empty list for a table without one)."""
     return Side.of(
-        TableRef(name, spark.read.parquet(f"{folder}/{name}.parquet"), tuple(key), schema_name)
+        TableRef(
+            name,
+            read_files(spark, f"{folder}/{name}.{file_format}", file_format, (schemas or {}).get(name), **options),
+            tuple(key),
+            schema_name,
+        )
         for name, key in keys.items()
     )
 

@@ -11,7 +11,6 @@ from concord.functions.columns import text
 from concord.operators.cells import row_key
 from concord.operators.keyed import ONLY_IN_SOURCE, ONLY_IN_TARGET
 from concord.operators.run import RunComparison, TableComparison
-from concord.operators.summary import summary_from_differences
 from concord.sources.readers import FILE_FORMATS
 
 
@@ -57,14 +56,10 @@ def write_table(comparison: TableComparison, path: str, file_format: str = "parq
     the summary is counted from the differences and the row counts of the two sides.
     """
     _check(file_format)
-    plan = comparison.plan
-    folder = f"{path}/table_name={quote(plan.table_name, safe='.-_ ')}"
+    folder = f"{path}/table_name={quote(comparison.table_name, safe='.-_ ')}"
     rows = discrepancy_rows(comparison).drop("table_name")
     rows.write.mode("overwrite").format(file_format).partitionBy("category").save(folder)
-    if not plan.usable_key or plan.options.key_range is not None:
-        return comparison.summary
-    source_rows, target_rows = (table.df.count() for table in (plan.source, plan.target))
-    return summary_from_differences(comparison.differences, source_rows, target_rows, plan)
+    return comparison.summary_of_differences
 
 
 def write_run(run: RunComparison, path: str, file_format: str = "parquet") -> DataFrame | None:
