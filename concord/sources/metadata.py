@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from functools import reduce
 
@@ -149,19 +150,28 @@ def information_schema_objects(tables: DataFrame, views: DataFrame, routines: Da
     )
 
 
-def catalog_functions(spark: SparkSession, database: str) -> DataFrame:
-    """The functions stored in a catalog database as an object list; the definition is what the catalog describes."""
-    rows = []
-    for function in spark.catalog.listFunctions(database):
-        if function.isTemporary or not function.namespace or function.namespace[-1] != database:
-            continue
-        described = spark.sql(f"DESCRIBE FUNCTION EXTENDED `{database}`.`{function.name}`").collect()
-        # Creation time and owner tell nothing about the definition.
-        lines = [row[0] for row in described if not row[0].startswith(("Create Time:", "Owner:"))]
-        rows.append((database, function.name, "Function", None, "\n".join(lines)))
+def catalog_functions(spark: SparkSession, database: str, schema_name: str | None = None) -> DataFrame:
+    """The functions stored in a catalog database as an object list, named under ``schema_name`` when given."""
+    rows = [
+        (schema_name or database, function.name, "Function", None, _function_text(function))
+        for function in spark.catalog.listFunctions(database)
+        if not function.isTemporary and function.namespace and function.namespace[-1] == database
+    ]
     return spark.createDataFrame(rows, OBJECT_SCHEMA)
 
 
+def _function_text(function) -> str:
+    """Signature and body of a SQL function, which the catalog describes as JSON; the class of any other function."""
+    try:
+        facts = json.loads(function.description or "")
+    except ValueError:
+        return function.className
+    body = facts.get("sqlFunction.expression") or facts.get("sqlFunction.query")
+    if body is None:
+        return function.className
+    return f"({facts.get('sqlFunction.inputParam', '')}) RETURNS {facts.get('sqlFunction.returnType')} RETURN {body}"
+
+
 def row_counts(source: Side, target: Side) -> DataFrame:
     """Exact row counts of every table of either side, side by side; NULL where a side lacks the table.
 

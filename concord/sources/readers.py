@@ -43,8 +43,16 @@ def files_side(
     )
 
 
-def catalog_side(spark: SparkSession, database: str, keys: Mapping[str, Sequence[str]] | None = None) -> Side:
-    """All tables and views of a catalog database; views never have a key unless one is given."""
+def catalog_side(
+    spark: SparkSession,
+    database: str,
+    keys: Mapping[str, Sequence[str]] | None = None,
+    schema_name: str | None = None,
+) -> Side:
+    """All tables and views of a catalog database; views never have a key unless one is given.
+
+    Two databases of one catalog are compared under a common ``schema_name``.
+    """
     keys = {name.lower(): tuple(key) for name, key in (keys or {}).items()}
     tables = []
     for table in spark.catalog.listTables(database):
@@ -57,7 +65,7 @@ def catalog_side(spark: SparkSession, database: str, keys: Mapping[str, Sequence
                 table.name,
                 spark.table(full_name),
                 keys.get(table.name.lower(), ()),
-                database,
+                schema_name or database,
                 VIEW if is_view else TABLE,
                 view_definition(spark, full_name) if is_view else None,
             )
