@@ -96,12 +96,16 @@ def spread_positions(
     df: DataFrame, group: Sequence[str], order: Sequence[str], position: str, places: int
 ) -> DataFrame:
     """Positions as by :func:`with_positions`, with every group cut over many tasks."""
-    repeated = repeat_rows(counted_starts(df, group, order, places), ROWS, "__copy")
+    starts, largest = counted_starts(df, group, order, places)
+    repeated = repeat_rows(starts, ROWS, "__copy", largest=largest)
     return repeated.selectExpr(*[quote(name) for name in df.columns], f"{START} + __copy AS {quote(position)}")
 
 
-def counted_starts(df: DataFrame, group: Sequence[str], order: Sequence[str], places: int) -> DataFrame:
-    """The distinct rows of ``df`` with their count in ``ROWS`` and the number of earlier rows of the group in ``START``."""
+def counted_starts(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], places: int
+) -> tuple[DataFrame, int]:
+    """The distinct rows of ``df`` with their count in ``ROWS`` and the number of earlier rows of the group in ``START``;
+    and the largest count."""
     columns = df.columns
     inner = [*order, *[name for name in columns if name not in group and name not in order]]
     counted = df.groupBy(*[col(name) for name in columns]).agg(F.expr("count(*)").alias(ROWS))
@@ -122,8 +126,9 @@ def counted_starts(df: DataFrame, group: Sequence[str], order: Sequence[str], pl
         )
     )
     same_place = all_of([*[f"{quote(name)} <=> __g{i}" for i, name in enumerate(group)], f"{_PLACE} = __gp"])
-    return (
+    starts = (
         placed.selectExpr("*", f"{local} AS __local")
         .join(before, F.expr(same_place))
         .selectExpr(*[quote(name) for name in columns], ROWS, f"__before + __local AS {START}")
     )
+    return starts, placed.agg(F.max(ROWS)).first()[0] or 0

@@ -119,7 +119,7 @@ def _by_placement(keys: DataFrame, chunks: int) -> list:
     offsets = boundary_offsets(rows, chunks)
     if not offsets:
         return []
-    starts = counted_starts(keys.withColumn("all_rows", F.lit(1)), ["all_rows"], ["key"], places_for(keys, rows))
+    starts, _ = counted_starts(keys.withColumn("all_rows", F.lit(1)), ["all_rows"], ["key"], places_for(keys, rows))
     first, last = F.col(START), F.col(START) + F.col(ROWS) - 1
     wanted = F.filter(F.array(*[F.lit(offset) for offset in offsets]), lambda offset: offset.between(first, last))
     found = starts.select("key", F.explode(wanted).alias("offset")).orderBy("offset").collect()
