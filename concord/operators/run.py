@@ -23,7 +23,7 @@ from concord.operators.summary import (
 )
 from concord.plans.compare_plan import CompareOptions, ComparePlan, resolve_plan
 from concord.plans.table import Side, TableRef, pair_tables
-from concord.session import materialize
+from concord.session import materialize, side_by_side
 
 
 class TableComparison:
@@ -89,7 +89,7 @@ class RunComparison:
     @cached_property
     def summary(self) -> DataFrame | None:
         """One row per table as one lazy frame, so that Spark runs the tables side by side; None without tables."""
-        parts = [table.summary for table in self.tables.values()]
+        parts = side_by_side(lambda table: table.summary, self.tables.values())
         return reduce(DataFrame.unionByName, parts) if parts else None
 
     def report(self) -> DataFrame:

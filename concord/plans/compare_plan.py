@@ -12,7 +12,7 @@ from concord.plans.table import TableRef
 STRICT = "strict"
 COERCE = "coerce"
 
-TEMPORAL_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+TEMPORAL_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType, T.TimeType)
 
 
 @dataclass(frozen=True)

@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CHECKPOINT_LOCK = Lock()
+
+Item = TypeVar("Item")
+Result = TypeVar("Result")
+
 
 def build_session(app_name: str = "concord", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators were tuned for.
@@ -39,19 +48,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only a local session gets a temporary folder of its own: executors of a cluster could not read it.
     """
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors can read")
-        folder = tempfile.mkdtemp(prefix="concord-checkpoint-")
-    context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
+    with _CHECKPOINT_LOCK:
+        if not context.getCheckpointDir():
+            folder = spark.conf.get("spark.checkpoint.dir", None)
+            if folder is None:
+                if not context.master.startswith("local"):
+                    raise ValueError("set spark.checkpoint.dir to a folder that all executors can read")
+                folder = tempfile.mkdtemp(prefix="concord-checkpoint-")
+            context.setCheckpointDir(folder)
+        return context.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Writes ``df`` once to the checkpoint folder, so that several readers share one evaluation and one row placement."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def side_by_side(work: Callable[[Item], Result], items: Iterable[Item], at_most: int = 8) -> list[Result]:
+    """Runs ``work`` for several tables at once, so that small tables share the cluster; results keep the order."""
+    with ThreadPoolExecutor(max_workers=at_most) as pool:
+        return list(pool.map(work, items))

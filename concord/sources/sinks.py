@@ -11,6 +11,7 @@ from concord.functions.columns import text
 from concord.operators.cells import row_key
 from concord.operators.keyed import ONLY_IN_SOURCE, ONLY_IN_TARGET
 from concord.operators.run import RunComparison, TableComparison
+from concord.session import side_by_side
 from concord.sources.readers import FILE_FORMATS
 
 
@@ -65,7 +66,9 @@ def write_table(comparison: TableComparison, path: str, file_format: str = "parq
 def write_run(run: RunComparison, path: str, file_format: str = "parquet") -> DataFrame | None:
     """Writes ``path/differences`` and ``path/summary`` for all tables of a run and returns the summary."""
     _check(file_format)
-    summaries = [write_table(comparison, f"{path}/differences", file_format) for comparison in run.tables.values()]
+    summaries = side_by_side(
+        lambda comparison: write_table(comparison, f"{path}/differences", file_format), run.tables.values()
+    )
     if not summaries:
         return None
     summary = reduce(DataFrame.unionByName, summaries)
