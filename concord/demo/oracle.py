@@ -581,6 +581,10 @@ WHERE s.doc_id IS NULL OR t.doc_id IS NULL OR s.text IS DISTINCT FROM t.text""",
     "rows_missing_from_source": f"SELECT * FROM ({LINEITEM}) EXCEPT ALL SELECT {_list(LINE_COLUMNS)} FROM lineitem",
     "rows_common": f"SELECT {_list(LINE_COLUMNS)} FROM lineitem INTERSECT ALL SELECT * FROM ({LINEITEM})",
     "table_summary": f"{ORDERS_DIFF}{MOVED} SELECT *, {VERDICT} FROM ({ORDERS_COUNTS})",
+    "table_summary_by_digest": f"{ORDERS_DIFF}{MOVED} SELECT *, {VERDICT} FROM ({ORDERS_COUNTS})",
+    "multiset_summary_by_digest": f"""WITH m AS (
+  SELECT *, 0::BIGINT AS changed, 0::BIGINT AS reassigned FROM ({_multiset(LINE_COLUMNS)} {MULTISET_TOTALS}))
+SELECT 'dbo.lineitem' AS table_name, 'multiset' AS comparison, FALSE AS keys_only, * EXCLUDE (differing_contents), {VERDICT} FROM m""",
     "report_summary": f"{RUN} SELECT *, {VERDICT} FROM run ORDER BY has_differences DESC, lower(table_name)",
     "run_rollup": f"""{RUN} SELECT count(*) AS tables_compared,
   count(*) FILTER (WHERE changed + missing_from_target + missing_from_source + reassigned > 0) AS tables_differing,

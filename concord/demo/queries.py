@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +44,8 @@ BY_PART = CompareOptions(
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    """Registers a query under its name; a trailing underscore sets it apart from a function it calls."""
+    QUERIES[function.__name__.rstrip("_")] = function
     return function
 
 
@@ -293,6 +295,16 @@ def table_summary(spark, folder):
     return orders(spark, folder).summary
 
 
+@query
+def table_summary_by_digest(spark, folder):
+    return orders(spark, folder, replace(PRIMARY_KEY, summary_by_digest=True)).summary
+
+
+@query
+def multiset_summary_by_digest(spark, folder):
+    return lineitem(spark, folder, replace(NO_KEY, summary_by_digest=True)).summary
+
+
 @query
 def report_summary(spark, folder):
     return whole_run(spark, folder).report()
@@ -342,21 +354,17 @@ def accepted_summary(spark, folder):
 
 
 @query
-def capped_examples_per_category(spark, folder):
+def capped_examples_(spark, folder):
     comparison = orders(spark, folder)
     flat = flat_rows(comparison.differences, comparison.plan)
     return capped_examples(flat, ["category"], ["o_orderkey"], 10)
 
 
 @query
-def discrepancy_export(spark, folder):
+def discrepancy_rows_(spark, folder):
     return discrepancy_rows(orders(spark, folder))
 
 
-QUERIES["capped_examples"] = QUERIES.pop("capped_examples_per_category")
-QUERIES["discrepancy_rows"] = QUERIES.pop("discrepancy_export")
-
-
 # Ranges -------------------------------------------------------------------------------------------------------------
 
 
@@ -388,13 +396,10 @@ def diff_by_range(spark, folder):
 
 
 @query
-def row_count_per_table(spark, folder):
+def row_counts_(spark, folder):
     return row_counts(*sides(spark, folder))
 
 
-QUERIES["row_counts"] = QUERIES.pop("row_count_per_table")
-
-
 @query
 def common_tables(spark, folder):
     """Tables of both sides but for an excluded one, with their sizes."""
@@ -408,7 +413,7 @@ def common_tables(spark, folder):
 
 
 @query
-def common_columns_filled(spark, folder):
+def common_columns_(spark, folder):
     """Common columns of a drifted table pair with the number of non-NULL values on each side."""
     source, target = _pair(spark, folder, "customer")
     pairs = common_columns(source, target)
@@ -426,9 +431,6 @@ def common_columns_filled(spark, folder):
     return left.join(right, ["column_no", "column_name"])
 
 
-QUERIES["common_columns"] = QUERIES.pop("common_columns_filled")
-
-
 @query
 def schema_columns(spark, folder):
     source, _ = sides(spark, folder)

@@ -25,6 +25,7 @@ from concord.functions.columns import all_of, any_of, col, quote, struct_of, tex
 from concord.functions.equality import values_equal
 from concord.operators.ordinals import HOT_GROUP_ROWS, HotGroups, find_hot_groups, with_positions
 from concord.plans.compare_plan import ColumnPair, ComparePlan, KeyRange
+from concord.plans.table import TableRef
 
 MATCHED = "matched"
 CHANGED = "changed"
@@ -251,3 +252,28 @@ def aligned_key(plan: ComparePlan) -> list[str]:
         f"coalesce({quote(pair.name, 'source_key')}, {quote(pair.name, 'target_key')})"
         for pair in plan.keys
     ]
+
+
+DIGEST = "__digest"
+
+
+def digest_plan(plan: ComparePlan) -> ComparePlan | None:
+    """The plan with the values of each row replaced by one SHA-256 before the shuffle.
+
+    Counts stay the same: equal values have equal text and the text of a row is injective. The plan is None where that
+    does not hold or nothing is gained: value columns of different types, no value columns, or keys that may repeat
+    and would pair in another order.
+    """
+    if not plan.values or any(pair.source_type != pair.target_type for pair in plan.values):
+        return None
+    if plan.keys and not plan.options.key_unique:
+        return None
+
+    def digested(side: str) -> TableRef:
+        table = plan.source if side == SOURCE else plan.target
+        digest = content_hash((value_expression(pair, side), value_type(pair, side)) for pair in plan.values)
+        keys = [quote(side_name(pair, side)) for pair in plan.keys]
+        return replace(table, df=table.df.selectExpr(*keys, f"{digest} AS {DIGEST}"))
+
+    pair = ColumnPair(DIGEST, DIGEST, T.StringType(), T.StringType())
+    return replace(plan, source=digested(SOURCE), target=digested(TARGET), values=(pair,))

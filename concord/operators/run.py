@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from concord.functions.columns import text
 from concord.operators.cells import cell_diff, row_key
-from concord.operators.keyed import SOURCE, TARGET, differing, keyed_rows, scan
+from concord.operators.keyed import SOURCE, TARGET, differing, digest_plan, keyed_rows, scan
 from concord.operators.multiset import discrepancies
 from concord.operators.ordinals import HOT_GROUP_ROWS
 from concord.operators.reassign import reconcile
@@ -56,7 +56,11 @@ class TableComparison:
     def summary(self) -> DataFrame:
         if not self.plan.common:
             return empty_summary(self.plan)
-        return keyed_summary(self.rows, self.plan) if self.plan.usable_key else multiset_summary(self.plan)
+        digested = digest_plan(self.plan) if self.plan.options.summary_by_digest else None
+        plan = digested or self.plan
+        if not plan.usable_key:
+            return multiset_summary(plan)
+        return keyed_summary(keyed_rows(plan, self.hot_rows) if digested else self.rows, plan)
 
     @cached_property
     def summary_of_differences(self) -> DataFrame:

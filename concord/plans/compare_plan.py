@@ -37,6 +37,8 @@ class CompareOptions:
     key_unique           True: trust that no key repeats; False: pair repeated keys by position; None: look
     key_not_null         True: use plain equality on the key, which lets bucketed tables join without a shuffle
     key_range            compare only this range of the leading key
+    summary_by_digest    count the summary of wide rows from one SHA-256 per row, which is all that is shuffled besides the
+                         key; applies to keyless tables and unique keys whose values have the same types on both sides
     """
 
     match_key: tuple[str, ...] = ()
@@ -49,6 +51,7 @@ class CompareOptions:
     key_unique: bool | None = None
     key_not_null: bool = False
     key_range: KeyRange | None = None
+    summary_by_digest: bool = False
 
     def __post_init__(self) -> None:
         if self.type_policy not in (STRICT, COERCE):

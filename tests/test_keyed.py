@@ -280,3 +280,31 @@ def test_time_of_day_is_excluded_by_default(spark):
     )
     assert counts(compare_tables(source, target)) == (1, 0, 0, 0, 0)
     assert counts(compare_tables(source, target, ALL)) == (0, 1, 0, 0, 0)
+
+
+def test_summary_by_digest_counts_the_same(spark):
+    def both(source, target, schema, keys=("Id",)):
+        found = []
+        for digest in (False, True):
+            options = CompareOptions(exclude_by_type=False, key_unique=bool(keys), summary_by_digest=digest)
+            found.append(compare(spark, source, target, schema, options, keys).summary.first())
+        assert found[0] == found[1]
+        return found[1]
+
+    nan = float("nan")
+    schema = "Id int, a string, b double, c binary"
+    source = [(1, None, nan, None), (2, "x", 0.0, bytearray(b"q")), (3, "m", 1.0, None), (4, "k", 2.0, None)]
+    target = [(1, None, nan, None), (2, "x", -0.0, bytearray(b"q")), (9, "m", 1.0, None), (4, None, 2.0, None)]
+    row = both(source, target, schema)
+    assert (row.matched, row.changed, row.reassigned) == (2, 1, 1)
+    assert both(source, target, schema, ()).comparison == "multiset"
+
+
+def test_digest_is_left_out_where_it_would_count_otherwise(spark):
+    source = table(spark, [(1, 5)], "Id int, v int")
+    target = table(spark, [(1, 5)], "Id int, v bigint")
+    options = CompareOptions(key_unique=True, summary_by_digest=True)
+    assert counts(compare_tables(source, target, options)) == (0, 1, 0, 0, 0)
+    repeated = [(1, "b"), (1, "a")]
+    unsure = CompareOptions(summary_by_digest=True)
+    assert counts(compare(spark, repeated, repeated[:1], "Id int, v string", unsure)) == (0, 1, 1, 0, 0)

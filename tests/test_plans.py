@@ -66,6 +66,13 @@ def test_large_column_is_hashed_below_the_shuffle(spark):
     assert "sha2" in below and "sha2" not in text[: text.index("Exchange hashpartitioning")]
 
 
+def test_digest_is_all_that_is_shuffled_besides_the_key(spark):
+    text = plan_of(QUERIES["table_summary_by_digest"](spark, FOLDER))
+    join = text[text.index("SortMergeJoin") :]
+    scans = [line for line in join.splitlines() if "sk0" in line and "Project" in line]
+    assert scans and all("sha2" in line for line in scans)
+
+
 def test_lines_are_shuffled_once(spark):
     text = plan_of(QUERIES["text_line_diff"](spark, FOLDER))
     assert text.count("REPARTITION_BY_COL") == 1
