@@ -9,7 +9,16 @@ from pyspark.sql import DataFrame
 
 from concord.functions.columns import text
 from concord.operators.cells import cell_diff, row_key
-from concord.operators.keyed import SOURCE, TARGET, differing, digest_plan, keyed_rows, scan
+from concord.operators.keyed import (
+    ONLY_IN_SOURCE,
+    ONLY_IN_TARGET,
+    SOURCE,
+    TARGET,
+    differing,
+    digest_plan,
+    keyed_rows,
+    scan,
+)
 from concord.operators.multiset import discrepancies
 from concord.operators.ordinals import HOT_GROUP_ROWS
 from concord.operators.reassign import reconcile
@@ -72,12 +81,22 @@ class TableComparison:
 
     @property
     def cells(self) -> DataFrame:
+        if not self.plan.usable_key:
+            raise ValueError(f"{self.table_name} has no usable key; its differences are contents, not cells")
         return cell_diff(self.differences, self.plan)
 
     def difference_keys(self, condition: str = "true") -> DataFrame:
-        """``table_name category row_key`` of the differences, the form in which differences are accepted."""
-        return self.differences.filter(condition).selectExpr(
-            f"{text(self.table_name)} AS table_name", "category", f"{row_key(self.plan)} AS row_key"
+        """``table_name category row_key row_count`` of the differences, the form in which differences are accepted.
+
+        Without a key a difference is a content with all its surplus rows, and its key is the content hash.
+        """
+        found = self.differences.filter(condition)
+        name = f"{text(self.table_name)} AS table_name"
+        if self.plan.usable_key:
+            return found.selectExpr(name, "category", f"{row_key(self.plan)} AS row_key", "1L AS row_count")
+        category = f"IF(missing_from_target > 0, '{ONLY_IN_SOURCE}', '{ONLY_IN_TARGET}') AS category"
+        return found.selectExpr(
+            name, category, "content_hash AS row_key", "missing_from_target + missing_from_source AS row_count"
         )
 
 

@@ -201,19 +201,19 @@ def accepted_summary(
 ) -> DataFrame:
     """The summary after some differences were accepted.
 
-    ``differences`` and ``accepted`` hold ``table_name``, ``category`` and ``row_key``; accepted rows leave the count of
-    their category and are counted as accepted. Tables in ``accept_tables`` are accepted as a whole. A table with
+    ``differences`` holds ``table_name``, ``category``, ``row_key`` and ``row_count``, ``accepted`` the first three of
+    them; accepted rows leave the count of their category and are counted as accepted. Tables in ``accept_tables`` are accepted as a whole. A table with
     nothing left counts as identical. Acceptance is an argument of the run and is stored nowhere.
     """
     identity = ["table_name", "category", "row_key"]
     sides = ["source_rows", "target_rows", "matched"]
     names = list(DIFFERENCES.values())
-    hits = differences.select(*identity).join(accepted.select(*identity), identity, "left_semi")
+    hits = differences.select(*identity, "row_count").join(accepted.select(*identity), identity, "left_semi")
     stacked = summary.selectExpr("table_name", *sides, *names, *[f"0L AS a_{name}" for name in names]).unionByName(
         hits.selectExpr(
             "table_name",
             *[f"0L AS {name}" for name in (*sides, *names)],
-            *[f"IF(category = '{category}', 1L, 0L) AS a_{name}" for category, name in DIFFERENCES.items()],
+            *[f"IF(category = '{category}', row_count, 0L) AS a_{name}" for category, name in DIFFERENCES.items()],
         )
     )
     whole = any_of(f"lower(table_name) = {text(name.lower())}" for name in accept_tables)

@@ -160,6 +160,18 @@ def test_acceptance(spark):
     assert whole.accepted == 173 and not whole.has_differences
 
 
+def test_acceptance_without_a_key(spark):
+    source = TableRef("t", spark.createDataFrame([("a",)] * 5 + [("b",)], "v string"))
+    target = TableRef("t", spark.createDataFrame([("a",)] * 2 + [("c",)] * 4, "v string"))
+    comparison = compare_tables(source, target)
+    keys = comparison.difference_keys()
+    three = keys.filter("row_count = 3")
+    row = summary.accepted_summary(keys, three, comparison.summary).first()
+    assert (row.missing_from_target, row.missing_from_source, row.accepted) == (1, 4, 3)
+    with pytest.raises(ValueError):
+        comparison.cells
+
+
 def test_text_files_need_a_schema(spark):
     with pytest.raises(ValueError):
         read_files(spark, "/nowhere", "csv")
