@@ -8,7 +8,9 @@ capacity (``rule="dot"``, greatest is best).
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -24,7 +26,8 @@ from concord.llm.common import text_bytes, written
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker keeps; beyond it the words are encoded again.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 800_000
+TEXTS_AT_ONCE = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -59,34 +62,50 @@ class Capacity:
 class WordEncoder:
     """Ids of a tokenizer that never joins text across white space: words are encoded once and remembered.
 
-    Special tokens written in a text are ordinary text.
+    Its pieces don't cross from letters to punctuation either, so that letters before closing marks are remembered without
+    the marks, and ASCII letters in lower case, as the vocabulary is. Special tokens written in a text are ordinary text.
+    Ids are kept as little-endian unsigned 32-bit integers.
     """
 
+    CLOSING = b".,;:!?"
+
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[bytes, tuple[int, ...]] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
+
+    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        core = word.rstrip(self.CLOSING)
+        if core and core.decode().isalpha():
+            return (core.lower() if core.isascii() else core), word[len(core) :]
+        return word, b""
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.memo) + len(words) > MEMO_WORDS:
-            self.memo.clear()
-        todo = list(words)
-        for at in range(0, len(todo), 4096):
-            part = todo[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.memo.update(zip(part, (tuple(x.ids) for x in found)))
-
-    def encode(self, data: bytes) -> np.ndarray:
-        words = data.split()
-        new = set(words) - self.memo.keys()
-        if new:
-            if len(self.memo) + len(new) > MEMO_WORDS:
-                new = set(words)
-            self.learn(new)
-        memo = self.memo
-        return np.fromiter(chain.from_iterable([memo[w] for w in words]), dtype="<u4")
+        """Makes sure that ``words`` holds all of ``words``."""
+        new = [w for w in words if w not in self.words]
+        if len(self.words) + len(new) > MEMO_WORDS:
+            self.words.clear()
+            self.cores.clear()
+            new = list(words)
+        parts = [self._parts(w) for w in new]
+        cores = list({x for x in chain.from_iterable(parts) if x and x not in self.cores})
+        for at in range(0, len(cores), 4096):
+            some = cores[at : at + 4096]
+            found = self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)
+            self.cores.update((x, array("I", e.ids).tobytes()) for x, e in zip(some, found))
+        own = self.cores
+        self.words.update((w, own[a] + own[b] if b else own[a]) for w, (a, b) in zip(new, parts))
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids of some texts, as many as fit into memory together."""
+        split = [data.split() for data in texts]
+        self.learn(set(chain.from_iterable(split)))
+        for words in split:
+            yield b"".join(map(self.words.__getitem__, words))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -103,18 +122,19 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        end = np.array([end_id], dtype="<u4")
+        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             ids_of, nos, starts, lengths, sums = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.concatenate((encode(text.as_py()), end))
-                for piece, start in enumerate(range(0, len(ids), longest)):
-                    part = ids[start : start + longest]
+            parts = (batch.column(1).slice(at, TEXTS_AT_ONCE).to_pylist() for at in range(0, batch.num_rows, TEXTS_AT_ONCE))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), chain.from_iterable(map(encode, parts))):
+                ids += end
+                for piece, start in enumerate(range(0, len(ids) // 4, longest)):
+                    part = ids[4 * start : 4 * (start + longest)]
                     ids_of.append(doc_id)
                     nos.append(piece)
                     starts.append(start)
-                    lengths.append(len(part))
-                    sums.append(zlib.crc32(part.tobytes()))
+                    lengths.append(len(part) // 4)
+                    sums.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids_of, pa.int64()),
