@@ -21,6 +21,8 @@ from concord.llm.common import written
 
 #: Relative slack on squared distances, far above the rounding of double arithmetic.
 SLACK = 1e-9
+#: Stands for a null id, which sorts last.
+NO_ID = np.iinfo(np.int64).max
 VECTORS = "row long, vec_id long, dim int, v array<double>, table array<double>, norm double"
 
 
@@ -80,7 +82,6 @@ def _search(batches: Iterator[pa.RecordBatch], top: float, k: int) -> Iterator[p
     """Of each block first its vectors come, then queries; only the vectors of one block are held."""
     block, parts, ready = None, [], None
     for batch in batches:
-        names = batch.schema.names
         blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
         cuts = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1
         out: list[tuple] = []
@@ -98,8 +99,7 @@ def _search(batches: Iterator[pa.RecordBatch], top: float, k: int) -> Iterator[p
             if ready is None:
                 whole = pa.concat_tables(parts).combine_chunks()
                 n = whole.num_rows
-                ids = whole.column("vec_id").to_pandas().fillna(np.inf).to_numpy()
-                ids = ids if ids.dtype == np.int64 else np.where(np.isinf(ids), np.iinfo(np.int64).max, ids).astype(np.int64)
+                ids = whole.column("vec_id").combine_chunks().fill_null(NO_ID).to_numpy()
                 table = np.ascontiguousarray(_matrix(whole.column("table"), n).T)
                 ready = ids, whole.column("row").to_numpy(), _matrix(whole.column("v"), n), table
             n = piece.num_rows
@@ -110,7 +110,6 @@ def _search(batches: Iterator[pa.RecordBatch], top: float, k: int) -> Iterator[p
                 least = -np.inf if least is None else least
                 kept, scores = search_block(*ready, queries[i], row, tables[i], least, top, k)
                 out += [(row, name, int(ready[0][j]), int(ready[1][j]), int(s)) for j, s in zip(kept, scores)]
-        assert names
         columns = list(zip(*out)) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, pa.int64()) for c in columns], names=["query_row", "query_id", "vec_id", "row", "score"]
@@ -163,7 +162,7 @@ def top_k(
     for more in results[1:]:
         found = found.unionByName(more)
     rank = F.expr("row_number() over (partition by query_row order by score desc, vec_id asc nulls last, row)")
-    last = F.when(F.col("vec_id") == np.iinfo(np.int64).max, None).otherwise(F.col("vec_id"))
+    last = F.when(F.col("vec_id") == int(NO_ID), None).otherwise(F.col("vec_id"))
     ranked = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), last.alias("vec_id"), "score")
 
