@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+REPO = str(Path(__file__).resolve().parents[1])
+sys.path.insert(0, REPO)
+# The session's Python workers have to find the package too.
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (REPO, os.environ.get("PYTHONPATH"))))
 
 from concord import build_session  # noqa: E402
 

@@ -7,6 +7,8 @@ import os
 import pytest
 
 import __spark_entry__
+from concord.demo.oracle import ORACLE
+from concord.demo.queries import QUERIES
 from comparing import TESTDATA, assert_same, duck
 
 FOLDER = TESTDATA / os.environ.get("CONCORD_TEST_SF", "sf0.01")
@@ -18,10 +20,10 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(__spark_entry__.queries()) == set(__spark_entry__.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(__spark_entry__.queries()))
+@pytest.mark.parametrize("name", sorted(__spark_entry__.oracle_sql()))
 def test_query(spark, connection, name):
     result = __spark_entry__.queries()[name](spark, str(FOLDER))
     assert_same(result, connection, __spark_entry__.oracle_sql()[name])
