@@ -329,7 +329,7 @@ def _json(prefix: str) -> str:
     def text(name: str) -> str:
         column = prefix + name
         if name == "o_orderdate":
-            value = f"'\"' || strftime({column}, '%Y-%m-%dT%H:%M:%S.%g') || '\"'"
+            value = f"'\"' || strftime({column}, '%Y-%m-%dT%H:%M:%S.%f') || '\"'"
         elif name in ("o_orderstatus", "o_orderpriority"):
             value = f"'\"' || {column} || '\"'"
         else:

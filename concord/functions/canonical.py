@@ -11,7 +11,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import types as T
 
-from concord.functions.columns import text
+from concord.functions.columns import quote, text
 
 # Field separator (ASCII unit separator), its escaped form, and the marker of a NULL field.
 SEPARATOR = "\x1f"
@@ -20,21 +20,84 @@ NULL_MARKER = "\\N"
 NULL_DISPLAY = "NULL"
 
 _NESTED = (T.ArrayType, T.StructType, T.MapType)
-_KEEP_NULLS = "map('ignoreNullFields', 'false')"
+_TEXT = (T.StringType, T.CharType, T.VarcharType)
+#: Options under which JSON keeps NULL fields and the whole fraction of a second.
+JSON_OPTIONS = (
+    "map('ignoreNullFields', 'false', 'timestampFormat', \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX\", "
+    "'timestampNTZFormat', \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")"
+)
 
 
-def sorted_entries(column: str) -> str:
-    """A map as a sorted array of its entries, which can be compared, joined and grouped."""
-    return f"sort_array(map_entries({column}))"
+def holds_map(data_type: T.DataType) -> bool:
+    if isinstance(data_type, T.MapType):
+        return True
+    if isinstance(data_type, T.ArrayType):
+        return holds_map(data_type.elementType)
+    return isinstance(data_type, T.StructType) and any(holds_map(field.dataType) for field in data_type)
+
+
+def comparable(column: str, data_type: T.DataType, depth: int = 0) -> str:
+    """A value that can be compared, joined, grouped and sorted: maps, at any depth, as arrays of their sorted entries."""
+    if not holds_map(data_type):
+        return column
+    item = f"x{depth}"
+    if isinstance(data_type, T.ArrayType):
+        return f"transform({column}, {item} -> {comparable(item, data_type.elementType, depth + 1)})"
+    if isinstance(data_type, T.StructType):
+        fields = ", ".join(
+            f"{text(field.name)}, {comparable(quote(field.name, column), field.dataType, depth)}" for field in data_type
+        )
+        return f"IF({column} IS NULL, NULL, named_struct({fields}))"
+    value = comparable(f"{item}.value", data_type.valueType, depth + 1)
+    return f"sort_array(transform(map_entries({column}), {item} -> named_struct('key', {item}.key, 'value', {value})))"
+
+
+def comparable_type(data_type: T.DataType) -> T.DataType:
+    """The type of :func:`comparable`."""
+    if not holds_map(data_type):
+        return data_type
+    if isinstance(data_type, T.ArrayType):
+        return T.ArrayType(comparable_type(data_type.elementType), data_type.containsNull)
+    if isinstance(data_type, T.StructType):
+        return T.StructType([T.StructField(f.name, comparable_type(f.dataType), f.nullable) for f in data_type])
+    fields = [T.StructField("key", data_type.keyType), T.StructField("value", comparable_type(data_type.valueType))]
+    return T.ArrayType(T.StructType(fields))
+
+
+def _nested_text(column: str, data_type: T.DataType, depth: int) -> str:
+    """Text of a value inside another one: never NULL. Texts stand in quotes, so that no text looks like a bracket, a comma
+    or a missing value; fields of a struct go by position, entries of a map in the order of their texts."""
+    item = f"x{depth}"
+    if isinstance(data_type, T.ArrayType):
+        parts = f"transform({column}, {item} -> {_nested_text(item, data_type.elementType, depth + 1)})"
+        value = f"concat('[', array_join({parts}, ','), ']')"
+    elif isinstance(data_type, T.MapType):
+        entry = (
+            f"concat({_nested_text(item + '.key', data_type.keyType, depth + 1)}, ':', "
+            f"{_nested_text(item + '.value', data_type.valueType, depth + 1)})"
+        )
+        value = f"concat('<', array_join(array_sort(transform(map_entries({column}), {item} -> {entry})), ','), '>')"
+    elif isinstance(data_type, T.StructType):
+        fields = [_nested_text(quote(field.name, column), field.dataType, depth) for field in data_type]
+        value = f"concat('{{', concat_ws(','{''.join(', ' + field for field in fields)}), '}}')"
+    elif isinstance(data_type, _TEXT):
+        doubled = f"replace({column}, {text(chr(92))}, {text(chr(92) * 2)})"
+        value = f"concat('\"', replace({doubled}, '\"', {text(chr(92) + chr(34))}), '\"')"
+    else:
+        value = plain_text(column, data_type)
+    return f"IF({column} IS NULL, 'null', {value})"
 
 
 def plain_text(column: str, data_type: T.DataType) -> str:
-    """Text of a value in a fixed, locale-free format; NULL stays NULL."""
+    """Text of a value in a fixed, locale-free format; NULL stays NULL. Equal values have equal text, other values other
+    text: a float zero has no sign, a decimal no trailing zeros, and nested values follow the same rules at any depth."""
     as_string = f"CAST({column} AS STRING)"
     if isinstance(data_type, T.BinaryType):
         return f"hex({column})"
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
         return f"CASE WHEN {column} = 0 THEN '0.0' ELSE {as_string} END"
+    if isinstance(data_type, T.DecimalType) and data_type.scale > 0:
+        return f"trim(TRAILING '.' FROM trim(TRAILING '0' FROM CAST(CAST({column} AS DECIMAL(38, {data_type.scale})) AS STRING)))"
     if isinstance(data_type, T.TimestampNTZType):
         # The cast knows no time zone; the fraction is filled up to six digits.
         with_point = f"concat({as_string}, IF(contains({as_string}, '.'), '', '.'))"
@@ -42,17 +105,15 @@ def plain_text(column: str, data_type: T.DataType) -> str:
     if isinstance(data_type, T.TimestampType):
         # The offset keeps the two passes through a repeated hour apart.
         return f"date_format({column}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX\")"
-    if isinstance(data_type, T.MapType):
-        return f"to_json({sorted_entries(column)}, {_KEEP_NULLS})"
     if isinstance(data_type, _NESTED):
-        return f"to_json({column}, {_KEEP_NULLS})"
+        return f"IF({column} IS NULL, NULL, {_nested_text(column, data_type, 0)})"
     return as_string
 
 
 def canonical_text(column: str, data_type: T.DataType) -> str:
     """Text of a value for hashing: never NULL, and free of the separator."""
     value = plain_text(column, data_type)
-    if isinstance(data_type, (T.StringType, T.CharType, T.VarcharType, *_NESTED)):
+    if isinstance(data_type, (*_TEXT, *_NESTED)):
         doubled = f"replace({value}, {text(chr(92))}, {text(chr(92) * 2)})"
         value = f"replace({doubled}, chr({ord(SEPARATOR)}), {text(ESCAPED_SEPARATOR)})"
     return f"coalesce({value}, {text(NULL_MARKER)})"
@@ -66,7 +127,9 @@ def content_hash(columns: Iterable[tuple[str, T.DataType]]) -> str:
 
 def display_text(column: str, data_type: T.DataType) -> str:
     """What a person reads: hex for bytes, the word NULL for NULL, otherwise the value as text."""
-    if isinstance(data_type, (T.MapType, T.BinaryType)):
+    if isinstance(data_type, _NESTED):
+        value = f"to_json({comparable(column, data_type)}, {JSON_OPTIONS})"
+    elif isinstance(data_type, T.BinaryType):
         value = plain_text(column, data_type)
     else:
         value = f"CAST({column} AS STRING)"

@@ -28,13 +28,17 @@ LARGE_ONE_SIDED = "(large column)"
 
 
 def row_key(plan: ComparePlan) -> str:
-    """Text that identifies a difference inside its table and category: ``name=value`` pairs of the aligned key."""
+    """Text that identifies a difference inside its table and category: ``name=value`` pairs of the aligned key.
+
+    A comma inside a value is written with a backslash before it (and a backslash doubled, as in canonical text), so that
+    different keys never read alike.
+    """
 
     def side_text(struct: str, side: str) -> str:
-        parts = [
-            f"concat({text(pair.name + '=')}, {canonical_text(quote(pair.name, struct), key_type(pair, side))})"
-            for pair in plan.keys
-        ]
+        def value(pair: ColumnPair) -> str:
+            return f"replace({canonical_text(quote(pair.name, struct), key_type(pair, side))}, ',', {text(chr(92) + ',')})"
+
+        parts = [f"concat({text(pair.name + '=')}, {value(pair)})" for pair in plan.keys]
         return f"concat_ws(', ', {', '.join(parts)})"
 
     source, target = side_text("source_key", SOURCE), side_text("target_key", TARGET)

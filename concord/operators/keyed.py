@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.functions.canonical import content_hash, plain_text, sorted_entries
+from concord.functions.canonical import comparable, comparable_type, content_hash, plain_text
 from concord.functions.columns import all_of, any_of, col, quote, struct_of, text
 from concord.functions.equality import values_equal
 from concord.operators.ordinals import HOT_GROUP_ROWS, HotGroups, find_hot_groups, with_positions
@@ -68,10 +68,7 @@ def value_type(pair: ColumnPair, side: str) -> T.DataType:
     data_type = side_type(pair, side)
     if pair.large:
         return T.StringType()
-    if isinstance(data_type, T.MapType):
-        entry = T.StructType([T.StructField("key", data_type.keyType), T.StructField("value", data_type.valueType)])
-        return T.ArrayType(entry)
-    return data_type
+    return comparable_type(data_type)
 
 
 def key_expression(pair: ColumnPair, side: str) -> str:
@@ -84,9 +81,7 @@ def value_expression(pair: ColumnPair, side: str) -> str:
     column = quote(side_name(pair, side))
     if pair.large:
         return f"sha2(CAST({column} AS BINARY), 256)"
-    if isinstance(side_type(pair, side), T.MapType):
-        return sorted_entries(column)
-    return column
+    return comparable(column, side_type(pair, side))
 
 
 def side_frame(plan: ComparePlan, side: str) -> DataFrame:
@@ -220,8 +215,19 @@ def differing(rows: DataFrame) -> DataFrame:
 def one_sided(plan: ComparePlan, category: str) -> DataFrame:
     """Rows of one side whose key is missing on the other side: an anti join that reads only the key of the other side.
 
-    For unique keys; with repeated keys the surplus comes from :func:`keyed_rows`.
+    Keys that are not declared unique may repeat: then the rows are aligned, and the surplus of a key belongs to the
+    result as well.
     """
+    if not plan.options.key_unique:
+        struct = "source" if category == ONLY_IN_SOURCE else "target"
+        return (
+            keyed_rows(plan)
+            .filter(f"category = '{category}'")
+            .selectExpr(
+                *[f"{quote(pair.name, struct + '_key')} AS {quote(pair.name)}" for pair in plan.keys],
+                *[f"{quote(pair.name, struct)} AS {quote(pair.name)}" for pair in plan.values],
+            )
+        )
     side, other = (SOURCE, TARGET) if category == ONLY_IN_SOURCE else (TARGET, SOURCE)
     against = scan(plan, other).select(*_key_names(plan, other))
     return (

@@ -11,11 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.functions.canonical import content_hash, plain_text
+from concord.functions.canonical import comparable, content_hash, plain_text
 from concord.functions.columns import all_of, quote, struct_of
 from concord.operators.expand import CHUNK_ROWS, repeat_rows
 from concord.operators.keyed import SOURCE, TARGET, side_frame, side_name, side_type, value_expression, value_type
-from concord.operators.ordinals import ordering
 from concord.plans.compare_plan import ColumnPair, ComparePlan
 
 SAMPLES_PER_CONTENT = 3
@@ -140,7 +139,8 @@ def sample_rows(plan: ComparePlan, found: DataFrame, samples: int = SAMPLES_PER_
             *[f"{quote(pair.name, 'content')} AS __d{i}" for i, pair in enumerate(plan.values)],
         )
         row = struct_of((pair.name, quote(side_name(pair, side))) for pair in plan.common)
-        rank = f"row_number() OVER (PARTITION BY content_hash ORDER BY {ordering(df.columns)}) AS sample_no"
+        by = ", ".join(f"{comparable(quote(f.name), f.dataType)} ASC NULLS FIRST" for f in df.schema)
+        rank = f"row_number() OVER (PARTITION BY content_hash ORDER BY {by}) AS sample_no"
         same_content = all_of(f"{name} <=> __d{i}" for i, name in enumerate(names))
         parts.append(
             df.selectExpr("*", *[f"{_expression(pair, side)} AS {name}" for name, pair in zip(names, plan.values)])

@@ -7,6 +7,7 @@ from urllib.parse import quote
 
 from pyspark.sql import DataFrame
 
+from concord.functions.canonical import JSON_OPTIONS
 from concord.functions.columns import text
 from concord.operators.cells import row_key
 from concord.operators.keyed import ONLY_IN_SOURCE, ONLY_IN_TARGET
@@ -47,7 +48,7 @@ def discrepancy_rows(comparison: TableComparison) -> DataFrame:
 
 
 def _json(struct: str) -> str:
-    return f"to_json({struct}, map('ignoreNullFields', 'false'))"
+    return f"to_json({struct}, {JSON_OPTIONS})"
 
 
 def write_table(comparison: TableComparison, path: str, file_format: str = "parquet") -> DataFrame:
