@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from concord.llm import convnet, kneser_ney, nbest, packing, rules, sharding, simhash, tokenfiles, topk, urls
 from concord.llm.common import table
+from concord.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,4 +60,3 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     name: run for name, run in list(globals().items()) if name.startswith("op") and callable(run)
 }
-ORACLE: dict[str, str] = {}
