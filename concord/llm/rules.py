@@ -203,8 +203,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, control: Risk | None = Non
 
 def keep_passing(docs: DataFrame, labels: DataFrame, control: Risk | None = None, stratum_col: str = "lang",
                  id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, columns unchanged; cutoffs come from these rows' own labels."""
+    """The rows of ``docs`` that ``quality_rules`` keeps, columns unchanged; cutoffs come from these rows' own labels.
+
+    The measured rows are written once: a filter on computed counts would be pushed below them and compute them again for
+    each of its terms.
+    """
     control = control or Risk()
-    measured = measure(docs, text_col)
+    measured = written(measure(docs, text_col))
     cutoffs = written(thresholds(measured, labels, control, stratum_col, id_col, label))
     return judge(measured, cutoffs, stratum_col).where("__kept").select(*docs.columns)

@@ -66,7 +66,7 @@ def test_false_rejections_stay_below_the_risk(spark):
 def test_few_labels_allow_no_cutoff(spark):
     docs = spark.createDataFrame([(i, "a # b " * 20 + str(i), None) for i in range(30)], "doc_id long, text string, lang string")
     known = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], LABELS)
-    measured = rules.measure(docs)
+    measured = rules.written(rules.measure(docs))
     assert rules.thresholds(measured, known, rules.Risk(), "lang", "doc_id", "quality").count() == 0
 
 
