@@ -32,62 +32,72 @@ def categories(rows):
     return sorted((row.category, row.source_key, row.target_key) for row in rows.collect())
 
 
-WIDGETS = "Id int, Name string, Amount decimal(10,2)"
-SOURCE = [(1, "Alice", Decimal("10.50")), (2, "Bob", Decimal("20.00")), (3, "Carol", Decimal("30.00"))]
-TARGET = [(1, "Alice", Decimal("10.50")), (2, "Bob", Decimal("99.99")), (4, "Dave", Decimal("40.00"))]
-
-
-def test_widgets(spark):
-    comparison = compare(spark, SOURCE, TARGET, WIDGETS)
+PARCELS = "Id int, Depot string, Weight decimal(8,3), Fragile boolean"
+SOURCE = [
+    (11, "Oslo", Decimal("0.250"), True),
+    (12, "Bergen", Decimal("7.125"), False),
+    (13, "Tromsø", None, False),
+    (14, "Bodø", Decimal("3.000"), None),
+    (15, "Molde", Decimal("1.500"), True),
+]
+TARGET = [
+    (11, "Oslo", Decimal("0.250"), True),
+    (12, "Bergen", Decimal("7.126"), False),
+    (13, "Tromsø", None, False),
+    (14, "Narvik", Decimal("3.000"), False),
+    (21, "Hamar", Decimal("2.750"), False),
+    (22, "Voss", Decimal("9.000"), True),
+]
+
+
+def test_parcels(spark):
+    comparison = compare(spark, SOURCE, TARGET, PARCELS)
     summary = comparison.summary.first()
-    assert (summary.source_rows, summary.target_rows) == (3, 3)
-    assert counts(comparison) == (1, 1, 1, 1, 0)
-    changed = comparison.rows.filter("category = 'changed'").first()
-    assert changed.source_key.Id == 2 and changed.changed_columns == ["Amount"]
-    assert (changed.source.Amount, changed.target.Amount) == (Decimal("20.00"), Decimal("99.99"))
-    assert [row.Id for row in one_sided(comparison.plan, "only_in_source").collect()] == [3]
-    assert [row.Id for row in one_sided(comparison.plan, "only_in_target").collect()] == [4]
+    assert (summary.source_rows, summary.target_rows) == (5, 6)
+    assert counts(comparison) == (2, 2, 1, 2, 0)
+    changed = {row.source_key.Id: row for row in comparison.rows.filter("category = 'changed'").collect()}
+    assert {i: row.changed_columns for i, row in changed.items()} == {12: ["Weight"], 14: ["Depot", "Fragile"]}
+    assert (changed[12].source.Weight, changed[12].target.Weight) == (Decimal("7.125"), Decimal("7.126"))
+    assert [row.Id for row in one_sided(comparison.plan, "only_in_source").collect()] == [15]
+    assert sorted(row.Id for row in one_sided(comparison.plan, "only_in_target").collect()) == [21, 22]
 
 
 def test_table_against_itself(spark):
-    comparison = compare(spark, SOURCE, SOURCE, WIDGETS)
-    assert counts(comparison) == (3, 0, 0, 0, 0)
+    comparison = compare(spark, SOURCE, SOURCE, PARCELS)
+    assert counts(comparison) == (5, 0, 0, 0, 0)
     assert not comparison.summary.first().has_differences
     assert comparison.differences.count() == 0
 
 
 def test_binary_and_large_text_travel_as_hash(spark):
-    blob = compare(
-        spark,
-        [(1, bytearray(b"%PDF")), (2, bytearray(b"AAAA"))],
-        [(1, bytearray(b"%PDF")), (2, bytearray(b"BBBB"))],
-        "Id int, Content binary",
-    )
-    assert counts(blob) == (1, 1, 0, 0, 0)
-    assert len(blob.rows.filter("category = 'changed'").first().source.Content) == 64
-    xml = compare(
-        spark,
-        [(1, '<Transaction amount="10"/>'), (2, '<Transaction amount="20"/>')],
-        [(1, '<Transaction amount="10"/>'), (2, '<Transaction amount="99"/>')],
-        "Id int, SourceXml string",
-        CompareOptions(large_columns=("sourcexml",)),
-    )
-    assert counts(xml) == (1, 1, 0, 0, 0)
-    assert "Transaction" not in str(xml.rows.collect())
-    cells = {row.column_name: row for row in xml.cells.collect()}
-    assert cells["SourceXml"].source_value == "(large column — content differs)"
-    assert cells["Id"].cell_kind == "Matched" and cells["SourceXml"].cell_kind == "RealDifference"
+    kind = "Id int, Image binary"
+    before = [(i, bytearray([i, 0, 255 - i])) for i in range(4)]
+    after = [(i, bytearray([i, i % 2, 255 - i])) for i in range(4)]
+    blob = compare(spark, before, after, kind)
+    assert counts(blob) == (2, 2, 0, 0, 0)
+    assert all(len(row.source.Image) == 64 for row in blob.rows.filter("category = 'changed'").collect())
+    options = CompareOptions(large_columns=("letter",))
+    before = [(i, f"Dear customer {i}, " + "thank you. " * 40) for i in range(3)]
+    after = [(i, text if i != 1 else text + "Yours") for i, text in before]
+    letters = compare(spark, before, after, "Id int, Letter string", options)
+    assert counts(letters) == (2, 1, 0, 0, 0)
+    assert "customer" not in str(letters.rows.collect())
+    cells = {row.column_name: row for row in letters.cells.collect()}
+    assert cells["Letter"].source_value == "(large column — content differs)"
+    assert cells["Id"].cell_kind == "Matched" and cells["Letter"].cell_kind == "RealDifference"
 
 
 def test_reassigned_row(spark):
-    schema = "Id int, Text string, Note string"
-    comparison = compare(spark, [(1, "Row1", "x"), (2, "Row2", "y")], [(2, "Row2", "y"), (6, "Row1", "x")], schema)
-    assert sorted(row.category for row in comparison.rows.collect()) == ["matched", "only_in_source", "only_in_target"]
-    assert counts(comparison) == (1, 0, 0, 0, 1)
-    moved = comparison.differences.first()
-    assert (moved.category, moved.source_key.Id, moved.target_key.Id, moved.source.Text) == ("reassigned", 1, 6, "Row1")
-    kinds = {row.column_name: row.cell_kind for row in comparison.cells.collect()}
-    assert kinds == {"Id": "ExpectedDifference", "Text": "Matched", "Note": "Matched"}
+    schema = "Id int, Depot string, Shelf int"
+    source = [(3, "Oslo", 40), (5, "Voss", 41), (8, "Molde", 42)]
+    target = [(3, "Oslo", 40), (30, "Molde", 42), (50, "Voss", 44)]
+    comparison = compare(spark, source, target, schema)
+    assert sorted(row.category for row in comparison.rows.collect()) == ["matched"] + ["only_in_source"] * 2 + ["only_in_target"] * 2
+    assert counts(comparison) == (1, 0, 1, 1, 1)
+    moved = comparison.differences.filter("category = 'reassigned'").first()
+    assert (moved.source_key.Id, moved.target_key.Id, moved.source.Depot) == (8, 30, "Molde")
+    kinds = {row.column_name: row.cell_kind for row in comparison.cells.filter("category = 'reassigned'").collect()}
+    assert kinds == {"Id": "ExpectedDifference", "Depot": "Matched", "Shelf": "Matched"}
 
 
 def test_moved_and_edited_row_stays_two_orphans(spark):
@@ -270,8 +280,8 @@ def test_timestamps_keep_full_precision(spark):
 
 
 def test_differing_leaves_matched_rows_out(spark):
-    comparison = compare(spark, SOURCE, TARGET, WIDGETS)
-    assert differing(comparison.rows).count() == 3
+    comparison = compare(spark, SOURCE, TARGET, PARCELS)
+    assert differing(comparison.rows).count() == 5
 
 
 def test_time_of_day_is_excluded_by_default(spark):

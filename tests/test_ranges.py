@@ -19,8 +19,8 @@ def boundaries_by_sorting(values, chunks):
 
 def test_ranges_from_boundaries():
     assert ranges.key_ranges([]) == [KeyRange(None, None)]
-    found = [(r.lower, r.upper) for r in ranges.key_ranges([100, 200, 300, 400])]
-    assert found == [(None, 100), (100, 200), (200, 300), (300, 400), (400, None)]
+    found = [(r.lower, r.upper) for r in ranges.key_ranges([-7, 12, 55])]
+    assert found == [(None, -7), (-7, 12), (12, 55), (55, None)]
     assert ranges.boundary_offsets(100, 1) == [] and ranges.boundary_offsets(1, 5) == []
     assert ranges.boundary_offsets(10, 3) == [4, 8]
     with pytest.raises(ValueError):
@@ -28,11 +28,12 @@ def test_ranges_from_boundaries():
 
 
 def test_labels():
+    # The form of a label is a fixed value.
     label = ranges.range_label
-    assert label(1, 1, "ID", KeyRange()) == "Chunk 1 of 1 (all rows)"
-    assert label(1, 5, "ID", KeyRange(None, 1000)) == "Chunk 1 of 5 (ID ≤ 1,000)"
-    assert label(2, 5, "ID", KeyRange(10720068, 21440134)) == "Chunk 2 of 5 (ID 10,720,068 – 21,440,134)"
-    assert label(5, 5, "ID", KeyRange(7, None)) == "Chunk 5 of 5 (ID > 7)"
+    assert label(1, 1, "parcel", KeyRange()) == "Chunk 1 of 1 (all rows)"
+    assert label(1, 3, "parcel", KeyRange(None, 4321)) == "Chunk 1 of 3 (parcel ≤ 4,321)"
+    assert label(2, 3, "parcel", KeyRange(4321, 7654321)) == "Chunk 2 of 3 (parcel 4,321 – 7,654,321)"
+    assert label(3, 3, "parcel", KeyRange(7654321, None)) == "Chunk 3 of 3 (parcel > 7,654,321)"
 
 
 @pytest.mark.parametrize(
@@ -67,32 +68,35 @@ def test_boundaries_of_dates_and_text(spark):
     assert ranges.range_boundaries(df, "t", 4) == boundaries_by_sorting(texts, 4)
 
 
-def widgets(spark):
-    schema = "Id int, Amount decimal(10,2)"
-    source = [(i, Decimal(i)) for i in range(1, 101)]
-    target = [(i, Decimal(2 * i) if i % 10 == 0 else Decimal(i)) for i in range(1, 101) if not 96 <= i <= 99]
+def parcels(spark):
+    """240 keys: every seventh weighs more in Target, keys from 200 to 210 are missing there and three are new."""
+    schema = "Id int, Weight decimal(8,3)"
+    source = [(i, Decimal(i)) for i in range(240)]
+    target = [(i, Decimal(i + 1) if i % 7 == 0 else Decimal(i)) for i in range(240) if not 200 <= i <= 210]
+    target += [(i, Decimal(-1)) for i in (300, 301, 302)]
     return (
-        TableRef("w", spark.createDataFrame(source, schema), ("Id",)),
-        TableRef("w", spark.createDataFrame(target, schema), ("Id",)),
+        TableRef("p", spark.createDataFrame(source, schema), ("Id",)),
+        TableRef("p", spark.createDataFrame(target, schema), ("Id",)),
     )
 
 
 def test_parts_add_up_to_the_whole(spark):
-    source, target = widgets(spark)
+    source, target = parcels(spark)
+    changed = sum(i % 7 == 0 and not 200 <= i <= 210 for i in range(240))
     whole = compare_tables(source, target)
-    boundaries = ranges.range_boundaries(source.df, "Id", 4)
-    assert boundaries == [26, 51, 76]
+    boundaries = ranges.range_boundaries(source.df, "Id", 6)
+    assert boundaries == boundaries_by_sorting(range(240), 6)
     parts = ranges.diff_by_range(whole.rows, whole.plan, boundaries).collect()
-    assert len(parts) == 4
+    assert len(parts) == 6
     total = [sum(part[name] for part in parts) for name in ("only_in_source", "changed", "matched", "only_in_target")]
-    assert total == [4, 10, 86, 0]
+    assert total == [11, changed, 229 - changed, 3]
     # The same through separate comparisons of each range, filtered at the scan.
     singles = [
         compare_tables(source, target, CompareOptions(key_range=key_range)).summary.first()
         for key_range in ranges.key_ranges(boundaries)
     ]
-    assert sum(row.missing_from_target for row in singles) == 4
-    assert sum(row.changed for row in singles) == 10 and sum(row.matched for row in singles) == 86
+    assert sum(row.missing_from_target for row in singles) == 11 and sum(row.missing_from_source for row in singles) == 3
+    assert sum(row.changed for row in singles) == changed and sum(row.matched for row in singles) == 229 - changed
 
 
 def test_combined_counts_reconcile_once(spark):
