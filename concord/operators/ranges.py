@@ -22,7 +22,8 @@ from concord.operators.summary import part_counts
 from concord.plans.compare_plan import ComparePlan, KeyRange
 
 BUCKETS = 4096
-MAX_CHUNKS = 1000
+#: Counts that one pass brings to the driver at most; with many intervals each gets fewer buckets, and a pass more.
+COUNTS_AT_ONCE = 1 << 20
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _EPOCH = dt.date(1970, 1, 1)
@@ -40,8 +41,6 @@ class _Target:
 
 def boundary_offsets(rows: int, chunks: int) -> list[int]:
     """0-based positions of the boundaries that cut ``rows`` rows into ``chunks`` parts of equal size."""
-    if chunks > MAX_CHUNKS:
-        raise ValueError(f"at most {MAX_CHUNKS} ranges")
     if chunks < 2 or rows < 2:
         return []
     size = -(-rows // chunks)
@@ -67,7 +66,8 @@ def _narrow(keys: DataFrame, chunks: int) -> list[int]:
     targets = [_Target(offset, low, high) for offset in boundary_offsets(rows, chunks)]
     while any(target.low < target.high for target in targets):
         intervals = sorted({(target.low, target.high) for target in targets if target.low < target.high})
-        widths = {interval: -(-(interval[1] - interval[0] + 1) // BUCKETS) for interval in intervals}
+        buckets = max(2, min(BUCKETS, COUNTS_AT_ONCE // len(intervals)))
+        widths = {interval: -(-(interval[1] - interval[0] + 1) // buckets) for interval in intervals}
         counts = _bucket_counts(keys, intervals, widths)
         for target in targets:
             interval = (target.low, target.high)
@@ -78,18 +78,22 @@ def _narrow(keys: DataFrame, chunks: int) -> list[int]:
 
 def _bucket_counts(keys: DataFrame, intervals: list[tuple[int, int]], widths: dict) -> dict:
     """Rows per bucket of each interval. Intervals are disjoint, so a row falls into one bucket at most."""
-    branches = []
-    for number, (low, high) in enumerate(intervals):
-        # The distance from the lower end may not fit a long when the keys span most of the long range.
-        distance = f"x - {_long(low)}" if high - low < 2**63 else f"CAST(x AS DECIMAL(20, 0)) - {low}BD"
-        bucket = f"CAST(({distance}) div {widths[(low, high)]} AS BIGINT)"
-        branches.append(
-            f"WHEN x BETWEEN {_long(low)} AND {_long(high)} THEN named_struct('interval', {number}, 'bucket', {bucket})"
-        )
+    # Lower ends may lie further from a key than a long can tell.
+    wide = any(high - low >= 2**63 for low, high in intervals)
+    kind = "decimal(20,0)" if wide else "long"
+    lows, sizes = (
+        F.array(*map(F.lit, values)).cast("array<" + kind + ">")
+        for values in ([low for low, _ in intervals], [widths[interval] for interval in intervals])
+    )
+    x = F.col("x").cast(kind)
+    at = F.col("interval")
     found = (
-        keys.selectExpr(f"CASE {' '.join(branches)} END AS place")
-        .filter("place IS NOT NULL")
-        .groupBy("place.interval", "place.bucket")
+        keys.withColumn("interval", count_below(F.col("x"), [high for _, high in intervals]))
+        .filter(F.col("interval") < len(intervals))
+        .filter(F.col("x") >= F.get(lows, at))
+        .select("interval", (x - F.get(lows, at)).alias("distance"), F.get(sizes, at).alias("width"))
+        .selectExpr("interval", "CAST(distance div width AS BIGINT) AS bucket")
+        .groupBy("interval", "bucket")
         .agg(F.expr("count(*)").alias("rows"))
         .collect()
     )
@@ -99,10 +103,6 @@ def _bucket_counts(keys: DataFrame, intervals: list[tuple[int, int]], widths: di
     return counts
 
 
-def _long(value: int) -> str:
-    return f"CAST({value}BD AS BIGINT)" if value == -(2**63) else f"{value}L"
-
-
 def _step(target: _Target, counts: dict[int, int], width: int) -> None:
     before = target.before
     for bucket in sorted(counts):
@@ -174,12 +174,27 @@ def ranges_frame(spark: SparkSession, column: str, boundaries: list, data_type:
     return spark.createDataFrame(rows, schema)
 
 
+def count_below(key: Column, bounds: list) -> Column:
+    """How many of the sorted ``bounds`` lie below the key, by binary search: the expression doesn't grow with their number
+    but for one literal array. 0 for NULL."""
+    if not bounds:
+        return F.lit(0)
+    values = F.array(*map(F.lit, bounds))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        above = (acc["low"] < acc["high"]) & (key > F.get(values, middle))
+        low, high = F.when(above, middle + 1).otherwise(acc["low"]), F.when(above, acc["high"]).otherwise(middle)
+        return F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    return F.aggregate(steps, start, halve, lambda acc: acc["low"])
+
+
 def bucket_of(key: Column, boundaries: list) -> Column:
     """1-based number of the range that holds the key; NULL belongs to the first."""
-    bucket = F.lit(1)
-    for boundary in boundaries:
-        bucket = bucket + F.when(key > F.lit(boundary), F.lit(1)).otherwise(F.lit(0))
-    return bucket
+    return count_below(key, boundaries) + 1
 
 
 def with_bucket(rows: DataFrame, plan: ComparePlan, boundaries: list) -> DataFrame:

@@ -6,6 +6,7 @@ from decimal import Decimal
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from concord import CompareOptions, KeyRange, TableRef, compare_tables
 from concord.operators import ranges, summary
@@ -23,8 +24,7 @@ def test_ranges_from_boundaries():
     assert found == [(None, -7), (-7, 12), (12, 55), (55, None)]
     assert ranges.boundary_offsets(100, 1) == [] and ranges.boundary_offsets(1, 5) == []
     assert ranges.boundary_offsets(10, 3) == [4, 8]
-    with pytest.raises(ValueError):
-        ranges.boundary_offsets(10, 5000)
+    assert ranges.boundary_offsets(10, 5000) == list(range(1, 10))
 
 
 def test_labels():
@@ -99,6 +99,23 @@ def test_parts_add_up_to_the_whole(spark):
     assert sum(row.changed for row in singles) == changed and sum(row.matched for row in singles) == 229 - changed
 
 
+def test_thousands_of_ranges(spark):
+    """Boundaries and buckets of very many ranges, with few counts in the driver at once."""
+    df = spark.range(20_000).selectExpr("id * 1000003 % 20011 AS k")
+    boundaries = ranges.range_boundaries(df, "k", 3000)
+    assert boundaries == boundaries_by_sorting([row.k for row in df.collect()], 3000)
+    found = df.select("k", ranges.bucket_of(F.col("k"), boundaries).alias("b")).groupBy("b").count().collect()
+    assert len(found) >= len(boundaries) and sum(row["count"] for row in found) == 20_000
+    assert max(row["count"] for row in found) <= 8
+
+
+def test_bucket_of_every_place(spark):
+    df = spark.createDataFrame([(k,) for k in (None, -5, 3, 4, 10, 11, 99)], "k int")
+    found = [row.b for row in df.select(ranges.bucket_of(F.col("k"), [3, 10, 11]).alias("b")).collect()]
+    assert found == [1, 1, 1, 2, 2, 3, 4]
+    assert {row.b for row in df.select(ranges.bucket_of(F.col("k"), []).alias("b")).collect()} == {1}
+
+
 def test_combined_counts_reconcile_once(spark):
     columns = "table_name string, source_rows long, target_rows long, matched long, only_in_source long, only_in_target long, changed long"
     parts = spark.createDataFrame([("t", 100, 90, 80, 5, 2, 1), ("t", 200, 210, 195, 0, 3, 2)], columns)
