@@ -185,8 +185,8 @@ def _step(net, docs, y, weight, moments, steps, rate, rng) -> None:
     g_window = g_pooled[:, :, None] * w["filter"].T[None]
     cells = (best[:, :, None] * s.step + np.arange(s.width)).reshape(len(chunks), -1)
     bytes_ = np.take_along_axis(chunks, cells, axis=1).ravel()
-    g_byte = np.zeros_like(w["byte"])
-    np.add.at(g_byte, bytes_, g_window.reshape(-1, s.vector))
+    by_byte = g_window.reshape(-1, s.vector).T
+    g_byte = np.stack([np.bincount(bytes_, weights=g, minlength=256) for g in by_byte], axis=1).astype(np.float32)
     grads = {
         "byte": g_byte,
         "filter": np.einsum("cf,cfk->kf", g_pooled, chosen),
