@@ -73,23 +73,39 @@ def bin_of(key: np.ndarray, bins: int) -> np.ndarray:
 # ---- blocks: n-grams sorted by context and word, each context once with its number of words
 
 
-def summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of ``columns`` (first and last identify a row), sorted by first and last, with summed counts."""
-    heads, first = np.unique(columns[0], return_inverse=True)
-    words, last = np.unique(columns[-1], return_inverse=True)
-    packed = (first.astype(U) << U(32)) | last.astype(U)
-    if len(columns) == 2 and (counts == 1).all():
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and for each value its place among them."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    place = np.empty(len(values), dtype=np.uint32)
+    place[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return ordered[new], place
+
+
+def summed(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of ``columns`` (first and last identify a row), sorted by first and last, with summed counts; each row
+    counts once without ``counts``. A block is far below 2^32 rows."""
+    heads, place = numbered(columns[0])
+    packed = place.astype(U)
+    packed <<= U(32)
+    words, place = numbered(columns[-1])
+    packed |= place
+    del place
+    order = None
+    if counts is None and len(columns) == 2:
         packed.sort()
-        starts = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])))
-        total = np.diff(np.concatenate((starts, [len(packed)])))
-        packed = packed[starts]
-        return [heads[packed >> U(32)], words[packed & U(0xFFFFFFFF)]], total
-    order = np.argsort(packed)
-    packed = packed[order]
+    else:
+        order = np.argsort(packed)
+        packed = packed[order]
     starts = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])))
-    total = np.add.reduceat(counts[order].astype(np.int64), starts)
-    rows = order[starts]
-    return [c[rows] for c in columns], total
+    if counts is None:
+        total = np.diff(np.concatenate((starts, [len(packed)])))
+    else:
+        total = np.add.reduceat(counts[order].astype(np.int64), starts)
+    packed = packed[starts]
+    middle = [c[order[starts]] for c in columns[1:-1]]
+    return [heads[packed >> U(32)], *middle, words[packed & U(0xFFFFFFFF)]], total
 
 
 def run_heads(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,9 +231,11 @@ _ARRAYS: dict[str, Arrays] = {}
 def _gather(order: int, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def combined(parts: list[np.ndarray]) -> pa.RecordBatch:
         flat = np.concatenate(parts)
+        parts.clear()
         taken = flat != BOS
         columns = [c[taken] for c in reversed(contexts(flat, order - 1))] + [flat[taken]]
-        columns, counts = summed(columns, np.ones(len(columns[0]), dtype=np.int64))
+        del flat, taken
+        columns, counts = summed(columns)
         rows = _dealt(0, order, shard_of(columns[0], columns[-1], shards), columns, counts)
         return _table(rows).combine_chunks().to_batches()[0]
 
@@ -240,8 +258,8 @@ def _merge(folder: str, level: int, order: int, shards: int, bins: int) -> Calla
     """One shard of one order: writes its arrays, yields what lower orders and statistics by key need."""
 
     def run(group: pa.Table) -> pa.Table:
-        blocks = [_decoded(r) for r in group.to_pylist()]
         shard = group.column("bin")[0].as_py()
+        blocks = [_decoded(r) for r in group.to_pylist()]
         columns = [np.concatenate(c) for c in zip(*(b[0] for b in blocks))]
         columns, counts = summed(columns, np.concatenate([b[1] for b in blocks]))
         del blocks
@@ -263,7 +281,7 @@ def _merge(folder: str, level: int, order: int, shards: int, bins: int) -> Calla
         else:
             if level == order:
                 out += _keyed(1, 1, bins, words, np.zeros(len(words), np.int64), raw)
-            lower, once = summed(columns[1:], np.ones(len(counts), dtype=np.int64))
+            lower, once = summed(columns[1:])
             out += _dealt(0, level - 1, shard_of(lower[0], lower[-1], shards), lower, once)
         return _table(out)
 
