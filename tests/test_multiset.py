@@ -46,21 +46,24 @@ def test_largest_difference_first(spark):
     assert [row.content.h for row in multiset.top_discrepancies(comparison.plan, 1).collect()] == ["big"]
 
 
-SCHEMA = "Id int, Name string, Created timestamp, Amount decimal(10,2)"
-WIDGETS = [
-    (1, "Alice", dt.datetime(2024, 1, 1, 10), Decimal("10.50")),
-    (2, "Alice", dt.datetime(2024, 1, 1, 10), Decimal("10.50")),
-    (3, "Bob", None, None),
+SCHEMA = "Id int, Depot string, Seen timestamp, Weight decimal(8,3)"
+PARCELS = [
+    (31, "Voss", dt.datetime(2022, 7, 9, 6, 30), Decimal("4.125")),
+    (32, None, None, Decimal("0.500")),
+    (33, "Voss", dt.datetime(2022, 7, 9, 6, 30), Decimal("4.125")),
+    (34, "Voss", dt.datetime(2022, 7, 9, 6, 30), Decimal("4.125")),
+    (35, None, None, Decimal("0.500")),
+    (36, "Hamar", None, None),
 ]
 
 
 def test_hash_counts_and_samples(spark):
-    df = spark.createDataFrame(WIDGETS, SCHEMA)
-    assert sorted(row.occurrences for row in multiset.hash_counts(df, ["Name", "Created", "Amount"]).collect()) == [1, 2]
+    df = spark.createDataFrame(PARCELS, SCHEMA)
+    assert sorted(row.occurrences for row in multiset.hash_counts(df, ["Depot", "Seen", "Weight"]).collect()) == [1, 2, 3]
     options = CompareOptions(exclude_by_type=False, exclude_columns=("Id",))
-    plan = compare(spark, WIDGETS, [WIDGETS[2]], SCHEMA, options).plan
+    plan = compare(spark, PARCELS, [PARCELS[1], PARCELS[4], PARCELS[5]], SCHEMA, options).plan
     samples = multiset.sample_rows(plan, multiset.discrepancies(plan)).collect()
-    assert [(row.row.Id, row.row.Name, row.sampled_side) for row in samples] == [(1, "Alice", "source"), (2, "Alice", "source")]
+    assert [(row.row.Id, row.row.Depot, row.sampled_side) for row in samples] == [(i, "Voss", "source") for i in (31, 33, 34)]
 
 
 def test_samples_are_limited(spark):
