@@ -29,6 +29,10 @@ HEADLINE = (
     "range_boundaries",
     "report_summary",
     "text_line_diff",
+    "text_positional_diff",
+    "large_content_pairs",
+    "capped_examples",
+    "accepted_summary",
     "object_classes",
     "schema_column_diff",
 )
