@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from concord.llm.common import text_bytes, written
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker keeps; beyond it the words are encoded again.
-MEMO_WORDS = 800_000
+#: Words, and letters of words, whose ids a worker keeps: about 200 bytes each. Words are put together again from their
+#: letters at little cost, letters beyond the limit are encoded again.
+MEMO_WORDS, MEMO_CORES = 200_000, 400_000
 TEXTS_AT_ONCE = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -89,8 +90,9 @@ class WordEncoder:
         new = [w for w in words if w not in self.words]
         if len(self.words) + len(new) > MEMO_WORDS:
             self.words.clear()
-            self.cores.clear()
             new = list(words)
+        if len(self.cores) + len(new) > MEMO_CORES:
+            self.cores.clear()
         parts = [self._parts(w) for w in new]
         cores = list({x for x in chain.from_iterable(parts) if x and x not in self.cores})
         for at in range(0, len(cores), 4096):
