@@ -344,7 +344,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), c) for d, c in zip(found, (1.0, 2.0, 3.0)))
 
 
-def train(texts: DataFrame, text_col: str = "text", order: int = 2) -> Model:
+def train(texts: DataFrame, text_col: str = "text", order: int = 3) -> Model:
     """Counts all n-grams of all ``texts``; nothing is pruned. Null texts are empty: one end token."""
     if order < 2:
         raise ValueError("the order is at least 2")
@@ -450,7 +450,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, out_schema)
 
 
-def language_model_scores(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text",
+def language_model_scores(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text",
                           folds: int = 10) -> DataFrame:
     """Learns from the rows outside fold 0 and scores all rows, see ``score``."""
     model = train(docs.where(fold(F.col(id_col), folds) != 0), text_col, order)

@@ -8,6 +8,7 @@ from brute import awkward, empty, fold, lower, words
 
 from concord.llm import kneser_ney
 from concord.llm.common import table
+from concord.llm.queries import op2_kneser_ney
 
 
 def plain_model(texts, order):
@@ -92,3 +93,14 @@ def test_empty(spark):
     some = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     model = kneser_ney.train(empty(spark))
     assert all(r.n_known == 0 and r.score < 0 for r in kneser_ney.score(some, model).collect())
+
+
+def test_query_takes_a_middle_order(spark, tmp_path):
+    """The registered query is the model of order 3, whose interpolation has an order between words and whole n-grams."""
+    rows = [(i, "a b c a b d") for i in range(1, 30)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    scores = lambda df: sorted(tuple(r) for r in df.collect())
+    found = scores(op2_kneser_ney(spark, str(tmp_path)))
+    assert found == scores(kneser_ney.language_model_scores(docs, 3))
+    assert found != scores(kneser_ney.language_model_scores(docs, 2))
