@@ -1,7 +1,7 @@
 """N-best segmentation with the pieces of a SentencePiece vocabulary, and decoding.
 
-A text is cut before each white-space mark, as the vocabulary's own pieces are. Over the piece lattice of such a word a
-forward Viterbi pass gives the best score of every prefix; these scores are the exact remaining cost of a backward A*
+A text is cut before each run of white-space marks, which stays with what follows: pieces hold marks only at their
+beginning (a vocabulary with others has its texts solved whole). Over the piece lattice of such a word a forward Viterbi pass gives the best score of every prefix; these scores are the exact remaining cost of a backward A*
 search from the end of the word, which therefore yields segmentations in order of their score. The best segmentations of
 a text are combinations of its words' best, merged one word after the other.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
+WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 MEMO_WORDS = 500_000
 UNIT = 1_000_000
 NEVER = -(1 << 62)
@@ -56,6 +58,8 @@ class Pieces:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.byte_score = -round(UNIT * (math.log(size + 2) + 1))
         self.longest = max(map(len, self.ids), default=1)
+        #: Whether a piece reaches from one word into the next.
+        self.across = any(len(WORDS.findall(MARK + piece)) > 1 for piece in self.ids)
 
     def arcs(self, word: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
         """For each end position the arcs that end there: start, score, ids."""
@@ -128,9 +132,9 @@ def merge_best(left: list[tuple[int, tuple]], right: list[tuple[int, tuple]], n:
 
 
 def words_of(text: str) -> list[str]:
-    """Spaces become marks, one is put in front, and each mark begins a word; joined, the words give the marked text."""
-    head, *rest = (MARK + text.replace(" ", MARK)).split(MARK)
-    return ([head] if head else []) + [MARK + x for x in rest]
+    """Spaces become marks, one is put in front, and each run of marks begins a word; joined, the words give the marked
+    text. No piece reaches from one word into the next unless it holds a mark behind another character."""
+    return WORDS.findall(MARK + text.replace(" ", MARK))
 
 
 class Lattices:
@@ -275,7 +279,7 @@ class Segmenter:
 
     def texts(self, texts: list[str]) -> Iterator[list[tuple[int, bytes, bool]]]:
         """``text`` of some texts, as many as fit into memory together."""
-        split = [words_of(x) for x in texts]
+        split = [["".join(words_of(x))] if self.pieces.across else words_of(x) for x in texts]
         self.learn(set(chain.from_iterable(split)))
         return map(self.text, split)
 

@@ -67,3 +67,12 @@ def test_round_trip(spark, which):
 
 def test_empty(spark):
     assert nbest.decode(nbest.encode(empty(spark))).count() == 0
+
+
+@pytest.mark.parametrize("text", ["a  b", "   x", "a    ", "if a:\n    b"])
+def test_runs_of_spaces_against_the_uncut_text(seg, text):
+    """Pieces of several marks are taken: all segmentations of the whole marked text, not of its words."""
+    marked = nbest.MARK + text.replace(" ", nbest.MARK)
+    want = sorted((s for s, _ in all_segmentations(seg.pieces, marked)), reverse=True)[:4]
+    found = next(iter(seg.texts([text])))
+    assert [s for s, _, _ in found] == want and all(ok for _, _, ok in found)
