@@ -38,9 +38,21 @@ def local_path(path: str) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` evaluated once into Parquet in the shared folder: readers share it, and a lost executor loses none of it."""
+    return written_at(df)[0]
+
+
+def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """As ``written``, with the folder, for tables that are removed once their last reader is done."""
     path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of the shared store whose tables no one reads any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concord.llm import convnet, kneser_ney, nbest, packing, rules, sharding, simhash, tokenfiles, topk, urls
+from concord.llm import (
+    bitplanes,
+    convnet,
+    kneser_ney,
+    nbest,
+    packing,
+    phrases,
+    records,
+    rules,
+    sharding,
+    simhash,
+    tokenfiles,
+    topk,
+    urls,
+)
 from concord.llm.common import table
 from concord.llm.oracle import ORACLE
 
@@ -57,6 +71,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     name: run for name, run in list(globals().items()) if name.startswith("op") and callable(run)
 }
