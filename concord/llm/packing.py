@@ -8,12 +8,9 @@ capacity (``rule="dot"``, greatest is best).
 
 from __future__ import annotations
 
-import os
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 from math import ceil
 
 import numpy as np
@@ -22,13 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import text_bytes, written
+from concord.llm.common import written
+from concord.llm.wordids import SpacedWords, WordIds
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words, and letters of words, whose ids a worker keeps: about 200 bytes each. Words are put together again from their
-#: letters at little cost, letters beyond the limit are encoded again.
-MEMO_WORDS, MEMO_CORES = 200_000, 400_000
-TEXTS_AT_ONCE = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -60,93 +54,31 @@ class Capacity:
 # ---- token ids
 
 
-class WordEncoder:
-    """Ids of a tokenizer that never joins text across white space: words are encoded once and remembered.
-
-    Its pieces don't cross from letters to punctuation either, so that letters before closing marks are remembered without
-    the marks, and ASCII letters in lower case, as the vocabulary is. Special tokens written in a text are ordinary text.
-    Ids are kept as little-endian unsigned 32-bit integers.
-    """
-
-    CLOSING = b".,;:!?"
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
-
-    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
-        core = word.rstrip(self.CLOSING)
-        if core and core.decode().isalpha():
-            return (core.lower() if core.isascii() else core), word[len(core) :]
-        return word, b""
-
-    def learn(self, words: set[bytes]) -> None:
-        """Makes sure that ``words`` holds all of ``words``."""
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > MEMO_WORDS:
-            self.words.clear()
-            new = list(words)
-        if len(self.cores) + len(new) > MEMO_CORES:
-            self.cores.clear()
-        parts = [self._parts(w) for w in new]
-        cores = list({x for x in chain.from_iterable(parts) if x and x not in self.cores})
-        for at in range(0, len(cores), 4096):
-            some = cores[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)
-            self.cores.update((x, array("I", e.ids).tobytes()) for x, e in zip(some, found))
-        own = self.cores
-        self.words.update((w, own[a] + own[b] if b else own[a]) for w, (a, b) in zip(new, parts))
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Ids of some texts, as many as fit into memory together."""
-        split = [data.split() for data in texts]
-        self.learn(set(chain.from_iterable(split)))
-        for words in split:
-            yield b"".join(map(self.words.__getitem__, words))
-
-
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
-
-
 def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, longest: int) -> DataFrame:
     """Pieces of each document's ids (with ``end_id`` behind them): only documents above ``longest`` tokens are cut."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
-        end = np.array([end_id], dtype="<u4").tobytes()
+        encode = WordIds(path, SpacedWords()).encode_all
+        end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            ids_of, nos, starts, lengths, sums = [], [], [], [], []
-            parts = (batch.column(1).slice(at, TEXTS_AT_ONCE).to_pylist() for at in range(0, batch.num_rows, TEXTS_AT_ONCE))
-            for doc_id, ids in zip(batch.column(0).to_pylist(), chain.from_iterable(map(encode, parts))):
-                ids += end
-                for piece, start in enumerate(range(0, len(ids) // 4, longest)):
-                    part = ids[4 * start : 4 * (start + longest)]
-                    ids_of.append(doc_id)
-                    nos.append(piece)
-                    starts.append(start)
-                    lengths.append(len(part) // 4)
-                    sums.append(zlib.crc32(part))
+            found = [[], [], [], [], []]
+            texts = (text.as_py() or "" for text in batch.column(1))
+            for doc_id, words in zip(batch.column(0).to_pylist(), encode(texts)):
+                ids = np.concatenate((words, end))
+                for piece, start in enumerate(range(0, len(ids), longest)):
+                    part = ids[start : start + longest]
+                    for column, value in zip(found, (doc_id, piece, start, len(part), zlib.crc32(part))):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids_of, pa.int64()),
-                    pa.array(nos, pa.int32()),
-                    *(pa.array(x, pa.int64()) for x in (starts, lengths, sums)),
+                    pa.array(found[0], pa.int64()),
+                    pa.array(found[1], pa.int32()),
+                    *(pa.array(x, pa.int64()) for x in found[2:]),
                 ],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(F.col(text_col)).alias("text"))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return plain.mapInArrow(cut, PIECES)
 
 
@@ -226,21 +158,26 @@ def pack(
 ) -> DataFrame:
     """Places every piece of every document: doc_id, piece, start, length, ids_crc32, sequence_id and offset.
 
-    Documents are encoded once, and only the pieces' numbers are written and shuffled. Pieces are dealt by hash into
+    Documents are encoded once, and only the pieces' numbers are written and shuffled. Pieces are dealt at random into
     groups of about ``group_pieces``, one task packs a group, and the pieces of sequences that stay under 97 % full are
-    dealt into groups of ``loose_pieces`` and packed again, so that grouping costs few sequences. Null and empty texts are one piece with
-    the end id alone; null ids and repeated rows are pieces like any other; ties go to the sequence opened first; other
-    columns are not looked at; an empty table gives no rows. ``tokenizer`` is the path of a vocabulary file.
+    dealt into groups of ``loose_pieces`` (of more where they are small) and packed again, so that grouping costs few
+    sequences. Null and empty texts are one piece with
+    the end id alone; whole texts are encoded whatever their length; null ids and repeated rows are pieces like any other,
+    dealt by their row number; ties go to the sequence opened first; other columns are not looked at; an empty table gives
+    no rows. ``tokenizer`` is the path of a vocabulary file.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
-    found = written(pieces(docs, id_col, text_col, path, end_id, capacity.longest))
-    dealt = F.xxhash64("doc_id", "piece", "ids_crc32", "length")
-    schema = f"{PIECES}, group long, sequence_id long, offset long"
+    found = pieces(docs, id_col, text_col, path, end_id, capacity.longest)
+    found = written(found.withColumn("__row", F.monotonically_increasing_id()))
+    schema = f"{PIECES}, __row long, group long, sequence_id long, offset long"
     first = max(1, ceil(found.count() / group_pieces))
-    grouped = found.withColumn("group", F.pmod(dealt, F.lit(first)))
+    grouped = found.withColumn("group", F.pmod(F.xxhash64("__row"), F.lit(first)))
     once = written(grouped.groupBy("group").applyInArrow(_packed(capacity, tail=True), schema))
     done, loose = once.where("sequence_id IS NOT NULL"), once.where("sequence_id IS NULL")
-    again = max(1, ceil(loose.count() / loose_pieces))
-    spread = loose.drop("sequence_id", "offset", "group").withColumn("group", F.lit(first) + F.pmod(dealt, F.lit(again)))
+    left, tokens = loose.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    # Groups of many small pieces hold at least the tokens of some sequences.
+    again = max(1, min(ceil(left / loose_pieces), ceil(tokens / (8 * capacity.tokens))))
+    dealt = F.lit(first) + F.pmod(F.xxhash64("__row", F.lit(1)), F.lit(again))
+    spread = loose.drop("sequence_id", "offset", "group").withColumn("group", dealt)
     rest = spread.groupBy("group").applyInArrow(_packed(capacity, tail=False), schema)
-    return done.unionByName(rest).drop("group")
+    return done.unionByName(rest).drop("group", "__row")

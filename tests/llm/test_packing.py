@@ -89,3 +89,23 @@ def test_impossible_capacities_are_refused():
         packing.Capacity(tokens=0)
     with pytest.raises(ValueError):
         packing.Capacity(rule="worst")
+
+
+def test_every_limit_can_bind(spark):
+    """Placed pieces keep within documents and attention cost where these, not the tokens, fill a sequence."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    for documents, attention in ((3, 4096 * 4096), (4096, 300_000)):
+        capacity = packing.Capacity(tokens=4096, documents=documents, attention=attention)
+        sequences = {}
+        for r in packing.pack(docs, capacity=capacity).collect():
+            sequences.setdefault(r.sequence_id, []).append(r.length)
+        assert max(map(len, sequences.values())) <= documents
+        assert max(sum(n * n for n in x) for x in sequences.values()) <= attention
+        full = [x for x in sequences.values() if len(x) == documents or sum(n * n for n in x) > 0.8 * attention]
+        assert len(full) > len(sequences) / 2
+
+
+def test_many_equal_rows_fill_their_sequences(spark):
+    docs = spark.createDataFrame([(None, "")] * 3000 + [(7, "one two")] * 3000, "doc_id long, text string")
+    found = packing.pack(docs, group_pieces=500, loose_pieces=100).collect()
+    assert len(found) == 6000 and check(found) <= 4
