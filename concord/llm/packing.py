@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.common import written
-from concord.llm.wordids import SpacedWords, WordIds
+from concord.llm.wordids import SpacedWords, word_ids
 
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int,
     """Pieces of each document's ids (with ``end_id`` behind them): only documents above ``longest`` tokens are cut."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(path, SpacedWords()).encode_all
+        encode = word_ids(path, SpacedWords()).encode_all
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
             found = [[], [], [], [], []]

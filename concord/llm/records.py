@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.common import local_path, shared_path, shuffle_partitions, written
-from concord.llm.wordids import LedWords, WordIds, tokenizer
+from concord.llm.wordids import LedWords, tokenizer, word_ids
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -95,7 +95,7 @@ def write_records(
     width = 2 if tokenizer(path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(path, LedWords()).encode_all
+        encode = word_ids(path, LedWords()).encode_all
         os.makedirs(folder, exist_ok=True)
         name = f"{folder}/part-{TaskContext.get().partitionId():06d}"
         draft, end = f"{folder}/.{uuid4().hex}", np.array([end_id], dtype=f"<u{width}").tobytes()

@@ -2,7 +2,8 @@
 
 A tokenizer that never joins text across certain places gives the same ids for a text and for its words between those
 places. A task numbers the words that it meets and keeps their ids end to end in one array, up to a limit; words beyond it
-are encoded with the texts they are in and forgotten again. The memory ends with the task.
+are encoded with the texts they are in and forgotten again. A worker hands its memory on to the next task of the same
+vocabulary.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from itertools import chain
 
 import numpy as np
 
-#: Words that a task remembers: about 170 bytes each. Once half of them are taken, only words that come again are added.
+#: Words that a worker remembers: about 170 bytes each. Once half of them are taken, only words that come again are added.
 MEMO_WORDS, SEEN_SLOTS = 600_000, 1 << 21
 #: Texts that are encoded together hold about so many characters; a longer text is encoded alone.
 TEXT_AT_ONCE = 1 << 21
@@ -93,7 +94,7 @@ class _Numbers(dict):
 
 
 class WordIds:
-    """Ids of texts for one task, as numpy arrays of unsigned 32-bit numbers."""
+    """Ids of texts, as numpy arrays of unsigned 32-bit numbers."""
 
     def __init__(self, path: str, rule: SpacedWords | LedWords, limit: int = MEMO_WORDS):
         self.encode_batch = tokenizer(path).encode_batch_fast
@@ -213,3 +214,21 @@ class WordIds:
                 some, size = [], 0
         if some:
             yield from self.encode(some)
+
+
+_MEMORY: dict[tuple[str, type], WordIds] = {}
+
+
+def word_ids(path: str, rule: SpacedWords | LedWords) -> WordIds:
+    """The memory of this worker for one vocabulary; that of another one is given up."""
+    key = (path, type(rule))
+    if key not in _MEMORY:
+        _MEMORY.clear()
+        _MEMORY[key] = WordIds(path, rule)
+    return _MEMORY[key]
+
+
+def release() -> None:
+    """Gives up the memory of this worker, for tasks that need the room for something else."""
+    _MEMORY.clear()
+    _TOKENIZERS.clear()
