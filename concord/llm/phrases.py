@@ -4,12 +4,17 @@ The corpus lies in ``shards`` parts that are scanned one after the other, again
 part on. A longer phrase is counted from the part on before which both of its subphrases (all but the last word, all but
 the first) had reached the threshold, and stops after as many parts, when each has been seen once. So lengths are
 interleaved: phrases of frequent words start while rarer words are still being counted. The scan ends when every phrase
-that started has completed its cycle; every count is then exact, and no phrase that reaches the threshold is missing,
-because its subphrases occur at least as often.
+that started has completed its cycle. No phrase that reaches the threshold is missing, because its subphrases occur at
+least as often.
 
-When a phrase started has to be known where texts are read. Each length keeps one byte per slot of a fixed table: the part
-before which a phrase of that slot reached the threshold. Two phrases may share a slot; then one may start too early, which
-costs work but no exactness: it is counted over a whole cycle all the same.
+Most phrases that start stay below the threshold. Therefore the middle lengths are counted by 64-bit hashes first, and those
+that reach the threshold are counted once more, as texts, over the cycle that follows, which is the cycle in which longer
+phrases grow from them; words and phrases of the greatest length are counted as texts at once. Two phrases of one hash can
+only make each other start early, so that the counts of texts are exact.
+
+When a phrase reached the threshold has to be known where texts are read. Each length keeps one byte per slot of a fixed
+table: the part before which a phrase of that slot reached it. Phrases that share a slot may start early, which costs work
+but no exactness, because each is counted over a whole cycle from its own start.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.common import LOWER, remove, shared_path, written, written_at
@@ -32,7 +37,8 @@ _BREAK_WORD = b"\xff"
 NEVER = 255
 #: Words counted together in a task: bounds its memory.
 WORDS_AT_ONCE = 1 << 21
-COUNTED = "lang string, words int, phrase string, f long"
+ROWS_AT_ONCE = 1 << 16
+COUNTED = "lang string, words int, phrase string, h long, f long"
 #: Strands in which each language's best are picked before they meet.
 STRANDS = 16
 
@@ -46,132 +52,144 @@ def joined_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return ((left << np.uint64(21)) | (left >> np.uint64(43))) ^ right
 
 
-def phrase_hash(lang: Column, phrase: Column) -> Column:
-    """The same hash as a column, from the words of a phrase."""
-    words = F.transform(F.split(phrase, " "), lambda word: F.xxhash64(lang, word))
-    rotated = lambda h: F.shiftleft(h, 21).bitwiseOR(F.shiftrightunsigned(h, 43))
-    return F.aggregate(
-        F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-        F.get(words, F.lit(0)),
-        lambda h, word: rotated(h).bitwiseXOR(word),
-    )
+class _Words(dict):
+    """Numbers the words of one language in a stretch of texts."""
+
+    def __init__(self, lang: str, names: list[tuple[str, bytes]]) -> None:
+        super().__init__({_BREAK_WORD: 0})
+        self.lang, self.names = lang, names
 
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.names)
+        self.names.append((self.lang, word))
+        return number
 
-class _Lexicon:
-    """Numbers the words of a stretch of texts, by language; number 0 is the end of a piece."""
+
+class _Stretch:
+    """Texts that are counted together: a stream of word numbers, 0 where a piece ends."""
 
     def __init__(self) -> None:
         self.names: list[tuple[str, bytes]] = [("", b"")]
-        self.of_lang: dict[str, dict[bytes, int]] = {}
+        self.of_lang: dict[str, _Words] = {}
+        self.parts: list[np.ndarray] = []
+        self.size = 0
 
-    def numbers(self, lang: str, words: list[bytes]) -> np.ndarray:
-        known = self.of_lang.setdefault(lang, {_BREAK_WORD: 0})
-        names = self.names
-        for word in set(words).difference(known):
-            known[word] = len(names)
-            names.append((lang, word))
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+    def add(self, lang: str, words: list[bytes]) -> None:
+        if lang not in self.of_lang:
+            self.of_lang[lang] = _Words(lang, self.names)
+        self.parts.append(np.fromiter(map(self.of_lang[lang].__getitem__, words), dtype=np.int64, count=len(words)))
+        self.size += len(words)
 
     def hashes(self) -> np.ndarray:
         seeds = {lang: xxhash.xxh64_intdigest(lang.encode(), 42) for lang in self.of_lang}
-        return np.array([xxhash.xxh64_intdigest(w, seeds.get(l, 0)) for l, w in self.names], dtype=np.uint64)
+        return np.array([xxhash.xxh64_intdigest(w, seeds.get(lang, 0)) for lang, w in self.names], dtype=np.uint64)
 
 
 def count_stretch(
-    lexicon: _Lexicon, stream: np.ndarray, step: int, shards: int, longest: int, since: list[np.ndarray]
-) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(words, members, counts) of the phrases to be counted in this step: ``members`` has one row of word numbers each.
+    stream: np.ndarray, words: np.ndarray, step: int, shards: int, longest: int, since: list[np.ndarray]
+) -> Iterator[tuple[int, np.ndarray | None, np.ndarray | None, np.ndarray]]:
+    """(length, members, hashes, counts) of the phrases to be counted in this step.
 
-    ``since[n - 1]`` has the step from which on phrases of ``n`` words are frequent, by slot.
+    ``members`` has one row of word numbers for each phrase to be counted as text, ``hashes`` those counted by hash.
+    ``words`` are the hashes of the words, ``since[n - 1]`` the step from which on phrases of ``n`` words are frequent, by slot.
     """
+    members, hashes = np.arange(len(words))[:, None], words
     if step < shards:
         found, counts = np.unique(stream[stream > 0], return_counts=True)
-        yield 1, found[:, None], counts
-    words = lexicon.hashes()
-    # Phrases that start at each place: their number among the distinct ones of their length, -1 where a piece ends.
+        yield 1, found[:, None], None, counts
+    # The number, among the distinct phrases of a length, of the one that begins at each place; -1 where none does.
     number = np.where(stream > 0, stream, -1)
-    hashes, members = words, np.arange(len(words))[:, None]
+    began = np.zeros(len(words), dtype=np.int64)
     for n in range(2, longest + 1):
-        ready = since[n - 2]
-        frequent = ready[_slots(hashes, len(ready))]
-        left, right = number[:-1], number[1:]
+        ready = np.maximum(since[n - 2][_slots(hashes, len(since[n - 2]))], began)
         last = stream[n - 1 :]
-        left, right = left[: len(last)], right[: len(last)]
-        start = np.maximum(frequent[left], frequent[right]).astype(np.int64)
-        # Only phrases that both subphrases allow; those that ended their cycle are still needed by longer ones.
+        left, right = number[: len(last)], number[1 : len(last) + 1]
+        start = np.maximum(ready[left], ready[right])
+        # Phrases that completed their cycle are still needed by longer ones.
         place = np.flatnonzero((left >= 0) & (right >= 0) & (start <= step))
-        key = (left[place] << 32) | last[place]
-        distinct, first, back, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        if not len(place):
+            return
+        distinct, back, counts = np.unique((left[place] << 32) | last[place], return_inverse=True, return_counts=True)
         number = np.full(len(last), -1, dtype=np.int64)
         number[place] = back
-        l, r = distinct >> 32, distinct & 0xFFFFFFFF
-        hashes = joined_hash(hashes[l], words[r])
-        members = np.concatenate((members[l], r[:, None]), axis=1)
-        due = start[place][first] > step - shards
+        began = np.empty(len(distinct), dtype=np.int64)
+        began[back] = start[place]
+        head, tail = distinct >> 32, distinct & 0xFFFFFFFF
+        hashes = joined_hash(hashes[head], words[tail])
+        members = np.concatenate((members[head], tail[:, None]), axis=1)
+        text_from = began
+        if n < longest:
+            due = began > step - shards
+            if due.any():
+                yield n, None, hashes[due], counts[due]
+            text_from = np.maximum(began, since[n - 1][_slots(hashes, len(since[n - 1]))])
+        due = (text_from <= step) & (text_from > step - shards)
         if due.any():
-            yield n, members[due], counts[due]
-        if not len(distinct):
-            return
+            yield n, members[due], None, counts[due]
 
 
 def _count_step(shard: DataFrame, step: int, shards: int, longest: int, since: list) -> DataFrame:
-    """Counts of one scan, combined within each stretch of a task and then over all of them."""
+    """Counts of one scan, combined within each stretch of a task: texts, or hashes where phrase is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.frombuffer(table.value, dtype=np.uint8) for table in since]
 
-        def counted(lexicon: _Lexicon, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            stream = np.concatenate(parts)
-            for n, members, counts in count_stretch(lexicon, stream, step, shards, longest, tables):
-                for at in range(0, len(members), 1 << 16):
-                    rows = members[at : at + (1 << 16)].tolist()
-                    names = lexicon.names
+        def counted(stretch: _Stretch) -> Iterator[pa.RecordBatch]:
+            names = stretch.names
+            for n, members, hashes, counts in count_stretch(
+                np.concatenate(stretch.parts), stretch.hashes(), step, shards, longest, tables
+            ):
+                for at in range(0, len(counts), ROWS_AT_ONCE):
+                    f = counts[at : at + ROWS_AT_ONCE]
+                    if members is None:
+                        lang, phrase = pa.nulls(len(f), pa.string()), pa.nulls(len(f), pa.string())
+                        h = pa.array(hashes[at : at + ROWS_AT_ONCE].view(np.int64))
+                    else:
+                        rows = members[at : at + ROWS_AT_ONCE].tolist()
+                        lang = pa.array([names[row[0]][0] for row in rows], pa.string())
+                        phrase = pa.array([b" ".join([names[i][1] for i in row]) for row in rows], pa.binary())
+                        phrase, h = phrase.cast(pa.string()), pa.nulls(len(f), pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([names[row[0]][0] for row in rows], pa.string()),
-                            pa.array(np.full(len(rows), n), pa.int32()),
-                            pa.array([b" ".join([names[i][1] for i in row]) for row in rows], pa.binary()).cast(pa.string()),
-                            pa.array(counts[at : at + (1 << 16)], pa.int64()),
-                        ],
-                        names=["lang", "words", "phrase", "f"],
+                        [lang, pa.array(np.full(len(f), n), pa.int32()), phrase, h, pa.array(f, pa.int64())],
+                        names=["lang", "words", "phrase", "h", "f"],
                     )
 
-        lexicon, parts, size = _Lexicon(), [], 0
+        stretch = _Stretch()
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
                 words = text.as_py().translate(_TRANSLATE).replace(b"\xff", b" \xff ").split()
                 words.append(_BREAK_WORD)
-                parts.append(lexicon.numbers(lang.as_py(), words))
-                size += len(words)
-                if size >= WORDS_AT_ONCE:
-                    yield from counted(lexicon, parts)
-                    lexicon, parts, size = _Lexicon(), [], 0
-        if parts:
-            yield from counted(lexicon, parts)
+                stretch.add(lang.as_py(), words)
+                if stretch.size >= WORDS_AT_ONCE:
+                    yield from counted(stretch)
+                    stretch = _Stretch()
+        if stretch.size:
+            yield from counted(stretch)
+
+    return shard.mapInArrow(run, COUNTED)
 
-    return shard.mapInArrow(run, COUNTED).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
 
+def _summed(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.sum("f").alias("f"))
 
-def _reached(state: DataFrame, threshold: int, longest: int, slots: int) -> list[np.ndarray]:
-    """Slots of each length (up to ``longest`` words) that hold a phrase at the threshold, as booleans.
 
-    64 slots are one number, so that at most ``slots / 64`` rows a length come to the driver, whatever the corpus.
+def _slots_of(frequent: DataFrame, slots: int) -> np.ndarray:
+    """The slots that hold one of the phrases with hash ``h``, as booleans.
+
+    64 slots are one number, so that at most ``slots / 64`` rows come to the driver, whatever the corpus.
     """
-    slot = phrase_hash(F.col("lang"), F.col("phrase")).bitwiseAND(F.lit(slots - 1))
+    slot = F.col("h").bitwiseAND(F.lit(slots - 1))
     found = (
-        state.where((F.col("f") >= threshold) & (F.col("words") <= longest))
-        .select("words", slot.alias("slot"))
-        .selectExpr("words", "shiftright(slot, 6) AS at", "shiftleft(1L, CAST(slot & 63 AS INT)) AS bit")
-        .groupBy("words", "at")
+        frequent.select(slot.alias("slot"))
+        .selectExpr("shiftright(slot, 6) AS at", "shiftleft(1L, CAST(slot & 63 AS INT)) AS bit")
+        .groupBy("at")
         .agg(F.bit_or("bit").alias("bits"))
     )
-    masks = [np.zeros(slots // 64, dtype=np.int64) for _ in range(longest)]
+    mask = np.zeros(slots // 64, dtype=np.int64)
     for part in found.toArrow().to_batches():
-        words, at, bits = (column.to_numpy(zero_copy_only=False) for column in part.columns)
-        for n in range(1, longest + 1):
-            mine = words == n
-            masks[n - 1][at[mine]] = bits[mine]
-    return [np.unpackbits(mask.view(np.uint8), bitorder="little").astype(bool) for mask in masks]
+        at, bits = (column.to_numpy(zero_copy_only=False) for column in part.columns)
+        mask[at] = bits
+    return np.unpackbits(mask.view(np.uint8), bitorder="little").astype(bool)
 
 
 def phrase_counts(
@@ -185,8 +203,8 @@ def phrase_counts(
 ) -> DataFrame:
     """(lang, words, phrase, f): all words, and exact counts of all phrases that occur at least ``threshold`` times.
 
-    Longer phrases that started but stayed below the threshold are left out. ``slots`` is the size of the table of each
-    length in bytes, a power of two, held by the driver and every worker.
+    ``slots`` is the size of the table of each length in bytes, a power of two, held by the driver and every worker. Words are
+    looked at after every part, longer phrases after every other one.
     """
     spark = docs.sparkSession
     if shards * longest >= NEVER or slots & (slots - 1) or slots < 64 or longest < 1:
@@ -200,32 +218,43 @@ def phrase_counts(
     plain.write.partitionBy("shard").parquet(folder)
     parts = spark.read.schema(plain.schema).parquet(folder)
     since = [np.full(slots, NEVER, dtype=np.uint8) for _ in range(max(1, longest - 1))]
-    state, state_path, scans, step, latest = None, None, [], 0, 0
+    state: dict[int, tuple[DataFrame, str]] = {}
+    scans: list[tuple[DataFrame, str]] = []
+    step, latest, looked = 0, 0, 0
+
+    def look(n: int, new: list[DataFrame]) -> bool:
+        """Adds what was counted of length ``n`` to its state, and marks what reached the threshold."""
+        keys = ("lang", "phrase") if n == 1 else ("h",)
+        rows = reduce(DataFrame.unionByName, [x.where(F.col("words") == n).where(f"{keys[-1]} IS NOT NULL").select(*keys, "f") for x in new])
+        before = state.get(n)
+        state[n] = written_at(_summed(rows.unionByName(before[0]) if before else rows, *keys))
+        if before:
+            remove(spark, before[1])
+        frequent = state[n][0].where(F.col("f") >= threshold)
+        if n == 1:
+            frequent = frequent.select(F.xxhash64("lang", "phrase").alias("h"))
+        fresh = _slots_of(frequent, slots) & (since[n - 1] == NEVER)
+        since[n - 1][fresh] = step
+        return bool(fresh.any())
+
     while step < max(shards, latest + shards):
         sent = [spark.sparkContext.broadcast(table.tobytes()) for table in since]
-        found, path = written_at(
-            _count_step(parts.where(F.col("shard") == step % shards).drop("shard"), step, shards, longest, sent)
-        )
-        scans.append((found, path))
-        # Only lengths that decide about longer ones are summed up after each scan.
-        short = found.where(F.col("words") < max(longest, 2))
-        merged = short if state is None else state.unionByName(short)
-        last_path = state_path
-        state, state_path = written_at(merged.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")))
-        if last_path:
-            remove(spark, last_path)
+        shard = parts.where(F.col("shard") == step % shards).drop("shard")
+        scans.append(written_at(_count_step(shard, step, shards, longest, sent)))
         step += 1
-        for table, mask in zip(since, _reached(state, threshold, longest - 1, slots) if longest > 1 else []):
-            new = mask & (table == NEVER)
-            if new.any():
-                table[new] = step
-                latest = step
+        changed = step <= shards and look(1, [scans[-1][0]]) and longest > 1
+        if step % 2 == 0 or step >= max(shards, latest + shards):
+            for n in range(2, longest):
+                changed |= look(n, [found for found, _ in scans[looked:]])
+            looked = step
+        if changed:
+            latest = step
         for table in sent:
             table.unpersist()
-    whole = reduce(DataFrame.unionByName, [found for found, _ in scans]).where((F.col("words") == longest) & (F.col("words") > 1))
-    whole = whole.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
-    counts = written(state.unionByName(whole).where((F.col("words") == 1) | (F.col("f") >= threshold)))
-    remove(spark, folder, state_path, *[path for _, path in scans])
+    texts = reduce(DataFrame.unionByName, [found for found, _ in scans]).where("phrase IS NOT NULL AND words > 1")
+    longer = _summed(texts, "lang", "words", "phrase").where(F.col("f") >= threshold)
+    counts = written(state[1][0].select("lang", F.lit(1).alias("words"), "phrase", "f").unionByName(longer))
+    remove(spark, folder, *[path for _, path in (*scans, *state.values())])
     return counts
 
 

@@ -191,7 +191,7 @@ def read_records(files: DataFrame, block_records: int = BLOCK_RECORDS) -> DataFr
         (F.col("block") * block_records).alias("first"),
         F.least(F.lit(block_records), F.col("records") - F.col("block") * block_records).alias("count"),
     )
-    return runs.repartition(4 * shuffle_partitions(files.sparkSession)).mapInArrow(_fetch, READ)
+    return runs.repartition(shuffle_partitions(files.sparkSession)).mapInArrow(_fetch, READ)
 
 
 def read_shuffled(files: DataFrame, seed: int, tasks: int | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 
 #: Words that a worker remembers: about 170 bytes each. Once half of them are taken, only words that come again are added.
-MEMO_WORDS, SEEN_SLOTS = 600_000, 1 << 21
+MEMO_WORDS, SEEN_SLOTS = 800_000, 1 << 21
 #: Texts that are encoded together hold about so many characters; a longer text is encoded alone.
 TEXT_AT_ONCE = 1 << 21
 #: A word longer than this is never remembered.
