@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.common import fold, text_bytes
+from concord.llm.wordids import release
 
 CHUNKS_AT_ONCE = 128
 
@@ -236,6 +237,7 @@ def score_column(net: Network, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
+        release()  # a worker may come from a stage that encodes
         out = np.empty(len(texts))
         for at in range(0, len(texts), 64):
             part = [x.as_py() for x in texts.slice(at, 64)]

@@ -36,7 +36,7 @@ _TRANSLATE = bytes(0xFF if c in _BREAK else LOWER[c] for c in range(256))
 _BREAK_WORD = b"\xff"
 NEVER = 255
 #: Words counted together in a task: bounds its memory.
-WORDS_AT_ONCE = 1 << 21
+WORDS_AT_ONCE = 1 << 20
 ROWS_AT_ONCE = 1 << 16
 COUNTED = "lang string, words int, phrase string, h long, f long"
 #: Strands in which each language's best are picked before they meet.
@@ -204,7 +204,7 @@ def phrase_counts(
     """(lang, words, phrase, f): all words, and exact counts of all phrases that occur at least ``threshold`` times.
 
     ``slots`` is the size of the table of each length in bytes, a power of two, held by the driver and every worker. Words are
-    looked at after every part, longer phrases after every other one.
+    looked at after every part, longer phrases after every round of parts.
     """
     spark = docs.sparkSession
     if shards * longest >= NEVER or slots & (slots - 1) or slots < 64 or longest < 1:
@@ -243,7 +243,7 @@ def phrase_counts(
         scans.append(written_at(_count_step(shard, step, shards, longest, sent)))
         step += 1
         changed = step <= shards and look(1, [scans[-1][0]]) and longest > 1
-        if step % 2 == 0 or step >= max(shards, latest + shards):
+        if step % shards == 0 or step >= max(shards, latest + shards):
             for n in range(2, longest):
                 changed |= look(n, [found for found, _ in scans[looked:]])
             looked = step

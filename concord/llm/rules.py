@@ -205,10 +205,15 @@ def keep_passing(docs: DataFrame, labels: DataFrame, control: Risk | None = None
                  id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, columns unchanged; cutoffs come from these rows' own labels.
 
-    The measured rows are written once: a filter on computed counts would be pushed below them and compute them again for
+    Null and empty texts go, repeated rows stay or go together, an empty table stays empty. The measured rows are written once: a filter on computed counts would be pushed below them and compute them again for
     each of its terms.
     """
     control = control or Risk()
-    measured = written(measure(docs, text_col))
-    cutoffs = written(thresholds(measured, labels, control, stratum_col, id_col, label))
-    return judge(measured, cutoffs, stratum_col).where("__kept").select(*docs.columns)
+    # The row travels in one struct, so that no name of a column can clash.
+    whole = docs.select(
+        F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(stratum_col).alias("lang")
+    )
+    measured = written(measure(whole, "text").drop("text"))
+    slim = measured.select("id", "lang", *[c for c in measured.columns if c.startswith("__")])
+    cutoffs = written(thresholds(slim.withColumnRenamed("id", id_col), labels, control, "lang", id_col, label))
+    return judge(measured, cutoffs, "lang").where("__kept").select("row.*")

@@ -268,13 +268,15 @@ def keep_one(
 ) -> DataFrame:
     """The rows of ``docs`` without near-copies: of each component the row with the smallest id (null ids last) stays.
 
-    Rows that agree in id and fingerprint count as one. Columns and their order stay as they are.
+    Rows that agree in id and fingerprint count as one, texts without words are copies of each other, whole texts count
+    whatever their length, and an empty table stays empty. Columns and their order stay as they are.
     """
     found = near_duplicates(docs, id_col, text_col, width, radius)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("fp").alias("fp"))
     best = written(found.groupBy("node").agg(F.min(order).alias("best")).select("best.id", "best.fp"))
-    print_, id_ = "__fp", "__id"
-    named = best.select(F.col("id").alias(id_), F.col("fp").alias(print_))
-    marked = docs.withColumn(print_, fingerprint_column(F.col(text_col), width))
-    kept = marked.join(named, marked[id_col].eqNullSafe(named[id_]) & (marked[print_] == named[print_]), "left_semi")
-    return kept.dropDuplicates([id_col, print_]).drop(print_)
+    # The row travels in one struct, so that no name of a column can clash.
+    marked = docs.select(
+        F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), width).alias("fp")
+    )
+    same = marked["doc_id"].eqNullSafe(best["id"]) & (marked["fp"] == best["fp"])
+    return marked.join(best, same, "left_semi").dropDuplicates(["doc_id", "fp"]).select("row.*")
