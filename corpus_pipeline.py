@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concord.llm import convnet, packing, rules, shingles
+from concord.llm import convnet, packing, rules, simhash
 from concord.llm.common import table, written
 
 
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies stays: five-word shingles, at least 0.8 of the union in common."""
-    return shingles.keep_one(docs)
+    """One document of each group of near-copies stays: fingerprints of four-word shingles at most 4 bits apart."""
+    return simhash.keep_one(docs, width=4, radius=4)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
