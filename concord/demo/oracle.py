@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from concord.demo import targets
+from concord.demo.targets import DIGEST_BUCKETS
 
 TABLES = ("orders", "lineitem", "documents", "events", "customer", "pages")
 
@@ -138,6 +139,8 @@ ORDER_HASH = _hash(
     ]
 )
 
+LINE_KINDS = [(name, {"l_returnflag": "text", "l_linestatus": "text", "l_shipdate": "time"}.get(name, "plain")) for name in LINE_COLUMNS]
+
 PART_CONTENT = ["l_partkey", "l_returnflag", "l_linestatus"]
 PART_HASH = _hash([("l_partkey", "plain"), ("l_returnflag", "text"), ("l_linestatus", "text")])
 
@@ -287,8 +290,8 @@ oc AS (
 )"""
 
 DOCS = f"""
-p AS (SELECT s.doc_id, replace(s.text, chr(13) || chr(10), chr(10)) AS a, replace(t.text, chr(13) || chr(10), chr(10)) AS b
-      FROM documents s JOIN ({_sql(targets.DOCUMENTS)}) t ON s.doc_id = t.doc_id WHERE s.text IS DISTINCT FROM t.text),
+p AS (SELECT coalesce(s.doc_id, t.doc_id) AS doc_id, replace(s.text, chr(13) || chr(10), chr(10)) AS a, replace(t.text, chr(13) || chr(10), chr(10)) AS b
+      FROM documents s FULL OUTER JOIN ({_sql(targets.DOCUMENTS)}) t ON s.doc_id = t.doc_id WHERE s.text IS DISTINCT FROM t.text),
 la AS (SELECT doc_id, unnest(string_split(a, chr(10))) AS line, unnest(range(1, len(string_split(a, chr(10))) + 1)) AS n FROM p),
 lb AS (SELECT doc_id, unnest(string_split(b, chr(10))) AS line, unnest(range(1, len(string_split(b, chr(10))) + 1)) AS n FROM p)
 """
@@ -382,9 +385,11 @@ def _key_range() -> str:
 
 
 def _large_text() -> str:
-    source = "SELECT doc_id, sha256(text) AS text FROM documents"
-    target = f"SELECT doc_id, sha256(text) AS text FROM ({_sql(targets.DOCUMENTS)})"
-    return f"WITH {_aligned(source, target, ['doc_id'], ['text'])} SELECT * FROM d"
+    source, target = (
+        f"SELECT doc_id, sha256(text) AS text, lang, source, n_chars FROM ({rows})"
+        for rows in ("SELECT * FROM documents", _sql(targets.DOCUMENTS))
+    )
+    return f"WITH {_aligned(source, target, ['doc_id'], ['text', 'lang', 'source', 'n_chars'])} SELECT * FROM d"
 
 
 def _samples() -> str:
@@ -555,20 +560,8 @@ ORACLE: dict[str, str] = {
   s.text AS source_content, t.text AS target_content
 FROM documents s FULL OUTER JOIN ({_sql(targets.DOCUMENTS)}) t ON s.doc_id = t.doc_id
 WHERE s.doc_id IS NULL OR t.doc_id IS NULL OR s.text IS DISTINCT FROM t.text""",
-    "row_hash": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, l_linestatus, l_shipdate, "
-    + _hash(
-        [
-            ("l_orderkey", "plain"),
-            ("l_partkey", "plain"),
-            ("l_suppkey", "plain"),
-            ("l_linenumber", "plain"),
-            ("l_returnflag", "text"),
-            ("l_linestatus", "text"),
-            ("l_shipdate", "time"),
-        ]
-    )
-    + " AS row_hash FROM lineitem",
-    "hash_counts": f"SELECT {PART_HASH} AS row_hash, count(*) AS occurrences FROM lineitem GROUP BY 1",
+    "row_hash": f"SELECT {_list(LINE_COLUMNS)}, {_hash(LINE_KINDS)} AS row_hash FROM lineitem",
+    "hash_counts": f"SELECT {_hash(LINE_KINDS)} AS row_hash, count(*) AS occurrences FROM ({LINEITEM}) GROUP BY 1",
     "multiset_diff_counts": _multiset(LINE_COLUMNS) + MULTISET_TOTALS,
     "multiset_diff_rows": _multiset(LINE_COLUMNS)
     + " SELECT *, greatest(source_count - target_count, 0) AS missing_from_target, "
@@ -616,6 +609,18 @@ FROM (SELECT *, CASE WHEN category = 'changed' THEN concat_ws(',', {', '.join(f"
     "diff_by_range": f"""{ORDERS_DIFF}, {RANGES},
 g AS (SELECT CAST(1 + (SELECT count(*) FROM boundaries b WHERE b.boundary < d.o_orderkey) AS INTEGER) AS bucket, category FROM d)
 SELECT g.bucket, {COUNTS}, any_value(label) AS label FROM g JOIN labelled USING (bucket) GROUP BY g.bucket""",
+    "digest_buckets": "WITH "
+    + _aligned("SELECT * FROM orders", _sql(targets.ORDERS_LOCAL), ["o_orderkey"], ORDER_VALUES)
+    + f""", e AS (SELECT min(o_orderkey) AS low, (max(o_orderkey) - min(o_orderkey) + 1 + {DIGEST_BUCKETS - 1}) // {DIGEST_BUCKETS} AS width FROM d)
+SELECT CAST((o_orderkey - low) // width AS INTEGER) AS bucket,
+       count(*) FILTER (WHERE category <> 'only_in_target') AS source_rows,
+       count(*) FILTER (WHERE category <> 'only_in_source') AS target_rows,
+       count(*) FILTER (WHERE category <> 'matched') = 0 AS equal
+FROM d, e GROUP BY 1""",
+    "digest_diff_counts": _keyed_totals("SELECT * FROM orders", _sql(targets.ORDERS_LOCAL), ["o_orderkey"], ORDER_VALUES),
+    "digest_diff_rows": "WITH "
+    + _aligned("SELECT * FROM events", _sql(targets.EVENTS), ["user_id", "ts"], EVENT_VALUES)
+    + " SELECT * FROM d WHERE category <> 'matched'",
     "row_counts": _row_counts(SOURCE_ROWS, TARGET_ROWS),
     "common_tables": _row_counts(
         {name: rows for name, rows in SOURCE_ROWS.items() if name not in ("nation", "part")}, TARGET_ROWS

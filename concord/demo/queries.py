@@ -13,6 +13,7 @@ from concord.functions.columns import col, struct_of, text
 from concord.operators import columns as column_ops
 from concord.operators import content, lines, multiset, objects, ranges, reassign, summary
 from concord.operators.cells import flat_rows
+from concord.operators.digest import DigestComparison
 from concord.operators.examples import capped_examples
 from concord.operators.keyed import CHANGED, MATCHED, ONLY_IN_SOURCE, ONLY_IN_TARGET, REASSIGNED, differing, one_sided
 from concord.operators.run import RunComparison, TableComparison, compare_sides, compare_tables
@@ -233,19 +234,18 @@ def large_content_pairs(spark, folder):
 
 # Multisets ----------------------------------------------------------------------------------------------------------
 
-HASHED_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"]
-
 
 @query
 def row_hash(spark, folder):
     source = targets.load(spark, folder, "lineitem")
-    return multiset.row_hashes(source, HASHED_COLUMNS).select(*HASHED_COLUMNS, "row_hash")
+    return multiset.row_hashes(source, source.columns).select(*source.columns, "row_hash")
 
 
 @query
 def hash_counts(spark, folder):
-    source = targets.load(spark, folder, "lineitem")
-    return multiset.hash_counts(source, ["l_partkey", "l_returnflag", "l_linestatus"])
+    """Contents of the target, in which copied rows occur more than once."""
+    target = targets.derive(spark, folder, "lineitem", targets.LINEITEM)
+    return multiset.hash_counts(target, target.columns)
 
 
 @query
@@ -392,6 +392,27 @@ def diff_by_range(spark, folder):
     return counts.join(F.broadcast(labels.select("bucket", "label")), "bucket")
 
 
+@query
+def digest_buckets(spark, folder):
+    """Which parts of the key space of orders are equal, told by sums of hashes alone."""
+    return DigestComparison(orders(spark, folder, sql=targets.ORDERS_LOCAL).plan, targets.DIGEST_BUCKETS).digests
+
+
+@query
+def digest_diff_counts(spark, folder):
+    """Orders against themselves but for a stretch of keys: only that stretch is compared row by row."""
+    comparison = orders(spark, folder, sql=targets.ORDERS_LOCAL)
+    return DigestComparison(comparison.plan, targets.DIGEST_BUCKETS).counts
+
+
+@query
+def digest_diff_rows(spark, folder):
+    """Differences by digests where keys are dealt by hash: events by user and time."""
+    options = CompareOptions(match_key=("user_id", "ts"))
+    comparison = compare_tables(*_pair(spark, folder, "events"), options)
+    return _flat(comparison, DigestComparison(comparison.plan, targets.DIGEST_BUCKETS).differences)
+
+
 # Metadata and schema ------------------------------------------------------------------------------------------------
 
 
@@ -492,12 +513,12 @@ def schema_percentages(spark, folder):
 
 @query
 def text_line_diff(spark, folder):
-    return lines.line_diff(documents(spark, folder).plan, "text")
+    return lines.line_diff(documents(spark, folder).plan, "text", one_sided=True)
 
 
 @query
 def text_positional_diff(spark, folder):
-    return lines.positional_line_diff(documents(spark, folder).plan, "text")
+    return lines.positional_line_diff(documents(spark, folder).plan, "text", one_sided=True)
 
 
 def _page_sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

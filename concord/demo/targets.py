@@ -20,6 +20,9 @@ KEYS = {
     "lineitem": (),
 }
 
+#: Buckets of the queries that compare by digests.
+DIGEST_BUCKETS = 512
+
 ORDERS = """
 SELECT CASE WHEN o_orderkey % 101 = 3 THEN o_orderkey + 100000000 ELSE o_orderkey END AS o_orderkey,
        o_custkey,
@@ -33,6 +36,14 @@ SELECT o_orderkey + 200000000, o_custkey, o_orderstatus, o_totalprice * 2, o_ord
 FROM {orders} WHERE o_orderkey % 211 = 1
 """
 
+# A table that is the same but for a stretch of its keys.
+ORDERS_LOCAL = """
+SELECT o_orderkey, o_custkey, o_orderstatus,
+       CASE WHEN o_orderkey BETWEEN 700 AND 900 AND o_orderkey % 3 = 1 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+       o_orderdate, o_orderpriority
+FROM {orders} WHERE o_orderkey <> 801
+"""
+
 # The same with dates that moved by a day, as after a load at another time.
 ORDERS_REDATED = """
 SELECT o_orderkey, o_custkey,
@@ -58,7 +69,8 @@ DOCUMENTS = """
 SELECT doc_id,
        CASE WHEN doc_id % 7 = 2 THEN concat('inserted line', chr(10), text)
             WHEN doc_id % 7 = 4 THEN replace(text, 'the', 'THE')
-            ELSE text END AS text
+            ELSE text END AS text,
+       lang, CASE WHEN doc_id % 13 = 5 THEN 'moved' ELSE source END AS source, n_chars
 FROM {documents} WHERE doc_id % 29 <> 3
 """
 
