@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,9 @@ BUCKETS = 4096
 #: Counts that one pass brings to the driver at most; with many intervals each gets fewer buckets, and a pass more.
 COUNTS_AT_ONCE = 1 << 20
 
+#: Bounds that are compared one by one.
+FEW_BOUNDS = 24
+
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _EPOCH = dt.date(1970, 1, 1)
 
@@ -175,10 +179,13 @@ def ranges_frame(spark: SparkSession, column: str, boundaries: list, data_type:
 
 
 def count_below(key: Column, bounds: list) -> Column:
-    """How many of the sorted ``bounds`` lie below the key, by binary search: the expression doesn't grow with their number
-    but for one literal array. 0 for NULL."""
-    if not bounds:
-        return F.lit(0)
+    """How many of the sorted ``bounds`` lie below the key; 0 for NULL.
+
+    A few bounds are compared one by one, which is compiled code. Many are searched by halves: the expression doesn't grow
+    with their number but for one literal array.
+    """
+    if len(bounds) <= FEW_BOUNDS:
+        return reduce(Column.__add__, [F.when(key > F.lit(bound), 1).otherwise(0) for bound in bounds], F.lit(0))
     values = F.array(*map(F.lit, bounds))
 
     def halve(acc: Column, _: Column) -> Column:

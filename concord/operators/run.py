@@ -5,19 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from concord.functions.columns import text
 from concord.operators.cells import cell_diff, row_key
 from concord.operators.keyed import (
     ONLY_IN_SOURCE,
     ONLY_IN_TARGET,
-    SOURCE,
-    TARGET,
     differing,
     digest_plan,
     keyed_rows,
-    scan,
 )
 from concord.operators.multiset import discrepancies
 from concord.operators.ordinals import HOT_GROUP_ROWS
@@ -32,14 +30,15 @@ from concord.operators.summary import (
 )
 from concord.plans.compare_plan import CompareOptions, ComparePlan, resolve_plan
 from concord.plans.table import Side, TableRef, pair_tables
-from concord.session import materialize, side_by_side
+from concord.session import discard, materialize, materialized, side_by_side
 
 
 class TableComparison:
     """The comparison of one pair of tables.
 
     ``rows`` and ``summary`` are lazy. ``differences`` is what a run writes, shows and reconciles: the unequal rows
-    alone, evaluated once and kept in the checkpoint folder, with moved rows already paired.
+    alone, evaluated once and kept in the checkpoint folder, with moved rows already paired. The pass that finds them also
+    counts the rows of both sides, so that ``summary_of_differences`` needs no further look at these.
     """
 
     def __init__(self, plan: ComparePlan, hot_rows: int = HOT_GROUP_ROWS) -> None:
@@ -55,11 +54,27 @@ class TableComparison:
         """All aligned rows, matched ones included, before moved rows are paired."""
         return keyed_rows(self.plan, self.hot_rows)
 
+    @cached_property
+    def _kept(self) -> tuple[DataFrame, int, int]:
+        """The differences, and the rows of each side as observed in the same job: one scan per side."""
+        seen = Observation()
+        counted = self.rows.observe(
+            seen,
+            F.expr(f"count_if(category <> '{ONLY_IN_TARGET}')").alias("source_rows"),
+            F.expr(f"count_if(category <> '{ONLY_IN_SOURCE}')").alias("target_rows"),
+        )
+        unequal, path = materialized(differing(counted))
+        paired = reconcile(unequal, self.plan, self.hot_rows)
+        if paired is not unequal:
+            paired = materialize(paired)
+            discard(unequal.sparkSession, path)
+        return paired, seen.get["source_rows"], seen.get["target_rows"]
+
     @cached_property
     def differences(self) -> DataFrame:
         if not self.plan.usable_key:
             return discrepancies(self.plan)
-        return reconcile(materialize(differing(self.rows)), self.plan, self.hot_rows)
+        return self._kept[0]
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -73,11 +88,10 @@ class TableComparison:
 
     @cached_property
     def summary_of_differences(self) -> DataFrame:
-        """The summary counted from ``differences`` and the sizes of the two sides, without aligning the rows again."""
+        """The summary counted from ``differences`` and the sizes of the sides observed with them: no side is read again."""
         if not self.plan.usable_key:
             return self.summary
-        source_rows, target_rows = (scan(self.plan, side).count() for side in (SOURCE, TARGET))
-        return summary_from_differences(self.differences, source_rows, target_rows, self.plan)
+        return summary_from_differences(*self._kept, self.plan)
 
     @property
     def cells(self) -> DataFrame:

@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from threading import Lock
 from typing import TypeVar
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _CHECKPOINT_LOCK = Lock()
 
@@ -59,10 +61,41 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return context.getCheckpointDir()
 
 
+def _storable(data_type: T.DataType) -> bool:
+    """Whether Parquet holds values of this type."""
+    if isinstance(data_type, T.ArrayType):
+        return _storable(data_type.elementType)
+    if isinstance(data_type, T.MapType):
+        return _storable(data_type.keyType) and _storable(data_type.valueType)
+    if isinstance(data_type, T.StructType):
+        return len(data_type) > 0 and all(_storable(field.dataType) for field in data_type)
+    return not isinstance(data_type, (T.NullType, T.CalendarIntervalType))
+
+
+def materialized(df: DataFrame) -> tuple[DataFrame, str | None]:
+    """``df`` written once to the checkpoint folder, for several readers, and the folder to discard behind the last one.
+
+    It is a Parquet table, of which a reader takes only the columns it needs; a frame with types that Parquet lacks becomes a
+    checkpoint, which Spark cleans itself.
+    """
+    folder = ensure_checkpoint_dir(df.sparkSession)
+    if not _storable(df.schema):
+        return df.checkpoint(eager=True), None
+    path = f"{folder}/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes ``df`` once to the checkpoint folder, so that several readers share one evaluation and one row placement."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """As :func:`materialized`, for tables that stay as long as the checkpoint folder."""
+    return materialized(df)[0]
+
+
+def discard(spark: SparkSession, path: str | None) -> None:
+    """Deletes a folder of :func:`materialized` that no frame reads any more."""
+    if path:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def side_by_side(work: Callable[[Item], Result], items: Iterable[Item], at_most: int = 8) -> list[Result]:

@@ -54,8 +54,8 @@ def _json(struct: str) -> str:
 def write_table(comparison: TableComparison, path: str, file_format: str = "parquet") -> DataFrame:
     """Writes the differences of one table to its own folder under ``path`` and returns its summary.
 
-    The folder is replaced as a whole, so a repeated run leaves no rows of an earlier one. The heavy join runs once:
-    the summary is counted from the differences and the row counts of the two sides.
+    The folder is replaced as a whole, so a repeated run leaves no rows of an earlier one. The heavy join runs once,
+    and the same job counts the rows of the two sides: the summary comes from the differences and these counts.
     """
     _check(file_format)
     folder = f"{path}/table_name={quote(comparison.table_name, safe='.-_ ')}"

@@ -177,3 +177,16 @@ def test_text_files_need_a_schema(spark):
         read_files(spark, "/nowhere", "csv")
     with pytest.raises(ValueError):
         read_files(spark, "/nowhere", "xlsx")
+
+
+def test_differences_and_summary_come_from_one_scan_of_each_side(spark):
+    """The job that writes the differences also counts both sides; nothing reads the sides again."""
+    from concord.demo import queries as demo
+    from comparing import TESTDATA
+
+    comparison = demo.orders(spark, str(TESTDATA / "sf0.001"))
+    summary = comparison.summary_of_differences
+    assert summary.collect() == comparison.summary.collect()
+    for frame in (summary, comparison.differences):
+        text = frame._jdf.queryExecution().executedPlan().toString()
+        assert "orders.parquet" not in text and "Join" not in text and "Window" not in text
