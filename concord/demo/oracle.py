@@ -289,13 +289,54 @@ oc AS (
    AND (so.kind IN ('Table', 'View')) = (ob.kind IN ('Table', 'View'))
 )"""
 
-DOCS = f"""
+
+
+def _docs(target: str) -> str:
+    return f"""
 p AS (SELECT coalesce(s.doc_id, t.doc_id) AS doc_id, replace(s.text, chr(13) || chr(10), chr(10)) AS a, replace(t.text, chr(13) || chr(10), chr(10)) AS b
-      FROM documents s FULL OUTER JOIN ({_sql(targets.DOCUMENTS)}) t ON s.doc_id = t.doc_id WHERE s.text IS DISTINCT FROM t.text),
+      FROM documents s FULL OUTER JOIN ({_sql(target)}) t ON s.doc_id = t.doc_id WHERE s.text IS DISTINCT FROM t.text),
 la AS (SELECT doc_id, unnest(string_split(a, chr(10))) AS line, unnest(range(1, len(string_split(a, chr(10))) + 1)) AS n FROM p),
 lb AS (SELECT doc_id, unnest(string_split(b, chr(10))) AS line, unnest(range(1, len(string_split(b, chr(10))) + 1)) AS n FROM p)
 """
 
+
+DOCS = _docs(targets.DOCUMENTS)
+
+
+def _alignment(rounds: int) -> str:
+    """Rounds of patience alignment: levels of the longest increasing run by recursion, then its trace from the end."""
+    steps = [
+        f"""{_docs(targets.DOCUMENT_LINES)},
+o0 AS MATERIALIZED (SELECT doc_id, 0 AS g, TRUE AS src, n, line FROM la UNION ALL SELECT doc_id, 0, FALSE, n, line FROM lb)"""
+    ]
+    for r in range(rounds):
+        steps.append(f"""
+n{r} AS (SELECT *, row_number() OVER (PARTITION BY doc_id, g, line, src ORDER BY n) AS k,
+                count(*) OVER (PARTITION BY doc_id, g, line, src) AS times FROM o{r}),
+e{r} AS MATERIALIZED (
+  SELECT doc_id, g, s, t FROM (
+    SELECT doc_id, g, line, k, max(n) FILTER (src) AS s, max(n) FILTER (NOT src) AS t, max(times) = 1 AS alone
+    FROM n{r} GROUP BY ALL) WHERE s IS NOT NULL AND t IS NOT NULL
+  QUALIFY alone = bool_or(alone) OVER (PARTITION BY doc_id, g)),
+v{r} AS (SELECT doc_id, g, s, t, 1 AS lvl FROM e{r} UNION
+  SELECT b.doc_id, b.g, b.s, b.t, v.lvl + 1 FROM v{r} v JOIN e{r} b ON b.doc_id = v.doc_id AND b.g = v.g AND b.s > v.s AND b.t > v.t),
+l{r} AS MATERIALIZED (SELECT doc_id, g, s, t, max(lvl) AS lvl FROM v{r} GROUP BY ALL),
+b{r} AS MATERIALIZED (SELECT a.doc_id, a.g, a.s, a.t, a.lvl, max(b.s) AS before FROM l{r} a
+  LEFT JOIN l{r} b ON a.doc_id = b.doc_id AND a.g = b.g AND b.lvl = a.lvl - 1 AND b.s < a.s GROUP BY ALL),
+w{r} AS (SELECT * FROM (FROM b{r} QUALIFY row_number() OVER (PARTITION BY doc_id, g ORDER BY lvl DESC, s DESC) = 1) UNION ALL
+  SELECT b.* FROM w{r} w JOIN b{r} b ON b.doc_id = w.doc_id AND b.g = w.g AND b.s = w.before),
+x{r} AS MATERIALIZED (SELECT o.doc_id, o.src, o.n, o.line, w.s, w.t,
+    coalesce(max(w.s) OVER (PARTITION BY o.doc_id, o.g, o.src ORDER BY o.n), o.g) AS g
+  FROM o{r} o LEFT JOIN w{r} w ON o.doc_id = w.doc_id AND o.g = w.g AND o.n = IF(o.src, w.s, w.t)),
+o{r + 1} AS MATERIALIZED (SELECT doc_id, g, src, n, line FROM x{r} WHERE s IS NULL)""")
+    same = " UNION ALL ".join(f"SELECT doc_id, s AS g, 0 AS kind, s, t, line FROM x{r} WHERE src AND s IS NOT NULL" for r in range(rounds))
+    return f"""WITH RECURSIVE {','.join(steps)}
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g, kind, coalesce(s, t)) AS INTEGER) AS position,
+       CAST(s AS INTEGER) AS source_line_no, CAST(t AS INTEGER) AS target_line_no, line,
+       CASE kind WHEN 0 THEN 'same' WHEN 1 THEN 'only_source' ELSE 'only_target' END AS status
+FROM ({same} UNION ALL SELECT doc_id, g, IF(src, 1, 2), IF(src, n, NULL), IF(src, NULL, n), line FROM o{rounds})"""
+
+
 PAGES = f"WITH s AS ({_sql(targets.PAGES_SOURCE)}), t AS ({_sql(targets.PAGES_TARGET)})"
 BODY_TYPE = """CASE WHEN {0} IS NULL THEN NULL WHEN left({0}, 4) = '%PDF' THEN '.pdf'
 WHEN left({0}, 4) = 'PK' || chr(3) || chr(4) THEN '.xlsx' ELSE '.bin' END"""
@@ -647,6 +688,7 @@ SELECT coalesce(na.doc_id, nb.doc_id) AS doc_id, CAST(na.n AS INTEGER) AS source
        coalesce(na.line, nb.line) AS line,
        CASE WHEN nb.doc_id IS NULL THEN 'only_source' WHEN na.doc_id IS NULL THEN 'only_target' ELSE 'same' END AS status
 FROM na FULL OUTER JOIN nb ON na.doc_id = nb.doc_id AND na.line = nb.line AND na.k = nb.k""",
+    "text_aligned_diff": _alignment(4),
     "text_positional_diff": f"""WITH {DOCS}
 SELECT coalesce(la.doc_id, lb.doc_id) AS doc_id, CAST(coalesce(la.n, lb.n) AS INTEGER) AS line_no,
        la.line AS source_line, lb.line AS target_line, la.line IS DISTINCT FROM lb.line AS changed

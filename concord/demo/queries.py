@@ -521,6 +521,13 @@ def text_positional_diff(spark, folder):
     return lines.positional_line_diff(documents(spark, folder).plan, "text", one_sided=True)
 
 
+@query
+def text_aligned_diff(spark, folder):
+    options = CompareOptions(key_unique=True, key_not_null=True, large_columns=("text",))
+    moved = compare_tables(*_pair(spark, folder, "documents", targets.DOCUMENT_LINES), options)
+    return lines.aligned_line_diff(moved.plan, "text", one_sided=True)
+
+
 def _page_sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return tuple(targets.derive(spark, folder, "pages", sql) for sql in (targets.PAGES_SOURCE, targets.PAGES_TARGET))
 

@@ -74,6 +74,18 @@ SELECT doc_id,
 FROM {documents} WHERE doc_id % 29 <> 3
 """
 
+# Lines that moved: the first one to the end, the second one repeated in front.
+DOCUMENT_LINES = """
+SELECT doc_id,
+       CASE WHEN doc_id % 5 = 1
+            THEN substr(text, length(split_part(text, chr(10), 1)) + 2) || chr(10) || split_part(text, chr(10), 1)
+            WHEN doc_id % 5 = 3 THEN split_part(text, chr(10), 2) || chr(10) || text
+            WHEN doc_id % 7 = 4 THEN replace(text, 'the', 'THE')
+            ELSE text END AS text,
+       lang, source, n_chars
+FROM {documents} WHERE doc_id % 29 <> 3
+"""
+
 EVENTS = """
 SELECT event_id + 1000000 AS event_id, ts, user_id, event_type,
        CASE WHEN event_id % 50 = 7 THEN value + 1 ELSE value END AS value, props

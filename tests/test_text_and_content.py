@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from concord import CompareOptions, TableRef, compare_tables
@@ -115,3 +117,79 @@ def test_large_content_pairs(spark, hot_rows):
         (4, "only_in_target", None, b"t"),
     ]
     assert all(row.source_content != row.target_content for row in found if row.id == 7)
+
+
+def common_length(a, b):
+    """Length of a longest common subsequence, by the table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+    return row[-1]
+
+
+def alignments(spark, texts, **kwargs):
+    rows = [(i, a) for i, (a, _) in enumerate(texts)], [(i, b) for i, (_, b) in enumerate(texts)]
+    found = lines.aligned_line_diff(plan(spark, *rows), "text", changed_only=False, **kwargs).collect()
+    return [sorted((r for r in found if r.id == i), key=lambda r: r.position) for i in range(len(texts))]
+
+
+def check_alignment(rows, a, b):
+    """Every line once, in order on both sides, and no line in common left between two pairs."""
+    assert [r.position for r in rows] == list(range(1, len(rows) + 1))
+    for side, text in (("source_line_no", a), ("target_line_no", b)):
+        shown = [(getattr(r, side), r.line) for r in rows if getattr(r, side) is not None]
+        assert shown == list(enumerate(text, 1))
+    gap = {"only_source": set(), "only_target": set()}
+    for r in [*rows, None]:
+        if r is None or r.status == "same":
+            assert not gap["only_source"] & gap["only_target"]
+            gap = {"only_source": set(), "only_target": set()}
+        else:
+            gap[r.status].add(r.line)
+
+
+def test_aligned_diff_is_a_longest_common_subsequence_of_distinct_lines(spark):
+    draw = random.Random(5)
+    texts = []
+    for _ in range(60):
+        a = draw.sample("abcdefghijklmnop", draw.randint(1, 12))
+        b = draw.sample("abcdefghijklmnop", draw.randint(1, 12))
+        texts.append((a, b))
+    for rows, (a, b) in zip(alignments(spark, [("\n".join(a), "\n".join(b)) for a, b in texts]), texts):
+        check_alignment(rows, a, b)
+        assert sum(r.status == "same" for r in rows) == common_length(a, b)
+
+
+def test_aligned_diff_of_repeated_lines_is_in_order_and_leaves_nothing_in_common(spark):
+    draw = random.Random(6)
+    texts = [tuple([draw.choice("abcd ") for _ in range(draw.randint(1, 14))] for _ in "ab") for _ in range(60)]
+    for rows, (a, b) in zip(alignments(spark, [("\n".join(a), "\n".join(b)) for a, b in texts]), texts):
+        check_alignment(rows, a, b)
+        assert sum(r.status == "same" for r in rows) <= common_length(a, b)
+
+
+def test_aligned_diff_shows_a_moved_line_twice_and_takes_empty_and_long_texts(spark):
+    long = [f"line {i}" for i in range(3000)]
+    moved = long[1500:] + long[:1500]
+    found = alignments(
+        spark,
+        [("a\nb\nc", "b\nc\na"), ("", "a"), (None, "a"), ("a\r\nb", None), (None, None), ("\n\n", "\n"),
+         ("\n".join(long), "\n".join(moved))],
+    )
+    shown = [[(r.source_line_no, r.target_line_no, r.line, r.status) for r in rows] for rows in found[:6]]
+    assert shown == [
+        [(1, None, "a", "only_source"), (2, 1, "b", "same"), (3, 2, "c", "same"), (None, 3, "a", "only_target")],
+        [(1, None, "", "only_source"), (None, 1, "a", "only_target")],
+        [(None, 1, "a", "only_target")],
+        [(1, None, "a", "only_source"), (2, None, "b", "only_source")],
+        [],
+        [(1, 1, "", "same"), (2, 2, "", "same"), (3, None, "", "only_source")],
+    ]
+    check_alignment(found[6], long, moved)
+    assert sum(r.status == "same" for r in found[6]) == 1500
+
+
+def test_aligned_diff_of_an_empty_table(spark):
+    assert lines.aligned_line_diff(plan(spark, [], []), "text").collect() == []
