@@ -629,6 +629,7 @@ FROM run""",
   UNION ALL SELECT 'dbo.customer', 'keyed', FALSE, n, n, same_value, n - same_value, 0, 0, 0 FROM cu)
 SELECT *, {VERDICT} FROM merged""",
     "combine_summaries": f"{ORDERS_DIFF}{MOVED} SELECT * EXCLUDE (comparison, keys_only), {VERDICT} FROM ({ORDERS_COUNTS})",
+    "incremental_summary": f"{ORDERS_DIFF}{MOVED} SELECT * EXCLUDE (comparison, keys_only), {VERDICT} FROM ({ORDERS_COUNTS})",
     "changed_column_profile": _profile(),
     "accepted_summary": _accepted(),
     "capped_examples": f"""{ORDERS_DIFF}{MOVED} SELECT * FROM (
