@@ -193,3 +193,10 @@ def test_aligned_diff_shows_a_moved_line_twice_and_takes_empty_and_long_texts(sp
 
 def test_aligned_diff_of_an_empty_table(spark):
     assert lines.aligned_line_diff(plan(spark, [], []), "text").collect() == []
+
+
+def test_a_round_of_alignment_shuffles_once(spark):
+    rows = spark.createDataFrame([(1, 0, True, 1, "a")], "id int, gap int, in_source boolean, no int, line string")
+    opened = rows.selectExpr("struct(id) AS row", "gap", "in_source", "no", "line")
+    executed = lines._anchored(opened)._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange") == 1
