@@ -8,6 +8,8 @@ from concord.demo.targets import DIGEST_BUCKETS
 TABLES = ("orders", "lineitem", "documents", "events", "customer", "pages")
 
 ORDER_VALUES = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+#: Values of customers that are matched by name.
+NAMED = ["c_nationkey", "c_acctbal"]
 EVENT_VALUES = ["event_type", "value", "props"]
 LINE_COLUMNS = [
     "l_orderkey",
@@ -170,6 +172,17 @@ boundaries AS (
   WHERE position > 0 AND position % CAST(ceil(n / 5.0) AS BIGINT) = 0
 )"""
 
+
+def _composite(table: str, names: list[str]) -> str:
+    """Boundaries over several key columns, by their place in the sorted table."""
+    order = ", ".join(names)
+    return f"""WITH boundaries AS (
+  SELECT row_number() OVER (ORDER BY {order}) AS boundary_no, {order} FROM (
+    SELECT DISTINCT {order} FROM (
+      SELECT {order}, row_number() OVER (ORDER BY {order}) - 1 AS position, count(*) OVER () AS n FROM {table})
+    WHERE position > 0 AND position % CAST(ceil(n / 5.0) AS BIGINT) = 0))"""
+
+
 RANGES = (
     BOUNDARIES
     + """,
@@ -651,6 +664,29 @@ FROM (SELECT *, CASE WHEN category = 'changed' THEN concat_ws(',', {', '.join(f"
     "diff_by_range": f"""{ORDERS_DIFF}, {RANGES},
 g AS (SELECT CAST(1 + (SELECT count(*) FROM boundaries b WHERE b.boundary < d.o_orderkey) AS INTEGER) AS bucket, category FROM d)
 SELECT g.bucket, {COUNTS}, any_value(label) AS label FROM g JOIN labelled USING (bucket) GROUP BY g.bucket""",
+    "composite_range_boundaries": _composite("lineitem", ["l_returnflag", "l_shipdate", "l_orderkey"])
+    + " SELECT CAST(boundary_no AS INTEGER) AS boundary_no, l_returnflag, l_shipdate, l_orderkey FROM boundaries",
+    "diff_by_composite_range": _composite("events", ["event_type", "user_id", "ts"])
+    + ","
+    + _aligned("SELECT * FROM events", _sql(targets.EVENTS), ["event_type", "user_id", "ts"], ["value", "props"])
+    + f""", g AS (SELECT category, CAST(1 + (SELECT count(*) FROM boundaries b WHERE b.event_type < d.event_type
+  OR b.event_type = d.event_type AND (b.user_id < d.user_id OR b.user_id = d.user_id AND b.ts < d.ts)) AS INTEGER) AS bucket FROM d)
+SELECT bucket, {COUNTS} FROM g GROUP BY bucket""",
+    "range_boundaries_by_type": " UNION ALL ".join(
+        f"SELECT '{name}' AS column_name, CAST(boundary_no AS INTEGER) AS boundary_no, CAST({name} AS VARCHAR) AS boundary "
+        f"FROM ({_composite(table, [name])} SELECT * FROM boundaries)"
+        for table, name in (("pages", "url"), ("documents", "source"), ("orders", "o_orderdate"))
+    ),
+    "keyed_diff_collated": f"""SELECT coalesce(s.c_name, t.c_name) AS c_name,
+  CASE WHEN s.c_name IS NULL THEN 'only_in_target' WHEN t.c_name IS NULL THEN 'only_in_source'
+       WHEN {' AND '.join(f's.{name} IS NOT DISTINCT FROM t.{name}' for name in NAMED)} THEN 'matched' ELSE 'changed' END AS category,
+  CASE WHEN s.c_name IS NULL OR t.c_name IS NULL THEN '' ELSE {_changed(NAMED)} END AS changed_columns,
+  {', '.join(f's.{name} AS source_{name}, t.{name} AS target_{name}' for name in NAMED)}
+FROM customer s FULL OUTER JOIN ({_sql(targets.CUSTOMER_NAMES)}) t ON lower(s.c_name) = lower(t.c_name)""",
+    "footer_statistics": " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, count(*) AS rows, count({name}) AS filled, min({name}) AS lowest, max({name}) AS highest FROM {table}"
+        for table, name in (("orders", "o_orderkey"), ("lineitem", "l_orderkey"))
+    ),
     "digest_buckets": "WITH "
     + _aligned("SELECT * FROM orders", _sql(targets.ORDERS_LOCAL), ["o_orderkey"], ORDER_VALUES)
     + f""", e AS (SELECT min(o_orderkey) AS low, (max(o_orderkey) - min(o_orderkey) + 1 + {DIGEST_BUCKETS - 1}) // {DIGEST_BUCKETS} AS width FROM d)

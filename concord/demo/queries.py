@@ -22,7 +22,7 @@ from concord.operators.run import RunComparison, TableComparison, compare_sides,
 from concord.plans import COERCE, CompareOptions, KeyRange, Side, TableRef
 from concord.plans.compare_plan import common_columns
 from concord.session import ensure_checkpoint_dir
-from concord.sources.metadata import observed_columns, row_counts
+from concord.sources.metadata import footer_statistics, observed_columns, row_counts
 from concord.sources.sinks import discrepancy_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -410,6 +410,36 @@ def diff_by_range(spark, folder):
     return counts.join(F.broadcast(labels.select("bucket", "label")), "bucket")
 
 
+@query
+def composite_range_boundaries(spark, folder):
+    """Ranges over three key columns, of which the first has few values."""
+    source = targets.load(spark, folder, "lineitem")
+    names = ["l_returnflag", "l_shipdate", "l_orderkey"]
+    boundaries = ranges.range_boundaries(source, names, CHUNKS)
+    key_type = source.select(*names).schema
+    return ranges.boundaries_frame(spark, boundaries, key_type).select("boundary_no", "boundary.*")
+
+
+@query
+def diff_by_composite_range(spark, folder):
+    """Counts per range of (type, user, time) of events."""
+    options = CompareOptions(match_key=("event_type", "user_id", "ts"))
+    comparison = compare_tables(*_pair(spark, folder, "events"), options)
+    boundaries = ranges.range_boundaries(comparison.plan.source.df, options.match_key, CHUNKS)
+    return ranges.diff_by_range(comparison.rows, comparison.plan, boundaries)
+
+
+@query
+def range_boundaries_by_type(spark, folder):
+    """Boundaries of text and time keys, exact without a sort."""
+    found = []
+    for table, name in (("pages", "url"), ("documents", "source"), ("orders", "o_orderdate")):
+        source = targets.load(spark, folder, table)
+        frame = ranges.boundaries_frame(spark, ranges.range_boundaries(source, name, CHUNKS), source.schema[name].dataType)
+        found.append(frame.select(F.lit(name).alias("column_name"), "boundary_no", col("boundary").cast("string").alias("boundary")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query
 def digest_buckets(spark, folder):
     """Which parts of the key space of orders are equal, told by sums of hashes alone."""
@@ -431,9 +461,30 @@ def digest_diff_rows(spark, folder):
     return _flat(comparison, DigestComparison(comparison.plan, targets.DIGEST_BUCKETS).differences)
 
 
+@query
+def keyed_diff_collated(spark, folder):
+    """Customers by name, whose case differs between the sides."""
+    options = CompareOptions(match_key=("c_name",), key_unique=True, key_not_null=True, key_collation="UTF8_LCASE")
+    comparison = compare_tables(*_pair(spark, folder, "customer", targets.CUSTOMER_NAMES), options)
+    return _flat(comparison, comparison.rows)
+
+
 # Metadata and schema ------------------------------------------------------------------------------------------------
 
 
+@query
+def footer_statistics_(spark, folder):
+    """Rows and key bounds of orders and lineitem from file footers alone."""
+    key = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
+    parts = [
+        footer_statistics(spark, f"{folder}/{table}.parquet", [name]).selectExpr(
+            f"'{table}' AS table_name", "rows", f"{name}_filled AS filled", f"{name}_min AS lowest", f"{name}_max AS highest"
+        ).first()
+        for table, name in key.items()
+    ]
+    return spark.createDataFrame(parts, "table_name string, rows long, filled long, lowest long, highest long")
+
+
 @query
 def row_counts_(spark, folder):
     return row_counts(*sides(spark, folder))

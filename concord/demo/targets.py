@@ -96,6 +96,14 @@ CUSTOMER = """
 SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, 'x' AS c_segment_code FROM {customer}
 """
 
+# Customers from a system that writes names in its own case.
+CUSTOMER_NAMES = """
+SELECT c_custkey + 7 AS c_custkey,
+       CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) WHEN c_custkey % 3 = 1 THEN lower(c_name) ELSE c_name END AS c_name,
+       c_nationkey, CASE WHEN c_custkey % 41 = 5 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal
+FROM {customer} WHERE c_custkey % 29 <> 3
+"""
+
 # Pages as reports: both sides have a flag and a body whose leading bytes tell its type.
 PAGES_SOURCE = """
 SELECT page_id, (page_id % 5 = 0 OR page_id % 35 = 2) AS is_pdf,

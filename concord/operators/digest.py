@@ -79,6 +79,8 @@ def bucketing(plan: ComparePlan, buckets: int = BUCKETS) -> Bucketing:
     """Equal widths over the leading keys of both sides if these are whole numbers or dates of one kind, else by hash."""
     if buckets < 1:
         raise ValueError("at least one bucket is needed")
+    if any(pair.collation for pair in plan.keys):
+        raise ValueError("equal keys of a collation have different hashes, so that they can't be compared by digests")
     lead = plan.keys[0]
     dates = all(isinstance(t, T.DateType) for t in (lead.source_type, lead.target_type))
     if not dates and not (lead.same_type and isinstance(lead.source_type, _WHOLE)):

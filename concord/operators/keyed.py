@@ -14,6 +14,7 @@ carries their content. A key range is applied to each side before the join, wher
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 from concord.functions.canonical import comparable, comparable_type, content_hash, plain_text
 from concord.functions.columns import all_of, any_of, col, quote, struct_of, text
 from concord.functions.equality import values_equal
+from concord.operators.bounds import above, not_above
 from concord.operators.ordinals import HOT_GROUP_ROWS, HotGroups, find_hot_groups, with_positions
 from concord.plans.compare_plan import ColumnPair, ComparePlan, KeyRange
 from concord.plans.table import TableRef
@@ -40,14 +42,19 @@ TARGET = "t"
 POSITION = "__position"
 
 
-def in_range(key: Column, key_range: KeyRange | None) -> Column | None:
-    """``(lower, upper]`` on the leading key. A NULL key belongs to the first range, the one without a lower bound."""
+def in_range(keys: Sequence[Column], key_range: KeyRange | None) -> Column | None:
+    """``(lower, upper]`` on the leading key, or on as many keys as a bound has values. NULL is below everything: a NULL key
+    belongs to the first range, the one without a lower bound."""
     if key_range is None or (key_range.lower is None and key_range.upper is None):
         return None
     if key_range.lower is None:
-        return (key <= F.lit(key_range.upper)) | key.isNull()
-    above = key > F.lit(key_range.lower)
-    return above if key_range.upper is None else above & (key <= F.lit(key_range.upper))
+        return not_above(keys, key_range.upper)
+    low = above(keys, key_range.lower)
+    if key_range.upper is None:
+        return low
+    if isinstance(key_range.upper, tuple):
+        return low & not_above(keys, key_range.upper)
+    return low & (keys[0] <= F.lit(key_range.upper))
 
 
 def side_name(pair: ColumnPair, side: str) -> str:
@@ -74,7 +81,13 @@ def value_type(pair: ColumnPair, side: str) -> T.DataType:
 def key_expression(pair: ColumnPair, side: str) -> str:
     column = quote(side_name(pair, side))
     # Keys of different types are matched as text.
-    return column if pair.same_type else plain_text(column, side_type(pair, side))
+    key = column if pair.same_type else plain_text(column, side_type(pair, side))
+    return f"collate({key}, '{pair.collation}')" if pair.collation else key
+
+
+def spelled(name: str, pair: ColumnPair) -> str:
+    """The key of a scanned row as its side spells it."""
+    return f"collate({name}, 'UTF8_BINARY')" if pair.collation else name
 
 
 def value_expression(pair: ColumnPair, side: str) -> str:
@@ -92,7 +105,7 @@ def scan(plan: ComparePlan, side: str) -> DataFrame:
     """Key and value columns of one side as ``{side}k0.. {side}v0..`` and a presence flag."""
     df = side_frame(plan, side)
     if plan.keys:
-        condition = in_range(col(side_name(plan.keys[0], side)), plan.options.key_range)
+        condition = in_range([col(side_name(pair, side)) for pair in plan.keys], plan.options.key_range)
         if condition is not None:
             df = df.filter(condition)
     return df.selectExpr(
@@ -106,6 +119,10 @@ def _key_names(plan: ComparePlan, side: str) -> list[str]:
     return [f"{side}k{i}" for i in range(len(plan.keys))]
 
 
+def _spelled_keys(plan: ComparePlan, side: str) -> list[str]:
+    return [spelled(name, pair) for name, pair in zip(_key_names(plan, side), plan.keys)]
+
+
 def _value_names(plan: ComparePlan, side: str) -> list[str]:
     return [f"{side}v{i}" for i in range(len(plan.values))]
 
@@ -200,8 +217,8 @@ def keyed_rows(plan: ComparePlan, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     both = f"{SOURCE}_present IS NOT NULL AND {TARGET}_present IS NOT NULL"
     return align(plan, hot_rows).selectExpr(
         f"{category} AS category",
-        f"{_struct(_key_names(plan, SOURCE), plan.keys, SOURCE + '_present')} AS source_key",
-        f"{_struct(_key_names(plan, TARGET), plan.keys, TARGET + '_present')} AS target_key",
+        f"{_struct(_spelled_keys(plan, SOURCE), plan.keys, SOURCE + '_present')} AS source_key",
+        f"{_struct(_spelled_keys(plan, TARGET), plan.keys, TARGET + '_present')} AS target_key",
         f"CASE WHEN {both} THEN {changed} ELSE {nothing} END AS changed_columns",
         f"{_struct(_value_names(plan, SOURCE), plan.values, SOURCE + '_present')} AS source",
         f"{_struct(_value_names(plan, TARGET), plan.values, TARGET + '_present')} AS target",
@@ -234,7 +251,7 @@ def one_sided(plan: ComparePlan, category: str) -> DataFrame:
         scan(plan, side)
         .join(against, F.expr(same_key(plan, plan.options.key_not_null)), "left_anti")
         .selectExpr(
-            *[f"{side}k{i} AS {quote(pair.name)}" for i, pair in enumerate(plan.keys)],
+            *[f"{key} AS {quote(pair.name)}" for key, pair in zip(_spelled_keys(plan, side), plan.keys)],
             *[f"{side}v{i} AS {quote(pair.name)}" for i, pair in enumerate(plan.values)],
         )
     )

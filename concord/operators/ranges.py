@@ -3,22 +3,24 @@
 Boundaries of ranges of equal row count are found by row position. For whole-number and date keys this needs no sort:
 each pass counts the rows in equal-width buckets of the intervals that still hold a wanted position, and narrows every
 interval to the bucket that holds it. A pass is one scan of the key column with a partial aggregation; its result has at
-most ``chunks * BUCKETS`` rows whatever the size of the table. Keys of other types are placed by range partition.
+most ``chunks * BUCKETS`` rows whatever the size of the table. Keys of other types and keys of several columns are found by
+bracketing each position with a sample and counting (:mod:`concord.operators.selection`).
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concord.functions.columns import col
-from concord.operators.keyed import IS_ORPHAN, ORPHANS, aligned_key, orphan_content
-from concord.operators.ordinals import ROWS, START, counted_starts, places_for
+from concord.operators.bounds import count_below, literal
+from concord.operators.keyed import IS_ORPHAN, ORPHANS, SOURCE, aligned_key, key_type, orphan_content
+from concord.operators.selection import row_count, values_at
 from concord.operators.summary import part_counts
 from concord.plans.compare_plan import ComparePlan, KeyRange
 
@@ -26,9 +28,6 @@ BUCKETS = 4096
 #: Counts that one pass brings to the driver at most; with many intervals each gets fewer buckets, and a pass more.
 COUNTS_AT_ONCE = 1 << 20
 
-#: Bounds that are compared one by one.
-FEW_BOUNDS = 24
-
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _EPOCH = dt.date(1970, 1, 1)
 
@@ -51,17 +50,24 @@ def boundary_offsets(rows: int, chunks: int) -> list[int]:
     return [i * size for i in range(1, chunks) if i * size < rows]
 
 
-def range_boundaries(df: DataFrame, column: str, chunks: int) -> list:
-    """Values of ``column`` at the boundary positions of its sorted non-NULL values; equal boundaries are kept once."""
-    data_type = df.schema[column].dataType
-    keys = df.select(col(column).alias("key")).filter(F.col("key").isNotNull())
+def range_boundaries(df: DataFrame, column: str | Sequence[str], chunks: int) -> list:
+    """Values of ``column`` at the boundary positions of its sorted non-NULL values; equal boundaries are kept once.
+
+    With several columns a boundary is a tuple, and rows count in which all of them are filled.
+    """
+    columns = [column] if isinstance(column, str) else list(column)
+    if len(columns) > 1:
+        return list(dict.fromkeys(values_at(df, columns, boundary_offsets(row_count(df, columns), chunks))))
+    name = columns[0]
+    data_type = df.schema[name].dataType
+    keys = df.select(col(name).alias("key")).filter(F.col("key").isNotNull())
     if isinstance(data_type, _WHOLE):
         values = _narrow(keys.select(F.col("key").cast("long").alias("x")), chunks)
     elif isinstance(data_type, T.DateType):
         days = _narrow(keys.select(F.unix_date("key").cast("long").alias("x")), chunks)
         values = [_EPOCH + dt.timedelta(days=day) for day in days]
     else:
-        values = _by_placement(keys, chunks)
+        values = [value for (value,) in values_at(df, [name], boundary_offsets(row_count(df, [name]), chunks))]
     return list(dict.fromkeys(values))
 
 
@@ -118,18 +124,6 @@ def _step(target: _Target, counts: dict[int, int], width: int) -> None:
     raise AssertionError("the table changed between two passes")
 
 
-def _by_placement(keys: DataFrame, chunks: int) -> list:
-    rows = keys.count()
-    offsets = boundary_offsets(rows, chunks)
-    if not offsets:
-        return []
-    starts, _ = counted_starts(keys.withColumn("all_rows", F.lit(1)), ["all_rows"], ["key"], places_for(keys, rows))
-    first, last = F.col(START), F.col(START) + F.col(ROWS) - 1
-    wanted = F.filter(F.array(*[F.lit(offset) for offset in offsets]), lambda offset: offset.between(first, last))
-    found = starts.select("key", F.explode(wanted).alias("offset")).orderBy("offset").collect()
-    return [row["key"] for row in found]
-
-
 def key_ranges(boundaries: list) -> list[KeyRange]:
     """Contiguous ranges ``(lower, upper]``; the first and the last are open."""
     lowers = [None, *boundaries]
@@ -138,6 +132,8 @@ def key_ranges(boundaries: list) -> list[KeyRange]:
 
 
 def _number_text(value: object) -> str:
+    if isinstance(value, tuple):
+        return "(" + ", ".join(map(_number_text, value)) + ")"
     return f"{value:,}" if isinstance(value, int) else str(value)
 
 
@@ -178,35 +174,22 @@ def ranges_frame(spark: SparkSession, column: str, boundaries: list, data_type:
     return spark.createDataFrame(rows, schema)
 
 
-def count_below(key: Column, bounds: list) -> Column:
-    """How many of the sorted ``bounds`` lie below the key; 0 for NULL.
-
-    A few bounds are compared one by one, which is compiled code. Many are searched by halves: the expression doesn't grow
-    with their number but for one literal array.
-    """
-    if len(bounds) <= FEW_BOUNDS:
-        return reduce(Column.__add__, [F.when(key > F.lit(bound), 1).otherwise(0) for bound in bounds], F.lit(0))
-    values = F.array(*map(F.lit, bounds))
-
-    def halve(acc: Column, _: Column) -> Column:
-        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
-        above = (acc["low"] < acc["high"]) & (key > F.get(values, middle))
-        low, high = F.when(above, middle + 1).otherwise(acc["low"]), F.when(above, acc["high"]).otherwise(middle)
-        return F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
-
-    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
-    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
-    return F.aggregate(steps, start, halve, lambda acc: acc["low"])
-
-
 def bucket_of(key: Column, boundaries: list) -> Column:
     """1-based number of the range that holds the key; NULL belongs to the first."""
     return count_below(key, boundaries) + 1
 
 
 def with_bucket(rows: DataFrame, plan: ComparePlan, boundaries: list) -> DataFrame:
-    """Aligned rows with the number of the range of their leading key."""
-    return rows.withColumn("bucket", bucket_of(F.expr(aligned_key(plan)[0]), boundaries))
+    """Aligned rows with the number of the range of their leading key, or of as many keys as a boundary has values.
+
+    NULL is below everything, so that it belongs to the first range of what precedes it.
+    """
+    if not boundaries or not isinstance(boundaries[0], tuple):
+        return rows.withColumn("bucket", bucket_of(F.expr(aligned_key(plan)[0]), boundaries))
+    pairs = plan.keys[: len(boundaries[0])]
+    names, kinds = [f"k{i}" for i in range(len(pairs))], [key_type(pair, SOURCE) for pair in pairs]
+    key = F.struct(*[F.expr(sql).cast(kind).alias(name) for sql, kind, name in zip(aligned_key(plan), kinds, names)])
+    return rows.withColumn("bucket", bucket_of(key, [literal(boundary, kinds, names) for boundary in boundaries]))
 
 
 def diff_by_range(rows: DataFrame, plan: ComparePlan, boundaries: list) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import types as T
 
@@ -17,7 +18,10 @@ TEMPORAL_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType, T.TimeType)
 
 @dataclass(frozen=True)
 class KeyRange:
-    """Rows whose leading key lies in ``(lower, upper]``; an open bound is None."""
+    """Rows whose leading key lies in ``(lower, upper]``; an open bound is None.
+
+    A bound that is a tuple holds values of as many leading keys, which are compared one after the other.
+    """
 
     lower: object = None
     upper: object = None
@@ -36,7 +40,9 @@ class CompareOptions:
     type_policy          ``strict``: values of different types differ unless both are NULL; ``coerce``: compared by value
     key_unique           True: trust that no key repeats; False: pair repeated keys by position; None: look
     key_not_null         True: use plain equality on the key, which lets bucketed tables join without a shuffle
-    key_range            compare only this range of the leading key
+    key_collation        collation under which text keys are equal, as ``UTF8_LCASE`` or ``UTF8_BINARY_RTRIM``; the rows keep
+                         the spelling of each side; goes with neither key ranges nor digests
+    key_range            compare only this range of the leading key, or keys
     summary_by_digest    count the summary of wide rows from one SHA-256 per row, which is all that is shuffled besides the
                          key; applies to keyless tables and unique keys whose values have the same types on both sides
     """
@@ -51,11 +57,16 @@ class CompareOptions:
     key_unique: bool | None = None
     key_not_null: bool = False
     key_range: KeyRange | None = None
+    key_collation: str | None = None
     summary_by_digest: bool = False
 
     def __post_init__(self) -> None:
         if self.type_policy not in (STRICT, COERCE):
             raise ValueError(f"type_policy must be {STRICT!r} or {COERCE!r}, got {self.type_policy!r}")
+        if self.key_collation is not None and not re.fullmatch(r"\w+", self.key_collation):
+            raise ValueError(f"not a name of a collation: {self.key_collation!r}")
+        if self.key_collation is not None and self.key_range is not None:
+            raise ValueError("key ranges are cut by plain order, under which equal keys of a collation may lie apart")
 
 
 @dataclass(frozen=True)
@@ -67,6 +78,7 @@ class ColumnPair:
     source_type: T.DataType
     target_type: T.DataType
     large: bool = False
+    collation: str | None = None
 
     @property
     def same_type(self) -> bool:
@@ -136,6 +148,13 @@ def _excluded_by_type(table: TableRef, uuid_columns: Iterable[str]) -> set[str]:
     }
 
 
+def _collated(pair: ColumnPair, collation: str | None) -> ColumnPair:
+    """Collations are for text; keys of different types are matched as text and so are collated too."""
+    text = (T.StringType, T.CharType, T.VarcharType)
+    applies = not pair.same_type or isinstance(pair.source_type, text)
+    return replace(pair, collation=collation if applies else None)
+
+
 def resolve_plan(source: TableRef, target: TableRef, options: CompareOptions | None = None) -> ComparePlan:
     """Splits the common columns into key and values.
 
@@ -162,7 +181,7 @@ def resolve_plan(source: TableRef, target: TableRef, options: CompareOptions | N
     if options.match_key and not options.declared_key_as_value:
         excluded |= set(declared)
 
-    keys = tuple(by_name[name] for name in key_names)
+    keys = tuple(_collated(by_name[name], options.key_collation) for name in key_names)
     values = tuple(
         pair for pair in common if pair.name.lower() not in key_names and pair.name.lower() not in excluded
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +18,10 @@ COLUMN_SCHEMA = (
     "max_length int, precision int, scale int, is_nullable boolean, is_identity boolean, is_primary_key boolean, "
     "primary_key_ordinal int"
 )
+#: Types whose smallest and largest value file footers hold in full.
+FOOTER_TYPES = (
+    T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.BooleanType, T.DateType
+)
 OBJECT_SCHEMA = "schema_name string, name string, kind string, modified_at timestamp, definition string"
 
 
@@ -199,3 +203,28 @@ def row_counts(source: Side, target: Side) -> DataFrame:
     return s.join(t, F.col("s_match") == F.col("t_match"), "full_outer").select(
         F.coalesce("s_name", "t_name").alias("table_name"), "source_rows", "target_rows"
     )
+
+
+def footer_statistics(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """Rows of a Parquet folder and, for each column, ``{name}_filled``, ``{name}_min`` and ``{name}_max``, from file footers.
+
+    Spark answers such aggregates from the footers only through its newer Parquet reader, for whole numbers, floats, booleans
+    and dates; the session that has it on is one of its own, so that other reads keep their reader. A column of another type
+    raises an error, because it would be read whole.
+    """
+    session = spark.newSession()
+    older = session.conf.get("spark.sql.sources.useV1SourceList").split(",")
+    session.conf.set("spark.sql.sources.useV1SourceList", ",".join(name for name in older if name.strip() != "parquet"))
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    table = session.read.parquet(path)
+    wrong = [name for name in columns if not isinstance(table.schema[name].dataType, FOOTER_TYPES)]
+    if wrong:
+        raise ValueError(f"file footers hold no exact bounds of {wrong}")
+    return table.agg(
+        F.expr("count(*)").alias("rows"),
+        *[
+            F.expr(f"{function}({quote(name)})").alias(f"{name}_{suffix}")
+            for name in columns
+            for function, suffix in (("count", "filled"), ("min", "min"), ("max", "max"))
+        ],
+    )
