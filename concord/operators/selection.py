@@ -16,12 +16,12 @@ from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concord.functions.columns import col, quote
-from concord.operators.bounds import count_below, literal
+from concord.operators.bounds import with_place
 
 #: Rows that the samples of one round bring to the driver, about.
 SAMPLE = 1 << 16
@@ -80,18 +80,12 @@ def values_at(df: DataFrame, columns: Sequence[str], offsets: Sequence[int], sam
     """The keys at the 0-based ``offsets`` of the rows of ``df`` in the order of ``columns``; rows with a NULL key don't count."""
     types = [df.schema[name].dataType for name in columns]
     names = [f"k{i}" for i in range(len(columns))]
-    keys = df.where(" AND ".join(f"{quote(name)} IS NOT NULL" for name in columns)).selectExpr(
-        *[f"{_encoded(name, kind)} AS {alias}" for name, kind, alias in zip(columns, types, names)]
-    )
-    kinds = [field.dataType for field in keys.schema]
-    key: Column = F.col("k0") if len(names) == 1 else F.struct(*names)
+    keys = df.where(" AND ".join(f"{quote(name)} IS NOT NULL" for name in columns))
+    keys = keys.selectExpr(*[f"{quote(name)} AS {alias}" for name, alias in zip(columns, names)])
+    encoded = [f"{_encoded(name, kind)} AS {name}" for name, kind in zip(names, types)]
 
-    def placed(points: list[tuple]) -> tuple[DataFrame, list[Column]]:
-        bounds = [literal(point, kinds, names) for point in points]
-        return keys.withColumn("at", count_below(key, bounds)), bounds
-
-    def on_point(bounds: list[Column]) -> Column:
-        return F.coalesce(key == F.get(F.array(*bounds), F.col("at")), F.lit(False)) if bounds else F.lit(False)
+    def placed(points: list[tuple]) -> DataFrame:
+        return with_place(keys, [F.col(name) for name in names], types, points, "place")
 
     points: list[tuple] = []
     rows = keys.count()
@@ -102,12 +96,15 @@ def values_at(df: DataFrame, columns: Sequence[str], offsets: Sequence[int], sam
     turn = 0
     while open_at:
         share = max(LEAST_SHARE, sample // len(open_at))
-        located, bounds = placed(points)
         rates = [min(1.0, share / open_at[at].rows) if at in open_at else 0.0 for at in range(len(points) + 1)]
-        chosen = located.where(~on_point(bounds)).where(F.rand(turn) < F.get(F.array(*map(F.lit, rates)), F.col("at")))
+        # No row that lies on a point is wanted. The filter stays above the columns that it reads, because one is random.
+        by_place = [rate for at in rates for rate in (at, 0.0)]
+        drawn = placed(points).withColumn("draw", F.rand(turn))
+        chosen = drawn.where(F.col("draw") < F.get(F.array(*map(F.lit, by_place)), F.col("place"))).drop("draw")
         samples: dict[int, list[tuple]] = {at: [] for at in open_at}
-        for row in chosen.orderBy("at", *names).collect():
-            samples[row["at"]].append(tuple(_plain(row[name]) for name in names))
+        # As many rows as the driver takes are sorted by one task, which saves the scan that a range partitioning takes.
+        for row in chosen.repartition(1).sortWithinPartitions("place", *names).selectExpr("place", *encoded).collect():
+            samples[row["place"] // 2].append(tuple(_plain(row[name]) for name in names))
         still: list[int] = []
         for at, stretch in open_at.items():
             if rates[at] < 1.0:
@@ -128,9 +125,8 @@ def values_at(df: DataFrame, columns: Sequence[str], offsets: Sequence[int], sam
             span[at] = low, len(finer)
             if at < len(points):
                 finer.append(points[at])
-        located, bounds = placed(finer)
-        counted = located.groupBy("at", on_point(bounds).alias("equal")).agg(F.expr("count(*)").alias("rows")).collect()
-        counts = {(row["at"], row["equal"]): row["rows"] for row in counted}
+        counted = placed(finer).groupBy("place").agg(F.expr("count(*)").alias("rows")).collect()
+        counts = {row["place"]: row["rows"] for row in counted}
         closer: dict[int, _Stretch] = {}
         for at in still:
             below, (low, high) = open_at[at].before, span[at]
@@ -139,7 +135,7 @@ def values_at(df: DataFrame, columns: Sequence[str], offsets: Sequence[int], sam
                 for equal in (False, True):
                     if equal and place == high:
                         continue
-                    here = counts.get((place, equal), 0)
+                    here = counts.get(2 * place + equal, 0)
                     mine = wanted[bisect_left(wanted, below) : bisect_left(wanted, below + here)]
                     if mine and equal:
                         found.update(dict.fromkeys(mine, finer[place]))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from concord import CompareOptions, KeyRange, TableRef, compare_tables
 from concord.operators import ranges
+from concord.operators.bounds import with_place
 from concord.operators.digest import DigestComparison
 from concord.operators.keyed import scan
 from concord.operators.selection import _points, _Stretch, values_at
@@ -148,3 +149,17 @@ def test_footer_statistics(spark, tmp_path):
 def test_wide_decimals_keep_their_type(spark):
     df = spark.createDataFrame([(Decimal("1.50"),), (Decimal("2.25"),), (Decimal("9.00"),)], "k decimal(30,2)")
     assert ranges.range_boundaries(df, "k", 3) == [Decimal("2.25"), Decimal("9.00")]
+
+
+def test_places_among_bounds_compare_columns_not_structs(spark):
+    """Rows compared with bounds as whole structs ran as code too large to be compiled to machine code."""
+    kinds = [T.StringType(), T.TimestampNTZType(), T.LongType()]
+    day = lambda n: dt.datetime(2020, 1, 1) + dt.timedelta(days=n)
+    rows = [(a, b and day(b), c) for a in (None, "A", "B", "C") for b in (None, 1, 2, 3) for c in (None, -5, 0, 7)]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField(f"k{i}", kind) for i, kind in enumerate(kinds)]))
+    bounds = [("A", day(2), 0), ("A", day(2), 7), ("B", day(1), 1), ("B", day(3), -5), ("C", day(2), 0)]
+    placed = with_place(df, [F.col(f"k{i}") for i in range(3)], kinds, bounds, "place")
+    filled = lambda row: tuple((value is not None, value) if value is not None else (False,) for value in row)
+    wanted = {row: 2 * sum(filled(b) < filled(row) for b in bounds) + (row in bounds) for row in rows}
+    assert {tuple(row[:3]): row["place"] for row in placed.collect()} == wanted
+    assert "struct" not in placed._jdf.queryExecution().optimizedPlan().toString()
