@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concord.functions.columns import col
-from concord.operators.bounds import count_below, literal
+from concord.operators.bounds import count_below, with_place
 from concord.operators.keyed import IS_ORPHAN, ORPHANS, SOURCE, aligned_key, key_type, orphan_content
 from concord.operators.selection import row_count, values_at
 from concord.operators.summary import part_counts
@@ -187,9 +187,9 @@ def with_bucket(rows: DataFrame, plan: ComparePlan, boundaries: list) -> DataFra
     if not boundaries or not isinstance(boundaries[0], tuple):
         return rows.withColumn("bucket", bucket_of(F.expr(aligned_key(plan)[0]), boundaries))
     pairs = plan.keys[: len(boundaries[0])]
-    names, kinds = [f"k{i}" for i in range(len(pairs))], [key_type(pair, SOURCE) for pair in pairs]
-    key = F.struct(*[F.expr(sql).cast(kind).alias(name) for sql, kind, name in zip(aligned_key(plan), kinds, names)])
-    return rows.withColumn("bucket", bucket_of(key, [literal(boundary, kinds, names) for boundary in boundaries]))
+    kinds = [key_type(pair, SOURCE) for pair in pairs]
+    keys = [F.expr(sql).cast(kind) for sql, kind in zip(aligned_key(plan), kinds)]
+    return with_place(rows, keys, kinds, boundaries, "bucket").withColumn("bucket", F.expr("bucket div 2 + 1").cast("int"))
 
 
 def diff_by_range(rows: DataFrame, plan: ComparePlan, boundaries: list) -> DataFrame:
