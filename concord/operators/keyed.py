@@ -25,7 +25,7 @@ from concord.functions.canonical import comparable, comparable_type, content_has
 from concord.functions.columns import all_of, any_of, col, quote, struct_of, text
 from concord.functions.equality import values_equal
 from concord.operators.bounds import above, not_above
-from concord.operators.ordinals import HOT_GROUP_ROWS, HotGroups, find_hot_groups, with_positions
+from concord.operators.ordinals import HOT_GROUP_ROWS, HotGroups, find_hot_groups, places_for, with_positions
 from concord.plans.compare_plan import ColumnPair, ComparePlan, KeyRange
 from concord.plans.table import TableRef
 
@@ -37,6 +37,9 @@ REASSIGNED = "reassigned"
 ORPHANS = (ONLY_IN_SOURCE, ONLY_IN_TARGET)
 IS_ORPHAN = f"category IN ('{ONLY_IN_SOURCE}', '{ONLY_IN_TARGET}')"
 
+#: Rows of both sides that one task of an anti join sorts, about.
+ROWS_PER_TASK = 250_000
+
 SOURCE = "s"
 TARGET = "t"
 POSITION = "__position"
@@ -179,8 +182,8 @@ def same_key(plan: ComparePlan, not_null: bool) -> str:
     return all_of(f"{SOURCE}k{i} {operator} {TARGET}k{i}" for i in range(len(plan.keys)))
 
 
-def align(plan: ComparePlan, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
-    """Full outer join of the two scans on the key.
+def align(plan: ComparePlan, hot_rows: int = HOT_GROUP_ROWS, places: int | None = None) -> DataFrame:
+    """Full outer join of the two scans on the key, cut into ``places`` tasks if given and keys neither repeat nor are NULL.
 
     When keys repeat, the rows of a key are paired by position in value order and the surplus stays unpaired.
     """
@@ -193,6 +196,8 @@ def align(plan: ComparePlan, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
         condition += f" AND {SOURCE}{POSITION} = {TARGET}{POSITION}"
     else:
         source, target = scan(plan, SOURCE), scan(plan, TARGET)
+        if places and profile.not_null:
+            source, target = (df.repartition(places, *_key_names(plan, side)) for df, side in ((source, SOURCE), (target, TARGET)))
     return source.join(target, F.expr(condition), "full_outer")
 
 
@@ -247,9 +252,14 @@ def one_sided(plan: ComparePlan, category: str) -> DataFrame:
         )
     side, other = (SOURCE, TARGET) if category == ONLY_IN_SOURCE else (TARGET, SOURCE)
     against = scan(plan, other).select(*_key_names(plan, other))
+    own = scan(plan, side)
+    rows = side_frame(plan, side).count() + side_frame(plan, other).count()
+    places = places_for(own, rows, ROWS_PER_TASK)
+    if plan.options.key_not_null and places > places_for(own, 0):
+        # What a task sorts doesn't grow with the tables: the join gives its other side as many partitions.
+        against = against.repartition(places, *_key_names(plan, other)).hint("merge")
     return (
-        scan(plan, side)
-        .join(against, F.expr(same_key(plan, plan.options.key_not_null)), "left_anti")
+        own.join(against, F.expr(same_key(plan, plan.options.key_not_null)), "left_anti")
         .selectExpr(
             *[f"{key} AS {quote(pair.name)}" for key, pair in zip(_spelled_keys(plan, side), plan.keys)],
             *[f"{side}v{i} AS {quote(pair.name)}" for i, pair in enumerate(plan.values)],

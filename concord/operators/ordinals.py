@@ -48,10 +48,10 @@ def find_hot_groups(
     return HotGroups(hot.select(*[col(name) for name in group]), number <= BROADCAST_GROUPS, total) if number else None
 
 
-def places_for(df: DataFrame, rows: int) -> int:
+def places_for(df: DataFrame, rows: int, each: int = ROWS_PER_PLACE) -> int:
     """How many tasks ``rows`` rows are cut over: at least as many as the session shuffles into."""
     usual = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return min(max(usual, -(-rows // ROWS_PER_PLACE)), MOST_PLACES)
+    return min(max(usual, -(-rows // each)), MOST_PLACES)
 
 
 def ordering(names: Sequence[str]) -> str:

@@ -102,3 +102,14 @@ def test_bucketed_tables_join_without_shuffle(spark):
     comparison = compare_tables(source, target, options)
     assert exchanges(plan_of(comparison.rows)) == 0
     assert comparison.summary.first().matched == 1500
+
+
+def test_rows_of_one_side_take_more_tasks_for_more_rows(spark, monkeypatch):
+    """The sort of a task held a share of the table that grew with it."""
+    before = sorted(QUERIES["only_in_target"](spark, FOLDER).collect())
+    monkeypatch.setattr("concord.operators.keyed.ROWS_PER_TASK", 30)
+    found = QUERIES["only_in_target"](spark, FOLDER)
+    assert sorted(found.collect()) == before
+    # 1,500 rows and 1,486 of the target.
+    text = plan_of(found)
+    assert "SortMergeJoin" in text and exchanges(text) == text.count(", 100), ") > 0
