@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from concord.functions.columns import col, quote
 from concord.operators.keyed import POSITION, SOURCE, TARGET, align
-from concord.operators.ordinals import HOT_GROUP_ROWS, listing
+from concord.operators.ordinals import HOT_GROUP_ROWS, listing, places_for
 from concord.plans.compare_plan import ComparePlan
 from concord.session import materialize
 
 SAME, ONLY_SOURCE, ONLY_TARGET = "same", "only_source", "only_target"
 ROW_NO = "row_no"
+#: Bytes of lines that one task aligns, about; a line counts with so many bytes besides its own.
+BYTES_PER_TASK, BYTES_PER_LINE = 32 << 20, 64
 
 
 def split_lines(text: str) -> str:
@@ -27,14 +29,14 @@ def split_lines(text: str) -> str:
 
 
 def _text_pairs(
-    plan: ComparePlan, text: str, changed_only: bool, one_sided: bool, hot_rows: int
+    plan: ComparePlan, text: str, changed_only: bool, one_sided: bool, hot_rows: int, places: int | None = None
 ) -> tuple[DataFrame, list[str]]:
     """The texts to be compared as ``source_text`` and ``target_text``, and the columns that identify a row.
 
     When keys repeat, the position inside the key is one of these columns.
     """
     pair = next(pair for pair in plan.common if pair.name.lower() == text.lower())
-    aligned = align(replace(plan, values=(replace(pair, large=False),)), hot_rows)
+    aligned = align(replace(plan, values=(replace(pair, large=False),)), hot_rows, places)
     keys = [key.name for key in plan.keys]
     identity = [f"coalesce({SOURCE}k{i}, {TARGET}k{i}) AS {quote(key)}" for i, key in enumerate(keys)]
     if f"{SOURCE}{POSITION}" in aligned.columns:
@@ -148,14 +150,32 @@ _LINES = "inline(concat({})) AS (in_source, no, line, s, t)".format(
 )
 
 
-def _anchored(lines: DataFrame) -> DataFrame:
-    """One round over the open lines (row, gap, in_source, no, line): adds anchors (s, t), the new gaps and ``live``.
+def _text_bytes(plan: ComparePlan, text: str) -> int:
+    """Bytes of the lines of both sides."""
+    pair = next(pair for pair in plan.common if pair.name.lower() == text.lower())
+    total = 0
+    for df, name in ((plan.source.df, pair.name), (plan.target.df, pair.target_name)):
+        own = f"octet_length({quote(name)})"
+        breaks = f"({own} - octet_length(replace({quote(name)}, '\n', '')) + 1)"
+        total += df.agg(F.expr(f"coalesce(sum({own} + {BYTES_PER_LINE} * {breaks}), 0L)")).first()[0]
+    return total
+
+
+def _by_row(lines: DataFrame, size: int) -> DataFrame:
+    """Lines of one text together; what a task gets doesn't grow with the tables."""
+    places = places_for(lines, size, BYTES_PER_TASK)
+    return lines.repartition(places, "row") if places > places_for(lines, 0) else lines.repartition("row")
+
+
+def _anchored(lines: DataFrame, size: int = 0) -> DataFrame:
+    """One round over the open lines (row, gap, in_source, no, line) of ``size`` bytes: adds anchors (s, t), the new gaps and
+    ``live``.
 
     A gap is named by the Source line that was anchored before it. All steps cluster by ``row``, hence one shuffle.
     """
     same = "PARTITION BY row, gap, line, in_source"
     pairs = (
-        lines.repartition("row")
+        _by_row(lines, size)
         .selectExpr("*", f"row_number() OVER ({same} ORDER BY no) AS nth", f"count(*) OVER ({same}) AS times")
         .groupBy("row", "gap", "line", "nth")
         .agg(
@@ -206,7 +226,10 @@ def aligned_line_diff(
     that gained an anchor and still have open lines on both sides go on. A missing text marks all lines of the other one, two
     missing texts have no lines, an empty text has one empty line, CRLF counts as LF.
     """
-    found, keys = _text_pairs(plan, text, changed_only, one_sided, hot_rows)
+    whole = size = _text_bytes(plan, text)
+    places = places_for(plan.source.df, whole, BYTES_PER_TASK)
+    places = places if places > places_for(plan.source.df, 0) else None
+    found, keys = _text_pairs(plan, text, changed_only, one_sided, hot_rows, places)
     sides = ", ".join(
         f"named_struct('in_source', {flag}, 'lines', {split_lines(side)})"
         for flag, side in (("true", "source_text"), ("false", "target_text"))
@@ -218,13 +241,14 @@ def aligned_line_diff(
     )
     rounds = []
     while True:
-        done = materialize(_anchored(opened))
+        done = materialize(_anchored(opened, size))
         rounds.append(done.where("NOT live"))
         opened = done.where("live").select("row", "gap", "in_source", "no", "line")
-        if opened.isEmpty():
+        left, size = opened.agg(F.expr("count(*)"), F.expr(f"coalesce(sum(octet_length(line) + {BYTES_PER_LINE}), 0L)")).first()
+        if not left:
             break
     kind = "CASE WHEN s IS NOT NULL THEN 0 WHEN in_source THEN 1 ELSE 2 END"
-    return reduce(DataFrame.unionByName, rounds).selectExpr(
+    return _by_row(reduce(DataFrame.unionByName, rounds), whole).selectExpr(
         "row.*",
         f"row_number() OVER (PARTITION BY row ORDER BY gap, {kind}, no) AS position",
         "IF(in_source, no, NULL) AS source_line_no",

@@ -200,3 +200,15 @@ def test_a_round_of_alignment_shuffles_once(spark):
     opened = rows.selectExpr("struct(id) AS row", "gap", "in_source", "no", "line")
     executed = lines._anchored(opened)._jdf.queryExecution().executedPlan().toString()
     assert executed.count("Exchange") == 1
+
+
+def test_aligned_diff_takes_more_tasks_for_more_text(spark, monkeypatch):
+    texts = [(f"a{i}\nb\nc\nd{i}", f"c\na{i}\nb\nx\nd{i}") for i in range(60)]
+    before = alignments(spark, texts)
+    monkeypatch.setattr(lines, "BYTES_PER_TASK", 256)
+    assert alignments(spark, texts) == before
+    p = plan(spark, *([(i, pair[side]) for i, pair in enumerate(texts)] for side in (0, 1)))
+    size = sum(len(text) + 64 * (text.count("\n") + 1) for pair in texts for text in pair)
+    assert lines._text_bytes(p, "text") == size
+    executed = lines.aligned_line_diff(p, "text", changed_only=False)._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-size // 256)}), REPARTITION_BY_NUM" in executed
