@@ -26,6 +26,8 @@ VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 MEMO_WORDS = 500_000
+#: Texts and characters that are solved together: words of many texts share the passes over their length.
+TEXTS_AT_ONCE, CHARACTERS_AT_ONCE = 1024, 1 << 22
 UNIT = 1_000_000
 NEVER = -(1 << 62)
 
@@ -76,6 +78,11 @@ class Pieces:
 
     def decode(self, ids: Iterator[int]) -> str:
         """The text of ids; the first mark is the one that encoding added."""
+        ids = tuple(ids)
+        try:
+            return "".join(map(self.text.__getitem__, ids))
+        except KeyError:  # some are bytes
+            pass
         out, raw = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -311,6 +318,18 @@ class Segmenter:
         return out
 
 
+def stretches(texts: list[str]) -> Iterator[slice]:
+    """Cuts ``texts`` into parts of bounded number and size; a text above the size is a part of its own."""
+    start = size = 0
+    for at, text in enumerate(texts):
+        if at > start and (at - start == TEXTS_AT_ONCE or size + len(text) > CHARACTERS_AT_ONCE):
+            yield slice(start, at)
+            start, size = at, 0
+        size += len(text)
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 _SEGMENTERS: dict[tuple[str, int], Segmenter] = {}
 
 
@@ -335,10 +354,10 @@ def encode(docs: DataFrame, n: int = 4, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = segmenter(path, n)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for part in stretches(texts):
                 rows = []
-                some = batch.slice(start, 256)
-                for doc_id, found in zip(some.column(0).to_pylist(), cut.texts(some.column(1).to_pylist())):
+                for doc_id, found in zip(doc_ids[part], cut.texts(texts[part])):
                     for rank, (score, ids, same) in enumerate(found, 1):
                         row = (doc_id, rank, score / UNIT, len(ids) // 4, zlib.crc32(ids), same)
                         rows.append((*row, np.frombuffer(ids, "<i4")) if with_ids else row)

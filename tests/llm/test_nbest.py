@@ -76,3 +76,12 @@ def test_runs_of_spaces_against_the_uncut_text(seg, text):
     want = sorted((s for s, _ in all_segmentations(seg.pieces, marked)), reverse=True)[:4]
     found = next(iter(seg.texts([text])))
     assert [s for s, _, _ in found] == want and all(ok for _, _, ok in found)
+
+
+def test_texts_are_solved_together_by_number_and_size(monkeypatch):
+    monkeypatch.setattr(nbest, "TEXTS_AT_ONCE", 3)
+    monkeypatch.setattr(nbest, "CHARACTERS_AT_ONCE", 10)
+    texts = ["ab", "", "c", "d", "e" * 30, "f" * 6, "g" * 6, ""]
+    parts = [texts[part] for part in nbest.stretches(texts)]
+    assert parts == [["ab", "", "c"], ["d"], ["e" * 30], ["f" * 6], ["g" * 6, ""]]
+    assert list(nbest.stretches([])) == []
