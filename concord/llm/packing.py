@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.common import written
-from concord.llm.wordids import SpacedWords, word_ids
+from concord.llm.wordids import MEMO_WORDS, TEXT_AT_ONCE, SpacedWords, word_ids
 
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -54,11 +54,15 @@ class Capacity:
 # ---- token ids
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, longest: int) -> DataFrame:
+def pieces(
+    docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, longest: int,
+    memo_words: int = MEMO_WORDS, at_once: int = TEXT_AT_ONCE,
+) -> DataFrame:
     """Pieces of each document's ids (with ``end_id`` behind them): only documents above ``longest`` tokens are cut."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(path, SpacedWords()).encode_all
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker left
+        encode = word_ids(path, SpacedWords(), memo_words, at_once).encode_all
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
             found = [[], [], [], [], []]
@@ -155,6 +159,8 @@ def pack(
     capacity: Capacity = Capacity(),
     group_pieces: int = 4096,
     loose_pieces: int = 256,
+    memo_words: int = MEMO_WORDS,
+    at_once: int = TEXT_AT_ONCE,
 ) -> DataFrame:
     """Places every piece of every document: doc_id, piece, start, length, ids_crc32, sequence_id and offset.
 
@@ -164,10 +170,11 @@ def pack(
     sequences. Null and empty texts are one piece with
     the end id alone; whole texts are encoded whatever their length; null ids and repeated rows are pieces like any other,
     dealt by their row number; ties go to the sequence opened first; other columns are not looked at; an empty table gives
-    no rows. ``tokenizer`` is the path of a vocabulary file.
+    no rows. ``tokenizer`` is the path of a vocabulary file. A worker remembers ``memo_words`` words and encodes texts of
+    ``at_once`` characters together: fewer take less memory and more time.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
-    found = pieces(docs, id_col, text_col, path, end_id, capacity.longest)
+    found = pieces(docs, id_col, text_col, path, end_id, capacity.longest, memo_words, at_once)
     found = written(found.withColumn("__row", F.monotonically_increasing_id()))
     schema = f"{PIECES}, __row long, group long, sequence_id long, offset long"
     first = max(1, ceil(found.count() / group_pieces))

@@ -96,10 +96,11 @@ class _Numbers(dict):
 class WordIds:
     """Ids of texts, as numpy arrays of unsigned 32-bit numbers."""
 
-    def __init__(self, path: str, rule: SpacedWords | LedWords, limit: int = MEMO_WORDS):
+    def __init__(self, path: str, rule: SpacedWords | LedWords, limit: int = MEMO_WORDS, at_once: int = TEXT_AT_ONCE):
         self.encode_batch = tokenizer(path).encode_batch_fast
         self.rule = rule
         self.limit = limit
+        self.at_once = at_once
         self.numbers = _Numbers()
         self.seen = bytearray(SEEN_SLOTS)
         #: Ids of all numbered words end to end, and where each word begins (one entry more than words).
@@ -209,22 +210,22 @@ class WordIds:
         for text in texts:
             some.append(text)
             size += len(text)
-            if size >= TEXT_AT_ONCE or len(some) >= 4096:
+            if size >= self.at_once or len(some) >= 4096:
                 yield from self.encode(some)
                 some, size = [], 0
         if some:
             yield from self.encode(some)
 
 
-_MEMORY: dict[tuple[str, type], WordIds] = {}
+_MEMORY: dict[tuple, WordIds] = {}
 
 
-def word_ids(path: str, rule: SpacedWords | LedWords) -> WordIds:
+def word_ids(path: str, rule: SpacedWords | LedWords, limit: int = MEMO_WORDS, at_once: int = TEXT_AT_ONCE) -> WordIds:
     """The memory of this worker for one vocabulary; that of another one is given up."""
-    key = (path, type(rule))
+    key = (path, type(rule), limit, at_once)
     if key not in _MEMORY:
         _MEMORY.clear()
-        _MEMORY[key] = WordIds(path, rule)
+        _MEMORY[key] = WordIds(path, rule, limit, at_once)
     return _MEMORY[key]
 
 

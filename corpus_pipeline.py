@@ -24,8 +24,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document left, placed in a sequence."""
-    return packing.pack(docs)
+    """Every piece of every document left, placed in a sequence; workers still hold what the stages before left in them."""
+    return packing.pack(docs, memo_words=100_000, at_once=1 << 19)
 
 
 STAGES = [

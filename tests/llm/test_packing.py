@@ -109,3 +109,10 @@ def test_many_equal_rows_fill_their_sequences(spark):
     docs = spark.createDataFrame([(None, "")] * 3000 + [(7, "one two")] * 3000, "doc_id long, text string")
     found = packing.pack(docs, group_pieces=500, loose_pieces=100).collect()
     assert len(found) == 6000 and check(found) <= 4
+
+
+def test_fewer_remembered_words_give_the_same_pieces(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "repeat(concat(sha(CAST(id AS STRING)), ' The cat; '), 1 + int(id % 9)) AS text")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    whole = packing.pack(docs).select(*columns).collect()
+    assert sorted(packing.pack(docs, memo_words=50, at_once=500).select(*columns).collect()) == sorted(whole)
