@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import written
+from concord.llm.common import trim, written
 from concord.llm.wordids import MEMO_WORDS, TEXT_AT_ONCE, SpacedWords, word_ids
 
 TOKENIZER = "word_bpe_49k.json"
@@ -61,7 +61,7 @@ def pieces(
     """Pieces of each document's ids (with ``end_id`` behind them): only documents above ``longest`` tokens are cut."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker left
+        trim()  # what earlier tasks of this worker left
         encode = word_ids(path, SpacedWords(), memo_words, at_once).encode_all
         end = np.array([end_id], dtype="<u4")
         for batch in batches:

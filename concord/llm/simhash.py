@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from concord.llm.common import LOWER, text_bytes, written
+from concord.llm.common import LOWER, text_bytes, trim, written
 from concord.llm.components import components
 
 BITS = 64
@@ -57,7 +57,9 @@ def fingerprint_column(text: Column, width: int = 4) -> Column:
 
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(x.as_py(), width) for x in texts], type=pa.int64())
+        found = pa.array([fingerprint(x.as_py(), width) for x in texts], type=pa.int64())
+        trim()
+        return found
 
     return of(text_bytes(text))
 

@@ -14,6 +14,8 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words that a worker remembers: about 170 bytes each. Once half of them are taken, only words that come again are added.
 MEMO_WORDS, SEEN_SLOTS = 800_000, 1 << 21
@@ -47,11 +49,14 @@ class SpacedWords:
     other, and with these letters normalisation doesn't either.
     """
 
-    _WHITE = re.compile(r"[\x20\x09-\x0D]+")
     _PARTS = re.compile(f"([{LETTERS}]+)([{MARKS}]+)").fullmatch
 
-    def cut(self, text: str) -> list[str]:
-        return text.encode().split() and self._WHITE.split(text.strip(" \t\n\v\f\r"))
+    def cut(self, texts: list[str]) -> pa.Array:
+        """The words of each text; an empty word at an end of a text has no ids."""
+        return pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+
+    def text(self, word: str) -> str:
+        return word
 
     def parts(self, word: str) -> tuple[str, str]:
         found = self._PARTS(word)
@@ -63,22 +68,41 @@ class LedWords:
     """Words of a byte-level vocabulary, whose pieces take white space at most at their beginning.
 
     Between anything else and white space there is always a cut, and one between letters and the marks behind them.
+    Most words follow a single space, which is left out of their name; the name of a word without it begins with two line
+    ends, or is the text itself where that begins with one line end.
     """
 
-    _MIXED = re.compile(r"\s[ \n]")
+    _MIXED = re.compile(r"\s[ \n]").search
     _CUT = re.compile(r"(?<=\S)(?=[ \n])")
-    _PARTS = re.compile(f"([ \\n]?[{LETTERS}]+)([{MARKS}]+)").fullmatch
-
-    def cut(self, text: str) -> list[str]:
-        if self._MIXED.search(text):
-            return self._CUT.split(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        words = [w if w[:1] == "\n" else " " + w for w in rest]
-        return [first, *words] if first else words
+    _PARTS = re.compile(f"((?:\n\n|\n)?[{LETTERS}]+)([{MARKS}]+)").fullmatch
+
+    def cut(self, texts: list[str]) -> pa.Array:
+        """The names of the words of each text."""
+        mixed = [i for i, text in enumerate(texts) if self._MIXED(text)]
+        plain = [f"\n\n{text.replace('\n', ' \n')}" for text in texts]
+        for i in mixed:
+            plain[i] = ""
+        words = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        if not mixed:
+            return words
+        odd = pa.array([[self._name(x) for x in self._CUT.split(texts[i])] for i in mixed], words.type)
+        places = np.arange(len(texts))
+        places[mixed] = len(texts) + np.arange(len(mixed))
+        return pa.concat_arrays([words, odd]).take(pa.array(places))
+
+    def _name(self, text: str) -> str:
+        if text[:1] == " " and text[1:2] not in (" ", "\n"):
+            return text[1:]
+        return text if text[:1] == "\n" and text[1:2] != "\n" else f"\n\n{text}"
+
+    def text(self, word: str) -> str:
+        if word[:2] == "\n\n":
+            return word[2:]
+        return word if word[:1] == "\n" else f" {word}"
 
     def parts(self, word: str) -> tuple[str, str]:
         found = self._PARTS(word)
-        return found.groups() if found else (word, "")
+        return (found[1], f"\n\n{found[2]}") if found else (word, "")
 
 
 class _Numbers(dict):
@@ -126,14 +150,15 @@ class WordIds:
         total = int(ends[-1]) if len(ends) else 0
         return self.ids[np.repeat(begins - ends + lengths, lengths) + np.arange(total)], lengths
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words just numbered: whole words, or the ids of their parts put together."""
+    def _learn(self, words: list[str]) -> list[str]:
+        """Ids of words just numbered: whole words, or the ids of their parts put together. Returns all words added."""
         numbers = self.numbers
         first = len(numbers) - len(words)
         parts = [self.rule.parts(word) for word in words]
         numbers.new = []
         # Numbers the parts too: they are words of their own, and often seen again.
-        at = np.fromiter(map(numbers.__getitem__, (x for part in parts for x in part if x)), dtype=np.int64)
+        each = (x for core, rest in parts for x in ((core, rest) if rest else (core,)))
+        at = np.fromiter(map(numbers.__getitem__, each), dtype=np.int64)
         counts = np.fromiter((1 + bool(rest) for _, rest in parts), dtype=np.int64, count=len(parts))
         plain, numbers.new = numbers.new, []
         # A word that is its own part is encoded in its place, then the parts that were new.
@@ -142,7 +167,7 @@ class WordIds:
         lengths = np.empty(len(wanted), dtype=np.int64)
         ids: list[list[int]] = []
         for start in range(0, len(wanted), 4096):
-            some = self.encode_batch(wanted[start : start + 4096], add_special_tokens=False)
+            some = self.encode_batch([*map(self.rule.text, wanted[start : start + 4096])], add_special_tokens=False)
             ids.extend(e.ids for e in some)
         lengths[:] = [len(x) for x in ids]
         flat = np.fromiter(chain.from_iterable(ids), dtype="<u4", count=int(lengths.sum()))
@@ -168,6 +193,7 @@ class WordIds:
         whole[~from_new] = self.ids[spot[~from_new]]
         rest = slice(int(begins[len(own)]), None)
         self._append(first, np.concatenate((word_length, lengths[len(own) :])), np.concatenate((whole, flat[rest])))
+        return words + plain
 
     def _forget(self, first: int, added: list[str]) -> None:
         """Keeps of the words numbered from ``first`` on those that there is room for."""
@@ -190,18 +216,20 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of some texts together."""
-        split = [self.rule.cut(text) for text in texts]
+        split = self.rule.cut(texts)
+        # Equal words are found in compiled code, and each one is looked up once.
+        coded = split.flatten().dictionary_encode()
         numbers = self.numbers
         first = len(numbers)
-        found = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), dtype=np.int64)
+        found = np.fromiter(map(numbers.__getitem__, coded.dictionary.to_pylist()), dtype=np.int64)
         new, numbers.new = numbers.new, []
         if new:
-            self._learn(new)
-        ids, lengths = self._gather(found)
-        words = np.cumsum([len(x) for x in split])
+            new = self._learn(new)
+        ids, lengths = self._gather(found[coded.indices.to_numpy()])
+        words = np.cumsum(pc.list_value_length(split).to_numpy())
         ends = np.concatenate(([0], np.cumsum(lengths)))[words]
         if new:
-            self._forget(first, list(numbers)[first:])
+            self._forget(first, new)
         return np.split(ids, ends[:-1])
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:

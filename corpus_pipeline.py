@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from concord.llm import convnet, packing, rules, simhash
-from concord.llm.common import table, written
+from concord.llm.common import arrow_rows, table, written
+
+#: Documents that go to a Python worker together; a worker and its executor hold them, and several copies of them, at once.
+BATCH_ROWS = 1000
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,12 +23,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies stays: fingerprints of four-word shingles at most 4 bits apart."""
-    return simhash.keep_one(docs, width=4, radius=4)
+    with arrow_rows(spark, BATCH_ROWS):
+        return simhash.keep_one(docs, width=4, radius=4)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document left, placed in a sequence; workers still hold what the stages before left in them."""
-    return packing.pack(docs, memo_words=100_000, at_once=1 << 19)
+    with arrow_rows(spark, BATCH_ROWS):
+        return packing.pack(docs, memo_words=100_000, at_once=1 << 19)
 
 
 STAGES = [

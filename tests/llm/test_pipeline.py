@@ -84,3 +84,15 @@ def test_nothing_outside_imports_this_package():
         "assert set(e.queries()) == set(e.oracle_sql())\n"
     )
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+def test_documents_go_to_python_in_small_batches(spark, monkeypatch):
+    """Near-dedup and packing hand over at most ``BATCH_ROWS`` documents at a time, and the session keeps its own setting."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    for module in (corpus_pipeline.simhash, corpus_pipeline.packing):
+        plain = module.written
+        monkeypatch.setattr(module, "written", lambda df, plain=plain: seen.append(spark.conf.get(name)) or plain(df))
+    docs = table(spark, FOLDER, "documents")
+    corpus_pipeline.pack(spark, corpus_pipeline.near_dedup(spark, docs, FOLDER), FOLDER)
+    assert set(seen) == {str(corpus_pipeline.BATCH_ROWS)} and spark.conf.get(name) == before

@@ -101,3 +101,24 @@ def test_word_ids_equal_those_of_whole_texts(vocabulary, rule, limit):
         for text, found, want in zip(some, own.encode_all(some), encode(some, add_special_tokens=False)):
             assert found.tolist() == want.ids, text
     assert len(own.numbers) <= max(limit, 1)
+
+
+@pytest.mark.parametrize("rule", [LedWords(), SpacedWords()])
+def test_equal_words_are_looked_up_once(rule):
+    """A word that fills a text is looked up once for the texts that are encoded together."""
+    path = public_tokenizers.path("byte_bpe_50k.json" if isinstance(rule, LedWords) else "word_bpe_49k.json")
+    own, asked = WordIds(path, rule), []
+
+    class Asked(type(own.numbers)):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    own.numbers = Asked()
+    assert len(own.encode(["one two " * 1000, "\n one\tone two"])) == 2 and len(asked) < 20
+
+
+def test_names_of_led_words_tell_their_texts_apart():
+    rule, texts = LedWords(), [a + b + c for a in ("", " ", "\n", "\t") for b in ("", " ", "\n") for c in ("", "\n", " x", "x")]
+    names = {text: rule._name(text) for text in texts}
+    assert len(set(names.values())) == len(set(texts)) and all(rule.text(n) == t for t, n in names.items())
