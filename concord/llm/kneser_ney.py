@@ -1,7 +1,7 @@
 """Interpolated modified Kneser-Ney language model.
 
-n-grams are 64-bit hashes. Tasks count their own tokens, combine equal n-grams and send sorted blocks to shards; a shard
-merges its blocks, writes its n-grams as sorted hash arrays into the shared folder, and passes on what the next lower order
+Words and stored n-grams are 64-bit hashes. Tasks count their own tokens, combine equal n-grams and send sorted blocks to
+shards, in which an n-gram is the places of its words among the block's words, two or three bytes each; a shard merges its blocks, writes its n-grams as sorted hash arrays into the shared folder, and passes on what the next lower order
 needs: each distinct n-gram counts once for the n-gram without its first word. Workers map the arrays into memory and look
 up sorted queries, so that a batch reads each array front to back. Nothing of the model passes through the driver but
 counts of counts. A file appears by rename, so that a repeated task leaves the same file.
@@ -29,7 +29,7 @@ BOS, END = U(0x9F1B5C3D7E2A4861), U(0x3A7D9E5B1C6F8204)
 GATHER, SCORE = 4_000_000, 1_000_000
 #: Words following one context are spread over so many shards.
 SALT = U(8)
-BLOCK = "kind int, level int, bin int, ctx binary, runs binary, rest binary, words binary, counts binary"
+BLOCK = "kind int, level int, bin int, ctx binary, runs binary, rest binary, words binary, counts binary, heads long, grams long"
 NONE = np.empty(0, U)
 
 
@@ -70,7 +70,21 @@ def bin_of(key: np.ndarray, bins: int) -> np.ndarray:
     return (mix(key ^ U(0xA0761D6478BD642F)) % U(bins)).astype(np.int64)
 
 
-# ---- blocks: n-grams sorted by context and word, each context once with its number of words
+# ---- blocks: sorted n-grams of one shard, as places of their words among the words of the block
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as the largest one needs: all lowest bytes, then all next ones."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def widened(data: bytes, count: int) -> np.ndarray:
+    """The ``count`` numbers of ``narrow``."""
+    out = np.zeros((count, 8), dtype=np.uint8)
+    if count:
+        out[:, : len(data) // count] = np.frombuffer(data, np.uint8).reshape(-1, count).T
+    return out.view("<u8")[:, 0]
 
 
 def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,29 +97,44 @@ def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[new], place
 
 
-def summed(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of ``columns`` (first and last identify a row), sorted by first and last, with summed counts; each row
-    counts once without ``counts``. A block is far below 2^32 rows."""
-    heads, place = numbered(columns[0])
-    packed = place.astype(U)
-    packed <<= U(32)
-    words, place = numbered(columns[-1])
-    packed |= place
-    del place
-    order = None
-    if counts is None and len(columns) == 2:
-        packed.sort()
+def summed(columns: list[np.ndarray], kinds: int, counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of ``columns`` of numbers below ``kinds``, sorted, with summed counts; each row counts once without
+    ``counts``."""
+    bits = max(1, int(kinds).bit_length())
+    if bits * len(columns) > 64:
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+        new = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        starts = np.flatnonzero(np.concatenate(([True], new)))
+        columns = [c[starts] for c in columns]
     else:
-        order = np.argsort(packed)
-        packed = packed[order]
-    starts = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])))
+        packed = columns[0].astype(U)
+        for column in columns[1:]:
+            packed <<= U(bits)
+            packed |= column.astype(U)
+        order = None if counts is None else np.argsort(packed)
+        if order is None:
+            packed.sort()
+        else:
+            packed = packed[order]
+        starts = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])))
+        packed = packed[starts]
+        mask, last = U((1 << bits) - 1), len(columns) - 1
+        rows = len(columns[0])
+        columns = [((packed >> U(bits * (last - i))) & mask).astype(np.uint32) for i in range(last + 1)]
+        if counts is None:
+            return columns, np.diff(np.concatenate((starts, [rows])))
     if counts is None:
-        total = np.diff(np.concatenate((starts, [len(packed)])))
-    else:
-        total = np.add.reduceat(counts[order].astype(np.int64), starts)
-    packed = packed[starts]
-    middle = [c[order[starts]] for c in columns[1:-1]]
-    return [heads[packed >> U(32)], *middle, words[packed & U(0xFFFFFFFF)]], total
+        return columns, np.diff(np.concatenate((starts, [len(order)])))
+    return columns, np.add.reduceat(counts[order].astype(np.int64), starts)
+
+
+def context_of(words: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """Hash of all but the last word of each n-gram, as ``contexts`` gives it."""
+    out = words[columns[0]]
+    for column in columns[1:-1]:
+        out = combine(out, words[column])
+    return out
 
 
 def run_heads(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,37 +142,52 @@ def run_heads(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.concatenate((starts, [len(sorted_keys)])))
 
 
-def _encoded(columns: list[np.ndarray], counts: np.ndarray) -> tuple[bytes, ...]:
+def _encoded(words: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> tuple[bytes, ...]:
+    """The words that occur, lengths of runs of one first word, first words of the runs and middle ones, last ones, counts."""
+    if len(words) <= 4 * len(counts):
+        there = np.zeros(len(words), dtype=bool)
+        for column in columns:
+            there[column] = True
+        place = np.cumsum(there) - 1
+        own, columns = words[there], [place[c] for c in columns]
+    else:
+        used, place = np.unique(np.concatenate(columns), return_inverse=True)
+        own, columns = words[used], np.split(place, len(columns))
     starts, runs = run_heads(columns[0])
-    rest = np.concatenate(columns[1:-1]) if len(columns) > 2 else NONE
-    return (
-        columns[0][starts].tobytes(), runs.astype("<u4").tobytes(), rest.tobytes(),
-        columns[-1].tobytes(), counts.astype("<u8" if counts.max(initial=0) >> 32 else "<u4").tobytes(),
-    )
-
-
-def _decoded(row: dict) -> tuple[list[np.ndarray], np.ndarray]:
-    words = np.frombuffer(row["words"], U)
-    runs = np.frombuffer(row["runs"], "<u4")
-    rest = np.frombuffer(row["rest"], U)
-    middle = np.split(rest, len(rest) // len(words)) if len(rest) else []
-    counts = np.frombuffer(row["counts"], "<u8" if len(row["counts"]) == 8 * len(words) else "<u4")
-    return [np.repeat(np.frombuffer(row["ctx"], U), runs), *middle, words], counts.astype(np.int64)
+    rest = np.concatenate((columns[0][starts], *columns[1:-1]))
+    return own.tobytes(), narrow(runs), narrow(rest), narrow(columns[-1]), narrow(counts), len(starts), len(counts)
+
+
+def _decoded(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """All words of some blocks, sorted, the n-grams as places among them, and their counts."""
+    own = [np.frombuffer(row["ctx"], U) for row in rows]
+    words = np.unique(np.concatenate(own))
+    blocks = []
+    for row, names in zip(rows, own):
+        place = np.searchsorted(words, names).astype(np.uint32)
+        n, heads, middle = row["grams"], row["heads"], row["level"] - 2
+        rest = place[widened(row["rest"], heads + middle * n)]
+        first = np.repeat(rest[:heads], widened(row["runs"], heads).astype(np.int64))
+        columns = [first, *(rest[heads + i * n : heads + (i + 1) * n] for i in range(middle)), place[widened(row["words"], n)]]
+        blocks.append((columns, widened(row["counts"], n).astype(np.int64)))
+    columns = [np.concatenate(c) for c in zip(*(b[0] for b in blocks))]
+    return words, columns, np.concatenate([b[1] for b in blocks])
 
 
 def _table(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows)) if rows else [[]] * 8
-    kinds = [pa.int32()] * 3 + [pa.binary()] * 5
-    names = ["kind", "level", "bin", "ctx", "runs", "rest", "words", "counts"]
+    columns = list(zip(*rows)) if rows else [[]] * 10
+    kinds = [pa.int32()] * 3 + [pa.binary()] * 5 + [pa.int64()] * 2
+    names = ["kind", "level", "bin", "ctx", "runs", "rest", "words", "counts", "heads", "grams"]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
 
-def _dealt(kind: int, level: int, bins: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> list[tuple]:
-    """One encoded row per bin; rows keep their order inside a bin."""
-    order = np.argsort(bins, kind="stable")
-    starts, _ = run_heads(bins[order])
+def _dealt(level: int, shards: int, words: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> list[tuple]:
+    """One encoded row per shard; n-grams keep their order inside a shard."""
+    to = shard_of(context_of(words, columns), words[columns[-1]], shards)
+    order = np.argsort(to, kind="stable")
+    starts, _ = run_heads(to[order])
     parts = np.split(order, starts[1:])
-    return [(kind, level, int(bins[p[0]]), *_encoded([c[p] for c in columns], counts[p])) for p in parts if len(p)]
+    return [(0, level, int(to[p[0]]), *_encoded(words, [c[p] for c in columns], counts[p])) for p in parts if len(p)]
 
 
 def _keyed(kind: int, level: int, bins: int, keys: np.ndarray, *values: np.ndarray) -> list[tuple]:
@@ -154,9 +198,8 @@ def _keyed(kind: int, level: int, bins: int, keys: np.ndarray, *values: np.ndarr
     out = []
     for p in np.split(order, starts[1:]):
         if len(p):
-            packed = np.concatenate([v[p].astype("<u8") for v in values])
-            small = packed.astype("<u4") if not (packed >> U(32)).any() else packed
-            out.append((kind, level, int(to[p[0]]), keys[p].tobytes(), b"", b"", b"", small.tobytes()))
+            packed = narrow(np.concatenate([v[p] for v in values]))
+            out.append((kind, level, int(to[p[0]]), keys[p].tobytes(), b"", b"", b"", packed, 0, len(p)))
     return out
 
 
@@ -165,7 +208,7 @@ def _unkeyed(rows: list[dict], values: int) -> tuple[np.ndarray, list[np.ndarray
     keys, parts = [], [[] for _ in range(values)]
     for row in rows:
         own = np.frombuffer(row["ctx"], U)
-        flat = np.frombuffer(row["counts"], "<u8" if len(row["counts"]) == 8 * values * len(own) else "<u4")
+        flat = widened(row["counts"], values * len(own))
         keys.append(own)
         for to, part in zip(parts, np.split(flat.astype(np.int64), values)):
             to.append(part)
@@ -184,6 +227,11 @@ def count_of_counts(counts: np.ndarray) -> np.ndarray:
 # ---- files
 
 
+def smallest(counts: np.ndarray) -> np.ndarray:
+    """Counts in the narrowest unsigned type that holds them all."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
 def save(folder: str, name: str, array: np.ndarray) -> None:
     os.makedirs(folder, exist_ok=True)
     part = f"{folder}/.{name}-{uuid4().hex}"
@@ -232,12 +280,11 @@ def _gather(order: int, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     def combined(parts: list[np.ndarray]) -> pa.RecordBatch:
         flat = np.concatenate(parts)
         parts.clear()
-        taken = flat != BOS
-        columns = [c[taken] for c in reversed(contexts(flat, order - 1))] + [flat[taken]]
-        del flat, taken
-        columns, counts = summed(columns)
-        rows = _dealt(0, order, shard_of(columns[0], columns[-1], shards), columns, counts)
-        return _table(rows).combine_chunks().to_batches()[0]
+        taken = np.flatnonzero(flat != BOS)
+        words, place = numbered(flat)
+        del flat
+        columns, counts = summed([place[taken - i] for i in reversed(range(order))], len(words))
+        return _table(_dealt(order, shards, words, columns, counts)).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -259,30 +306,33 @@ def _merge(folder: str, level: int, order: int, shards: int, bins: int) -> Calla
 
     def run(group: pa.Table) -> pa.Table:
         shard = group.column("bin")[0].as_py()
-        blocks = [_decoded(r) for r in group.to_pylist()]
-        columns = [np.concatenate(c) for c in zip(*(b[0] for b in blocks))]
-        columns, counts = summed(columns, np.concatenate([b[1] for b in blocks]))
-        del blocks
-        keys = combine(columns[0], columns[-1])
+        names, columns, counts = _decoded(group.to_pylist())
+        columns, counts = summed(columns, len(names), counts)
+        context = context_of(names, columns)
+        keys = combine(context, names[columns[-1]])
         by_key = np.argsort(keys)
         save(folder, f"gram{level}-{shard}-keys", keys[by_key])
-        most = int(counts.max(initial=0))
-        kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint64
-        save(folder, f"gram{level}-{shard}-count", counts[by_key].astype(kind))
-        starts, runs = run_heads(columns[0])
+        save(folder, f"gram{level}-{shard}-count", smallest(counts[by_key]))
+        starts, runs = run_heads(context)
         follow = [np.add.reduceat((counts == c).astype(np.int64), starts) for c in (1, 2)]
-        out = _keyed(3, level, bins, columns[0][starts], np.add.reduceat(counts, starts), *follow, runs - sum(follow))
-        out.append((9, level, -1, b"", b"", b"", b"", count_of_counts(counts).tobytes()))
-        by_word = np.argsort(columns[-1], kind="stable")
-        words, at = np.unique(columns[-1][by_word], return_index=True)
-        raw = np.add.reduceat(counts[by_word], at) if level == order else np.zeros(len(words), np.int64)
+        out = _keyed(3, level, bins, context[starts], np.add.reduceat(counts, starts), *follow, runs - sum(follow))
+        out.append((9, level, -1, b"", b"", b"", b"", count_of_counts(counts).tobytes(), 0, 0))
+        del context, keys, by_key
+        last = columns[-1]
+        before = np.bincount(last, minlength=len(names))
+        there = np.flatnonzero(before)
+        words, before = names[there], before[there]
+        raw = np.zeros(len(names), np.int64)
+        if level == order:
+            np.add.at(raw, last, counts)
+        raw = raw[there]
         if level == 2:
-            out += _keyed(1, 1, bins, words, np.diff(np.concatenate((at, [len(by_word)]))), raw)
+            out += _keyed(1, 1, bins, words, before, raw)
         else:
             if level == order:
                 out += _keyed(1, 1, bins, words, np.zeros(len(words), np.int64), raw)
-            lower, once = summed(columns[1:])
-            out += _dealt(0, level - 1, shard_of(lower[0], lower[-1], shards), lower, once)
+            lower, once = summed(columns[1:], len(names))
+            out += _dealt(level - 1, shards, names, lower, once)
         return _table(out)
 
     return run
@@ -302,15 +352,13 @@ def _finish(folder: str, order: int) -> Callable[[pa.Table], pa.Table]:
         else:
             words, (continued, raw) = _unkeyed([r for r in rows if r["kind"] == 1], 2)
             for name, array in (("keys", words), ("continued", continued), ("raw", raw)):
-                big = name != "keys" and array.max(initial=0) < 1 << 32
-                save(folder, f"word-{bin_}-{name}", array.astype(np.uint32) if big else array)
+                save(folder, f"word-{bin_}-{name}", array if name == "keys" else smallest(array))
             out += [("words", 1, len(words)), ("tokens", 1, int(raw.sum())), ("continued", 1, int(continued.sum()))]
             out += [(f"n{i + 1}", 1, int(x)) for i, x in enumerate(count_of_counts(continued))]
             for level in range(2, order + 1):
                 keys, sums = _unkeyed([r for r in rows if r["kind"] == 3 and r["level"] == level], 4)
                 for name, array in zip(("keys", "total", "one", "two", "more"), (keys, *sums)):
-                    small = name != "keys" and array.max(initial=0) < 1 << 32
-                    save(folder, f"context{level}-{bin_}-{name}", array.astype(np.uint32) if small else array)
+                    save(folder, f"context{level}-{bin_}-{name}", array if name == "keys" else smallest(array))
         return pa.Table.from_pydict({k: [r[i] for r in out] for i, k in enumerate(("name", "level", "value"))})
 
     return run

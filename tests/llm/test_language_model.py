@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from brute import awkward, empty, fold, lower, words
 
@@ -104,3 +105,20 @@ def test_query_takes_a_middle_order(spark, tmp_path):
     found = scores(op2_kneser_ney(spark, str(tmp_path)))
     assert found == scores(kneser_ney.language_model_scores(docs, 3))
     assert found != scores(kneser_ney.language_model_scores(docs, 2))
+
+
+@pytest.mark.parametrize("kinds", [5, 1 << 30])
+def test_blocks_come_back_whole_and_small(kinds):
+    """n-grams of a block come back as they were, whatever the number of words, in far fewer bytes than their hashes."""
+    draw = np.random.default_rng(3)
+    words = np.unique(draw.integers(0, 1 << 63, 3000).astype(np.uint64))
+    columns = [draw.integers(0, len(words), 60_000).astype(np.uint32) for _ in range(3)]
+    columns, counts = kneser_ney.summed(columns, max(kinds, len(words)), np.full(60_000, 300))
+    rows = sorted(zip(*(words[c].tolist() for c in columns), counts.tolist()))
+    blocks = kneser_ney._dealt(3, 4, words, columns, counts)
+    assert sum(len(x) for b in blocks for x in b if isinstance(x, bytes)) < 12 * len(counts)
+    found = []
+    for block in kneser_ney._table(blocks).to_pylist():
+        names, some, times = kneser_ney._decoded([block])
+        found += zip(*(names[c].tolist() for c in some), times.tolist())
+    assert sorted(found) == rows
