@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import local_path, shared_path, shuffle_partitions, written
+from concord.llm.common import arrow_rows, local_path, shared_path, shuffle_partitions, trim, written
 from concord.llm.wordids import LedWords, tokenizer, word_ids
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -42,6 +42,8 @@ SUM = struct.Struct("<I")
 OVERHEAD = FRAME.size + HEAD.size + SUM.size
 MASK_DELTA = 0xA282EAD8
 BLOCK_RECORDS = 1024
+#: Documents that go to a worker together, which holds several copies of them.
+BATCH_ROWS = 1000
 #: Bytes of ids that a reader hands on together.
 BATCH_BYTES = 8 << 20
 FILES = "file string, records long, bytes long, width int"
@@ -110,6 +112,7 @@ def write_records(
                     offset += len(record)
                     records += 1
             index.write(offset.to_bytes(8, "little"))
+        trim()  # what a task took for its texts would add up with the next stage's memory
         if not records:
             os.remove(f"{draft}.rec")
             os.remove(f"{draft}.idx")
@@ -129,7 +132,8 @@ def write_records(
     keyed = plain.withColumns({"__tie": F.xxhash64("text"), "__row": F.monotonically_increasing_id()})
     order = [F.asc_nulls_first("doc_id"), F.col("__tie"), F.col("__row")]
     placed = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    return written(placed.mapInArrow(run, FILES))
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return written(placed.mapInArrow(run, FILES))
 
 
 def with_starts(files: DataFrame) -> DataFrame:
@@ -142,6 +146,7 @@ def with_starts(files: DataFrame) -> DataFrame:
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads runs of records (file, first_token, width, first, count) by way of the index."""
+    trim()  # of what this worker freed after writing
     out: list[tuple] = []
     size = 0
 

@@ -122,3 +122,15 @@ def test_names_of_led_words_tell_their_texts_apart():
     rule, texts = LedWords(), [a + b + c for a in ("", " ", "\n", "\t") for b in ("", " ", "\n") for c in ("", "\n", " x", "x")]
     names = {text: rule._name(text) for text in texts}
     assert len(set(names.values())) == len(set(texts)) and all(rule.text(n) == t for t, n in names.items())
+
+
+def test_writing_and_reading_give_memory_back(spark, monkeypatch):
+    """A writer takes few documents at a time; a reader begins by giving back what was freed after writing."""
+    trimmed = []
+    monkeypatch.setattr(records, "trim", lambda: trimmed.append(1))
+    assert list(records._fetch(iter([]))) == [] and trimmed
+    rows, name = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(records, "written", lambda df: rows.append(spark.conf.get(name)) or df)
+    records.write_records(brute.empty(spark))
+    assert rows == [str(records.BATCH_ROWS)] and spark.conf.get(name) == before
