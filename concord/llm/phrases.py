@@ -7,10 +7,11 @@ interleaved: phrases of frequent words start while rarer words are still being c
 that started has completed its cycle. No phrase that reaches the threshold is missing, because its subphrases occur at
 least as often.
 
-Most phrases that start stay below the threshold. Therefore the middle lengths are counted by 64-bit hashes first, and those
-that reach the threshold are counted once more, as texts, over the cycle that follows, which is the cycle in which longer
-phrases grow from them; words and phrases of the greatest length are counted as texts at once. Two phrases of one hash can
-only make each other start early, so that the counts of texts are exact.
+Most phrases that start stay below the threshold. Therefore phrases of several words are counted by hash first, and those that
+reach the threshold are counted once more, as texts, over the cycle that follows, which is the cycle in which longer phrases
+grow from them; words are counted as texts at once. Hashes travel and stay in blocks: sorted, as differences in as few bytes
+as they need, a row for each range of hashes. Two phrases of one hash can only make each other start early, so that the counts
+of texts are exact.
 
 When a phrase reached the threshold has to be known where texts are read. Each length keeps one byte per slot of a fixed
 table: the part before which a phrase of that slot reached it. Phrases that share a slot may start early, which costs work
@@ -19,16 +20,20 @@ but no exactness, because each is counted over a whole cycle from its own start.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import LOWER, remove, shared_path, written, written_at
+from concord.llm.common import LOWER, remove, shared_path, shuffle_partitions, shuffles_removed, written, written_at
+from concord.llm.kneser_ney import narrow, run_heads, widened
 
 #: Where a phrase cannot go on: ``[.,;:!?\x0A-\x0D]``. The byte 0xFF is in no UTF-8 text.
 _BREAK = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -38,7 +43,11 @@ NEVER = 255
 #: Words counted together in a task: bounds its memory.
 WORDS_AT_ONCE = 1 << 20
 ROWS_AT_ONCE = 1 << 16
-COUNTED = "lang string, words int, phrase string, h long, f long"
+#: A row is a phrase as text with its count, or a block of ``f`` hashes from ``first`` on.
+COUNTED = "lang string, words int, phrase string, f long, bin int, first long, gaps binary, counts binary"
+MERGED = "f long, bin int, first long, gaps binary, counts binary, frequent array<long>"
+#: Bits of a hash that are kept; text in bytes for each range of hashes.
+HASH_BITS, BIN_BYTES = 40, 16 << 20
 #: Strands in which each language's best are picked before they meet.
 STRANDS = 16
 
@@ -85,74 +94,118 @@ class _Stretch:
         return np.array([xxhash.xxh64_intdigest(w, seeds.get(lang, 0)) for lang, w in self.names], dtype=np.uint64)
 
 
+def distinct(stream: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers and counts of the distinct phrases of ``n`` words that begin at the places."""
+    ids = stream[place]
+    for i in range(1, n):
+        if i > 1:
+            ids = np.unique(ids, return_inverse=True)[1]
+        ids = (ids << 32) | stream[place + i]
+    _, first, counts = np.unique(ids, return_index=True, return_counts=True)
+    return stream[place[first][:, None] + np.arange(n)], counts
+
+
 def count_stretch(
     stream: np.ndarray, words: np.ndarray, step: int, shards: int, longest: int, since: list[np.ndarray]
 ) -> Iterator[tuple[int, np.ndarray | None, np.ndarray | None, np.ndarray]]:
     """(length, members, hashes, counts) of the phrases to be counted in this step.
 
-    ``members`` has one row of word numbers for each phrase to be counted as text, ``hashes`` those counted by hash.
-    ``words`` are the hashes of the words, ``since[n - 1]`` the step from which on phrases of ``n`` words are frequent, by slot.
+    ``members`` has one row of word numbers for each phrase to be counted as text, ``hashes`` are sorted, of those counted by
+    hash. ``words`` are the hashes of the words, ``since[n - 1]`` the step from which on phrases of ``n`` words are frequent, by slot.
     """
-    members, hashes = np.arange(len(words))[:, None], words
     if step < shards:
         found, counts = np.unique(stream[stream > 0], return_counts=True)
         yield 1, found[:, None], None, counts
-    # The number, among the distinct phrases of a length, of the one that begins at each place; -1 where none does.
-    number = np.where(stream > 0, stream, -1)
-    began = np.zeros(len(words), dtype=np.int64)
+    # Of the phrase of a length that begins at each place: its hash, and the step from which on longer ones may grow from it.
+    hashes = words[stream]
+    ready = np.where(stream > 0, since[0][_slots(words, len(since[0]))][stream], np.uint8(NEVER))
     for n in range(2, longest + 1):
-        ready = np.maximum(since[n - 2][_slots(hashes, len(since[n - 2]))], began)
-        last = stream[n - 1 :]
-        left, right = number[: len(last)], number[1 : len(last) + 1]
-        start = np.maximum(ready[left], ready[right])
-        # Phrases that completed their cycle are still needed by longer ones.
-        place = np.flatnonzero((left >= 0) & (right >= 0) & (start <= step))
+        start = np.maximum(ready[:-1], ready[1:])
+        place = np.flatnonzero(start <= step)
         if not len(place):
             return
-        distinct, back, counts = np.unique((left[place] << 32) | last[place], return_inverse=True, return_counts=True)
-        number = np.full(len(last), -1, dtype=np.int64)
-        number[place] = back
-        began = np.empty(len(distinct), dtype=np.int64)
-        began[back] = start[place]
-        head, tail = distinct >> 32, distinct & 0xFFFFFFFF
-        hashes = joined_hash(hashes[head], words[tail])
-        members = np.concatenate((members[head], tail[:, None]), axis=1)
-        text_from = began
-        if n < longest:
-            due = began > step - shards
-            if due.any():
-                yield n, None, hashes[due], counts[due]
-            text_from = np.maximum(began, since[n - 1][_slots(hashes, len(since[n - 1]))])
+        began = start[place].astype(np.int64)
+        own = joined_hash(hashes[place], words[stream[place + n - 1]])
+        due = began > step - shards
+        if due.any():
+            keys = np.sort(own[due] & np.uint64((1 << HASH_BITS) - 1))
+            heads, counts = run_heads(keys)
+            yield n, None, keys[heads], counts
+        # Phrases that completed their cycle are still needed by longer ones.
+        text_from = np.maximum(began, since[n - 1][_slots(own, len(since[n - 1]))])
         due = (text_from <= step) & (text_from > step - shards)
         if due.any():
-            yield n, members[due], None, counts[due]
+            members, counts = distinct(stream, place[due], n)
+            yield n, members, None, counts
+        ready = np.full(len(start), NEVER, dtype=np.uint8)
+        ready[place] = text_from
+        hashes = np.zeros(len(start), dtype=np.uint64)
+        hashes[place] = own
+
+
+def blocks_of(keys: np.ndarray, counts: np.ndarray, bins: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """(rows, bin, first, gaps, counts) of sorted distinct hashes, for each range of hashes that has some."""
+    if not len(keys):
+        return
+    to = ((keys * np.uint64(bins)) >> np.uint64(HASH_BITS)).astype(np.int64)
+    heads, _ = run_heads(to)
+    for at, some, times in zip(heads, np.split(keys, heads[1:]), np.split(counts, heads[1:])):
+        yield len(some), int(to[at]), int(some[0]), narrow(np.diff(some)), narrow(times)
 
 
-def _count_step(shard: DataFrame, step: int, shards: int, longest: int, since: list) -> DataFrame:
-    """Counts of one scan, combined within each stretch of a task: texts, or hashes where phrase is null."""
+def keys_of(rows: int, first: int, gaps: bytes) -> np.ndarray:
+    """The hashes of a block."""
+    return np.cumsum(np.concatenate((np.array([first], dtype=np.uint64), widened(gaps, rows - 1))), dtype=np.uint64)
+
+
+def _merge(threshold: int, bins: int) -> Callable[[pa.Table], pa.Table]:
+    """Blocks of one range of hashes as one block, and which of its hashes reached the threshold."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        keys = np.concatenate([keys_of(r["f"], r["first"], r["gaps"]) for r in rows])
+        counts = np.concatenate([widened(r["counts"], r["f"]) for r in rows])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        heads, _ = run_heads(keys)
+        keys, counts = keys[heads], np.add.reduceat(counts[order], heads)
+        block = next(blocks_of(keys, counts, bins))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        columns = [pa.array([x], kind) for x, kind in zip((*block, keys[counts >= threshold].tolist()), kinds)]
+        return pa.Table.from_arrays(columns, names=["f", "bin", "first", "gaps", "counts", "frequent"])
+
+    return run
+
+
+def _count_step(shard: DataFrame, step: int, shards: int, longest: int, since: list, bins: int) -> DataFrame:
+    """Counts of one scan, combined within each stretch of a task: texts, or blocks of hashes where phrase is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.frombuffer(table.value, dtype=np.uint8) for table in since]
+        tables = [np.frombuffer(zlib.decompress(table.value), dtype=np.uint8) for table in since]
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        columns = ["lang", "words", "phrase", "f", "bin", "first", "gaps", "counts"]
+
+        def batch_of(n: int, rows: int, **given: pa.Array) -> pa.RecordBatch:
+            given["words"] = pa.array(np.full(rows, n), pa.int32())
+            parts = [given.get(c, pa.nulls(rows, k)) for c, k in zip(columns, kinds)]
+            return pa.RecordBatch.from_arrays(parts, names=columns)
 
         def counted(stretch: _Stretch) -> Iterator[pa.RecordBatch]:
             names = stretch.names
             for n, members, hashes, counts in count_stretch(
                 np.concatenate(stretch.parts), stretch.hashes(), step, shards, longest, tables
             ):
+                if members is None:
+                    blocks = list(zip(*blocks_of(hashes, counts, bins)))
+                    given = {c: pa.array(v, k) for c, v, k in zip(columns[3:], blocks, kinds[3:])}
+                    yield batch_of(n, len(blocks[0]), **given)
+                    continue
                 for at in range(0, len(counts), ROWS_AT_ONCE):
                     f = counts[at : at + ROWS_AT_ONCE]
-                    if members is None:
-                        lang, phrase = pa.nulls(len(f), pa.string()), pa.nulls(len(f), pa.string())
-                        h = pa.array(hashes[at : at + ROWS_AT_ONCE].view(np.int64))
-                    else:
-                        rows = members[at : at + ROWS_AT_ONCE].tolist()
-                        lang = pa.array([names[row[0]][0] for row in rows], pa.string())
-                        phrase = pa.array([b" ".join([names[i][1] for i in row]) for row in rows], pa.binary())
-                        phrase, h = phrase.cast(pa.string()), pa.nulls(len(f), pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [lang, pa.array(np.full(len(f), n), pa.int32()), phrase, h, pa.array(f, pa.int64())],
-                        names=["lang", "words", "phrase", "h", "f"],
-                    )
+                    rows = members[at : at + ROWS_AT_ONCE].tolist()
+                    lang = pa.array([names[row[0]][0] for row in rows], pa.string())
+                    phrase = pa.array([b" ".join([names[i][1] for i in row]) for row in rows], pa.binary())
+                    yield batch_of(n, len(f), lang=lang, phrase=phrase.cast(pa.string()), f=pa.array(f, pa.int64()))
 
         stretch = _Stretch()
         for batch in batches:
@@ -207,7 +260,7 @@ def phrase_counts(
     looked at after every part, longer phrases after every round of parts.
     """
     spark = docs.sparkSession
-    if shards * longest >= NEVER or slots & (slots - 1) or slots < 64 or longest < 1:
+    if shards * (longest + 1) >= NEVER or slots & (slots - 1) or slots < 64 or longest < 1:
         raise ValueError("at most 254 steps, slots a power of two of at least 64, and phrases of at least one word")
     folder = shared_path(spark)
     plain = docs.select(
@@ -217,43 +270,58 @@ def phrase_counts(
     )
     plain.write.partitionBy("shard").parquet(folder)
     parts = spark.read.schema(plain.schema).parquet(folder)
-    since = [np.full(slots, NEVER, dtype=np.uint8) for _ in range(max(1, longest - 1))]
+    size = parts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    bins = max(shuffle_partitions(spark), ceil(size / BIN_BYTES))
+    since = [np.full(slots, NEVER, dtype=np.uint8) for _ in range(longest)]
     state: dict[int, tuple[DataFrame, str]] = {}
     scans: list[tuple[DataFrame, str]] = []
+    #: The tables as the tasks get them, until they change: a broadcast lies on the disks of the driver and of every executor.
+    sent: list[Broadcast | None] = [None] * longest
     step, latest, looked = 0, 0, 0
 
     def look(n: int, new: list[DataFrame]) -> bool:
         """Adds what was counted of length ``n`` to its state, and marks what reached the threshold."""
-        keys = ("lang", "phrase") if n == 1 else ("h",)
-        rows = reduce(DataFrame.unionByName, [x.where(F.col("words") == n).where(f"{keys[-1]} IS NOT NULL").select(*keys, "f") for x in new])
+        kept = ("lang", "phrase", "f") if n == 1 else ("f", "bin", "first", "gaps", "counts")
+        rows = reduce(DataFrame.unionByName, [x.where(F.col("words") == n).where(f"{kept[1]} IS NOT NULL").select(*kept) for x in new])
         before = state.get(n)
-        state[n] = written_at(_summed(rows.unionByName(before[0]) if before else rows, *keys))
+        rows = rows.unionByName(before[0].select(*kept)) if before else rows
+        with shuffles_removed(spark):
+            if n == 1:
+                state[n] = written_at(_summed(rows, "lang", "phrase"))
+            else:
+                state[n] = written_at(rows.groupBy("bin").applyInArrow(_merge(threshold, bins), MERGED))
         if before:
             remove(spark, before[1])
-        frequent = state[n][0].where(F.col("f") >= threshold)
         if n == 1:
-            frequent = frequent.select(F.xxhash64("lang", "phrase").alias("h"))
+            frequent = state[n][0].where(F.col("f") >= threshold).select(F.xxhash64("lang", "phrase").alias("h"))
+        else:
+            frequent = state[n][0].select(F.explode("frequent").alias("h"))
         fresh = _slots_of(frequent, slots) & (since[n - 1] == NEVER)
         since[n - 1][fresh] = step
+        if fresh.any() and sent[n - 1]:
+            sent[n - 1].destroy()
+            sent[n - 1] = None
         return bool(fresh.any())
 
     while step < max(shards, latest + shards):
-        sent = [spark.sparkContext.broadcast(table.tobytes()) for table in since]
+        for i, table in enumerate(since):
+            sent[i] = sent[i] or spark.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
         shard = parts.where(F.col("shard") == step % shards).drop("shard")
-        scans.append(written_at(_count_step(shard, step, shards, longest, sent)))
+        scans.append(written_at(_count_step(shard, step, shards, longest, list(sent), bins)))
         step += 1
         changed = step <= shards and look(1, [scans[-1][0]]) and longest > 1
         if step % shards == 0 or step >= max(shards, latest + shards):
-            for n in range(2, longest):
+            for n in range(2, longest + 1):
                 changed |= look(n, [found for found, _ in scans[looked:]])
             looked = step
         if changed:
             latest = step
-        for table in sent:
-            table.unpersist()
+    for table in filter(None, sent):
+        table.destroy()
     texts = reduce(DataFrame.unionByName, [found for found, _ in scans]).where("phrase IS NOT NULL AND words > 1")
     longer = _summed(texts, "lang", "words", "phrase").where(F.col("f") >= threshold)
-    counts = written(state[1][0].select("lang", F.lit(1).alias("words"), "phrase", "f").unionByName(longer))
+    with shuffles_removed(spark):
+        counts = written(state[1][0].select("lang", F.lit(1).alias("words"), "phrase", "f").unionByName(longer))
     remove(spark, folder, *[path for _, path in (*scans, *state.values())])
     return counts
 

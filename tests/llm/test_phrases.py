@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import brute
+import numpy as np
 import pytest
 from comparing import TESTDATA, assert_same, duck
 
@@ -89,3 +90,23 @@ def test_counting_begins_when_subphrases_are_frequent(spark):
     late = spark.createDataFrame([("en", "one two three")] * 12, "lang string, text string").coalesce(1)
     found = {r.phrase: r.f for r in phrases.phrase_counts(late, threshold=12).collect()}
     assert found == {p: 12 for p in ("one", "two", "three", "one two", "two three", "one two three")}
+
+
+def test_blocks_of_hashes_come_back_whole_and_small():
+    """A million pairs of a stretch take few bytes each, in whichever number of ranges, and merge to the same sums."""
+    draw = np.random.default_rng(5)
+    keys = np.unique(draw.integers(0, 1 << phrases.HASH_BITS, 1 << 20).astype(np.uint64))
+    counts = draw.integers(1, 12, len(keys))
+    for bins in (1, 51):
+        blocks = list(phrases.blocks_of(keys, counts, bins))
+        assert np.array_equal(np.concatenate([phrases.keys_of(n, first, gaps) for n, _, first, gaps, _ in blocks]), keys)
+        assert sum(len(gaps) + len(times) for *_, gaps, times in blocks) <= 4 * len(keys)
+        assert [b for _, b, *_ in blocks] == list(range(bins))
+
+
+def test_rare_phrases_of_the_greatest_length_are_not_counted_as_texts():
+    """Triples of frequent pairs travel as hashes until they reach the threshold themselves."""
+    stream, words = np.array([1, 2, 3, 0, 1, 2, 0, 2, 3, 0]), np.arange(4, dtype=np.uint64)
+    since = [np.zeros(64, np.uint8), np.zeros(64, np.uint8), np.full(64, phrases.NEVER, np.uint8)]
+    found = [(n, members is None) for n, members, _, _ in phrases.count_stretch(stream, words, 1, 2, 3, since)]
+    assert (3, True) in found and (3, False) not in found and (2, False) in found
