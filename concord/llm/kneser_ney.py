@@ -1,17 +1,24 @@
 """Interpolated modified Kneser-Ney language model.
 
-Words and stored n-grams are 64-bit hashes. Tasks count their own tokens, combine equal n-grams and send sorted blocks to
-shards, in which an n-gram is the places of its words among the block's words, two or three bytes each; a shard merges its blocks, writes its n-grams as sorted hash arrays into the shared folder, and passes on what the next lower order
-needs: each distinct n-gram counts once for the n-gram without its first word. Workers map the arrays into memory and look
-up sorted queries, so that a batch reads each array front to back. Nothing of the model passes through the driver but
-counts of counts. A file appears by rename, so that a repeated task leaves the same file.
+Words are 64-bit hashes. Tasks count their own tokens, combine equal n-grams and send sorted blocks to shards, in which an
+n-gram is the places of its words among the block's words, two or three bytes each. The last two words of an n-gram choose its
+shard, so that a shard has all it needs for every lower order, in which each distinct n-gram counts once for the n-gram
+without its first word: nothing is shuffled twice. N-grams are counted in ``ROUNDS``, each over all texts for its share of the shards,
+whose shuffle files go before the next round.
+
+A shard is one file in the shared folder: its words, contexts as a tree from their last word backwards, and behind each context the
+words that follow it with their counts, all as places among the shard's words. Workers map the file into memory. The words that
+follow a very frequent word are spread over several shards; sums over the followers of a context then come from all of these. Nothing of the model passes
+through the driver but counts of counts and the very frequent words. A file appears by rename, so that a repeated task leaves the same file.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from math import ceil
 from uuid import uuid4
 
@@ -21,14 +28,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from concord.llm.common import LOWER, fold, local_path, shared_path, shuffle_partitions, text_bytes, written
+from concord.llm.common import (
+    LOWER,
+    fold,
+    local_path,
+    remove,
+    shared_path,
+    shuffle_partitions,
+    shuffles_removed,
+    text_bytes,
+    written_at,
+)
 
 U = np.uint64
 BOS, END = U(0x9F1B5C3D7E2A4861), U(0x3A7D9E5B1C6F8204)
 #: Tokens that a task gathers before it combines them, and tokens scored at once.
 GATHER, SCORE = 4_000_000, 1_000_000
-#: Words following one context are spread over so many shards.
-SALT = U(8)
+#: Passes over the texts, each for its share of the shards: what is shuffled at once is that share.
+ROUNDS = 2
+#: The words that follow a very frequent word are spread over so many shards at most.
+SALTS = 16
+#: Text in bytes in which very frequent words are looked for; they only decide where n-grams lie.
+OFTEN_BYTES = 16 << 20
+#: Contexts with so many followers have the sums over them stored; for others they are added up when asked for.
+MANY = 8
+#: Files that a worker keeps mapped.
+OPEN = 500
 BLOCK = "kind int, level int, bin int, ctx binary, runs binary, rest binary, words binary, counts binary, heads long, grams long"
 NONE = np.empty(0, U)
 
@@ -39,10 +64,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def combine(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(context * U(0x9E3779B97F4A7C15) + word)
-
-
 def hashes(data: bytes, order: int) -> np.ndarray:
     """Hashes of a text's tokens: ``order - 1`` marks of the beginning, the words, the end."""
     words = data.translate(LOWER).split()
@@ -53,17 +74,32 @@ def hashes(data: bytes, order: int) -> np.ndarray:
     return out
 
 
-def contexts(flat: np.ndarray, longest: int) -> list[np.ndarray]:
-    """For each position the hash of the 1 to ``longest`` tokens before it (meaningless where a text begins)."""
-    previous = np.concatenate(([BOS], flat[:-1]))
-    out = [previous]
-    for _ in range(longest - 1):
-        out.append(combine(np.concatenate(([BOS], out[-1][:-1])), previous))
+#: Very frequent words, sorted, and over how many shards the words that follow each are spread.
+Heavy = tuple[np.ndarray, np.ndarray]
+NO_HEAVY: Heavy = (NONE, np.empty(0, np.int64))
+
+
+def before(flat: np.ndarray, distance: int) -> np.ndarray:
+    """For each position the token ``distance`` places before it (meaningless where a text begins)."""
+    return np.concatenate((np.full(min(distance, len(flat)), BOS), flat[:-distance]))
+
+
+def salts_of(previous: np.ndarray, heavy: Heavy) -> np.ndarray:
+    words, salts = heavy
+    out = np.ones(len(previous), dtype=np.int64)
+    if len(words):
+        at = np.minimum(np.searchsorted(words, previous), len(words) - 1)
+        hit = words[at] == previous
+        out[hit] = salts[at[hit]]
     return out
 
 
-def shard_of(context: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(context + (word % SALT) * U(0xD6E8FEB86659FD93)) % U(shards)).astype(np.int64)
+def salted(previous: np.ndarray, salt: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(previous + salt * U(0xD6E8FEB86659FD93)) % U(shards)).astype(np.int64)
+
+
+def shard_of(previous: np.ndarray, word: np.ndarray, shards: int, heavy: Heavy = NO_HEAVY) -> np.ndarray:
+    return salted(previous, word % salts_of(previous, heavy).astype(U), shards)
 
 
 def bin_of(key: np.ndarray, bins: int) -> np.ndarray:
@@ -129,14 +165,6 @@ def summed(columns: list[np.ndarray], kinds: int, counts: np.ndarray | None = No
     return columns, np.add.reduceat(counts[order].astype(np.int64), starts)
 
 
-def context_of(words: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
-    """Hash of all but the last word of each n-gram, as ``contexts`` gives it."""
-    out = words[columns[0]]
-    for column in columns[1:-1]:
-        out = combine(out, words[column])
-    return out
-
-
 def run_heads(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])))
     return starts, np.diff(np.concatenate((starts, [len(sorted_keys)])))
@@ -181,9 +209,11 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
 
-def _dealt(level: int, shards: int, words: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> list[tuple]:
-    """One encoded row per shard; n-grams keep their order inside a shard."""
-    to = shard_of(context_of(words, columns), words[columns[-1]], shards)
+def _dealt(
+    level: int, shards: int, words: np.ndarray, columns: list[np.ndarray], counts: np.ndarray, heavy: Heavy = NO_HEAVY
+) -> list[tuple]:
+    """One encoded row per shard; n-grams, whose first column is the last word but one, keep their order inside a shard."""
+    to = shard_of(words[columns[0]], words[columns[-1]], shards, heavy)
     order = np.argsort(to, kind="stable")
     starts, _ = run_heads(to[order])
     parts = np.split(order, starts[1:])
@@ -232,41 +262,127 @@ def smallest(counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
 
 
-def save(folder: str, name: str, array: np.ndarray) -> None:
+def save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """One file: the length of a header, the header (where each array lies), the arrays."""
     os.makedirs(folder, exist_ok=True)
+    places, at = {}, 0
+    for key, array in arrays.items():
+        places[key] = (array.dtype.str, at, len(array))
+        at += -(-array.nbytes // 8) * 8
+    head = json.dumps(places).encode()
+    head += b" " * (-len(head) % 8)
     part = f"{folder}/.{name}-{uuid4().hex}"
     with open(part, "wb") as out:
-        np.save(out, array)
-    os.replace(part, f"{folder}/{name}.npy")
+        out.write(len(head).to_bytes(8, "little") + head)
+        for array in arrays.values():
+            out.write(array.tobytes() + bytes(-array.nbytes % 8))
+    os.replace(part, f"{folder}/{name}")
+
+
+def wide(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
+    """Whole numbers as two lower bytes and what is above them, of which there is nothing for small ones."""
+    high = smallest(values >> 16)
+    return {f"{name}-low": (values & 0xFFFF).astype(np.uint16), f"{name}-high": high if high.any() else high[:0]}
+
+
+def counted(name: str, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts in one byte; those from 255 on once more, with their places."""
+    large = np.flatnonzero(counts >= 255)
+    return {name: np.minimum(counts, 255).astype(np.uint8), f"{name}-at": large.astype(np.uint32), f"{name}-large": smallest(counts[large])}
+
+
+class Stored(dict):
+    """The arrays of one file."""
+
+    def wide(self, name: str, at: np.ndarray) -> np.ndarray:
+        out = self[f"{name}-low"][at].astype(np.int64)
+        high = self[f"{name}-high"]
+        return out | (high[at].astype(np.int64) << 16) if len(high) else out
+
+    def counted(self, name: str, at: np.ndarray) -> np.ndarray:
+        out = self[name][at].astype(np.int64)
+        large = np.flatnonzero(out == 255)
+        if len(large):
+            out[large] = self[f"{name}-large"][np.searchsorted(self[f"{name}-at"], at[large])]
+        return out
+
+    def search(self, name: str, first: np.ndarray, end: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which targets are among the sorted numbers of ``wide`` from ``first`` to before ``end``, and the places of these."""
+        low, high = first.astype(np.int64), end.astype(np.int64)
+        left = np.flatnonzero(low < high)
+        while len(left):
+            middle = (low[left] + high[left]) >> 1
+            below = self.wide(name, middle) < target[left]
+            low[left[below]] = middle[below] + 1
+            high[left[~below]] = middle[~below]
+            left = left[low[left] < high[left]]
+        hit = np.flatnonzero(low < end)
+        hit = hit[self.wide(name, low[hit]) == target[hit]]
+        return hit, low[hit]
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Places of the words among those of the shard, -1 for others."""
+        stored = self["words"]
+        at = np.minimum(np.searchsorted(stored, words), len(stored) - 1)
+        return np.where(stored[at] == words, at, -1)
+
+    def followers(self, depth: int, node: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of contexts: the sum of the counts of their followers, and how many of these have a count of one, two, and more."""
+        starts, name = self[f"runs{depth}"], f"count{depth}"
+        first = starts[node].astype(np.int64)
+        length = starts[node + 1].astype(np.int64) - first
+        out = tuple(np.zeros(len(node), dtype=np.int64) for _ in range(4))
+        for i in range(MANY - 1):
+            some = np.flatnonzero((length > i) & (length < MANY))
+            if not len(some):
+                break
+            counts = self.counted(name, first[some] + i)
+            out[0][some] += counts
+            for to, hit in zip(out[1:], (counts == 1, counts == 2, counts > 2)):
+                to[some] += hit
+        some = np.flatnonzero(length >= MANY)
+        at = np.searchsorted(self[f"many{depth}"], node[some])
+        for to, value in zip(out, ("total", "one", "two", "more")):
+            to[some] = self[f"{value}{depth}"][at]
+        return out
 
 
 class Arrays:
-    """Sorted hash arrays of a model, mapped when first asked for."""
+    """The files of a model, mapped when first asked for."""
 
     def __init__(self, folder: str):
         self.folder = folder
-        self.open: dict[str, np.ndarray | None] = {}
+        self.open: dict[str, Stored | None] = {}
 
-    def get(self, name: str) -> np.ndarray | None:
+    def get(self, name: str) -> Stored | None:
         if name not in self.open:
-            path = f"{self.folder}/{name}.npy"
-            self.open[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+            if len(self.open) >= OPEN:
+                self.open.clear()
+            path = f"{self.folder}/{name}"
+            self.open[name] = self._mapped(path) if os.path.exists(path) else None
         return self.open[name]
 
+    @staticmethod
+    def _mapped(path: str) -> Stored:
+        data = np.memmap(path, np.uint8, "r").view(np.ndarray)
+        start = 8 + int(data[:8].view("<u8")[0])
+        places = json.loads(data[8:start].tobytes())
+        kinds = {key: (np.dtype(kind), start + at, rows) for key, (kind, at, rows) in places.items()}
+        return Stored({k: data[at : at + rows * kind.itemsize].view(kind) for k, (kind, at, rows) in kinds.items()})
+
     def find(self, prefix: str, bins: np.ndarray, keys: np.ndarray, values: tuple[str, ...]) -> list[np.ndarray]:
         """The values stored for ``keys`` in their bins, 0 where a key is not stored."""
         out = [np.zeros(len(keys), dtype=np.int64) for _ in values]
         order = np.lexsort((keys, bins))
         starts, _ = run_heads(bins[order]) if len(keys) else (np.empty(0, np.int64), None)
         for part in np.split(order, starts[1:]) if len(keys) else []:
-            name = f"{prefix}-{bins[part[0]]}"
-            stored = self.get(f"{name}-keys")
-            if stored is None or not len(stored):
+            stored = self.get(f"{prefix}-{bins[part[0]]}")
+            if stored is None or not len(stored["words"]):
                 continue
-            at = np.minimum(np.searchsorted(stored, keys[part]), len(stored) - 1)
-            hit = stored[at] == keys[part]
+            at = stored.places(keys[part])
+            hit = at >= 0
             for to, value in zip(out, values):
-                to[part[hit]] = self.get(f"{name}-{value}")[at[hit]]
+                to[part[hit]] = stored[value][at[hit]]
         return out
 
 
@@ -276,15 +392,47 @@ _ARRAYS: dict[str, Arrays] = {}
 # ---- counting
 
 
-def _gather(order: int, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def combined(parts: list[np.ndarray]) -> pa.RecordBatch:
+def _often(order: int, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Tokens of a batch that may be very frequent, with their counts, and under no word the number of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                flat = np.concatenate([hashes(text.as_py(), order) for text in batch.column(0)])
+                words, counts = np.unique(flat, return_counts=True)
+                some = 2 * shards * counts > len(flat)
+                found = pa.array([None, *words[some].view(np.int64).tolist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([found, pa.array([len(flat), *counts[some].tolist()], pa.int64())], names=["word", "f"])
+
+    return run
+
+
+def _heavy(body: DataFrame, size: int, order: int, shards: int) -> Heavy:
+    """Words that make up more than a shard's share of the tokens: at most as many as there are shards."""
+    if not size:
+        return NO_HEAVY
+    some = body.sample(min(1.0, OFTEN_BYTES / size), 11) if size > OFTEN_BYTES else body
+    found = some.mapInArrow(_often(order, shards), "word long, f long").groupBy("word").agg(F.sum("f").alias("f"))
+    rows = found.orderBy(F.desc("f"), F.col("word").asc_nulls_first()).limit(shards + 1).collect()
+    total = sum(r["f"] for r in rows if r["word"] is None)
+    salts = {r["word"]: min(SALTS, ceil(r["f"] * shards / total)) for r in rows if r["word"] is not None}
+    words = np.array([w for w, n in salts.items() if n > 1], dtype=np.int64).view(U)
+    by_word = np.argsort(words)
+    return words[by_word], np.array([n for n in salts.values() if n > 1], dtype=np.int64)[by_word]
+
+
+def _gather(
+    order: int, shards: int, heavy: Heavy, turn: int, turns: int
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def combined(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate(parts)
         parts.clear()
-        taken = np.flatnonzero(flat != BOS)
-        words, place = numbered(flat)
-        del flat
-        columns, counts = summed([place[taken - i] for i in reversed(range(order))], len(words))
-        return _table(_dealt(order, shards, words, columns, counts)).combine_chunks().to_batches()[0]
+        taken = np.flatnonzero((flat != BOS) & (shard_of(before(flat, 1), flat, shards, heavy) % turns == turn))
+        if len(taken):
+            words, place = numbered(flat)
+            del flat
+            columns, counts = summed([place[taken - i] for i in (*range(1, order), 0)], len(words))
+            yield _table(_dealt(order, shards, words, columns, counts, heavy)).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -293,53 +441,51 @@ def _gather(order: int, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 parts.append(hashes(text.as_py(), order))
                 size += len(parts[-1])
                 if size >= GATHER:
-                    yield combined(parts)
+                    yield from combined(parts)
                     parts, size = [], 0
         if parts:
-            yield combined(parts)
+            yield from combined(parts)
 
     return run
 
 
-def _merge(folder: str, level: int, order: int, shards: int, bins: int) -> Callable[[pa.Table], pa.Table]:
-    """One shard of one order: writes its arrays, yields what lower orders and statistics by key need."""
+def _merge(folder: str, order: int, bins: int) -> Callable[[pa.Table], pa.Table]:
+    """One shard: writes its file, yields sums by word and counts of counts."""
 
     def run(group: pa.Table) -> pa.Table:
         shard = group.column("bin")[0].as_py()
         names, columns, counts = _decoded(group.to_pylist())
         columns, counts = summed(columns, len(names), counts)
-        context = context_of(names, columns)
-        keys = combine(context, names[columns[-1]])
-        by_key = np.argsort(keys)
-        save(folder, f"gram{level}-{shard}-keys", keys[by_key])
-        save(folder, f"gram{level}-{shard}-count", smallest(counts[by_key]))
-        starts, runs = run_heads(context)
-        follow = [np.add.reduceat((counts == c).astype(np.int64), starts) for c in (1, 2)]
-        out = _keyed(3, level, bins, context[starts], np.add.reduceat(counts, starts), *follow, runs - sum(follow))
-        out.append((9, level, -1, b"", b"", b"", b"", count_of_counts(counts).tobytes(), 0, 0))
-        del context, keys, by_key
-        last = columns[-1]
-        before = np.bincount(last, minlength=len(names))
-        there = np.flatnonzero(before)
-        words, before = names[there], before[there]
-        raw = np.zeros(len(names), np.int64)
-        if level == order:
-            np.add.at(raw, last, counts)
-        raw = raw[there]
-        if level == 2:
-            out += _keyed(1, 1, bins, words, before, raw)
-        else:
-            if level == order:
-                out += _keyed(1, 1, bins, words, np.zeros(len(words), np.int64), raw)
-            lower, once = summed(columns[1:], len(names))
-            out += _dealt(level - 1, shards, names, lower, once)
-        return _table(out)
+        raw = np.zeros(len(names), dtype=np.int64)
+        np.add.at(raw, columns[-1], counts)
+        stored, out = {"words": names}, []
+        for depth in range(order - 1, 0, -1):
+            changes = [c[1:] != c[:-1] for c in columns[:-1]]
+            starts = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce(changes))))
+            if depth > 1:
+                parents = np.concatenate(([True], np.logical_or.reduce(changes[:-1])))
+                kids = np.append(np.flatnonzero(parents[starts]), len(starts))
+                stored[f"kids{depth - 1}"] = kids.astype(np.uint32)
+            runs = np.append(starts, len(counts))
+            many = np.flatnonzero(np.diff(runs) >= MANY)
+            sums = [np.add.reduceat(x.astype(np.int64), starts)[many] for x in (counts, counts == 1, counts == 2, counts > 2)]
+            stored |= wide(f"node{depth}", columns[-2][starts]) | wide(f"next{depth}", columns[-1])
+            stored |= counted(f"count{depth}", counts)
+            stored |= {f"runs{depth}": runs.astype(np.uint32), f"many{depth}": many.astype(np.uint32)}
+            stored |= {f"{name}{depth}": smallest(x) for name, x in zip(("total", "one", "two", "more"), sums)}
+            out.append((9, depth + 1, -1, b"", b"", b"", b"", count_of_counts(counts).tobytes(), 0, 0))
+            if depth > 1:
+                columns, counts = summed([*columns[:-2], columns[-1]], len(names))
+        save(folder, f"shard-{shard}", stored)
+        continued = np.bincount(columns[-1], minlength=len(names))
+        there = np.flatnonzero(continued)
+        return _table(out + _keyed(1, 1, bins, names[there], continued[there], raw[there]))
 
     return run
 
 
 def _finish(folder: str, order: int) -> Callable[[pa.Table], pa.Table]:
-    """Sums by word and by context of one bin; bin -1 holds the counts of counts."""
+    """Sums by word of one bin; bin -1 holds the counts of counts."""
 
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
@@ -350,15 +496,10 @@ def _finish(folder: str, order: int) -> Callable[[pa.Table], pa.Table]:
                 found = [np.frombuffer(r["counts"], "<u8") for r in rows if r["level"] == level]
                 out += [(f"n{i + 1}", level, int(x)) for i, x in enumerate(np.sum(found, axis=0))]
         else:
-            words, (continued, raw) = _unkeyed([r for r in rows if r["kind"] == 1], 2)
-            for name, array in (("keys", words), ("continued", continued), ("raw", raw)):
-                save(folder, f"word-{bin_}-{name}", array if name == "keys" else smallest(array))
+            words, (continued, raw) = _unkeyed(rows, 2)
+            save(folder, f"word-{bin_}", {"words": words, "continued": smallest(continued), "raw": smallest(raw)})
             out += [("words", 1, len(words)), ("tokens", 1, int(raw.sum())), ("continued", 1, int(continued.sum()))]
             out += [(f"n{i + 1}", 1, int(x)) for i, x in enumerate(count_of_counts(continued))]
-            for level in range(2, order + 1):
-                keys, sums = _unkeyed([r for r in rows if r["kind"] == 3 and r["level"] == level], 4)
-                for name, array in zip(("keys", "total", "one", "two", "more"), (keys, *sums)):
-                    save(folder, f"context{level}-{bin_}-{name}", array if name == "keys" else smallest(array))
         return pa.Table.from_pydict({k: [r[i] for r in out] for i, k in enumerate(("name", "level", "value"))})
 
     return run
@@ -381,6 +522,7 @@ class Model:
     continued: int = 0
     free: float = 1.0
     discounts: dict[int, tuple[float, float, float]] = field(default_factory=dict)
+    heavy: Heavy = NO_HEAVY
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -400,23 +542,23 @@ def train(texts: DataFrame, text_col: str = "text", order: int = 3) -> Model:
     body = texts.select(text_bytes(F.col(text_col)).alias("body"))
     size = body.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("n")).first()["n"]
     shards = max(shuffle_partitions(spark), ceil(size / (16 << 20)))
+    heavy = _heavy(body, size, order, shards)
     folder = local_path(shared_path(spark))
-    blocks = body.mapInArrow(_gather(order, shards), BLOCK)
-    sums: DataFrame | None = None
-    for level in range(order, 1, -1):
-        merged = blocks.groupBy("bin").applyInArrow(_merge(folder, level, order, shards, shards), BLOCK)
-        if level > 2:  # read twice: by the next order and by the sums
-            merged = written(merged)
-            blocks = merged.where("kind = 0")
-            merged = merged.where("kind <> 0")
-        sums = merged if sums is None else sums.unionByName(merged)
-    found = sums.groupBy("bin").applyInArrow(_finish(folder, order), "name string, level long, value long")
+    sums: list[tuple[DataFrame, str]] = []
+    with shuffles_removed(spark):
+        for turn in range(ROUNDS):
+            blocks = body.mapInArrow(_gather(order, shards, heavy, turn, ROUNDS), BLOCK)
+            sums.append(written_at(blocks.groupBy("bin").applyInArrow(_merge(folder, order, shards), BLOCK)))
+        rows = reduce(DataFrame.unionByName, [x for x, _ in sums])
+        found = written_at(rows.groupBy("bin").applyInArrow(_finish(folder, order), "name string, level long, value long"))
+    remove(spark, *[path for _, path in sums])
+    found = found[0]
     numbers = {(r["name"], r["level"]): r["v"] for r in found.groupBy("name", "level").agg(F.sum("value").alias("v")).collect()}
     of = lambda name, level=1: numbers.get((name, level), 0)
     cut = {level: discounts(*(of(f"n{i}", level) for i in (1, 2, 3, 4))) for level in range(1, order + 1)}
     often = of("words") - of("n1") - of("n2")
     free = (cut[1][0] * of("n1") + cut[1][1] * of("n2") + cut[1][2] * often) / max(of("continued"), 1)
-    return Model(folder, order, shards, shards, of("words"), of("tokens"), of("continued"), free, cut)
+    return Model(folder, order, shards, shards, of("words"), of("tokens"), of("continued"), free, cut, heavy)
 
 
 # ---- scoring
@@ -426,6 +568,47 @@ def _less(counts: np.ndarray, cut: tuple[float, float, float]) -> np.ndarray:
     return np.maximum(counts - np.array([0.0, *cut])[np.minimum(counts, 3)], 0)
 
 
+def _followers(model: Model, arrays: Arrays, flat: np.ndarray, real: np.ndarray) -> list[np.ndarray]:
+    """For each order from 2 on, by row: of the context at each place of ``real`` the four sums over its followers, and the
+    count of the token there among them."""
+    tokens = [before(flat, i)[real] for i in range(1, model.order)]
+    own = shard_of(tokens[0], flat[real], model.shards, model.heavy)
+    at, shard = np.arange(len(real)), own
+    salts = salts_of(tokens[0], model.heavy)
+    spread = np.flatnonzero(salts > 1)
+    if len(spread):
+        times = salts[spread]
+        others = np.repeat(spread, times)
+        salt = np.arange(len(others)) - np.repeat(np.cumsum(times) - times, times)
+        asked = np.unique(others * model.shards + salted(tokens[0][others], salt.astype(U), model.shards))
+        others, there = asked // model.shards, asked % model.shards
+        new = there != own[others]
+        at, shard = np.concatenate((at, others[new])), np.concatenate((shard, there[new]))
+    out = [np.zeros((5, len(real)), dtype=np.int64) for _ in tokens]
+    order = np.argsort(shard, kind="stable")
+    starts, _ = run_heads(shard[order]) if len(order) else (np.empty(0, np.int64), None)
+    for part in np.split(order, starts[1:]) if len(order) else []:
+        number = shard[part[0]]
+        stored = arrays.get(f"shard-{number}")
+        if stored is None:
+            continue
+        rows = at[part]
+        word = np.where(own[rows] == number, stored.places(flat[real[rows]]), -1)
+        first, end = np.zeros(len(rows), np.int64), np.full(len(rows), len(stored["node1-low"]))
+        for depth, token in enumerate(tokens, 1):
+            hit, node = stored.search(f"node{depth}", first, end, stored.places(token[rows]))
+            rows, word = rows[hit], word[hit]
+            for to, value in zip(out[depth - 1], stored.followers(depth, node)):
+                to[rows] += value
+            runs = stored[f"runs{depth}"]
+            hit, place = stored.search(f"next{depth}", runs[node], runs[node + 1], word)
+            out[depth - 1][4][rows[hit]] = stored.counted(f"count{depth}", place)
+            if depth < len(tokens):
+                kids = stored[f"kids{depth}"]
+                first, end = kids[node], kids[node + 1]
+    return out
+
+
 def probabilities(model: Model, arrays: Arrays, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Model probability and training count of the token at each position of ``flat``."""
     words, back = np.unique(flat, return_inverse=True)
@@ -434,19 +617,13 @@ def probabilities(model: Model, arrays: Arrays, flat: np.ndarray) -> tuple[np.nd
     # What the discounts took goes to all words and one unknown word alike; without any training that is everything.
     free = model.free if model.continued else 1.0
     p = (_less(continued, model.discounts[1]) / max(model.continued, 1) + free / (kinds + 1))[back]
-    for level, context in zip(range(2, model.order + 1), contexts(flat, model.order - 1)):
-        heads, at = np.unique(context, return_inverse=True)
-        total, one, two, more = arrays.find(
-            f"context{level}", bin_of(heads, model.bins), heads, ("total", "one", "two", "more")
-        )
+    real = np.flatnonzero(flat != BOS)
+    found = _followers(model, arrays, flat, real)
+    for level, (total, one, two, more, count) in zip(range(2, model.order + 1), found):
         d1, d2, d3 = model.discounts[level]
-        keep = np.where(total > 0, (d1 * one + d2 * two + d3 * more) / np.maximum(total, 1), 1.0)
-        known = total[at] > 0
-        grams, first, where = np.unique(combine(context, flat), return_index=True, return_inverse=True)
-        shards = shard_of(context[first], flat[first], model.shards)
-        (counts,) = arrays.find(f"gram{level}", shards, grams, ("count",))
-        own = np.where(known, _less(counts, model.discounts[level])[where] / np.maximum(total[at], 1), 0.0)
-        p = own + keep[at] * p
+        known, all_ = total > 0, np.maximum(total, 1)
+        keep = np.where(known, (d1 * one + d2 * two + d3 * more) / all_, 1.0)
+        p[real] = np.where(known, _less(count, model.discounts[level]) / all_, 0.0) + keep * p[real]
     return p, raw[back]
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from brute import awkward, empty, fold, lower, words
 
-from concord.llm import kneser_ney
+from concord.llm import common, kneser_ney
 from concord.llm.common import table
 from concord.llm.queries import op2_kneser_ney
 
@@ -122,3 +122,32 @@ def test_blocks_come_back_whole_and_small(kinds):
         names, some, times = kneser_ney._decoded([block])
         found += zip(*(names[c].tolist() for c in some), times.tolist())
     assert sorted(found) == rows
+
+
+@pytest.mark.parametrize("order", [2, 4])
+def test_followers_of_frequent_words_are_spread(spark, monkeypatch, order):
+    """With many shards the words behind a frequent word lie in several, and sums over the followers of a context come from all."""
+    monkeypatch.setattr(kneser_ney, "shuffle_partitions", lambda _: 40)
+    draw = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{min(int(x), 60)}" for x in draw.zipf(1.3, 30))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = kneser_ney.train(docs, order=order)
+    assert model.heavy[1].max() > 2
+    _, score = plain_model([t for _, t in rows], order)
+    found = {r.doc_id: r.score for r in kneser_ney.score(docs, model).collect()}
+    for doc_id, text in rows:
+        assert found[doc_id] == pytest.approx(score(text), rel=1e-6)
+
+
+def test_disk_is_bounded_by_the_input(spark, tmp_path, monkeypatch):
+    """What the training leaves in the shared folder takes few bytes for each n-gram of an order."""
+    texts = table(spark, "/root/testdata/sf0.01", "documents")
+    grams = {order: set() for order in (2, 3)}
+    for (text,) in texts.select("text").collect():
+        tokens = ["<s>", "<s>", *words(lower(text or "")), "</s>"]
+        for order, found in grams.items():
+            found.update(tuple(tokens[i - order + 1 : i + 1]) for i in range(2, len(tokens)))
+    monkeypatch.setattr(common, "ensure_checkpoint_dir", lambda _: str(tmp_path))
+    kneser_ney.train(texts)
+    used = sum(p.stat().st_size for p in tmp_path.rglob("*") if p.is_file())
+    assert 0 < used < 12 * (len(grams[2]) + len(grams[3]))
