@@ -295,9 +295,9 @@ class Stored(dict):
     """The arrays of one file."""
 
     def wide(self, name: str, at: np.ndarray) -> np.ndarray:
-        out = self[f"{name}-low"][at].astype(np.int64)
+        out = self[f"{name}-low"].take(at).astype(np.int64)
         high = self[f"{name}-high"]
-        return out | (high[at].astype(np.int64) << 16) if len(high) else out
+        return out + high.take(at) * np.int64(1 << 16) if len(high) else out
 
     def counted(self, name: str, at: np.ndarray) -> np.ndarray:
         out = self[name][at].astype(np.int64)
@@ -308,23 +308,30 @@ class Stored(dict):
 
     def search(self, name: str, first: np.ndarray, end: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which targets are among the sorted numbers of ``wide`` from ``first`` to before ``end``, and the places of these."""
-        low, high = first.astype(np.int64), end.astype(np.int64)
-        left = np.flatnonzero(low < high)
-        while len(left):
-            middle = (low[left] + high[left]) >> 1
-            below = self.wide(name, middle) < target[left]
-            low[left[below]] = middle[below] + 1
-            high[left[~below]] = middle[~below]
-            left = left[low[left] < high[left]]
-        hit = np.flatnonzero(low < end)
-        hit = hit[self.wide(name, low[hit]) == target[hit]]
-        return hit, low[hit]
-
-    def places(self, words: np.ndarray) -> np.ndarray:
-        """Places of the words among those of the shard, -1 for others."""
+        found = first.astype(np.int64)
+        rows = np.flatnonzero(first < end)
+        low, high, wanted = found[rows], end[rows].astype(np.int64), target[rows]
+        while len(rows):
+            middle = (low + high) >> 1
+            below = self.wide(name, middle) < wanted
+            high = np.where(below, high, middle)
+            low = np.where(below, middle + 1, low)
+            done = low >= high
+            if done.any():
+                found[rows[done]] = low[done]
+                left = np.flatnonzero(~done)
+                rows, low, high, wanted = rows[left], low[left], high[left], wanted[left]
+        hit = np.flatnonzero(found < end)
+        hit = hit[self.wide(name, found[hit]) == target[hit]]
+        return hit, found[hit]
+
+    def places(self, words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Places of ``words[ids]`` among the words of the shard, -1 for others; the words are sorted."""
         stored = self["words"]
-        at = np.minimum(np.searchsorted(stored, words), len(stored) - 1)
-        return np.where(stored[at] == words, at, -1)
+        ids, back = np.unique(ids, return_inverse=True)
+        asked = words[ids]
+        at = np.minimum(np.searchsorted(stored, asked), len(stored) - 1)
+        return np.where(stored[at] == asked, at, -1)[back]
 
     def followers(self, depth: int, node: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of contexts: the sum of the counts of their followers, and how many of these have a count of one, two, and more."""
@@ -379,7 +386,7 @@ class Arrays:
             stored = self.get(f"{prefix}-{bins[part[0]]}")
             if stored is None or not len(stored["words"]):
                 continue
-            at = stored.places(keys[part])
+            at = stored.places(keys, part)
             hit = at >= 0
             for to, value in zip(out, values):
                 to[part[hit]] = stored[value][at[hit]]
@@ -568,44 +575,101 @@ def _less(counts: np.ndarray, cut: tuple[float, float, float]) -> np.ndarray:
     return np.maximum(counts - np.array([0.0, *cut])[np.minimum(counts, 3)], 0)
 
 
-def _followers(model: Model, arrays: Arrays, flat: np.ndarray, real: np.ndarray) -> list[np.ndarray]:
+def _paired(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs, sorted, as their left and right numbers, and for each pair its place among them."""
+    keys = (left.astype(U) << U(32)) | right.astype(U)
+    found, place = np.unique(keys, return_inverse=True)
+    return (found >> U(32)).astype(np.int64), (found & U(0xFFFFFFFF)).astype(np.int64), place
+
+
+def _slices(sorted_shards: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each shard with its rows."""
+    if len(sorted_shards):
+        starts, runs = run_heads(sorted_shards)
+        for start, rows in zip(starts.tolist(), runs.tolist()):
+            yield int(sorted_shards[start]), slice(start, start + rows)
+
+
+def _roots(
+    words: np.ndarray, token: np.ndarray, shard: np.ndarray, model: Model
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of a shard and a last word of a context, sorted, and for each row its place among them."""
+    kinds, once = len(words), np.zeros(len(words), dtype=bool)
+    once[token] = True
+    spread = salts_of(words, model.heavy) > 1
+    used = np.flatnonzero(once & ~spread)
+    single = salted(words[used], np.zeros(len(used), dtype=U), model.shards) * kinds + used
+    many = np.flatnonzero(spread[token])
+    several = shard[many] * kinds + token[many]
+    keys = np.concatenate((single, np.unique(several)))
+    keys.sort()
+    place = np.zeros(kinds, dtype=np.int64)
+    place[used] = np.searchsorted(keys, single)
+    context = place[token]
+    context[many] = np.searchsorted(keys, several)
+    return keys // kinds, keys % kinds, context
+
+
+def _followers(model: Model, arrays: Arrays, words: np.ndarray, back: np.ndarray, real: np.ndarray) -> list[np.ndarray]:
     """For each order from 2 on, by row: of the context at each place of ``real`` the four sums over its followers, and the
-    count of the token there among them."""
-    tokens = [before(flat, i)[real] for i in range(1, model.order)]
-    own = shard_of(tokens[0], flat[real], model.shards, model.heavy)
+    count of the token there among them. Tokens are ``words[back]``; distinct contexts and n-grams are looked up once.
+    """
+    tokens = [back[real - i] for i in range(1, model.order)]
+    previous, word = words[tokens[0]], back[real]
+    own = shard_of(previous, words[word], model.shards, model.heavy)
     at, shard = np.arange(len(real)), own
-    salts = salts_of(tokens[0], model.heavy)
+    salts = salts_of(previous, model.heavy)
     spread = np.flatnonzero(salts > 1)
     if len(spread):
         times = salts[spread]
         others = np.repeat(spread, times)
         salt = np.arange(len(others)) - np.repeat(np.cumsum(times) - times, times)
-        asked = np.unique(others * model.shards + salted(tokens[0][others], salt.astype(U), model.shards))
+        asked = np.unique(others * model.shards + salted(previous[others], salt.astype(U), model.shards))
         others, there = asked // model.shards, asked % model.shards
         new = there != own[others]
         at, shard = np.concatenate((at, others[new])), np.concatenate((shard, there[new]))
     out = [np.zeros((5, len(real)), dtype=np.int64) for _ in tokens]
-    order = np.argsort(shard, kind="stable")
-    starts, _ = run_heads(shard[order]) if len(order) else (np.empty(0, np.int64), None)
-    for part in np.split(order, starts[1:]) if len(order) else []:
-        number = shard[part[0]]
-        stored = arrays.get(f"shard-{number}")
-        if stored is None:
-            continue
-        rows = at[part]
-        word = np.where(own[rows] == number, stored.places(flat[real[rows]]), -1)
-        first, end = np.zeros(len(rows), np.int64), np.full(len(rows), len(stored["node1-low"]))
-        for depth, token in enumerate(tokens, 1):
-            hit, node = stored.search(f"node{depth}", first, end, stored.places(token[rows]))
-            rows, word = rows[hit], word[hit]
-            for to, value in zip(out[depth - 1], stored.followers(depth, node)):
-                to[rows] += value
-            runs = stored[f"runs{depth}"]
-            hit, place = stored.search(f"next{depth}", runs[node], runs[node + 1], word)
-            out[depth - 1][4][rows[hit]] = stored.counted(f"count{depth}", place)
+    # The first rows ask for the token in the shard that has it; for them: where the n-gram without its first word was found.
+    mine = len(real)
+    place = np.zeros(mine, dtype=np.int64)
+    for depth, token in enumerate(tokens, 1):
+        if depth == 1:
+            shards, last, context = _roots(words, token[at], shard, model)
+            first = end = np.zeros(len(last), dtype=np.int64)
+        else:
+            above, last, context = _paired(context, token[at])
+            shards, first, end = shards[above], first[above], end[above]
+        sums, run, kids = (np.zeros((n, len(last)), dtype=np.int64) for n in (4, 2, 2))
+        for number, rows in _slices(shards):
+            stored = arrays.get(f"shard-{number}")
+            if stored is None:
+                continue
+            ends = end[rows] if depth > 1 else np.full(rows.stop - rows.start, len(stored["node1-low"]))
+            hit, node = stored.search(f"node{depth}", first[rows], ends, stored.places(words, last[rows]))
+            hit += rows.start
+            for to, value in zip(sums, stored.followers(depth, node)):
+                to[hit] = value
+            run[0, hit], run[1, hit] = stored[f"runs{depth}"][node], stored[f"runs{depth}"][node + 1]
             if depth < len(tokens):
-                kids = stored[f"kids{depth}"]
-                first, end = kids[node], kids[node + 1]
+                kids[0, hit], kids[1, hit] = stored[f"kids{depth}"][node], stored[f"kids{depth}"][node + 1]
+        for to, value in zip(out[depth - 1], sums):
+            to += value[context[:mine]]
+            if len(at) > mine:
+                np.add.at(to, at[mine:], value[context[mine:]])
+        # The longest n-grams are nearly all distinct, and only asked for where the one without its first word was found.
+        asked = np.flatnonzero((place >= 0) & (run[1] > run[0])[context[:mine]])
+        heads, names, back_ = _paired(context[asked], word[asked])
+        counts, places = np.zeros(len(heads), np.int64), np.full(len(heads), -1)
+        for number, rows in _slices(shards[heads]):
+            stored = arrays.get(f"shard-{number}")
+            found = stored.places(words, names[rows])
+            hit, next_ = stored.search(f"next{depth}", run[0, heads[rows]], run[1, heads[rows]], found)
+            counts[rows.start + hit] = stored.counted(f"count{depth}", next_)
+            places[rows.start + hit] = found[hit]
+        out[depth - 1][4][asked] = counts[back_]
+        place[:] = -1
+        place[asked] = places[back_]
+        first, end = kids
     return out
 
 
@@ -618,7 +682,7 @@ def probabilities(model: Model, arrays: Arrays, flat: np.ndarray) -> tuple[np.nd
     free = model.free if model.continued else 1.0
     p = (_less(continued, model.discounts[1]) / max(model.continued, 1) + free / (kinds + 1))[back]
     real = np.flatnonzero(flat != BOS)
-    found = _followers(model, arrays, flat, real)
+    found = _followers(model, arrays, words, back, real)
     for level, (total, one, two, more, count) in zip(range(2, model.order + 1), found):
         d1, d2, d3 = model.discounts[level]
         known, all_ = total > 0, np.maximum(total, 1)
