@@ -27,6 +27,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -41,7 +42,7 @@ _TRANSLATE = bytes(0xFF if c in _BREAK else LOWER[c] for c in range(256))
 _BREAK_WORD = b"\xff"
 NEVER = 255
 #: Words counted together in a task: bounds its memory.
-WORDS_AT_ONCE = 1 << 20
+WORDS_AT_ONCE = 1 << 21
 ROWS_AT_ONCE = 1 << 16
 #: A row is a phrase as text with its count, or a block of ``f`` hashes from ``first`` on.
 COUNTED = "lang string, words int, phrase string, f long, bin int, first long, gaps binary, counts binary"
@@ -96,7 +97,13 @@ class _Stretch:
 
 def distinct(stream: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers and counts of the distinct phrases of ``n`` words that begin at the places."""
-    ids = stream[place]
+    ids, bits = stream[place], max(1, int(stream.max()).bit_length())
+    if n * bits < 64:
+        for i in range(1, n):
+            ids = (ids << bits) | stream[place + i]
+        ids.sort()
+        heads, counts = run_heads(ids)
+        return (ids[heads][:, None] >> (bits * np.arange(n - 1, -1, -1))) & ((1 << bits) - 1), counts
     for i in range(1, n):
         if i > 1:
             ids = np.unique(ids, return_inverse=True)[1]
@@ -191,7 +198,8 @@ def _count_step(shard: DataFrame, step: int, shards: int, longest: int, since: l
             return pa.RecordBatch.from_arrays(parts, names=columns)
 
         def counted(stretch: _Stretch) -> Iterator[pa.RecordBatch]:
-            names = stretch.names
+            langs = pa.array([lang for lang, _ in stretch.names], pa.string())
+            names = pa.array([word for _, word in stretch.names], pa.binary())
             for n, members, hashes, counts in count_stretch(
                 np.concatenate(stretch.parts), stretch.hashes(), step, shards, longest, tables
             ):
@@ -202,9 +210,9 @@ def _count_step(shard: DataFrame, step: int, shards: int, longest: int, since: l
                     continue
                 for at in range(0, len(counts), ROWS_AT_ONCE):
                     f = counts[at : at + ROWS_AT_ONCE]
-                    rows = members[at : at + ROWS_AT_ONCE].tolist()
-                    lang = pa.array([names[row[0]][0] for row in rows], pa.string())
-                    phrase = pa.array([b" ".join([names[i][1] for i in row]) for row in rows], pa.binary())
+                    rows = [pa.array(c) for c in np.ascontiguousarray(members[at : at + ROWS_AT_ONCE].T)]
+                    lang, words = langs.take(rows[0]), [names.take(c) for c in rows]
+                    phrase = pc.binary_join_element_wise(*words, pa.scalar(b" ")) if n > 1 else words[0]
                     yield batch_of(n, len(f), lang=lang, phrase=phrase.cast(pa.string()), f=pa.array(f, pa.int64()))
 
         stretch = _Stretch()

@@ -110,3 +110,22 @@ def test_rare_phrases_of_the_greatest_length_are_not_counted_as_texts():
     since = [np.zeros(64, np.uint8), np.zeros(64, np.uint8), np.full(64, phrases.NEVER, np.uint8)]
     found = [(n, members is None) for n, members, _, _ in phrases.count_stretch(stream, words, 1, 2, 3, since)]
     assert (3, True) in found and (3, False) not in found and (2, False) in found
+
+
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_distinct_phrases_of_many_words(n):
+    """Phrases are told apart alike whether or not their word numbers fit into one number."""
+    draw = np.random.default_rng(9)
+    for kinds in (4, 1 << 22):
+        stream = draw.integers(1, kinds, 3000) // draw.choice([1, kinds // 3], 3000) + 1
+        place = np.arange(len(stream) - n)
+        members, counts = phrases.distinct(stream, place, n)
+        want = Counter(tuple(stream[i : i + n].tolist()) for i in place)
+        assert dict(zip(map(tuple, members.tolist()), counts.tolist())) == want
+
+
+def test_a_task_sends_a_word_once_for_two_million(spark):
+    docs = spark.createDataFrame([("en", b"a b " * 30_000)] * 25, "lang string, text binary").coalesce(1)
+    since = [spark.sparkContext.broadcast(phrases.zlib.compress(bytes([phrases.NEVER]) * 64, 1)) for _ in range(2)]
+    found = phrases._count_step(docs, 0, 4, 2, since, 4).where("words = 1").collect()
+    assert sorted((r.lang, r.phrase, r.f) for r in found) == [("en", "a", 750_000), ("en", "b", 750_000)]
